@@ -15,6 +15,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tarnweave.llm.warc import archive, read_archive
+
+    found = read_archive(spark, archive(table(spark, sf_dir, "pages")))
+    page = lambda urn: F.substring_index(urn, ":", -1).cast("long")
+    whole = F.col("payload").isNotNull()
+    return found.select(
+        page("record_id").alias("page_id"), F.when(whole, F.length("payload")).otherwise(F.col("payload_bytes")).cast("long").alias("payload_bytes"),
+        F.when(whole, F.sha1("payload")).otherwise(F.col("payload_digest")).alias("payload_digest"), "record_type", page("refers_to").alias("refers_to"),
+    )
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tarnweave.llm.token_counts import token_counts
 
@@ -70,7 +82,16 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_token_counts, op5_packing, op6_pii, op7_decontamination, op8_quality_rules, op9_quality_classifier, op10_simhash)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_warc, op3_token_counts, op5_packing, op6_pii, op7_decontamination, op8_quality_rules, op9_quality_classifier, op10_simhash)}
 
 #: DuckDB SQL for queries that SQL can express.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+        k AS (SELECT html, max(page_id) AS first FROM p WHERE strlen(html) >= 1000 GROUP BY html)
+        SELECT page_id, strlen(p.html)::BIGINT AS payload_bytes, sha1(p.html) AS payload_digest,
+               CASE WHEN first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN first <> page_id THEN first END AS refers_to
+        FROM p LEFT JOIN k ON p.html = k.html
+    """,
+}
