@@ -15,6 +15,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tarnweave.llm.lm_scoring import lm_scores
+
+    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 1
+    return lm_scores(table(spark, sf_dir, "documents"), held_out).drop("n_bytes")
+
+
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tarnweave.llm.warc import archive, read_archive
 
@@ -82,7 +89,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_warc, op3_token_counts, op5_packing, op6_pii, op7_decontamination, op8_quality_rules, op9_quality_classifier, op10_simhash)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_lm_scoring, op2_warc, op3_token_counts, op5_packing, op6_pii, op7_decontamination, op8_quality_rules, op9_quality_classifier, op10_simhash)}
 
 #: DuckDB SQL for queries that SQL can express.
 ORACLES: dict[str, str] = {
