@@ -26,6 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,8 +36,15 @@ REACH = 5
 WORD = 6
 ORDERS = (1, 2, 3, 4, REACH, WORD)
 END = 255  # no byte of UTF-8
-#: Binary logarithm of each order's table.
+#: Binary logarithm of each order's table: the bound that a broadcast keeps to. Fewer grams have smaller tables.
 TABLE_BITS = {1: 16, 2: 20, 3: 21, 4: 22, 5: 22, WORD: 22}
+
+
+def table_bits(n_grams: int) -> dict[int, int]:
+    """Bits of each order's table for so many distinct grams: room for two entries of each, 16 bits at least."""
+    return {order: min(most, max(16, (2 * n_grams).bit_length())) for order, most in TABLE_BITS.items()}
+
+
 PART = 1 << 16
 LEVELS = 5
 GATES = 8 * LEVELS * LEVELS
@@ -95,7 +103,7 @@ def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarra
 # -- the model ---------------------------------------------------------------
 
 
-def _slots(order: int, gram: np.ndarray) -> np.ndarray:
+def _slots(order: int, gram: np.ndarray, bits: int) -> np.ndarray:
     """The order's table places of the gram's 8 bits, (8, n)."""
     context = gram >> np.uint64(8)
     if order == WORD:  # with nothing before reach, the bytes from the last white space on
@@ -106,7 +114,7 @@ def _slots(order: int, gram: np.ndarray) -> np.ndarray:
         context &= np.uint64((1 << 8 * order) - 1)
     base = mixed(context * np.uint64(8) + np.uint64(order))
     byte = (gram & np.uint64(255)).astype(np.int64) | 256
-    shift = np.uint64(64 - TABLE_BITS[order])
+    shift = np.uint64(64 - bits)
     out = np.empty((8, gram.size), np.int32)
     for j in range(8):
         node = (byte >> (8 - j)).astype(np.uint64)  # a leading 1 and the j bits so far
@@ -119,6 +127,7 @@ class Model:
 
     def __init__(self, tables: dict[int, np.ndarray], weights: np.ndarray | None = None, refine: np.ndarray | None = None):
         self.tables = tables
+        self.bits = {order: len(t).bit_length() - 1 for order, t in tables.items()}
         self.weights = np.full((GATES, len(ORDERS) + 1), 0.3, np.float32) if weights is None else weights
         if weights is None:
             self.weights[:, -1] = 0
@@ -126,7 +135,7 @@ class Model:
 
     def inputs(self, gram: np.ndarray, left_out: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """For each bit: the predictions as log odds (n, inputs), the gate, the bit. left_out: without this occurrence."""
-        slots = [_slots(order, gram) for order in ORDERS]
+        slots = [_slots(order, gram, self.bits[order]) for order in ORDERS]
         byte = (gram & np.uint64(255)).astype(np.int64)
         for j in range(8):
             bit = (byte >> (7 - j)) & 1
@@ -310,24 +319,28 @@ def _sum_words(table: pa.Table) -> pa.Table:
     )
 
 
-def _bit_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _bit_counts(bits: dict[int, int]):
     """From grams to the orders' tables in parts: (order, part, payload of slots and their two counts)."""
-    held = [_unpack_grams(x.as_buffer().to_pybytes()) for b in batches for x in b.column(0)]
-    for order in ORDERS if held else ():
-        size = 1 << TABLE_BITS[order]
-        n = np.zeros((size, 2))
-        for gram, count in held:
-            slots = _slots(order, gram)
-            byte = (gram & np.uint64(255)).astype(np.int64)
-            for j in range(8):
-                both = slots[j].astype(np.int64) * 2 + ((byte >> (7 - j)) & 1)
-                place, group = np.unique(both, return_inverse=True)
-                n.reshape(-1)[place] += np.bincount(group, count)
-        some = np.flatnonzero(n.any(1))
-        cut = np.searchsorted(some, np.arange(0, size + PART, PART))
-        rows = [(order, p, some[a:b].astype("<u4").tobytes() + n[some[a:b]].astype("<f8").tobytes()) for p, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if b > a]
-        for lo in range(0, len(rows), 16):
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows[lo : lo + 16], strict=True), (pa.int32(), pa.int32(), pa.binary()), strict=True)], ["order", "part", "payload"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [_unpack_grams(x.as_buffer().to_pybytes()) for b in batches for x in b.column(0)]
+        for order in ORDERS if held else ():
+            size = 1 << bits[order]
+            n = np.zeros((size, 2))
+            for gram, count in held:
+                slots = _slots(order, gram, bits[order])
+                byte = (gram & np.uint64(255)).astype(np.int64)
+                for j in range(8):
+                    both = slots[j].astype(np.int64) * 2 + ((byte >> (7 - j)) & 1)
+                    place, group = np.unique(both, return_inverse=True)
+                    n.reshape(-1)[place] += np.bincount(group, count)
+            some = np.flatnonzero(n.any(1))
+            cut = np.searchsorted(some, np.arange(0, size + PART, PART))
+            rows = [(order, p, some[a:b].astype("<u4").tobytes() + n[some[a:b]].astype("<f8").tobytes()) for p, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if b > a]
+            for lo in range(0, len(rows), 16):
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows[lo : lo + 16], strict=True), (pa.int32(), pa.int32(), pa.binary()), strict=True)], ["order", "part", "payload"])
+
+    return run
 
 
 def _sum_bits(table: pa.Table) -> pa.Table:
@@ -342,11 +355,13 @@ def _sum_bits(table: pa.Table) -> pa.Table:
     return pa.Table.from_arrays([table.column("order")[:1].combine_chunks(), table.column("part")[:1].combine_chunks(), pa.array([zlib.compress(small.tobytes(), 1)], pa.binary())], ["order", "part", "payload"])
 
 
-def fit(grams_table: DataFrame, rounds: int = 2, rate: float = 0.4) -> Model:
-    """The model of a table of summed grams. What comes to the driver has a fixed size: tables, weights and sums of the map."""
+def fit(grams_table: DataFrame, rounds: int = 2, rate: float = 0.4) -> tuple[Broadcast, np.ndarray, np.ndarray]:
+    """The model of a table of summed grams: its tables, broadcast, its weights and its map. What comes to the driver has a fixed size."""
     sc = grams_table.sparkSession.sparkContext
-    parts = grams_table.mapInArrow(_bit_counts, "order int, part int, payload binary").groupBy("order", "part").applyInArrow(_sum_bits, "order int, part int, payload binary")
-    tables = {order: np.zeros((max(PART, 1 << TABLE_BITS[order]), 2), np.uint16) for order in ORDERS}
+    n_grams = grams_table.agg(F.coalesce(F.sum(F.length("payload") / 12), F.lit(0))).first()[0]
+    bits = table_bits(int(n_grams))
+    parts = grams_table.mapInArrow(_bit_counts(bits), "order int, part int, payload binary").groupBy("order", "part").applyInArrow(_sum_bits, "order int, part int, payload binary")
+    tables = {order: np.zeros((1 << bits[order], 2), np.uint16) for order in ORDERS}
     for row in parts.toLocalIterator():
         tables[row.order][row.part * PART : (row.part + 1) * PART] = np.frombuffer(zlib.decompress(row.payload), "<u2").reshape(-1, 2)
     model, shared = Model(tables), sc.broadcast(tables)
@@ -389,15 +404,15 @@ def fit(grams_table: DataFrame, rounds: int = 2, rate: float = 0.4) -> Model:
     mid = (np.arange(STEPS) - STEPS // 2) / 2
     p = 1 / (1 + np.exp(-mid))
     model.refine = np.log((n[..., 1] + 20 * p) / (n[..., 0] + 20 * (1 - p))).astype(np.float32)
-    return model
+    return shared, model.weights, model.refine
 
 
 _SCORED = "id {}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long"
 
 
-def _scored(shared, n_blocks: int, n: int, v: int, ends: int):
+def _scored(shared: Broadcast, weights: np.ndarray, refine: np.ndarray, n_blocks: int, n: int, v: int, ends: int):
     def run(docs: pa.Table, counts: pa.Table) -> pa.Table:
-        out, words = [], []
+        out, words, model = [], [], Model(shared.value, weights, refine)
         log = lambda c: np.log10((c + 0.5) / (n + 0.5 * (v + 1)))
         for part in _slices(docs):
             raw, at = text_bytes(part.column(2))
@@ -415,7 +430,7 @@ def _scored(shared, n_blocks: int, n: int, v: int, ends: int):
             code = own.code(strings(raw, starts, stops)) if starts.size else np.zeros(0, np.int64)
             gram, begin = grams(raw, at)
             coded = pc.dictionary_encode(pa.array(gram))
-            cost = shared.value.costs(coded.dictionary.to_numpy())[coded.indices.to_numpy()] if gram.size else np.zeros(0)
+            cost = model.costs(coded.dictionary.to_numpy())[coded.indices.to_numpy()] if gram.size else np.zeros(0)
             m = part.num_rows
             out.append(pa.RecordBatch.from_arrays(
                 [part.column(1), pc.invert(part.column(3)), pa.array(np.diff(first) + 1), pa.array(sums((count[code] > 0).astype(np.int8), first) + int(ends > 0)), pa.array(np.full(m, n)), pa.array(sums(logs[code], first) + log(ends)), pa.array(sums(cost, begin)), pa.array(np.diff(at))],
@@ -438,7 +453,6 @@ def lm_scores(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_co
     v, n = counts.agg(F.coalesce(F.sum("n_words"), F.lit(0)), F.coalesce(F.sum("n_tokens"), F.lit(0))).first()
     ends = sum(int(np.frombuffer(r.payload, "<i8")[0]) for r in gathered.where("kind = 2").select("payload").toLocalIterator())
     n, v = n + ends, v + int(ends > 0)
-    shared = docs.sparkSession.sparkContext.broadcast(fit(summed))
     kind = docs.schema[id_col].dataType.simpleString()
-    out = rows.groupBy("chunk").cogroup(counts.groupBy("chunk")).applyInArrow(_scored(shared, n_blocks, n, v, ends), _SCORED.format(kind))
+    out = rows.groupBy("chunk").cogroup(counts.groupBy("chunk")).applyInArrow(_scored(*fit(summed), n_blocks, n, v, ends), _SCORED.format(kind))
     return out.withColumnRenamed("id", id_col).withColumn("bits_per_byte", -F.col("score") * float(np.log2(10)) / (F.col("n_bytes") + 1))
