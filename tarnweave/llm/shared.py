@@ -38,8 +38,25 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder: computed once, and independent of executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tarnweave/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    schema = df.schema
+    df.write.option("compression", "zstd").parquet(path)
+    del df
+    # What is no longer referenced lets go of its shuffle files only when the driver collects its garbage.
+    spark.sparkContext._jvm.System.gc()
+    out = spark.read.schema(schema).parquet(path)
+    out._saved_at = path
+    return out
+
+
+def free(*tables: DataFrame) -> None:
+    """Deletes tables that saved() made and nothing will read again."""
+    for df in tables:
+        spark, path = df.sparkSession, spark_path(df)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def spark_path(df: DataFrame):
+    return df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(df._saved_at)
 
 
 def by_bytes(batch: pa.RecordBatch, column: str = "text", limit: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
