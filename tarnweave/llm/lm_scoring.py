@@ -30,7 +30,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarnweave.llm.shared import SPACED, by_bytes, lowered, mixed, saved, strings, sums, text_bytes, words_of
+from tarnweave.llm.shared import SPACED, by_bytes, free, lowered, mixed, saved, strings, sums, text_bytes, words_of
 
 REACH = 5
 WORD = 6
@@ -49,15 +49,18 @@ PART = 1 << 16
 LEVELS = 5
 GATES = 8 * LEVELS * LEVELS
 STEPS = 33
-CHUNK_BYTES = 32 << 20
-SLICE_BYTES = 4 << 20
+CHUNK_BYTES = 16 << 20
+SLICE_BYTES = 1 << 20
 _DELTA = 0.25
 
-_N = np.arange(65536)
+_N = np.arange(512)
 _LOG = np.log(_N + _DELTA).astype(np.float32)
 _LEVEL = np.digitize(_N, [1, 2, 4, 16]).astype(np.int8)
-_T = mixed(np.arange(1, 257, dtype=np.uint64))
-_P = mixed(np.arange(2001, 2065, dtype=np.uint64)) | np.uint64(1)
+_T = mixed(np.arange(1, 257, dtype=np.uint64)).astype(np.uint32)
+_P = mixed(np.arange(2001, 2065, dtype=np.uint64)).astype(np.uint32) | np.uint32(1)
+#: Quantised log odds of counts (n0, n1 in the lower and upper byte) for scoring, in sixteenths.
+_ODDS = np.rint(16 * (_LOG[np.arange(65536) >> 8] - _LOG[np.arange(65536) & 255])).astype(np.int8)
+_SEEN = _LEVEL[(np.arange(65536) >> 8) + (np.arange(65536) & 255)]
 
 
 # -- grams ------------------------------------------------------------------
@@ -74,13 +77,23 @@ def grams(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     for d in range(REACH + 1):
         out = (out << np.uint64(8)) | padded[d : d + out.size]
     inside = SPACED[padded] & (padded != END)
-    place = np.arange(padded.size)
-    start = np.maximum.accumulate(np.where(inside & ~np.concatenate([[False], inside[:-1]]), place, 0))
-    run = np.concatenate([np.zeros(1, np.uint64), np.cumsum(np.where(inside, _T[padded] * _P[(place - start) & 63], np.uint64(0)))])
-    last, early = place[REACH:] - 1, place[: out.size]  # `out[i]` has its byte at i + REACH; what comes before its reach ends at i
-    far = np.flatnonzero(inside[last] & (early > start[last]))
-    s = start[last[far]]
-    out[far] |= ((mixed(run[early[far]] - run[s] + (early[far] - s).astype(np.uint64)) >> np.uint64(48)) | np.uint64(1)) << np.uint64(48)
+    place = np.arange(padded.size, dtype=np.int32)
+    begins = inside.copy()
+    begins[1:] &= ~inside[:-1]
+    start = np.maximum.accumulate(np.where(begins, place, np.int32(0)))
+    value = _T[padded]
+    value *= _P[(place - start) & 63]
+    value *= inside
+    run = np.zeros(padded.size + 1, np.uint32)
+    np.cumsum(value, out=run[1:])
+    # `out[i]` has its byte at i + REACH; what comes before its reach ends at i
+    far = np.flatnonzero(inside[REACH - 1 : -1] & (place[: out.size] > start[REACH - 1 : -1]))
+    s = start[far + (REACH - 1)]
+    h = run[far] - run[s] + (far - s).astype(np.uint32)
+    h *= np.uint32(0x7FEB352D)
+    h ^= h >> np.uint32(15)
+    h *= np.uint32(0x846CA68B)
+    out[far] |= (h >> np.uint32(16) | np.uint32(1)).astype(np.uint64) << np.uint64(48)
     keep = np.ones(out.size, bool)
     for d in range(1, REACH + 1):  # windows that end in the next text's lead
         edge = where[1:] - d
@@ -89,6 +102,11 @@ def grams(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out[keep], first
 
 
+def _runs(sorted_keys: np.ndarray) -> np.ndarray:
+    """Where each run of equal keys begins."""
+    return np.flatnonzero(np.concatenate([[True], sorted_keys[1:] != sorted_keys[:-1]])) if sorted_keys.size else np.zeros(0, np.int64)
+
+
 def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys, sorted, with their counts' sums."""
     if not keys:
@@ -96,34 +114,39 @@ def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarra
     k, c = np.concatenate(keys), np.concatenate(counts)
     order = np.argsort(k)
     k, c = k[order], c[order]
-    head = np.flatnonzero(np.diff(k, prepend=k[:1] + np.uint64(1)) != 0) if k.size else np.zeros(0, np.int64)
+    head = _runs(k)
     return k[head], (np.add.reduceat(c, head) if k.size else c)
 
 
 # -- the model ---------------------------------------------------------------
 
 
-def _slots(order: int, gram: np.ndarray, bits: int) -> np.ndarray:
-    """The order's table places of the gram's 8 bits, (8, n)."""
+def _contexts(order: int, gram: np.ndarray) -> np.ndarray:
+    """Hashes of the order's contexts."""
     context = gram >> np.uint64(8)
     if order == WORD:  # with nothing before reach, the bytes from the last white space on
+        short = gram >> np.uint64(48) == 0
         for d in range(1, REACH):
-            blank = (gram >> np.uint64(48) == 0) & ~SPACED[((gram >> np.uint64(8 * d)) & np.uint64(255)).astype(np.int64)] & (context >> np.uint64(8 * d) != 0)
+            blank = short & ~SPACED[((gram >> np.uint64(8 * d)) & np.uint64(255)).astype(np.uint8)]
             context[blank] &= np.uint64((1 << 8 * d) - 1)
+            short &= ~blank
     else:
         context &= np.uint64((1 << 8 * order) - 1)
-    base = mixed(context * np.uint64(8) + np.uint64(order))
-    byte = (gram & np.uint64(255)).astype(np.int64) | 256
-    shift = np.uint64(64 - bits)
-    out = np.empty((8, gram.size), np.int32)
-    for j in range(8):
-        node = (byte >> (8 - j)).astype(np.uint64)  # a leading 1 and the j bits so far
-        out[j] = ((base ^ (node * np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xD6E8FEB86659FD93)) >> shift
-    return out
+    return mixed(context * np.uint64(8) + np.uint64(order))
+
+
+def _slots(context: np.ndarray, node: np.ndarray, bits: int) -> np.ndarray:
+    """Table places of contexts with the bits so far."""
+    return (((context ^ node) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - bits)).view(np.int64)
+
+
+def _nodes(byte: np.ndarray, j: int) -> np.ndarray:
+    """A hash of the first j bits of each byte."""
+    return ((byte | np.uint64(256)) >> np.uint64(8 - j)) * np.uint64(0x9E3779B97F4A7C15)
 
 
 class Model:
-    """tables[order]: (slots, 2) bit counts; weights (gates, inputs); refine (gates, steps): log odds of the adaptive map."""
+    """tables[order]: (slots, 2) bit counts of a byte each; weights (gates, inputs); refine (gates, steps): log odds of the adaptive map."""
 
     def __init__(self, tables: dict[int, np.ndarray], weights: np.ndarray | None = None, refine: np.ndarray | None = None):
         self.tables = tables
@@ -133,31 +156,29 @@ class Model:
             self.weights[:, -1] = 0
         self.refine = refine
 
-    def inputs(self, gram: np.ndarray, left_out: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """For each bit: the predictions as log odds (n, inputs), the gate, the bit. left_out: without this occurrence."""
-        slots = [_slots(order, gram, self.bits[order]) for order in ORDERS]
-        byte = (gram & np.uint64(255)).astype(np.int64)
+    def inputs(self, gram: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """For each bit: the predictions as log odds (n, inputs), the gate, the bit; one occurrence of the bit itself is left out of its counts."""
+        contexts = [_contexts(order, gram) for order in ORDERS]
+        byte = gram & np.uint64(255)
         for j in range(8):
-            bit = (byte >> (7 - j)) & 1
+            node, bit = _nodes(byte, j), ((byte >> np.uint64(7 - j)) & np.uint64(1)).astype(np.int64)
             x = np.ones((gram.size, len(ORDERS) + 1), np.float32)
             level = []
             for k, order in enumerate(ORDERS):
-                n = self.tables[order][slots[k][j]].astype(np.int32)
-                n0, n1 = n[:, 0], n[:, 1]
-                if left_out:
-                    n0, n1 = np.maximum(n0 - (1 - bit), 0), np.maximum(n1 - bit, 0)
+                n = self.tables[order][_slots(contexts[k], node, self.bits[order])].astype(np.int64)
+                n0, n1 = np.maximum(n[:, 0] - (1 - bit), 0), np.maximum(n[:, 1] - bit, 0)
                 x[:, k] = _LOG[n1] - _LOG[n0]
-                level.append(_LEVEL[np.minimum(n0 + n1, 65535)])
+                level.append(_LEVEL[n0 + n1])
             yield x, (j * LEVELS + level[-1].astype(np.int64)) * LEVELS + level[-2], bit
 
     def mix(self, x: np.ndarray, gate: np.ndarray) -> np.ndarray:
         return np.clip(np.einsum("ij,ij->i", x, self.weights[gate]), -12, 12)
 
-    def learn(self, gram: np.ndarray, count: np.ndarray, rate: float, batch: int = 4096) -> None:
+    def learn(self, gram: np.ndarray, count: np.ndarray, rate: float, batch: int = 1 << 13) -> None:
         """Online steps over batches of grams, each weighed by its count."""
         for lo in range(0, gram.size, batch):
             w = count[lo : lo + batch].astype(np.float64)
-            for x, gate, bit in self.inputs(gram[lo : lo + batch], True):
+            for x, gate, bit in self.inputs(gram[lo : lo + batch]):
                 error = (bit - 1 / (1 + np.exp(-self.mix(x, gate)))) * w
                 size = np.bincount(gate, w, GATES)[:, None]
                 for k in range(x.shape[1]):
@@ -172,28 +193,45 @@ class Model:
     def refined(self, z: np.ndarray, gate: np.ndarray) -> np.ndarray:
         return z if self.refine is None else 0.5 * (z + self.refine[gate, self.step(z)])
 
-    def costs(self, gram: np.ndarray) -> np.ndarray:
+    def costs(self, gram: np.ndarray, batch: int = 1 << 14) -> np.ndarray:
         """log10 of the probability of each gram's last byte after the others."""
+        codes = {order: t.view("<u2").ravel() for order, t in self.tables.items()}
+        odds = {order: _ODDS[c] for order, c in codes.items()}
+        seen = {order: _SEEN[codes[order]] for order in ORDERS[-2:]}
+        weights = np.ascontiguousarray(self.weights.T)
         out = np.zeros(gram.size)
-        for lo in range(0, gram.size, 1 << 16):
-            part = np.zeros(min(1 << 16, gram.size - lo))
-            for x, gate, bit in self.inputs(gram[lo : lo + (1 << 16)], False):
-                z = self.refined(self.mix(x, gate), gate)
-                part -= np.log1p(np.exp(np.where(bit == 1, -z, z)))
-            out[lo : lo + part.size] = part
+        for lo in range(0, gram.size, batch):
+            part = gram[lo : lo + batch]
+            contexts, byte = [_contexts(order, part) for order in ORDERS], part & np.uint64(255)
+            total = np.zeros(part.size, np.float32)
+            for j in range(8):
+                node, bit = _nodes(byte, j), ((byte >> np.uint64(7 - j)) & np.uint64(1)).astype(bool)
+                slots = [_slots(c, node, self.bits[order]) for c, order in zip(contexts, ORDERS, strict=True)]
+                gate = (j * LEVELS + seen[ORDERS[-1]][slots[-1]].astype(np.int64)) * LEVELS + seen[ORDERS[-2]][slots[-2]]
+                z = np.zeros(part.size, np.float32)
+                for k, order in enumerate(ORDERS):
+                    z += weights[k][gate] * odds[order][slots[k]]
+                z = np.clip(z / 16 + weights[-1][gate], -12, 12)
+                z = self.refined(z, gate)
+                total -= np.log1p(np.exp(np.where(bit, -z, z)))
+            out[lo : lo + part.size] = total
         return out / np.log(10)
 
 
 # -- words -------------------------------------------------------------------
 
 
+_W = mixed(np.arange(5001, 5257, dtype=np.uint64))
+_V = mixed(np.arange(6001, 6065, dtype=np.uint64)) | np.uint64(1)
+
+
 def _word_hash(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     size = ends - starts
     if not size.size:
         return np.zeros(0, np.uint64)
     place = np.concatenate([[0], np.cumsum(size)])
     nth = np.arange(place[-1]) - np.repeat(place[:-1], size)
-    return mixed(np.add.reduceat(_T[raw[nth + np.repeat(starts, size)]] * _P[nth & 63], place[:-1]) + size.astype(np.uint64))
+    return mixed(np.add.reduceat(_W[raw[nth + np.repeat(starts, size)]] * _V[nth & 63], place[:-1]) + size.astype(np.uint64))
 
 
 class Words:
@@ -234,12 +272,14 @@ def _unpack(data: bytes) -> tuple[pa.Array, np.ndarray]:
 
 
 def _pack_grams(gram: np.ndarray, count: np.ndarray) -> bytes:
-    return np.diff(gram, prepend=np.uint64(0)).astype("<u8").tobytes() + count.astype("<u4").tobytes()
+    """Sorted grams as differences, by planes of bytes, which pack well."""
+    planes = [np.diff(gram, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T, np.minimum(count, 0xFFFFFFFF).astype("<u4").view(np.uint8).reshape(-1, 4).T]
+    return zlib.compress(b"".join(p.tobytes() for p in planes), 1)
 
 
 def _unpack_grams(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    n = len(data) // 12
-    return np.cumsum(np.frombuffer(data, "<u8", n)), np.frombuffer(data, "<u4", n, 8 * n).astype(np.int64)
+    planes = np.frombuffer(zlib.decompress(data), np.uint8).reshape(12, -1)
+    return np.cumsum(np.ascontiguousarray(planes[:8].T).view("<u8").ravel()), np.ascontiguousarray(planes[8:].T).view("<u4").ravel().astype(np.int64)
 
 
 # -- the passes ----------------------------------------------------------------
@@ -249,7 +289,7 @@ def _gathered(n_blocks: int):
     """For a chunk: its training grams (kind 0) and all its distinct words with their training counts (kind 1), by block."""
 
     def run(table: pa.Table) -> pa.Table:
-        keys, counts, words, seen = [], [], [], []
+        keys, words, seen = [], [], []
         ends, chunk = 0, table.column("chunk")[0].as_py()
         for part in _slices(table):
             train = part.column(3).to_numpy(zero_copy_only=False)
@@ -260,16 +300,11 @@ def _gathered(n_blocks: int):
             coded = pc.dictionary_encode(strings(raw, starts, stops))
             words.append(coded.dictionary)
             seen.append((coded.dictionary, np.bincount(coded.indices.to_numpy(), np.repeat(train, np.diff(first)).astype(np.float64), len(coded.dictionary)).astype(np.int64) if len(coded) else np.zeros(0, np.int64)))
-            kept = part.filter(part.column(3))
-            raw, at = text_bytes(kept.column(2))
-            gram, _ = grams(lowered(raw), at)
-            found = pc.value_counts(pa.array(gram))
-            keys.append(found.field(0).to_numpy())
-            counts.append(found.field(1).to_numpy())
-            if len(keys) == 8:
-                k, c = _summed(keys, counts)
-                keys, counts = [k], [c]
-        gram, count = _summed(keys, counts)
+            gram, begin = grams(raw, at)
+            keys.append(gram if train.all() else gram[np.repeat(train, np.diff(begin))])
+        gram = np.sort(np.concatenate(keys))
+        head = _runs(gram)
+        gram, count = gram[head], np.diff(np.append(head, gram.size))
         own = Words(words, n_blocks)
         total = np.zeros(len(own.words), np.int64)
         for w, n in seen:
@@ -283,7 +318,7 @@ def _gathered(n_blocks: int):
         which, first = np.unique(block, return_index=True)
         for b, lo, hi in zip(which, first, np.append(first, gram.size)[1:], strict=True):
             for at in range(lo, hi, 1 << 20):
-                rows.append((0, int(b), chunk, _pack_grams(gram[at : min(hi, at + (1 << 20))], np.minimum(count[at : min(hi, at + (1 << 20))], 0xFFFFFFFF))))
+                rows.append((0, int(b), chunk, _pack_grams(gram[at : min(hi, at + (1 << 20))], count[at : min(hi, at + (1 << 20))])))
         return pa.Table.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True) if rows else ([],) * 4, (pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["kind", "block", "chunk", "payload"])
 
     return run
@@ -299,8 +334,9 @@ def _sum_grams(table: pa.Table) -> pa.Table:
             k, c = _summed(keys, counts)
             keys, counts = [k], [c]
     k, c = _summed(keys, counts)
-    parts = [_pack_grams(k[at : at + (1 << 20)], np.minimum(c[at : at + (1 << 20)], 0xFFFFFFFF)) for at in range(0, k.size, 1 << 20)]
-    return pa.Table.from_arrays([pa.array(parts, pa.binary())], ["payload"])
+    cuts = range(0, k.size, 1 << 20)
+    parts = [_pack_grams(k[at : at + (1 << 20)], c[at : at + (1 << 20)]) for at in cuts]
+    return pa.Table.from_arrays([pa.array(parts, pa.binary()), pa.array([min(1 << 20, k.size - at) for at in cuts], pa.int64())], ["payload", "n"])
 
 
 def _sum_words(table: pa.Table) -> pa.Table:
@@ -324,19 +360,19 @@ def _bit_counts(bits: dict[int, int]):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [_unpack_grams(x.as_buffer().to_pybytes()) for b in batches for x in b.column(0)]
-        for order in ORDERS if held else ():
-            size = 1 << bits[order]
-            n = np.zeros((size, 2))
-            for gram, count in held:
-                slots = _slots(order, gram, bits[order])
-                byte = (gram & np.uint64(255)).astype(np.int64)
-                for j in range(8):
-                    both = slots[j].astype(np.int64) * 2 + ((byte >> (7 - j)) & 1)
-                    place, group = np.unique(both, return_inverse=True)
-                    n.reshape(-1)[place] += np.bincount(group, count)
+        if not held:
+            return
+        gram, count = (np.concatenate(x) for x in zip(*held, strict=True))
+        byte = gram & np.uint64(255)
+        for order in ORDERS:
+            size, context, n = 1 << bits[order], _contexts(order, gram), 0
+            for j in range(8):
+                both = _slots(context, _nodes(byte, j), bits[order]) * 2 + ((byte >> np.uint64(7 - j)) & np.uint64(1)).astype(np.int64)
+                n = n + np.bincount(both, count, 2 * size)
+            n = n.reshape(-1, 2)
             some = np.flatnonzero(n.any(1))
             cut = np.searchsorted(some, np.arange(0, size + PART, PART))
-            rows = [(order, p, some[a:b].astype("<u4").tobytes() + n[some[a:b]].astype("<f8").tobytes()) for p, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if b > a]
+            rows = [(order, p, zlib.compress(some[a:b].astype("<u4").tobytes() + np.minimum(n[some[a:b]], 0xFFFFFFFF).astype("<u4").tobytes(), 1)) for p, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if b > a]
             for lo in range(0, len(rows), 16):
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows[lo : lo + 16], strict=True), (pa.int32(), pa.int32(), pa.binary()), strict=True)], ["order", "part", "payload"])
 
@@ -344,26 +380,25 @@ def _bit_counts(bits: dict[int, int]):
 
 
 def _sum_bits(table: pa.Table) -> pa.Table:
-    """A table's part: counts in 16 bits, both halved where one is larger."""
+    """A table's part: counts of a byte each, both divided where one is larger."""
     n = np.zeros((PART, 2))
     for x in table.column("payload"):
-        data = x.as_buffer().to_pybytes()
-        k = len(data) // 20
-        n[np.frombuffer(data, "<u4", k) % PART] += np.frombuffer(data, "<f8", 2 * k, 4 * k).reshape(-1, 2)
-    over = np.maximum(1, np.ceil(n.max(1, keepdims=True) / 65535))
-    small = np.where(n > 0, np.maximum(1, np.floor(n / over)), 0).astype("<u2")
+        data = zlib.decompress(x.as_buffer().to_pybytes())
+        k = len(data) // 12
+        n[np.frombuffer(data, "<u4", k) % PART] += np.frombuffer(data, "<u4", 2 * k, 4 * k).reshape(-1, 2)
+    small = np.where(n > 0, np.maximum(1, np.floor(n / np.maximum(1, n.max(1, keepdims=True) / 255))), 0).astype(np.uint8)
     return pa.Table.from_arrays([table.column("order")[:1].combine_chunks(), table.column("part")[:1].combine_chunks(), pa.array([zlib.compress(small.tobytes(), 1)], pa.binary())], ["order", "part", "payload"])
 
 
 def fit(grams_table: DataFrame, rounds: int = 2, rate: float = 0.4) -> tuple[Broadcast, np.ndarray, np.ndarray]:
     """The model of a table of summed grams: its tables, broadcast, its weights and its map. What comes to the driver has a fixed size."""
     sc = grams_table.sparkSession.sparkContext
-    n_grams = grams_table.agg(F.coalesce(F.sum(F.length("payload") / 12), F.lit(0))).first()[0]
+    n_grams = grams_table.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     bits = table_bits(int(n_grams))
     parts = grams_table.mapInArrow(_bit_counts(bits), "order int, part int, payload binary").groupBy("order", "part").applyInArrow(_sum_bits, "order int, part int, payload binary")
-    tables = {order: np.zeros((1 << bits[order], 2), np.uint16) for order in ORDERS}
+    tables = {order: np.zeros((1 << bits[order], 2), np.uint8) for order in ORDERS}
     for row in parts.toLocalIterator():
-        tables[row.order][row.part * PART : (row.part + 1) * PART] = np.frombuffer(zlib.decompress(row.payload), "<u2").reshape(-1, 2)
+        tables[row.order][row.part * PART : (row.part + 1) * PART] = np.frombuffer(zlib.decompress(row.payload), np.uint8).reshape(-1, 2)
     model, shared = Model(tables), sc.broadcast(tables)
 
     def weights_of(start: np.ndarray):
@@ -393,7 +428,7 @@ def fit(grams_table: DataFrame, rounds: int = 2, rate: float = 0.4) -> tuple[Bro
             for x in b.column(0):
                 gram, count = _unpack_grams(x.as_buffer().to_pybytes())
                 for lo in range(0, gram.size, 1 << 16):
-                    for z, gate, bit in ((own.mix(x, g), g, b) for x, g, b in own.inputs(gram[lo : lo + (1 << 16)], True)):
+                    for z, gate, bit in ((own.mix(x, g), g, b) for x, g, b in own.inputs(gram[lo : lo + (1 << 16)])):
                         place = (gate * STEPS + own.step(z)) * 2 + bit
                         n += np.bincount(place, count[lo : lo + (1 << 16)], n.size).reshape(n.shape)
         yield pa.RecordBatch.from_arrays([pa.array([n.astype("<f8").tobytes()], pa.binary())], ["n"])
@@ -412,28 +447,36 @@ _SCORED = "id {}, held_out boolean, n_tokens long, n_known long, train_tokens lo
 
 def _scored(shared: Broadcast, weights: np.ndarray, refine: np.ndarray, n_blocks: int, n: int, v: int, ends: int):
     def run(docs: pa.Table, counts: pa.Table) -> pa.Table:
-        out, words, model = [], [], Model(shared.value, weights, refine)
         log = lambda c: np.log10((c + 0.5) / (n + 0.5 * (v + 1)))
+        held, words, keys = [], [], []
         for part in _slices(docs):
             raw, at = text_bytes(part.column(2))
             raw = lowered(raw)
-            starts, stops, _ = words_of(raw, at, SPACED)
-            words.append(pc.unique(strings(raw, starts, stops)))
+            starts, stops, first = words_of(raw, at, SPACED)
+            coded = pc.dictionary_encode(strings(raw, starts, stops))
+            gram, begin = grams(raw, at)
+            held.append((part.column(1), pc.invert(part.column(3)), np.diff(at), first, coded.indices.to_numpy() if len(coded) else np.zeros(0, np.int32), begin))
+            words.append(coded.dictionary)
+            keys.append(gram)
         own = Words(words, n_blocks)
         by_block = {b: x.as_buffer().to_pybytes() for b, x in zip(counts.column("block").to_pylist(), counts.column("payload"), strict=True)}
         count = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(zlib.decompress(by_block[int(b)]), "<i8") for b in own.blocks)])
-        logs = log(count)
-        for part in _slices(docs):
-            raw, at = text_bytes(part.column(2))
-            raw = lowered(raw)
-            starts, stops, first = words_of(raw, at, SPACED)
-            code = own.code(strings(raw, starts, stops)) if starts.size else np.zeros(0, np.int64)
-            gram, begin = grams(raw, at)
-            coded = pc.dictionary_encode(pa.array(gram))
-            cost = model.costs(coded.dictionary.to_numpy())[coded.indices.to_numpy()] if gram.size else np.zeros(0)
-            m = part.num_rows
+        logs, known = log(count), (count > 0).astype(np.int8)
+        # Each distinct gram of the chunk is costed once.
+        gram = np.concatenate(keys)
+        sizes = np.cumsum([k.size for k in keys])
+        del keys
+        order = np.argsort(gram)
+        gram = gram[order]
+        head = _runs(gram)
+        cost = np.empty(gram.size, np.float32)
+        cost[order] = np.repeat(Model(shared.value, weights, refine).costs(gram[head]).astype(np.float32), np.diff(np.append(head, gram.size)))
+        del gram, order
+        out = []
+        for (ids, tested, size, first, code, begin), dictionary, own_cost in zip(held, words, np.split(cost, sizes[:-1]), strict=True):
+            code = own.code(dictionary)[code] if code.size else code
             out.append(pa.RecordBatch.from_arrays(
-                [part.column(1), pc.invert(part.column(3)), pa.array(np.diff(first) + 1), pa.array(sums((count[code] > 0).astype(np.int8), first) + int(ends > 0)), pa.array(np.full(m, n)), pa.array(sums(logs[code], first) + log(ends)), pa.array(sums(cost, begin)), pa.array(np.diff(at))],
+                [ids, tested, pa.array(np.diff(first) + 1), pa.array(sums(known[code], first) + int(ends > 0)), pa.array(np.full(size.size, n)), pa.array(sums(logs[code], first) + log(ends)), pa.array(sums(own_cost.astype(np.float64), begin)), pa.array(size)],
                 ["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_bytes"],
             ))
         return pa.Table.from_batches(out)
@@ -448,11 +491,12 @@ def lm_scores(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_co
     n_blocks = int(np.ceil(4 * n_chunks ** (2 / 3)))
     rows = docs.select(F.pmod(F.xxhash64(id_col, F.octet_length(text_col)), F.lit(n_chunks)).alias("chunk"), F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.coalesce(~held_out, F.lit(False)).alias("train"))
     gathered = saved(rows.groupBy("chunk").applyInArrow(_gathered(n_blocks), "kind int, block long, chunk long, payload binary"), "lm-gathered")
-    summed = saved(gathered.where("kind = 0").groupBy("block").applyInArrow(_sum_grams, "payload binary"), "lm-grams")
+    summed = saved(gathered.where("kind = 0").groupBy("block").applyInArrow(_sum_grams, "payload binary, n long"), "lm-grams")
     counts = saved(gathered.where("kind = 1").groupBy("block").applyInArrow(_sum_words, "block long, chunk long, payload binary, n_words long, n_tokens long"), "lm-words")
     v, n = counts.agg(F.coalesce(F.sum("n_words"), F.lit(0)), F.coalesce(F.sum("n_tokens"), F.lit(0))).first()
     ends = sum(int(np.frombuffer(r.payload, "<i8")[0]) for r in gathered.where("kind = 2").select("payload").toLocalIterator())
     n, v = n + ends, v + int(ends > 0)
+    free(gathered)
     kind = docs.schema[id_col].dataType.simpleString()
     out = rows.groupBy("chunk").cogroup(counts.groupBy("chunk")).applyInArrow(_scored(*fit(summed), n_blocks, n, v, ends), _SCORED.format(kind))
     return out.withColumnRenamed("id", id_col).withColumn("bits_per_byte", -F.col("score") * float(np.log2(10)) / (F.col("n_bytes") + 1))

@@ -44,7 +44,7 @@ def test_score_does_not_depend_on_dealing(docs, scored):
 
 def test_model_is_a_distribution():
     r = np.random.default_rng(1)
-    model = Model({k: r.integers(0, 9, (1 << b, 2)).astype(np.uint16) for k, b in TABLE_BITS.items()})
+    model = Model({k: r.integers(0, 9, (1 << b, 2)).astype(np.uint8) for k, b in TABLE_BITS.items()})
     for context in (b"hello", b" a bc", b"\xff\xff\xffab"):
         head = np.uint64(int.from_bytes(context, "big") << 8)
         p = 10 ** model.costs(head | np.arange(256, dtype=np.uint64))
