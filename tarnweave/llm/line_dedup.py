@@ -29,12 +29,6 @@ BLANK = " \t\r\x0b\x0c"
 def within(a: Column, b: Column, edits: int) -> Column:
     """Whether strings a and b differ by at most `edits` edits. Bit k of word d, after j characters of b: the first j + k - edits characters of a are within d edits of them."""
     width, full = 2 * edits + 1, (1 << 2 * edits + 1) - 1
-    chars = F.filter(F.split(a, ""), lambda c: c != "")
-
-    def match(c: Column, j: Column) -> Column:
-        bits = [F.when(F.get(chars, j + (k - edits)) == c, 1 << k).otherwise(0) for k in range(width)]
-        return sum(bits[1:], bits[0])
-
     kind = "struct<" + ",".join(f"w{d}:int" for d in range(edits + 1)) + ">"
     zero = F.struct(*(F.lit(((1 << d + 1) - 1 << edits) & full).alias(f"w{d}") for d in range(edits + 1))).cast(kind)
 
@@ -46,7 +40,16 @@ def within(a: Column, b: Column, edits: int) -> Column:
             out.append(new.bitwiseAND(F.lit(full)))
         return F.struct(*(x.alias(f"w{d}") for d, x in enumerate(out))).cast(kind)
 
-    last = F.aggregate(F.transform(F.filter(F.split(b, ""), lambda c: c != ""), match), zero, step)[f"w{edits}"]
+    def reached(both: Column) -> Column:
+        def match(c: Column, j: Column) -> Column:
+            bits = [F.when(F.get(both["p"], j + (k - edits)) == c, 1 << k).otherwise(0) for k in range(width)]
+            return sum(bits[1:], bits[0])
+
+        return F.aggregate(F.transform(both["t"], match), zero, step)[f"w{edits}"]
+
+    chars = lambda x: F.filter(F.split(x, ""), lambda c: c != "")
+    # As a lambda's variable, so that strings are split once and not for each character.
+    last = F.get(F.transform(F.array(F.struct(chars(a).alias("p"), chars(b).alias("t"))), reached), F.lit(0))
     gap = F.length(a) - F.length(b)
     return F.when(F.abs(gap) > edits, False).otherwise(last.bitwiseAND(F.pow(F.lit(2), gap + edits).cast("int")) != 0)
 
