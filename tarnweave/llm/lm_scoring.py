@@ -49,7 +49,7 @@ PART = 1 << 16
 LEVELS = 5
 GATES = 8 * LEVELS * LEVELS
 STEPS = 33
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 8 << 20
 SLICE_BYTES = 1 << 20
 _DELTA = 0.25
 
@@ -312,7 +312,8 @@ def _gathered(n_blocks: int):
         rows = [(1, int(b), chunk, _pack(own.words.slice(lo, hi - lo), total[lo:hi])) for b, lo, hi in zip(own.blocks, own.first[:-1], own.first[1:], strict=True)]
         if ends:
             rows.append((2, -1, chunk, np.array([ends], "<i8").tobytes()))
-        block = (mixed(gram) % np.uint64(n_blocks)).astype(np.int64)
+        # By the last three bytes before: what longer contexts count lies in one block then.
+        block = (mixed((gram >> np.uint64(8)) & np.uint64(0xFFFFFF)) % np.uint64(n_blocks)).astype(np.int64)
         order = np.argsort(block, kind="stable")
         gram, count, block = gram[order], count[order], block[order]
         which, first = np.unique(block, return_index=True)
@@ -395,10 +396,11 @@ def fit(grams_table: DataFrame, rounds: int = 2, rate: float = 0.4) -> tuple[Bro
     sc = grams_table.sparkSession.sparkContext
     n_grams = grams_table.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     bits = table_bits(int(n_grams))
-    parts = grams_table.mapInArrow(_bit_counts(bits), "order int, part int, payload binary").groupBy("order", "part").applyInArrow(_sum_bits, "order int, part int, payload binary")
+    parts = saved(grams_table.mapInArrow(_bit_counts(bits), "order int, part int, payload binary").groupBy("order", "part").applyInArrow(_sum_bits, "order int, part int, payload binary"), "lm-tables")
     tables = {order: np.zeros((1 << bits[order], 2), np.uint8) for order in ORDERS}
     for row in parts.toLocalIterator():
         tables[row.order][row.part * PART : (row.part + 1) * PART] = np.frombuffer(zlib.decompress(row.payload), np.uint8).reshape(-1, 2)
+    free(parts)
     model, shared = Model(tables), sc.broadcast(tables)
 
     def weights_of(start: np.ndarray):
@@ -439,6 +441,7 @@ def fit(grams_table: DataFrame, rounds: int = 2, rate: float = 0.4) -> tuple[Bro
     mid = (np.arange(STEPS) - STEPS // 2) / 2
     p = 1 / (1 + np.exp(-mid))
     model.refine = np.log((n[..., 1] + 20 * p) / (n[..., 0] + 20 * (1 - p))).astype(np.float32)
+    free(grams_table)
     return shared, model.weights, model.refine
 
 
