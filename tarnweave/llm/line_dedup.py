@@ -4,8 +4,9 @@ A line counts if it has at least `least_chars` characters between its outer whit
 stay. Two lines are linked if they differ by at most `edits` single-character edits. Lines are cut into edits + 1
 segments; of two linked lines the longer holds one of the other's segments unchanged, at a place that their lengths
 bound. So the shorter line's segments are indexed under (length, segment number, characters) and a line probes, for each
-length within reach, only the substrings that can match there. Candidate pairs are verified by a bit-parallel edit
-distance: a few machine words hold, for each number of errors, which cells of the band 2 * edits + 1 wide are reachable.
+length within reach, only the substrings that can match there. Candidate pairs are verified, once what they begin and
+end with in common is off, by a bit-parallel edit distance: a few machine words hold, for each number of errors, which
+cells of the band 2 * edits + 1 wide are reachable.
 
 Of equal lines the first occurrence (smallest document id, then place) stays; a line goes everywhere if it is linked to
 a different line that first occurs earlier. What remains of a text keeps its order. Null texts stay null, texts may
@@ -26,8 +27,29 @@ from tarnweave.llm.shared import free, saved
 BLANK = " \t\r\x0b\x0c"
 
 
+def _shared_head(x: Column, y: Column) -> Column:
+    """How many characters x and y begin with in common, 2047 at most."""
+    steps = F.array(*(F.lit(1 << k) for k in range(10, -1, -1)))
+    most = F.least(F.length(x), F.length(y))
+    return F.aggregate(steps, F.lit(0), lambda n, s: F.when((n + s <= most) & (F.substr(x, n + 1, s) == F.substr(y, n + 1, s)), n + s).otherwise(n))
+
+
+def cores(x: Column, y: Column) -> Column:
+    """x and y as struct (x, y), without most of what they begin and end with in common: their edit distance stays the same."""
+
+    def headless(s: Column) -> Column:
+        n = _shared_head(s["x"], s["y"])
+        return F.transform(F.array(n), lambda k: F.struct(F.reverse(F.substr(s["x"], k + 1)).alias("x"), F.reverse(F.substr(s["y"], k + 1)).alias("y")))[0]
+
+    return F.transform(F.transform(F.transform(F.array(F.struct(x.alias("x"), y.alias("y"))), headless), headless), lambda s: s)[0]
+
+
 def within(a: Column, b: Column, edits: int) -> Column:
     """Whether strings a and b differ by at most `edits` edits. Bit k of word d, after j characters of b: the first j + k - edits characters of a are within d edits of them."""
+    return F.when(F.abs(F.length(a) - F.length(b)) > edits, False).otherwise(F.transform(F.array(cores(a, b)), lambda s: _within(s["x"], s["y"], edits))[0])
+
+
+def _within(a: Column, b: Column, edits: int) -> Column:
     width, full = 2 * edits + 1, (1 << 2 * edits + 1) - 1
     kind = "struct<" + ",".join(f"w{d}:int" for d in range(edits + 1)) + ">"
     zero = F.struct(*(F.lit(((1 << d + 1) - 1 << edits) & full).alias(f"w{d}") for d in range(edits + 1))).cast(kind)
@@ -89,17 +111,32 @@ def _small(df: DataFrame, limit: int) -> DataFrame:
     return F.broadcast(df) if df.count() <= limit else df
 
 
+def possible(probe: DataFrame, index: DataFrame, bits: int = 25) -> DataFrame:
+    """Probes whose key may be in the index: by a bitmap of 2**bits places, which is all that is broadcast. More keys let more through and lose none."""
+    place = F.col("key").bitwiseAND(F.lit((1 << bits) - 1))
+    word, bit = F.shiftright(place, 6), place.bitwiseAND(F.lit(63)).cast("int")
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), bit)
+    bitmap = index.select(word.alias("word"), one.alias("one")).groupBy("word").agg(F.bit_or("one").alias("ones"))
+    met = probe.join(F.broadcast(bitmap), word == F.col("word"))
+    return met.where(F.getbit("ones", bit) == 1).select(*probe.columns)
+
+
 def edit_links(lines: DataFrame, edits: int, broadcast_rows: int) -> DataFrame:
-    """From distinct lines (id, line, n) to the linked pairs (a, b), a < b, each once."""
+    """From distinct lines (id, line, n) to the linked pairs (a, b), a < b, each once.
+
+    Keys that meet another line's are found by semi-joins, which don't grow with the square of a key's lines; only lines that have such keys get their texts, and the last join lets through nothing but verified pairs.
+    """
     index = lines.select(F.explode(index_keys(F.col("line"), F.col("n"), edits)).alias("key"), F.col("id").alias("a"))
-    probe = lines.select(F.explode(F.array_distinct(probe_keys(F.col("line"), F.col("n"), edits))).alias("key"), F.col("id").alias("b"))
-    met = index.join(probe, "key").where("a <> b")
-    pairs = saved(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "line-pairs")
-    some = saved(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "line-ids")
+    probe = possible(lines.select(F.explode(F.array_distinct(probe_keys(F.col("line"), F.col("n"), edits))).alias("key"), F.col("id").alias("b")), index)
+    other = (index["key"] == probe["key"]) & (index["a"] != probe["b"])
+    met = index.join(probe, other, "left_semi").select("key", F.col("a").alias("id"), F.lit(True).alias("indexed"))
+    met = saved(met.unionAll(probe.join(index, other, "left_semi").select("key", F.col("b").alias("id"), F.lit(False).alias("indexed"))), "line-keys")
+    some = saved(met.select("id").distinct(), "line-ids")
     texts = saved(lines.join(_small(some, broadcast_rows), "id").select("id", "line"), "line-texts")
-    both = pairs.join(texts.select(F.col("id").alias("a"), F.col("line").alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col("line").alias("y")), "b")
-    out = saved(both.where(within(F.col("x"), F.col("y"), edits)).select("a", "b"), "line-links")
-    free(pairs, some, texts)
+    sides = [met.where(F.col("indexed") == x).join(texts, "id").select("key", F.col("id").alias(i), F.col("line").alias(t)) for x, i, t in ((True, "a", "x"), (False, "b", "y"))]
+    pairs = sides[0].join(sides[1], (sides[0]["key"] == sides[1]["key"]) & (F.col("a") != F.col("b")) & within(F.col("x"), F.col("y"), edits))
+    out = saved(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "line-links")
+    free(met, some, texts)
     return out
 
 
