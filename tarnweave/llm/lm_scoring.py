@@ -156,35 +156,38 @@ class Model:
             self.weights[:, -1] = 0
         self.refine = refine
 
-    def inputs(self, gram: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """For each bit: the predictions as log odds (n, inputs), the gate, the bit; one occurrence of the bit itself is left out of its counts."""
+    def inputs(self, gram: np.ndarray, count: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """For each bit: the predictions as log odds (n, inputs), the gate, the bit, its count; one occurrence of the bit itself is left out of its counts. Neighbours that agree up to the bit are one row."""
         contexts = [_contexts(order, gram) for order in ORDERS]
-        byte = gram & np.uint64(255)
         for j in range(8):
+            head = _runs(gram >> np.uint64(7 - j))
+            byte = gram[head] & np.uint64(255)
             node, bit = _nodes(byte, j), ((byte >> np.uint64(7 - j)) & np.uint64(1)).astype(np.int64)
-            x = np.ones((gram.size, len(ORDERS) + 1), np.float32)
+            x = np.ones((head.size, len(ORDERS) + 1), np.float32)
             level = []
             for k, order in enumerate(ORDERS):
-                n = self.tables[order][_slots(contexts[k], node, self.bits[order])].astype(np.int64)
+                n = self.tables[order][_slots(contexts[k][head], node, self.bits[order])].astype(np.int64)
                 n0, n1 = np.maximum(n[:, 0] - (1 - bit), 0), np.maximum(n[:, 1] - bit, 0)
                 x[:, k] = _LOG[n1] - _LOG[n0]
                 level.append(_LEVEL[n0 + n1])
-            yield x, (j * LEVELS + level[-1].astype(np.int64)) * LEVELS + level[-2], bit
+            yield x, (j * LEVELS + level[-1].astype(np.int64)) * LEVELS + level[-2], bit, np.add.reduceat(count, head)
 
     def mix(self, x: np.ndarray, gate: np.ndarray) -> np.ndarray:
         return np.clip(np.einsum("ij,ij->i", x, self.weights[gate]), -12, 12)
 
-    def learn(self, gram: np.ndarray, count: np.ndarray, rate: float, batch: int = 1 << 13) -> None:
-        """Online steps over batches of grams, each weighed by its count."""
-        for lo in range(0, gram.size, batch):
-            w = count[lo : lo + batch].astype(np.float64)
-            for x, gate, bit in self.inputs(gram[lo : lo + batch]):
+    def learn(self, gram: np.ndarray, count: np.ndarray, rate: float, batch: int = 16, group: int = 256) -> None:
+        """Online steps over batches of groups of neighbouring grams, in an order that doesn't depend on their bytes, each gram weighed by its count."""
+        order = np.random.default_rng(gram.size).permutation(-(-gram.size // group)) * group
+        for lo in range(0, order.size, batch):
+            index = (order[lo : lo + batch, None] + np.arange(group)).ravel()
+            index = index[index < gram.size]
+            for x, gate, bit, w in self.inputs(gram[index], count[index].astype(np.float64)):
                 error = (bit - 1 / (1 + np.exp(-self.mix(x, gate)))) * w
-                size = np.bincount(gate, w, GATES)[:, None]
+                size = np.bincount(gate, w, GATES)
                 for k in range(x.shape[1]):
                     push = np.bincount(gate, error * x[:, k], GATES)
                     bend = np.bincount(gate, w * x[:, k] ** 2, GATES)
-                    self.weights[:, k] += rate * (push / (0.25 * bend + 0.02 * size[:, 0] + 50)).astype(np.float32)
+                    self.weights[:, k] += rate * (push / (0.25 * bend + 0.02 * size + 50)).astype(np.float32)
 
     @staticmethod
     def step(z: np.ndarray) -> np.ndarray:
@@ -202,18 +205,23 @@ class Model:
         out = np.zeros(gram.size)
         for lo in range(0, gram.size, batch):
             part = gram[lo : lo + batch]
-            contexts, byte = [_contexts(order, part) for order in ORDERS], part & np.uint64(255)
+            # Neighbours that agree up to a bit share its cost: grams are sorted.
+            context = _runs(part >> np.uint64(8))
+            spread = np.diff(np.append(context, part.size))
+            contexts = [np.repeat(_contexts(order, part[context]), spread) for order in ORDERS]
             total = np.zeros(part.size, np.float32)
             for j in range(8):
+                head = _runs(part >> np.uint64(7 - j))
+                byte = part[head] & np.uint64(255)
                 node, bit = _nodes(byte, j), ((byte >> np.uint64(7 - j)) & np.uint64(1)).astype(bool)
-                slots = [_slots(c, node, self.bits[order]) for c, order in zip(contexts, ORDERS, strict=True)]
+                slots = [_slots(c[head], node, self.bits[order]) for c, order in zip(contexts, ORDERS, strict=True)]
                 gate = (j * LEVELS + seen[ORDERS[-1]][slots[-1]].astype(np.int64)) * LEVELS + seen[ORDERS[-2]][slots[-2]]
-                z = np.zeros(part.size, np.float32)
+                z = np.zeros(head.size, np.float32)
                 for k, order in enumerate(ORDERS):
                     z += weights[k][gate] * odds[order][slots[k]]
                 z = np.clip(z / 16 + weights[-1][gate], -12, 12)
                 z = self.refined(z, gate)
-                total -= np.log1p(np.exp(np.where(bit, -z, z)))
+                total -= np.repeat(np.log1p(np.exp(np.where(bit, -z, z))), np.diff(np.append(head, part.size)))
             out[lo : lo + part.size] = total
         return out / np.log(10)
 
@@ -391,7 +399,7 @@ def _sum_bits(table: pa.Table) -> pa.Table:
     return pa.Table.from_arrays([table.column("order")[:1].combine_chunks(), table.column("part")[:1].combine_chunks(), pa.array([zlib.compress(small.tobytes(), 1)], pa.binary())], ["order", "part", "payload"])
 
 
-def fit(grams_table: DataFrame, rounds: int = 2, rate: float = 0.4) -> tuple[Broadcast, np.ndarray, np.ndarray]:
+def fit(grams_table: DataFrame, rounds: int = 1, rate: float = 0.4) -> tuple[Broadcast, np.ndarray, np.ndarray]:
     """The model of a table of summed grams: its tables, broadcast, its weights and its map. What comes to the driver has a fixed size."""
     sc = grams_table.sparkSession.sparkContext
     n_grams = grams_table.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
@@ -409,8 +417,7 @@ def fit(grams_table: DataFrame, rounds: int = 2, rate: float = 0.4) -> tuple[Bro
             for b in batches:
                 for x in b.column(0):
                     gram, count = _unpack_grams(x.as_buffer().to_pybytes())
-                    order = np.argsort(mixed(gram))  # in an order that doesn't depend on the bytes
-                    own.learn(gram[order], count[order], rate)
+                    own.learn(gram, count, rate)
                     total += int(count.sum())
             if total:
                 yield pa.RecordBatch.from_arrays([pa.array([total]), pa.array([own.weights.astype("<f4").tobytes()], pa.binary())], ["total", "weights"])
@@ -425,19 +432,20 @@ def fit(grams_table: DataFrame, rounds: int = 2, rate: float = 0.4) -> tuple[Bro
     weights = model.weights
 
     def refine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, n = Model(shared.value, weights), np.zeros((GATES, STEPS, 2))
+        own, n = Model(shared.value, weights), np.zeros(GATES * STEPS * 2)
         for b in batches:
-            for x in b.column(0):
-                gram, count = _unpack_grams(x.as_buffer().to_pybytes())
-                for lo in range(0, gram.size, 1 << 16):
-                    for z, gate, bit in ((own.mix(x, g), g, b) for x, g, b in own.inputs(gram[lo : lo + (1 << 16)])):
-                        place = (gate * STEPS + own.step(z)) * 2 + bit
-                        n += np.bincount(place, count[lo : lo + (1 << 16)], n.size).reshape(n.shape)
-        yield pa.RecordBatch.from_arrays([pa.array([n.astype("<f8").tobytes()], pa.binary())], ["n"])
-
-    n = np.zeros((GATES, STEPS, 2))
-    for r in grams_table.mapInArrow(refine, "n binary").toLocalIterator():
-        n += np.frombuffer(r.n, "<f8").reshape(n.shape)
+            for data in b.column(0):
+                gram, count = _unpack_grams(data.as_buffer().to_pybytes())
+                for lo in range(0, gram.size, 1 << 14):
+                    for x, gate, bit, w in own.inputs(gram[lo : lo + (1 << 14)], count[lo : lo + (1 << 14)].astype(np.float64)):
+                        n += np.bincount((gate * STEPS + own.step(own.mix(x, gate))) * 2 + bit, w, n.size)
+        some = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(n[some])], ["place", "n"])
+
+    n = np.zeros(GATES * STEPS * 2)
+    for r in grams_table.mapInArrow(refine, "place long, n double").groupBy("place").agg(F.sum("n").alias("n")).collect():
+        n[r.place] = r.n
+    n = n.reshape(GATES, STEPS, 2)
     mid = (np.arange(STEPS) - STEPS // 2) / 2
     p = 1 / (1 + np.exp(-mid))
     model.refine = np.log((n[..., 1] + 20 * p) / (n[..., 0] + 20 * (1 - p))).astype(np.float32)
