@@ -93,7 +93,7 @@ def index_keys(line: Column, n: Column, edits: int) -> Column:
 
 
 def probe_keys(line: Column, n: Column, edits: int) -> Column:
-    """Keys of the substrings that can equal a segment of a linked line of at most n characters."""
+    """Keys of the substrings that can equal a segment of a linked line of at most n characters; but for the line's own segments, which index_keys has."""
     out = []
     for gap in range(edits + 1):
         length = n - gap
@@ -101,6 +101,8 @@ def probe_keys(line: Column, n: Column, edits: int) -> Column:
             start, size = _segment(length, i, edits)
             left = edits - i  # errors left for what follows, if what precedes took i
             for shift in range(max(-i, gap - left), min(i, gap + left) + 1):
+                if not (gap or shift):
+                    continue
                 at = start + shift
                 out.append(F.when((at >= 1) & (at + size <= n + 1), _key(length, i, line, at, size)))
     return F.array_compact(F.array(*out))
@@ -124,19 +126,22 @@ def possible(probe: DataFrame, index: DataFrame, bits: int = 25) -> DataFrame:
 def edit_links(lines: DataFrame, edits: int, broadcast_rows: int) -> DataFrame:
     """From distinct lines (id, line, n) to the linked pairs (a, b), a < b, each once.
 
-    Keys that meet another line's are found by semi-joins, which don't grow with the square of a key's lines; only lines that have such keys get their texts, and the last join lets through nothing but verified pairs.
+    Keys under which lines meet are found by counting, which doesn't grow with the square of a key's lines; only lines that have such keys get their texts, and the last join lets through nothing but verified pairs.
     """
-    index = lines.select(F.explode(index_keys(F.col("line"), F.col("n"), edits)).alias("key"), F.col("id").alias("a"))
-    probe = possible(lines.select(F.explode(F.array_distinct(probe_keys(F.col("line"), F.col("n"), edits))).alias("key"), F.col("id").alias("b")), index)
-    other = (index["key"] == probe["key"]) & (index["a"] != probe["b"])
-    met = index.join(probe, other, "left_semi").select("key", F.col("a").alias("id"), F.lit(True).alias("indexed"))
-    met = saved(met.unionAll(probe.join(index, other, "left_semi").select("key", F.col("b").alias("id"), F.lit(False).alias("indexed"))), "line-keys")
+    index = lines.select(F.explode(index_keys(F.col("line"), F.col("n"), edits)).alias("key"), "id")
+    probe = possible(lines.select(F.explode(F.array_distinct(probe_keys(F.col("line"), F.col("n"), edits))).alias("key"), "id"), index)
+    rows = saved(index.withColumn("indexed", F.lit(True)).unionAll(probe.withColumn("indexed", F.lit(False))), "line-keys")
+    active = saved(rows.groupBy("key").agg(F.count_if("indexed").alias("n_indexed"), F.count("*").alias("n")).where("n_indexed > 0 and n > 1").select("key"), "line-active")
+    met = saved(rows.join(_small(active, broadcast_rows), "key"), "line-met")
     some = saved(met.select("id").distinct(), "line-ids")
     texts = saved(lines.join(_small(some, broadcast_rows), "id").select("id", "line"), "line-texts")
-    sides = [met.where(F.col("indexed") == x).join(texts, "id").select("key", F.col("id").alias(i), F.col("line").alias(t)) for x, i, t in ((True, "a", "x"), (False, "b", "y"))]
-    pairs = sides[0].join(sides[1], (sides[0]["key"] == sides[1]["key"]) & (F.col("a") != F.col("b")) & within(F.col("x"), F.col("y"), edits))
+    known = met.join(texts, "id")
+    a = known.where("indexed").select("key", F.col("id").alias("a"), F.col("line").alias("x"))
+    b = known.select("key", F.col("id").alias("b"), F.col("line").alias("y"), F.col("indexed").alias("both"))
+    other = (a["key"] == b["key"]) & F.when(F.col("both"), F.col("a") < F.col("b")).otherwise(F.col("a") != F.col("b"))
+    pairs = a.join(b, other & within(F.col("x"), F.col("y"), edits))
     out = saved(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "line-links")
-    free(met, some, texts)
+    free(rows, active, met, some, texts)
     return out
 
 
