@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from tarnweave.functions import chunking, classify, html, text, urls
 from tarnweave.functions import vocabulary as V
-from tarnweave.operators import dedup, graph, layout, merge, profile, tables, vector
+from tarnweave.operators import dedup, graph, layout, merge, profile, reports, tables, vector
 from tarnweave.plans import fixtures as X
+from tarnweave.sources import files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -647,3 +648,64 @@ def q_grouped_join(s, d):
     customers = table(s, d, "customer").select("c_custkey", "c_nationkey", "c_mktsegment").join(table(s, d, "nation").select("n_nationkey", "n_name"), F.col("c_nationkey") == F.col("n_nationkey"))
     rows = table(s, d, "orders").select("o_custkey", "o_totalprice").join(customers, F.col("o_custkey") == F.col("c_custkey"))
     return rows.groupBy("c_mktsegment", "n_name").agg(F.count("*").alias("n_orders"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+
+
+# -- probes and reports --------------------------------------------------------------
+
+
+@query(f"""WITH {NEAREST} SELECT query_id, min(rank_no)::BIGINT AS rank_no, arg_min(distance, rank_no) AS distance, CASE WHEN arg_min(distance, rank_no) <= 1.2 THEN 'PASS' ELSE 'FILTERED' END AS verdict FROM near WHERE label IN (1, 2) GROUP BY 1""")
+def q_watched_ranks(s, d):
+    return reports.watched(_near(s, d), F.col("label").isin(1, 2), 1.2).withColumn("rank_no", F.col("rank_no").cast("long"))
+
+
+@query(f"WITH {NEAREST} SELECT count(*) AS n_results, count(DISTINCT vec_id) AS n_different, bool_or(label = 3) AS label_3, bool_or(label = 99) AS label_99 FROM near WHERE rank_no <= 10")
+def q_recall(s, d):
+    return reports.recall(_near(s, d).where("rank_no <= 10"), label_3=F.col("label") == 3, label_99=F.col("label") == 99)
+
+
+@query("WITH o AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS nth, (SELECT count(*) FROM embeddings) // 10 AS step FROM embeddings) SELECT vec_id FROM o WHERE nth % step = 0 ORDER BY vec_id LIMIT 10")
+def q_id_sample(s, d):
+    e = table(s, d, "embeddings").select("vec_id")
+    n = e.count()
+    return reports.every_nth(e, ["vec_id"], n, max(1, n // 10), 10)
+
+
+@query(f"""SELECT page::BIGINT AS page, program || ' (' || campus || ', ' || category || '): closing merit ' || printf('%.5f', closing_merit::DOUBLE) || CASE WHEN page % 2 = 0 THEN '' ELSE '; your aggregate ' || printf('%.5f', 75.5::DOUBLE) || ' is ' || CASE WHEN 75.5 >= closing_merit THEN 'above' ELSE 'below' END || ' by ' || printf('%+.5f', 75.5 - closing_merit::DOUBLE) END AS line FROM {X.RECORDS}""")
+def q_answer_lines(s, d):
+    rows = given(s, X.RECORDS)
+    return rows.select(F.col("page").cast("long").alias("page"), reports.answer_line(F.col("program"), F.col("campus"), F.col("category"), F.col("closing_merit").cast("double"), F.when(F.col("page") % 2 == 1, 75.5)).alias("line"))
+
+
+@query("""WITH k AS (SELECT doc_id, 'documents' AS stage FROM documents UNION SELECT doc_id, 'labels' FROM labels UNION SELECT vec_id, 'vectors' FROM embeddings), c AS (SELECT doc_id, string_agg(stage, ',' ORDER BY stage) AS stages FROM k GROUP BY 1) SELECT stages, count(*) AS n_keys FROM c GROUP BY 1""")
+def q_stage_coverage(s, d):
+    cover = reports.stage_coverage("doc_id", documents=table(s, d, "documents"), labels=table(s, d, "labels"), vectors=table(s, d, "embeddings").select(F.col("vec_id").alias("doc_id")))
+    return profile.counts(cover, "stages", name="n_keys")
+
+
+@query(_LINKS + """, k AS (SELECT page_id, href, row_number() OVER (PARTITION BY page_id ORDER BY rowid_) AS nth FROM (SELECT *, row_number() OVER () AS rowid_ FROM l)) SELECT page_id, count(*)::BIGINT AS n_links FROM k WHERE nth <= 4 GROUP BY 1""")
+def q_capped_links(s, d):
+    links = table(s, d, "pages").select("page_id", F.posexplode(html.links("html")).alias("at", "l")).withColumn("kind", F.lit("page"))
+    return profile.counts(reports.capped_links(links, "page_id", "at", "kind", 4), "page_id", name="n_links")
+
+
+@query("WITH f AS (SELECT lang, arg_min(trim(text), doc_id) AS first FROM documents GROUP BY 1) SELECT count(*) AS n_files, count(DISTINCT first) <= 1 AS identical FROM f")
+def q_same_first_text(s, d):
+    return reports.same_first_text(table(s, d, "documents"), "lang", "doc_id", "text")
+
+
+@query("""WITH p AS (SELECT event_type, regexp_extract_all(props, '"(\\w+)"\\s*:', 1) AS ks FROM events) SELECT event_type, count(*) AS n_rows, min(len(ks))::BIGINT AS fewest_keys, max(len(ks))::BIGINT AS most_keys FROM p GROUP BY 1""")
+def q_json_keys(s, d):
+    keys = F.size(F.coalesce(F.json_object_keys("props"), F.array().cast("array<string>")))
+    return table(s, d, "events").groupBy("event_type").agg(F.count("*").alias("n_rows"), F.min(keys).cast("long").alias("fewest_keys"), F.max(keys).cast("long").alias("most_keys"))
+
+
+@query("SELECT url, title FROM (VALUES ('u1', 'a'), ('u2', 'b'), ('u3', 'c')) AS t(url, title)")
+def q_url_records(s, d):
+    doc = s.sql("""SELECT parse_json('{"pages":[{"url":"u1","title":"a"},{"x":{"url":"u2","title":"b"}}],"deep":{"list":[[{"url":"u3","title":"c"}],{"url":" "}]}}') AS doc""")
+    return files.url_records(doc).select("url", F.get_json_object("record", "$.title").alias("title"))
+
+
+@query("SELECT * FROM (VALUES ('_sections.json', 'SECTIONS'), ('_pdf_knowledge_ab.json', 'PDF_KNOWLEDGE'), ('x.json', 'OTHER')) AS t(name, category)")
+def q_file_categories(s, d):
+    names = s.sql("SELECT * FROM VALUES ('_sections.json'), ('_pdf_knowledge_ab.json'), ('x.json') AS t(name)")
+    return names.select("name", files.file_category(F.col("name")).alias("category"))
