@@ -108,4 +108,18 @@ ORACLES: dict[str, str] = {
                CASE WHEN first <> page_id THEN first END AS refers_to
         FROM p LEFT JOIN k ON p.html = k.html
     """,
+    "op7_decontamination": r"""
+        WITH lowered AS (
+            SELECT 'd' AS side, doc_id AS id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents
+            UNION ALL SELECT 'b', item_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') FROM benchmark),
+        worded AS (SELECT side, id, regexp_extract_all(t, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM lowered),
+        windows AS (SELECT DISTINCT id AS item, w[k:k + least(10, len(w)) - 1] AS words FROM (SELECT *, unnest(generate_series(1, greatest(len(w) - 9, 1))) AS k FROM worded WHERE side = 'b' AND len(w) > 0)),
+        sizes AS (SELECT DISTINCT len(words) AS size FROM windows),
+        places AS (SELECT id, k, size, w[k:k + size - 1] AS words FROM (SELECT id, w, size, unnest(generate_series(1, len(w) - size + 1)) AS k FROM worded, sizes WHERE side = 'd' AND len(w) >= size)),
+        found AS (SELECT p.id, p.k, p.size, i.item FROM places p JOIN windows i ON p.words = i.words),
+        hits AS (SELECT id, count(DISTINCT spot) AS n_hit FROM (SELECT id, unnest(generate_series(k, k + size - 1)) AS spot FROM found) GROUP BY 1),
+        named AS (SELECT id, count(*) AS n_items, sha256(string_agg(item, ',' ORDER BY item)) AS items_sha256 FROM (SELECT DISTINCT id, item::VARCHAR AS item FROM found) GROUP BY 1)
+        SELECT d.id AS doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, coalesce(items_sha256, sha256('')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+        FROM worded d LEFT JOIN hits h ON d.id = h.id LEFT JOIN named n ON d.id = n.id WHERE side = 'd'
+    """,
 }
