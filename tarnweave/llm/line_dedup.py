@@ -21,6 +21,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, IntegralType
 
 from tarnweave.llm.shared import free, saved
 
@@ -78,7 +79,7 @@ def _within(a: Column, b: Column, edits: int) -> Column:
 
 def _segment(n: Column, i: int, edits: int) -> tuple[Column, Column]:
     """Start (from 1) and length of segment i (from 0) of a line of n characters: the last n % (edits + 1) segments are one longer."""
-    base, more = F.floor(n / (edits + 1)).cast("int"), n % (edits + 1)
+    base, more = F.call_function("div", n, F.lit(edits + 1)).cast("int"), n % (edits + 1)
     short = edits + 1 - more
     return 1 + i * base + F.greatest(F.lit(0), F.lit(i) - short), base + F.when(F.lit(i) >= short, 1).otherwise(0)
 
@@ -93,7 +94,7 @@ def index_keys(line: Column, n: Column, edits: int) -> Column:
 
 
 def probe_keys(line: Column, n: Column, edits: int) -> Column:
-    """Keys of the substrings that can equal a segment of a linked line of at most n characters; but for the line's own segments, which index_keys has."""
+    """Keys of the substrings that can equal a segment of a linked line of at most n characters; but for the line's own segments, which index_keys has. Null where a place lies outside the line."""
     out = []
     for gap in range(edits + 1):
         length = n - gap
@@ -105,7 +106,15 @@ def probe_keys(line: Column, n: Column, edits: int) -> Column:
                     continue
                 at = start + shift
                 out.append(F.when((at >= 1) & (at + size <= n + 1), _key(length, i, line, at, size)))
-    return F.array_compact(F.array(*out))
+    return F.array(*out)
+
+
+#: Letters whose counts are compared before a pair is verified: any set is right, frequent letters tell most.
+LETTERS = "etaoinsrhlducm"
+
+
+def letter_counts(line: Column) -> list[Column]:
+    return [(F.length(line) - F.length(F.replace(line, F.lit(c), F.lit("")))).alias(f"n_{c}") for c in LETTERS]
 
 
 def _small(df: DataFrame, limit: int) -> DataFrame:
@@ -113,8 +122,9 @@ def _small(df: DataFrame, limit: int) -> DataFrame:
     return F.broadcast(df) if df.count() <= limit else df
 
 
-def possible(probe: DataFrame, index: DataFrame, bits: int = 25) -> DataFrame:
-    """Probes whose key may be in the index: by a bitmap of 2**bits places, which is all that is broadcast. More keys let more through and lose none."""
+def possible(probe: DataFrame, index: DataFrame, n_keys: int, most_bits: int = 27) -> DataFrame:
+    """Probes whose key may be in the index: by a bitmap with 20 places for each key, which is all that is broadcast, in at most 2**(most_bits - 6) rows. More keys than that let more through and lose none."""
+    bits = min(most_bits, max(12, (20 * n_keys - 1).bit_length()))
     place = F.col("key").bitwiseAND(F.lit((1 << bits) - 1))
     word, bit = F.shiftright(place, 6), place.bitwiseAND(F.lit(63)).cast("int")
     one = F.call_function("shiftleft", F.lit(1).cast("long"), bit)
@@ -129,29 +139,43 @@ def edit_links(lines: DataFrame, edits: int, broadcast_rows: int) -> DataFrame:
     Keys under which lines meet are found by counting, which doesn't grow with the square of a key's lines; only lines that have such keys get their texts, and the last join lets through nothing but verified pairs.
     """
     index = lines.select(F.explode(index_keys(F.col("line"), F.col("n"), edits)).alias("key"), "id")
-    probe = possible(lines.select(F.explode(F.array_distinct(probe_keys(F.col("line"), F.col("n"), edits))).alias("key"), "id"), index)
+    probe = possible(lines.select(F.explode(probe_keys(F.col("line"), F.col("n"), edits)).alias("key"), "id"), index, (edits + 1) * max(1, lines.count()))
     rows = saved(index.withColumn("indexed", F.lit(True)).unionAll(probe.withColumn("indexed", F.lit(False))), "line-keys")
     active = saved(rows.groupBy("key").agg(F.count_if("indexed").alias("n_indexed"), F.count("*").alias("n")).where("n_indexed > 0 and n > 1").select("key"), "line-active")
     met = saved(rows.join(_small(active, broadcast_rows), "key"), "line-met")
     some = saved(met.select("id").distinct(), "line-ids")
-    texts = saved(lines.join(_small(some, broadcast_rows), "id").select("id", "line"), "line-texts")
+    counts = [f"n_{c}" for c in LETTERS]
+    texts = saved(lines.join(_small(some, broadcast_rows), "id").select("id", "line", *letter_counts(F.col("line"))), "line-texts")
     known = met.join(texts, "id")
-    a = known.where("indexed").select("key", F.col("id").alias("a"), F.col("line").alias("x"))
-    b = known.select("key", F.col("id").alias("b"), F.col("line").alias("y"), F.col("indexed").alias("both"))
+    a = known.where("indexed").select("key", F.col("id").alias("a"), F.col("line").alias("x"), *(F.col(n).alias(f"x{n}") for n in counts))
+    b = known.select("key", F.col("id").alias("b"), F.col("line").alias("y"), F.col("indexed").alias("both"), *counts)
     other = (a["key"] == b["key"]) & F.when(F.col("both"), F.col("a") < F.col("b")).otherwise(F.col("a") != F.col("b"))
-    pairs = a.join(b, other & within(F.col("x"), F.col("y"), edits))
+    # An edit changes two letters' counts by one at most.
+    alike = sum((F.abs(F.col(f"x{n}") - F.col(n)) for n in counts), F.lit(0)) <= 2 * edits
+    pairs = a.join(b, other & F.when(alike, within(F.col("x"), F.col("y"), edits)).otherwise(False))
     out = saved(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "line-links")
     free(rows, active, met, some, texts)
     return out
 
 
+def _place(kind: DataType) -> tuple[Column, Column]:
+    """What orders a line's occurrences, from columns doc and at; and the struct of both, from column least. For whole-number ids the order is one number, which needs no sorting to be aggregated; a null id comes first."""
+    if not isinstance(kind, IntegralType):
+        return F.struct("doc", "at"), F.col("least")
+    size = F.lit(1 << 31).cast("decimal(11,0)")
+    at = F.pmod(F.col("least"), size)
+    doc = F.nullif(((F.col("least") - at) / size).cast("long"), F.lit(-(1 << 63))).cast(kind)
+    return (F.coalesce(F.col("doc"), F.lit(-(1 << 63))).cast("decimal(20,0)") * size + F.col("at").cast("decimal(11,0)")).cast("decimal(38,0)"), F.struct(doc.alias("doc"), at.cast("int").alias("at"))
+
+
 def dedup_lines(docs: DataFrame, edits: int = 2, least_chars: int = 20, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = 1 << 20) -> DataFrame:
     """docs with text_col deduplicated, and columns n_lines (lines that count), n_removed, n_links (links of its lines to other lines)."""
     broken = docs.select(F.col(id_col).alias("doc"), F.xxhash64(text_col).alias("body"), F.posexplode(F.split(text_col, "\n")).alias("at", "whole"))
     lines = broken.select("doc", "body", "at", F.btrim("whole", F.lit(BLANK)).alias("line")).where(F.length("line") >= least_chars)
     # Equal lines become one, under a 64-bit id of the text; the text itself is the grouping key.
-    merged = lines.groupBy("line").agg(F.min(F.struct("doc", "at")).alias("first"), F.count("*").alias("n_copies"))
-    distinct = saved(merged.select(F.xxhash64("line").alias("id"), F.length("line").alias("n"), "first", "n_copies", "line"), "lines")
+    place, first_of = _place(docs.schema[id_col].dataType)
+    merged = lines.groupBy("line").agg(F.min(place).alias("least"), F.count("*").alias("n_copies"))
+    distinct = saved(merged.select(F.xxhash64("line").alias("id"), F.length("line").alias("n"), first_of.alias("first"), "n_copies", "line"), "lines")
     links = edit_links(distinct, edits, broadcast_rows)
     first = distinct.select("id", "first")
     ends = links.select(F.explode(F.array(F.struct(F.col("a").alias("id"), F.col("b").alias("other")), F.struct(F.col("b").alias("id"), F.col("a").alias("other")))).alias("e")).select("e.*")

@@ -40,7 +40,7 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/tarnweave/{name}-{uuid.uuid4().hex}"
     schema = df.schema
     # Small row groups: a writer holds one in memory. A codec that stays on the heap.
-    df.write.option("compression", "lz4_raw").option("parquet.block.size", 16 << 20).parquet(path)
+    df.write.option("compression", "lz4_raw").option("parquet.block.size", 16 << 20).option("parquet.enable.dictionary", "false").parquet(path)
     del df
     # What is no longer referenced lets go of its shuffle files only when the driver collects its garbage.
     spark.sparkContext._jvm.System.gc()

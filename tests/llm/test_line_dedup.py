@@ -100,5 +100,13 @@ def test_equal_rows_are_one_document(spark):
     assert sorted((x.doc_id, x.text) for x in dedup_lines(docs).collect()) == [(5, text), (5, text), (6, "")]
 
 
+def test_null_and_text_ids(spark):
+    text = "a line that is long enough to count"
+    docs = spark.createDataFrame([row(None, text), row(-9, text)], SCHEMA)
+    assert {(x.doc_id, x.text) for x in dedup_lines(docs).collect()} == {(None, text), (-9, "")}
+    named = spark.createDataFrame([("b", text), ("a", text + "\nx")], "doc_id string, text string")
+    assert {(x.doc_id, x.text) for x in dedup_lines(named).collect()} == {("a", text + "\nx"), ("b", "")}
+
+
 def test_nothing(no_docs):
     assert dedup_lines(no_docs).count() == 0
