@@ -73,9 +73,10 @@ def grams(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     padded = np.full(raw.size + n.size * (REACH + 1), END, np.uint8)
     shift = np.repeat(where + REACH - at[:-1], n)
     padded[np.arange(raw.size) + shift] = raw
-    out = np.zeros(max(0, padded.size - REACH), np.uint64)
-    for d in range(REACH + 1):
-        out = (out << np.uint64(8)) | padded[d : d + out.size]
+    # The REACH + 1 bytes from each place on, read as one big-endian number.
+    wide = np.concatenate([padded, np.zeros(8, np.uint8)])
+    out = np.ndarray(max(0, padded.size - REACH), ">u8", wide, strides=(1,)).astype(np.uint64)
+    out >>= np.uint64(8 * (7 - REACH))
     inside = SPACED[padded] & (padded != END)
     place = np.arange(padded.size, dtype=np.int32)
     begins = inside.copy()
@@ -107,6 +108,22 @@ def _runs(sorted_keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate([[True], sorted_keys[1:] != sorted_keys[:-1]])) if sorted_keys.size else np.zeros(0, np.int64)
 
 
+def _by_context(gram: np.ndarray) -> np.ndarray:
+    """An order in which equal grams stand together, and those of a context by their bytes. Places ride in the sorted numbers, which is several times as fast as an argsort; contexts whose 32-bit hashes agree may mix, which costs a look-up and nothing else."""
+    if gram.size > 1 << 24:
+        return np.argsort(gram)
+    key = gram >> np.uint64(8)
+    key *= np.uint64(0x9E3779B97F4A7C15)
+    key ^= key >> np.uint64(29)
+    key *= np.uint64(0xBF58476D1CE4E5B9)
+    key &= np.uint64(0xFFFFFFFF00000000)
+    key |= (gram & np.uint64(255)) << np.uint64(24)
+    key |= np.arange(gram.size, dtype=np.uint64)
+    key.sort()
+    key &= np.uint64((1 << 24) - 1)
+    return key.view(np.int64)
+
+
 def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys, sorted, with their counts' sums."""
     if not keys:
@@ -477,7 +494,7 @@ def _scored(shared: Broadcast, weights: np.ndarray, refine: np.ndarray, n_blocks
         gram = np.concatenate(keys)
         sizes = np.cumsum([k.size for k in keys])
         del keys
-        order = np.argsort(gram)
+        order = _by_context(gram)
         gram = gram[order]
         head = _runs(gram)
         cost = np.empty(gram.size, np.float32)
