@@ -20,6 +20,7 @@ empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -172,6 +173,7 @@ class Model:
         if weights is None:
             self.weights[:, -1] = 0
         self.refine = refine
+        self.quick = None
 
     def inputs(self, gram: np.ndarray, count: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
         """For each bit: the predictions as log odds (n, inputs), the gate, the bit, its count; one occurrence of the bit itself is left out of its counts. Neighbours that agree up to the bit are one row."""
@@ -215,9 +217,10 @@ class Model:
 
     def costs(self, gram: np.ndarray, batch: int = 1 << 14) -> np.ndarray:
         """log10 of the probability of each gram's last byte after the others."""
-        codes = {order: t.view("<u2").ravel() for order, t in self.tables.items()}
-        odds = {order: _ODDS[c] for order, c in codes.items()}
-        seen = {order: _SEEN[codes[order]] for order in ORDERS[-2:]}
+        if self.quick is None:
+            codes = {order: t.view("<u2").ravel() for order, t in self.tables.items()}
+            self.quick = {order: _ODDS[c] for order, c in codes.items()}, {order: _SEEN[codes[order]] for order in ORDERS[-2:]}
+        odds, seen = self.quick
         weights = np.ascontiguousarray(self.weights.T)
         out = np.zeros(gram.size)
         for lo in range(0, gram.size, batch):
@@ -243,6 +246,41 @@ class Model:
         return out / np.log(10)
 
 
+class Costs:
+    """A model's costs, with those of grams met before: a worker keeps up to KEPT of them from task to task."""
+
+    KEPT = 2_000_000
+    last: tuple[bytes, Costs] | None = None
+
+    def __init__(self, model: Model):
+        self.model, self.gram, self.cost = model, np.zeros(0, np.uint64), np.zeros(0, np.float32)
+
+    @classmethod
+    def of(cls, name: bytes, tables: dict[int, np.ndarray], weights: np.ndarray, refine: np.ndarray) -> Costs:
+        """This worker's costs of the model of that name."""
+        if cls.last is None or cls.last[0] != name:
+            cls.last = name, cls(Model(tables, weights, refine))
+        return cls.last[1]
+
+    def __call__(self, gram: np.ndarray) -> np.ndarray:
+        order = np.argsort(gram)
+        gram = gram[order]
+        out = np.empty(gram.size, np.float32)
+        at = np.searchsorted(self.gram, gram)
+        known = at < self.gram.size
+        known[known] = self.gram[at[known]] == gram[known]
+        out[known] = self.cost[at[known]]
+        new = np.flatnonzero(~known)
+        out[new] = self.model.costs(gram[new])
+        if new.size and self.gram.size + new.size <= self.KEPT:
+            first = new[_runs(gram[new])]
+            self.cost = np.insert(self.cost, at[first], out[first])
+            self.gram = np.insert(self.gram, at[first], gram[first])
+        back = np.empty(gram.size, np.float32)
+        back[order] = out
+        return back
+
+
 # -- words -------------------------------------------------------------------
 
 
@@ -474,6 +512,8 @@ _SCORED = "id {}, held_out boolean, n_tokens long, n_known long, train_tokens lo
 
 
 def _scored(shared: Broadcast, weights: np.ndarray, refine: np.ndarray, n_blocks: int, n: int, v: int, ends: int):
+    name = uuid.uuid4().bytes
+
     def run(docs: pa.Table, counts: pa.Table) -> pa.Table:
         log = lambda c: np.log10((c + 0.5) / (n + 0.5 * (v + 1)))
         held, words, keys = [], [], []
@@ -498,7 +538,7 @@ def _scored(shared: Broadcast, weights: np.ndarray, refine: np.ndarray, n_blocks
         gram = gram[order]
         head = _runs(gram)
         cost = np.empty(gram.size, np.float32)
-        cost[order] = np.repeat(Model(shared.value, weights, refine).costs(gram[head]).astype(np.float32), np.diff(np.append(head, gram.size)))
+        cost[order] = np.repeat(Costs.of(name, shared.value, weights, refine)(gram[head]), np.diff(np.append(head, gram.size)))
         del gram, order
         out = []
         for (ids, tested, size, first, code, begin), dictionary, own_cost in zip(held, words, np.split(cost, sizes[:-1]), strict=True):
