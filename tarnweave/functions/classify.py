@@ -100,7 +100,7 @@ def page_type(url: Column | str, title: Column | str, text: Column | str, site:
 
 
 def quality_score(kind: Column, text: Column, content: Column, action: Column, low: Column) -> Column:
-    """0 to 100: type, signals and length speak for a page, low-value phrases against it."""
+    """0 to 100: type, signals and length speak for a page, low-value phrases against it; 0 without text."""
     n = F.length(text)
     score = (
         F.when(kind.isin(*V.KEEP_PAGE_TYPES), 30).otherwise(0)
@@ -109,7 +109,7 @@ def quality_score(kind: Column, text: Column, content: Column, action: Column, l
         + F.when(n >= 1000, 10).when(n >= 500, 5).otherwise(0)
         - F.least(F.size(low) * 15, F.lit(30))
     )
-    return F.greatest(F.lit(0), F.least(score, F.lit(100)))
+    return F.when(n == 0, 0).otherwise(F.greatest(F.lit(0), F.least(score, F.lit(100))))
 
 
 def page_signals(url: Column | str, title: Column | str, text: Column | str, site: Site) -> dict[str, Column]:

@@ -55,3 +55,18 @@ LIST_PAGE = (
     '<h3>Fees</h3><a href="/fees.pdf">Fees</a><h4>First Merit List No. 1</h4><a href="/l1.pdf">first</a><p><a href="l1.pdf">again</a></p>'
     '<h4>Minimum Merit</h4><a href="/l2.pdf">Second Merit List</a><h4>PhD Merit List 3</h4><a href="/l3.pdf">no</a><h2>end</h2>'
 )
+
+#: A text for each branch of the page classifiers.
+REVIEWS = """(VALUES
+ (0,'https://admission.example.edu/x','',''),
+ (1,'https://admission.example.edu/program/cs','CS','eligibility criteria and fee structure with deadline, merit list, scholarship and hostel for the degree program. apply online'),
+ (2,'https://admission.example.edu/news/1','News','merit list and last date: fee schedule, deadline, scholarship, hostel, entry test, quota. Result and contact'),
+ (3,'https://admission.example.edu/news/2','News','the hostel is open'),(4,'https://admission.example.edu/news/3','News','sports gala'),
+ (5,'https://example.org/a','A','eligibility, hostel and scholarship'),(6,'https://example.org/b','B','hostel and quota'),
+ (7,'https://example.org/c','C','congratulations and celebrating a proud moment'),(8,'https://example.org/d','D','nothing to see'),
+ (9,'https://example.org/e','E','network restored after maintenance'),(10,'https://example.org/f','F','welcome to example, podcast series'),
+ (11,'https://example.org/g','G','admission schedule: timeline of the semester'),(12,'https://admission.example.edu/faqs/','Frequently asked','contact us'),
+ (13,'https://admission.example.edu/downloads/','Download','prospectus'),(14,'https://example.org/h','H','bachelor degree program'),
+ (15,'https://admission.example.edu/foreign-students/','F','international student fees, accommodation, required documents'),(16,'https://admission.example.edu/UG-2026','U','orientation schedule'),
+ (17,'https://example.org/news/4','N','ecat result and schedule')
+) AS t(pos, url, title, text)"""

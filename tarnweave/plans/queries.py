@@ -491,29 +491,124 @@ def q_files(s, d):
     return rows.select("pos", "f.decision", F.array_join("f.matched_keywords", ",").alias("words"))
 
 
+def _found(x: str, patterns) -> str:
+    return f"regexp_matches({x}, '(?i)(?:{'|'.join(patterns).replace(chr(39), chr(39) * 2)})')"
+
+
+def _named(tests: dict[str, str]) -> str:
+    return "concat_ws(',', " + ", ".join(f"CASE WHEN {t} THEN '{k}' END" for k, t in tests.items()) + ")"
+
+
+def _counted(tests) -> str:
+    return "(" + " + ".join(f"({t})::INT" for t in tests) + ")"
+
+
+def _cases(rules: list[tuple[str, str]], otherwise: str) -> str:
+    return "CASE " + " ".join(f"WHEN {c} THEN {v}" for c, v in rules) + f" ELSE {otherwise} END"
+
+
+_TITLE = COLLAPSE.format(_DECODE.format("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)"))
+_TYPES = _cases([(_found("t", SITE.words(V.PAGE_TYPE_PATTERNS[k])), f"'{k}'") for k in ("faq", "program", "download", "foreign_students", "news", "admission", "home")], "'other'")
+_KEEP_TYPES = f"page_type IN ({quoted(V.KEEP_PAGE_TYPES)})"
+_SCORE = f"greatest(0, least(100, CASE WHEN {_KEEP_TYPES} THEN 30 ELSE 0 END + least(nc * 8, 48) + least(na * 5, 15) + CASE WHEN length(text) >= 1000 THEN 10 WHEN length(text) >= 500 THEN 5 ELSE 0 END - least(nl * 15, 30)))"
+_DECIDED = [
+    ("text = ''", ("REVIEW", "Page content could not be reliably extracted", "medium", "0.0")),
+    (f"{_KEEP_TYPES} AND score >= 45", ("KEEP", "Strong admission knowledge page with useful content", "high", "least(score / 100, 0.99)")),
+    ("page_type = 'news' AND nc >= 2 AND score >= 35", ("KEEP", "News page contains actionable admission information", "high", "least(score / 100, 0.95)")),
+    ("page_type = 'news' AND nc > 0", ("REVIEW", "News page contains some admission information but requires relevance review", "medium", "0.6")),
+    ("page_type = 'news'", ("REVIEW", "News page does not contain enough recognized admission knowledge", "low", "0.35")),
+    ("page_type = 'other' AND nc >= 3", ("KEEP", "Unknown page type but content contains multiple admission signals", "high", "0.8")),
+    ("page_type = 'home' AND nc > 0", ("KEEP", "Admission portal home page contains useful information", "medium", "0.75")),
+    ("page_type = 'home'", ("REVIEW", "Home page requires content review", "medium", "0.4")),
+    ("nc >= 2 AND score >= 30", ("KEEP", "Page contains important admission information", "high", "0.75")),
+    ("nl > 0 AND nc = 0", ("REVIEW", "Page appears promotional or low-value for the knowledge base", "low", "0.7")),
+]
+_ELSE = ("REVIEW", "Page does not contain enough recognized admission information", "medium", "0.5")
+_CONTENT = {k: _found("text", ps) for k, ps in V.CONTENT_SIGNALS.items()}
+_PAGE_TEXTS = f"""WITH c AS (SELECT page_id, url, {_TITLE} AS title, {_STRIP.format('html')} AS x FROM pages),
+ m AS (SELECT page_id, url, title, coalesce(nullif(regexp_extract(x, '(?is)<main\\b[^>]*>(.*?)</main\\s*>', 1), ''), nullif(regexp_extract(x, '(?is)<article\\b[^>]*>(.*?)</article\\s*>', 1), ''), nullif(regexp_extract(x, '(?is)<body\\b[^>]*>(.*?)</body\\s*>', 1), ''), x) AS y FROM c),
+ p AS (SELECT page_id, url, title, left({_PLAIN.replace('{0}', 'y')}, 30000) AS text FROM m),"""
+_STEPS = f"""
+ t AS (SELECT *, concat_ws(' ', trim(url), trim(title), left(text, 10000)) AS t FROM p),
+ k AS (SELECT *, {_TYPES} AS page_type, {_counted(_CONTENT.values())} AS nc, {_counted(_found('text', ps) for ps in V.ACTION_SIGNALS.values())} AS na, {_counted(f"contains(lower(text), '{w}')" for w in SITE.words(V.LOW_VALUE_PATTERNS))} AS nl, {_named(_CONTENT)} AS content_signals FROM t),
+ r AS (SELECT *, (CASE WHEN text = '' THEN 0 ELSE {_SCORE} END)::BIGINT AS score FROM k)"""
+_REVIEWED = _PAGE_TEXTS + _STEPS
+_GIVEN_TEXTS = f"WITH p AS (SELECT pos AS page_id, url, title, text FROM {X.REVIEWS}),"
+_ORDERED = {k: any_of("lower(text)", V.CATEGORY_KEYWORDS[k]) for k in sorted(V.CATEGORY_KEYWORDS)}
+_TIMED = {k: any_of("lower(text)", V.TEMPORAL_SIGNALS[k]) for k in sorted(V.TEMPORAL_SIGNALS)}
+_IN = lambda xs, k: f"list_contains(string_split({xs}, ','), '{k}')"
+_BOOK = _cases([(_IN("cats", k), f"'{v}'") for k, v in {"deadlines": "deadlines", "ecat": "ecat", "eligibility": "eligibility", "fees": "fees", "admission_process": "admission_process", "scholarships": "scholarships", "hostel": "hostel", "international": "international_admissions", "faq": "faq", "programs": "programs"}.items()], "'temporal_updates'")
+_TIMED_BOOK = _cases([(_IN("timed", k), f"'{v}'") for k, v in {"deadline": "deadlines", "merit": "admission_process", "fee": "fees", "ecat": "ecat", "schedule": "admission_process", "admission_process": "admission_process"}.items()], _BOOK)
+_NEWS = "(page_type = 'news' OR contains(lower(url), '/news/') OR contains(lower(title), 'news'))"
+_STRONG = "(" + " OR ".join(_IN("timed", k) for k in ("deadline", "merit", "fee", "admission_process")) + ")"
+_CORE = "page_type IN ('program', 'faq', 'admission', 'download', 'foreign_students')"
+_REFINED_RULES = [
+    (f"{any_of('lower(text)', V.OPERATIONAL_SIGNALS)} AND timed = ''", ("SKIP", "operational", 0, _BOOK)),
+    (f"{any_of('lower(text)', SITE.words(V.PROMOTIONAL_SIGNALS))} AND timed = ''", ("SKIP", "promotional", 0, _BOOK)),
+    (f"{_NEWS} AND timed <> '' AND {_STRONG}", ("CORE", "temporal", 100, _TIMED_BOOK)),
+    (f"{_NEWS} AND timed <> ''", ("TEMPORAL", "temporal", 85, _TIMED_BOOK)),
+    (f"{_CORE} AND contains(cats, ',')", ("CORE", "core", 100, _BOOK)),
+    (f"{_CORE} AND cats <> ''", ("SUPPORTING", "core", 75, _BOOK)),
+    ("timed <> ''", ("TEMPORAL", "temporal", 80, _TIMED_BOOK)),
+    (_IN("cats", "programs"), ("REVIEW", "supporting", 30, "'programs'")),
+]
+_REFINING = f""", f AS (SELECT *, {_named(_ORDERED)} AS cats, {_named(_TIMED)} AS timed FROM r),
+ g AS (SELECT *, {_cases([(c, f"'{v[0]}'") for c, v in _REFINED_RULES], "'REVIEW'")} AS status, {_cases([(c, f"'{v[1]}'") for c, v in _REFINED_RULES], "'supporting'")} AS role, {_cases([(c, str(v[2])) for c, v in _REFINED_RULES], '20')} AS points, {_cases([(c, v[3]) for c, v in _REFINED_RULES], _BOOK)} AS book FROM f)"""
+_REFINED = _REVIEWED + _REFINING
+
+
 def _reviewed(s, d):
-    pages = table(s, d, "pages").select("page_id", "url", html.title("html").alias("title"), html.main_text("html").alias("text"))
+    return _reviewed_rows(table(s, d, "pages").select("page_id", "url", html.title("html").alias("title"), html.main_text("html").alias("text")))
+
+
+def _reviewed_rows(pages):
     rows = pages.select("*", *(c.alias(k) for k, c in classify.page_signals("url", "title", "text", SITE).items()))
     rows = rows.withColumn("quality_score", classify.quality_score(F.col("page_type"), F.col("text"), F.col("content_signals"), F.col("action_signals"), F.col("low_value_signals")))
     return rows.withColumn("d", classify.page_decision("text", "quality_score"))
 
 
-@query()
+_REVIEW_COLUMNS = f""" SELECT page_id, page_type, score AS quality_score, {', '.join(f"{_cases([(c, v[k] if k == 3 else chr(39) + v[k] + chr(39)) for c, v in _DECIDED], _ELSE[k] if k == 3 else chr(39) + _ELSE[k] + chr(39))}{'::DOUBLE' if k == 3 else ''} AS {name}" for k, name in enumerate(('decision', 'reason', 'priority', 'confidence')))}, content_signals FROM r"""
+
+
+@query(_REVIEWED + _REVIEW_COLUMNS)
 def q_page_review(s, d):
-    return _reviewed(s, d).select("page_id", "page_type", F.col("quality_score").cast("long").alias("quality_score"), "d.decision", "d.reason", "d.priority", "d.confidence", F.array_join("content_signals", ",").alias("content_signals"))
+    return _review_columns(_reviewed(s, d))
+
+
+@query(_GIVEN_TEXTS + _STEPS + _REVIEW_COLUMNS)
+def q_review_branches(s, d):
+    return _review_columns(_reviewed_rows(given(s, X.REVIEWS).withColumnRenamed("pos", "page_id")))
+
+
+@query(_GIVEN_TEXTS + _STEPS + _REFINING + " SELECT page_id, status, role, points::BIGINT AS score, book, cats AS categories FROM g")
+def q_refinement_branches(s, d):
+    return _refinement_columns(_refined_rows(_reviewed_rows(given(s, X.REVIEWS).withColumnRenamed("pos", "page_id"))))
+
+
+def _review_columns(rows):
+    return rows.select("page_id", "page_type", F.col("quality_score").cast("long").alias("quality_score"), "d.decision", "d.reason", "d.priority", "d.confidence", F.array_join("content_signals", ",").alias("content_signals"))
 
 
 def _refined(s, d):
-    rows = _reviewed(s, d).withColumns({"categories": classify.categories("text"), "temporal": classify.temporal_signals("text")})
+    return _refined_rows(_reviewed(s, d))
+
+
+def _refined_rows(reviewed):
+    rows = reviewed.withColumns({"categories": classify.categories("text"), "temporal": classify.temporal_signals("text")})
     return rows.withColumn("r", classify.refinement("page_type", "title", "url", "text", SITE))
 
 
-@query()
+@query(_REFINED + " SELECT page_id, status, role, points::BIGINT AS score, book, cats AS categories FROM g")
 def q_refinement(s, d):
-    return _refined(s, d).select("page_id", "r.status", "r.role", F.col("r.score").cast("long").alias("score"), "r.book", F.array_join("categories", ",").alias("categories"))
+    return _refinement_columns(_refined(s, d))
 
 
-@query()
+def _refinement_columns(rows):
+    return rows.select("page_id", "r.status", "r.role", F.col("r.score").cast("long").alias("score"), "r.book", F.array_join("categories", ",").alias("categories"))
+
+
+@query(_REFINED + f""", u AS (SELECT *, CASE WHEN status = 'SKIP' THEN 'SKIP_STATUS' WHEN status = 'REVIEW' THEN 'REVIEW_UNDECIDED' WHEN role IN ('operational', 'promotional') THEN 'ROLE_' || upper(role) WHEN book NOT IN ({quoted(V.BOOKS)}) THEN 'UNKNOWN_BOOK:' || book ELSE 'USABLE' END AS usability FROM g)
+ SELECT usability, book, count(*) AS n_pages, max(points)::BIGINT AS best_score FROM u GROUP BY ALL""")
 def q_books(s, d):
     rows = _refined(s, d).select("page_id", "title", "r.*")
     use = rows.withColumn("usability", classify.usability(F.col("status"), F.col("role"), F.col("book")))

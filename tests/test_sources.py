@@ -87,3 +87,11 @@ def test_plug_ins(spark):
     assert reports.shrinking(attempt) == (960, "ok")
     with pytest.raises(MemoryError):
         reports.shrinking(attempt, (1600,))
+
+
+def test_hash_eligible_and_addresses(spark):
+    df = spark.createDataFrame([("a", "DOWNLOADED", "/x"), ("b", "FAILED", None), ("c", "DOWNLOADED", "")], "url string, status string, local_path string")
+    ok, rest = reports.hash_eligible(df)
+    assert [r.url for r in ok.collect()] == ["a"] and {r.url: r.dedup_error for r in rest.collect()} == {"b": "status FAILED", "c": "missing file"}
+    docs = spark.createDataFrame([("u", [("v",), ("u",)]), ("w", None)], "canonical_url string, aliases array<struct<url:string>>")
+    assert {r.canonical_url: r.all_urls for r in reports.all_urls(docs).collect()} == {"u": ["u", "v"], "w": ["w"]}
