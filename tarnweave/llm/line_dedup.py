@@ -45,6 +45,12 @@ def cores(x: Column, y: Column) -> Column:
     return F.transform(F.transform(F.transform(F.array(F.struct(x.alias("x"), y.alias("y"))), headless), headless), lambda s: s)[0]
 
 
+def trimmed(line: Column) -> Column:
+    """The line without BLANK characters around it; most lines have none, which is cheaper to see than to trim."""
+    blank = lambda c: (c != "") & F.contains(F.lit(BLANK), c)
+    return F.when(blank(F.left(line, F.lit(1))) | blank(F.right(line, F.lit(1))), F.btrim(line, F.lit(BLANK))).otherwise(line)
+
+
 def within(a: Column, b: Column, edits: int) -> Column:
     """Whether strings a and b differ by at most `edits` edits. Bit k of word d, after j characters of b: the first j + k - edits characters of a are within d edits of them."""
     return F.when(F.abs(F.length(a) - F.length(b)) > edits, False).otherwise(F.transform(F.array(cores(a, b)), lambda s: _within(s["x"], s["y"], edits))[0])
@@ -138,9 +144,10 @@ def edit_links(lines: DataFrame, edits: int, broadcast_rows: int) -> DataFrame:
 
     Keys under which lines meet are found by counting, which doesn't grow with the square of a key's lines; only lines that have such keys get their texts, and the last join lets through nothing but verified pairs.
     """
-    index = lines.select(F.explode(index_keys(F.col("line"), F.col("n"), edits)).alias("key"), "id")
+    index = saved(lines.select(F.explode(index_keys(F.col("line"), F.col("n"), edits)).alias("key"), "id", F.lit(True).alias("indexed")), "line-index")
     probe = possible(lines.select(F.explode(probe_keys(F.col("line"), F.col("n"), edits)).alias("key"), "id"), index, (edits + 1) * max(1, lines.count()))
-    rows = saved(index.withColumn("indexed", F.lit(True)).unionAll(probe.withColumn("indexed", F.lit(False))), "line-keys")
+    probe = saved(probe.withColumn("indexed", F.lit(False)), "line-probes")
+    rows = index.unionAll(probe)
     active = saved(rows.groupBy("key").agg(F.count_if("indexed").alias("n_indexed"), F.count("*").alias("n")).where("n_indexed > 0 and n > 1").select("key"), "line-active")
     met = saved(rows.join(_small(active, broadcast_rows), "key"), "line-met")
     some = saved(met.select("id").distinct(), "line-ids")
@@ -154,7 +161,7 @@ def edit_links(lines: DataFrame, edits: int, broadcast_rows: int) -> DataFrame:
     alike = sum((F.abs(F.col(f"x{n}") - F.col(n)) for n in counts), F.lit(0)) <= 2 * edits
     pairs = a.join(b, other & F.when(alike, within(F.col("x"), F.col("y"), edits)).otherwise(False))
     out = saved(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "line-links")
-    free(rows, active, met, some, texts)
+    free(index, probe, active, met, some, texts)
     return out
 
 
@@ -171,7 +178,7 @@ def _place(kind: DataType) -> tuple[Column, Column]:
 def dedup_lines(docs: DataFrame, edits: int = 2, least_chars: int = 20, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = 1 << 20) -> DataFrame:
     """docs with text_col deduplicated, and columns n_lines (lines that count), n_removed, n_links (links of its lines to other lines)."""
     broken = docs.select(F.col(id_col).alias("doc"), F.xxhash64(text_col).alias("body"), F.posexplode(F.split(text_col, "\n")).alias("at", "whole"))
-    lines = broken.select("doc", "body", "at", F.btrim("whole", F.lit(BLANK)).alias("line")).where(F.length("line") >= least_chars)
+    lines = broken.select("doc", "body", "at", trimmed(F.col("whole")).alias("line")).where(F.length("line") >= least_chars)
     # Equal lines become one, under a 64-bit id of the text; the text itself is the grouping key.
     place, first_of = _place(docs.schema[id_col].dataType)
     merged = lines.groupBy("line").agg(F.min(place).alias("least"), F.count("*").alias("n_copies"))
@@ -195,7 +202,7 @@ def dedup_lines(docs: DataFrame, edits: int = 2, least_chars: int = 20, id_col:
     split = F.split(text_col, "\n")
     places = F.coalesce("gone places", F.array().cast("array<int>"))
     text = F.when(F.size(places) > 0, F.array_join(F.filter(split, lambda x, k: ~F.array_contains(places, k)), "\n")).otherwise(F.col(text_col))
-    counted = F.coalesce(F.size(F.filter(split, lambda x: F.length(F.btrim(x, F.lit(BLANK))) >= least_chars)), F.lit(0))
+    counted = F.coalesce(F.size(F.filter(split, lambda x: (F.length(x) >= least_chars) & (F.length(trimmed(x)) >= least_chars))), F.lit(0))
     counts = {"n_lines": counted.cast("long"), "n_removed": F.size(places).cast("long"), "n_links": F.coalesce("n_links", F.lit(0)).cast("long")}
     own = [keyed[c] if c != text_col else text.alias(c) for c in docs.columns if c not in counts]
     return joined.select(*own, *(v.alias(k) for k, v in counts.items()))
