@@ -62,6 +62,10 @@ _P = mixed(np.arange(2001, 2065, dtype=np.uint64)).astype(np.uint32) | np.uint32
 #: Quantised log odds of counts (n0, n1 in the lower and upper byte) for scoring, in sixteenths.
 _ODDS = np.rint(16 * (_LOG[np.arange(65536) >> 8] - _LOG[np.arange(65536) & 255])).astype(np.int8)
 _SEEN = _LEVEL[(np.arange(65536) >> 8) + (np.arange(65536) & 255)]
+#: For learning, by the bit in the upper half: log odds and level without one occurrence of that bit.
+_LESS0 = np.concatenate([np.maximum((np.arange(65536) & 255) - 1, 0), np.arange(65536) & 255])
+_LESS1 = np.concatenate([np.arange(65536) >> 8, np.maximum((np.arange(65536) >> 8) - 1, 0)])
+_LEFT_ODDS, _LEFT_SEEN = _LOG[_LESS1] - _LOG[_LESS0], _LEVEL[_LESS0 + _LESS1]
 
 
 # -- grams ------------------------------------------------------------------
@@ -168,6 +172,7 @@ class Model:
 
     def __init__(self, tables: dict[int, np.ndarray], weights: np.ndarray | None = None, refine: np.ndarray | None = None):
         self.tables = tables
+        self.codes = {order: t.view("<u2").ravel() for order, t in tables.items()}
         self.bits = {order: len(t).bit_length() - 1 for order, t in tables.items()}
         self.weights = np.full((GATES, len(ORDERS) + 1), 0.3, np.float32) if weights is None else weights
         if weights is None:
@@ -184,11 +189,11 @@ class Model:
             node, bit = _nodes(byte, j), ((byte >> np.uint64(7 - j)) & np.uint64(1)).astype(np.int64)
             x = np.ones((head.size, len(ORDERS) + 1), np.float32)
             level = []
+            upper = bit << 16
             for k, order in enumerate(ORDERS):
-                n = self.tables[order][_slots(contexts[k][head], node, self.bits[order])].astype(np.int64)
-                n0, n1 = np.maximum(n[:, 0] - (1 - bit), 0), np.maximum(n[:, 1] - bit, 0)
-                x[:, k] = _LOG[n1] - _LOG[n0]
-                level.append(_LEVEL[n0 + n1])
+                code = self.codes[order][_slots(contexts[k][head], node, self.bits[order])] + upper
+                x[:, k] = _LEFT_ODDS[code]
+                level.append(_LEFT_SEEN[code])
             yield x, (j * LEVELS + level[-1].astype(np.int64)) * LEVELS + level[-2], bit, np.add.reduceat(count, head)
 
     def mix(self, x: np.ndarray, gate: np.ndarray) -> np.ndarray:
@@ -202,11 +207,10 @@ class Model:
             index = index[index < gram.size]
             for x, gate, bit, w in self.inputs(gram[index], count[index].astype(np.float64)):
                 error = (bit - 1 / (1 + np.exp(-self.mix(x, gate)))) * w
-                size = np.bincount(gate, w, GATES)
-                for k in range(x.shape[1]):
-                    push = np.bincount(gate, error * x[:, k], GATES)
-                    bend = np.bincount(gate, w * x[:, k] ** 2, GATES)
-                    self.weights[:, k] += rate * (push / (0.25 * bend + 0.02 * size + 50)).astype(np.float32)
+                place = (gate[:, None] * x.shape[1] + np.arange(x.shape[1])).ravel()
+                push, bend = (np.bincount(place, v.ravel(), self.weights.size).reshape(self.weights.shape) for v in (error[:, None] * x, w[:, None] * x * x))
+                size = np.bincount(gate, w, GATES)[:, None]
+                self.weights += rate * (push / (0.25 * bend + 0.02 * size + 50)).astype(np.float32)
 
     @staticmethod
     def step(z: np.ndarray) -> np.ndarray:
@@ -218,8 +222,7 @@ class Model:
     def costs(self, gram: np.ndarray, batch: int = 1 << 14) -> np.ndarray:
         """log10 of the probability of each gram's last byte after the others."""
         if self.quick is None:
-            codes = {order: t.view("<u2").ravel() for order, t in self.tables.items()}
-            self.quick = {order: _ODDS[c] for order, c in codes.items()}, {order: _SEEN[codes[order]] for order in ORDERS[-2:]}
+            self.quick = {order: _ODDS[c] for order, c in self.codes.items()}, {order: _SEEN[self.codes[order]] for order in ORDERS[-2:]}
         odds, seen = self.quick
         weights = np.ascontiguousarray(self.weights.T)
         out = np.zeros(gram.size)
@@ -320,14 +323,22 @@ def _slices(table: pa.Table) -> Iterator[pa.RecordBatch]:
         yield from by_bytes(batch, "text", SLICE_BYTES)
 
 
+def _squeezed(data: bytes) -> bytes:
+    return len(data).to_bytes(8, "little") + pa.compress(data, codec="lz4", asbytes=True)
+
+
+def _plain(data: bytes) -> bytes:
+    return pa.decompress(data[8:], int.from_bytes(data[:8], "little"), codec="lz4", asbytes=True)
+
+
 def _pack(words: pa.Array, counts: np.ndarray) -> bytes:
     raw, at = text_bytes(words)
     head = np.array([len(words)], "<i8").tobytes()
-    return zlib.compress(head + np.diff(at).astype("<i4").tobytes() + counts.astype("<i8").tobytes() + raw.tobytes(), 1)
+    return _squeezed(head + np.diff(at).astype("<i4").tobytes() + counts.astype("<i8").tobytes() + raw.tobytes())
 
 
 def _unpack(data: bytes) -> tuple[pa.Array, np.ndarray]:
-    data = zlib.decompress(data)
+    data = _plain(data)
     n = int(np.frombuffer(data, "<i8", 1)[0])
     at = np.concatenate([[0], np.cumsum(np.frombuffer(data, "<i4", n, 8), dtype=np.int64)])
     counts = np.frombuffer(data, "<i8", n, 8 + 4 * n)
@@ -337,11 +348,11 @@ def _unpack(data: bytes) -> tuple[pa.Array, np.ndarray]:
 def _pack_grams(gram: np.ndarray, count: np.ndarray) -> bytes:
     """Sorted grams as differences, by planes of bytes, which pack well."""
     planes = [np.diff(gram, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T, np.minimum(count, 0xFFFFFFFF).astype("<u4").view(np.uint8).reshape(-1, 4).T]
-    return zlib.compress(b"".join(p.tobytes() for p in planes), 1)
+    return _squeezed(b"".join(p.tobytes() for p in planes))
 
 
 def _unpack_grams(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    planes = np.frombuffer(zlib.decompress(data), np.uint8).reshape(12, -1)
+    planes = np.frombuffer(_plain(data), np.uint8).reshape(12, -1)
     return np.cumsum(np.ascontiguousarray(planes[:8].T).view("<u8").ravel()), np.ascontiguousarray(planes[8:].T).view("<u4").ravel().astype(np.int64)
 
 
@@ -411,7 +422,7 @@ def _sum_words(table: pa.Table) -> pa.Table:
     code, n = coded.indices.to_numpy(), np.concatenate([c for _, c in parts])
     total = np.bincount(code, n.astype(np.float64), len(coded.dictionary)).astype(np.int64)
     ends = np.cumsum([len(w) for w, _ in parts])
-    out = [zlib.compress(x.astype("<i8").tobytes(), 1) for x in np.split(total[code], ends[:-1])]
+    out = [_squeezed(x.astype("<i8").tobytes()) for x in np.split(total[code], ends[:-1])]
     zero = [0] * (len(out) - 1)
     return pa.Table.from_arrays(
         [pa.array([table.column("block")[0].as_py()] * len(out), pa.int64()), pa.array(chunks, pa.int64()), pa.array(out, pa.binary()), pa.array([int((total > 0).sum()), *zero], pa.int64()), pa.array([int(total.sum()), *zero], pa.int64())],
@@ -528,7 +539,7 @@ def _scored(shared: Broadcast, weights: np.ndarray, refine: np.ndarray, n_blocks
             keys.append(gram)
         own = Words(words, n_blocks)
         by_block = {b: x.as_buffer().to_pybytes() for b, x in zip(counts.column("block").to_pylist(), counts.column("payload"), strict=True)}
-        count = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(zlib.decompress(by_block[int(b)]), "<i8") for b in own.blocks)])
+        count = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(_plain(by_block[int(b)]), "<i8") for b in own.blocks)])
         logs, known = log(count), (count > 0).astype(np.int8)
         # Each distinct gram of the chunk is costed once.
         gram = np.concatenate(keys)
