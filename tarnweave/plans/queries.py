@@ -193,7 +193,11 @@ def q_sentences(s, d):
     return rows.select("doc_id", F.size("ss").cast("long").alias("n_sentences"), F.array_max(F.transform("ss", lambda x: F.length(x))).cast("long").alias("longest"), F.sha2(F.array_join("ss", "\x01"), 256).alias("sentences_sha256"))
 
 
-@query()
+@query(r"""WITH t AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x, E' \n\t\r')), lambda x: x <> '') AS ss FROM documents),
+ e AS (SELECT doc_id, ss, list_transform(ss, lambda s: CASE WHEN length(s) > 1800 THEN list_reduce(list_filter(string_split_regex(s, '\s+'), lambda w: w <> ''), lambda a, w: CASE WHEN length(split_part(a, chr(1), -1)) + 1 + length(w) <= 1800 THEN a || ' ' || w ELSE a || chr(1) || w END) || chr(2) ELSE s END) AS parts FROM t),
+ r AS (SELECT doc_id, CASE WHEN len(parts) = 0 THEN '' ELSE list_reduce(parts, lambda a, s: CASE WHEN ends_with(s, chr(2)) OR ends_with(a, chr(2)) OR length(split_part(a, chr(1), -1)) + 1 + length(s) > 1200 THEN a || chr(1) || s ELSE a || ' ' || s END) END AS packed FROM e),
+ k AS (SELECT doc_id, unnest(string_split(packed, chr(1))) AS chunk, unnest(generate_series(0, len(string_split(packed, chr(1))) - 1)) AS chunk_index FROM r WHERE packed <> '')
+ SELECT doc_id, chunk_index::BIGINT AS chunk_index, length(rtrim(chunk, chr(2)))::BIGINT AS n_chars, sha256(rtrim(chunk, chr(2))) AS chunk_sha256 FROM k""")
 def q_sentence_chunks(s, d):
     rows = table(s, d, "documents").select("doc_id", F.posexplode(chunking.sentence_chunks("text")).alias("chunk_index", "chunk"))
     return rows.select("doc_id", F.col("chunk_index").cast("long").alias("chunk_index"), F.length("chunk").cast("long").alias("n_chars"), F.sha2("chunk", 256).alias("chunk_sha256"))
@@ -672,7 +676,7 @@ def q_commands(s, d):
     return rows.select("qid", "command", "t.side", "t.value", "campus")
 
 
-@query()
+@query(f"""SELECT qid::BIGINT AS qid, {_longest('lower(question)', V.TABLE_PROGRAM_ALIASES, 99)} AS program, list_filter(regexp_extract_all(question, '\\b(\\d{{1,3}}(?:\\.\\d+)?)\\b', 1), lambda x: x::DOUBLE <= 100 AND (contains(x, '.') OR x::DOUBLE >= 50))[1]::DOUBLE AS aggregate, NULL AS category FROM {X.QUESTIONS}""")
 def q_typed_entities(s, d):
     return given(s, X.QUESTIONS).select(F.col("qid").cast("long").alias("qid"), tables.typed_program("question").alias("program"), tables.typed_aggregate("question").alias("aggregate"), tables.canonical_category("question").alias("category"))
 
