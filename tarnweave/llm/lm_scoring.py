@@ -50,7 +50,7 @@ PART = 1 << 16
 LEVELS = 5
 GATES = 8 * LEVELS * LEVELS
 STEPS = 33
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 6 << 20
 SLICE_BYTES = 1 << 20
 _DELTA = 0.25
 
@@ -252,7 +252,7 @@ class Model:
 class Costs:
     """A model's costs, with those of grams met before: a worker keeps up to KEPT of them from task to task."""
 
-    KEPT = 2_000_000
+    KEPT = 1_500_000
     last: tuple[bytes, Costs] | None = None
 
     def __init__(self, model: Model):
