@@ -50,7 +50,7 @@ PART = 1 << 16
 LEVELS = 5
 GATES = 8 * LEVELS * LEVELS
 STEPS = 33
-CHUNK_BYTES = 6 << 20
+CHUNK_BYTES = 8 << 20
 SLICE_BYTES = 1 << 20
 _DELTA = 0.25
 
@@ -117,13 +117,16 @@ def _by_context(gram: np.ndarray) -> np.ndarray:
     """An order in which equal grams stand together, and those of a context by their bytes. Places ride in the sorted numbers, which is several times as fast as an argsort; contexts whose 32-bit hashes agree may mix, which costs a look-up and nothing else."""
     if gram.size > 1 << 24:
         return np.argsort(gram)
-    key = gram >> np.uint64(8)
-    key *= np.uint64(0x9E3779B97F4A7C15)
-    key ^= key >> np.uint64(29)
-    key *= np.uint64(0xBF58476D1CE4E5B9)
-    key &= np.uint64(0xFFFFFFFF00000000)
-    key |= (gram & np.uint64(255)) << np.uint64(24)
-    key |= np.arange(gram.size, dtype=np.uint64)
+    key = np.empty_like(gram)
+    for lo in range(0, gram.size, 1 << 18):  # in parts, as memory for intermediate arrays is short
+        some, part = gram[lo : lo + (1 << 18)], key[lo : lo + (1 << 18)]
+        np.right_shift(some, np.uint64(8), out=part)
+        part *= np.uint64(0x9E3779B97F4A7C15)
+        part ^= part >> np.uint64(29)
+        part *= np.uint64(0xBF58476D1CE4E5B9)
+        part &= np.uint64(0xFFFFFFFF00000000)
+        part |= (some & np.uint64(255)) << np.uint64(24)
+        part |= np.arange(lo, lo + some.size, dtype=np.uint64)
     key.sort()
     key &= np.uint64((1 << 24) - 1)
     return key.view(np.int64)
@@ -252,7 +255,7 @@ class Model:
 class Costs:
     """A model's costs, with those of grams met before: a worker keeps up to KEPT of them from task to task."""
 
-    KEPT = 1_500_000
+    KEPT = 2_000_000
     last: tuple[bytes, Costs] | None = None
 
     def __init__(self, model: Model):
@@ -376,7 +379,9 @@ def _gathered(n_blocks: int):
             seen.append((coded.dictionary, np.bincount(coded.indices.to_numpy(), np.repeat(train, np.diff(first)).astype(np.float64), len(coded.dictionary)).astype(np.int64) if len(coded) else np.zeros(0, np.int64)))
             gram, begin = grams(raw, at)
             keys.append(gram if train.all() else gram[np.repeat(train, np.diff(begin))])
-        gram = np.sort(np.concatenate(keys))
+        gram = np.concatenate(keys)
+        del keys
+        gram.sort()
         head = _runs(gram)
         gram, count = gram[head], np.diff(np.append(head, gram.size))
         own = Words(words, n_blocks)
