@@ -1,14 +1,17 @@
 """Language-model scoring by logistic context mixing.
 
-Bits are predicted, most significant first, by six hashed contexts (the last 1 to 5 bytes, or the word so far, and the
+Bits are predicted, most significant first, by six contexts (the last 1 to 5 bytes, or the word so far, and the
 bits so far). A gate (how often the word and the last 5 bytes have been seen, and the bit's place) picks the weights that
 mix the predictions in the logistic domain, and an adaptive map refines the mixed probability. Contexts don't reach before a text, which ends
 with an end symbol, so a text's probability doesn't depend on its neighbours or on how rows are dealt to tasks.
 
-Learning sees all training rows. Chunks of them are counted into distinct 6-byte grams, summed over the corpus; from
-these come the bit counts of the hashed contexts (tables of fixed size). Weights are learned online over the grams, a
-gram's own occurrence left out of the counts that predict it, by each task over its share, and averaged; the map is
-learned likewise. Scoring costs each distinct gram of a slice once.
+Learning sees all training rows. Chunks of all rows are reduced to distinct 6-byte grams with their training counts, which
+are summed in blocks of a hash of the last three bytes before. A block holds all that its contexts of three bytes and more
+(and its words) have been followed by, so their bit counts are exact and grow with the corpus, and no table of them
+exists; the counts of one and two bytes before, whose number the alphabet bounds, have a place each and are broadcast.
+Weights are learned online over the grams, a gram's own occurrence left out of the counts that predict it, by each task
+over its share, and averaged; the map is learned likewise. Each distinct gram of the corpus is costed once, in its block;
+the costs come back to the chunks in the order of their grams.
 
 The base is a unigram model with exact counts: tokens travel as each chunk's distinct words in blocks of a hash, and the
 counts come back in the same order, so what is shuffled is each chunk's vocabulary, not its tokens.
@@ -20,9 +23,7 @@ empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
-import uuid
-import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,16 +38,10 @@ REACH = 5
 WORD = 6
 ORDERS = (1, 2, 3, 4, REACH, WORD)
 END = 255  # no byte of UTF-8
-#: Binary logarithm of each order's table: the bound that a broadcast keeps to. Fewer grams have smaller tables.
+#: Binary logarithm of each order's table in a model of hashed tables; the corpus model has none (see Block).
 TABLE_BITS = {1: 16, 2: 20, 3: 21, 4: 22, 5: 22, WORD: 22}
-
-
-def table_bits(n_grams: int) -> dict[int, int]:
-    """Bits of each order's table for so many distinct grams: room for two entries of each, 16 bits at least."""
-    return {order: min(most, max(16, (2 * n_grams).bit_length())) for order, most in TABLE_BITS.items()}
-
-
-PART = 1 << 16
+#: Grams of a block that are handled at a time; those of one context of three bytes stay together.
+UNIT = 1 << 18
 LEVELS = 5
 GATES = 8 * LEVELS * LEVELS
 STEPS = 33
@@ -146,8 +141,8 @@ def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarra
 # -- the model ---------------------------------------------------------------
 
 
-def _contexts(order: int, gram: np.ndarray) -> np.ndarray:
-    """Hashes of the order's contexts."""
+def _context(order: int, gram: np.ndarray) -> np.ndarray:
+    """The order's contexts as numbers."""
     context = gram >> np.uint64(8)
     if order == WORD:  # with nothing before reach, the bytes from the last white space on
         short = gram >> np.uint64(48) == 0
@@ -157,7 +152,12 @@ def _contexts(order: int, gram: np.ndarray) -> np.ndarray:
             short &= ~blank
     else:
         context &= np.uint64((1 << 8 * order) - 1)
-    return mixed(context * np.uint64(8) + np.uint64(order))
+    return context
+
+
+def _contexts(order: int, gram: np.ndarray) -> np.ndarray:
+    """Hashes of the order's contexts."""
+    return mixed(_context(order, gram) * np.uint64(8) + np.uint64(order))
 
 
 def _slots(context: np.ndarray, node: np.ndarray, bits: int) -> np.ndarray:
@@ -170,31 +170,68 @@ def _nodes(byte: np.ndarray, j: int) -> np.ndarray:
     return ((byte | np.uint64(256)) >> np.uint64(8 - j)) * np.uint64(0x9E3779B97F4A7C15)
 
 
+def _packed(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
+    """Two counts in a byte each, both divided where one is larger."""
+    n = np.stack([n0, n1], 1).astype(np.float64)
+    small = np.where(n > 0, np.maximum(1, np.floor(n / np.maximum(1, n.max(1, keepdims=True) / 255))), 0).astype(np.uint8)
+    return small.view("<u2").ravel()
+
+
+def _bit_counts(key: np.ndarray, count: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each bit of the last bytes of sorted keys: where what precedes it changes, and the packed counts of the bit there."""
+    for j in range(8):
+        head = _runs(key >> np.uint64(8 - j))
+        ones = np.add.reduceat(count * ((key >> np.uint64(7 - j)) & np.uint64(1)).astype(np.int64), head)
+        yield head, _packed(np.add.reduceat(count, head) - ones, ones)
+
+
+def _place_of(key: np.ndarray, j: int) -> np.ndarray:
+    """Places of contexts of one or two bytes and the first j bits of the byte behind: each has its own."""
+    return ((key & ~np.uint64(255)) | ((key & np.uint64(255) | np.uint64(256)) >> np.uint64(8 - j))).view(np.int64)
+
+
+def low_orders(key: np.ndarray, count: np.ndarray) -> dict[int, np.ndarray]:
+    """Packed bit counts of the contexts of one and two bytes, from counts of three bytes in a row."""
+    out = {}
+    for order in (1, 2):
+        k, c = _summed([key & np.uint64((1 << 8 * (order + 1)) - 1)], [count])
+        out[order] = np.zeros(1 << 8 * (order + 1), "<u2")
+        for j, (head, code) in enumerate(_bit_counts(k, c) if k.size else ()):
+            out[order][_place_of(k[head], j)] = code
+    return out
+
+
 class Model:
     """tables[order]: (slots, 2) bit counts of a byte each; weights (gates, inputs); refine (gates, steps): log odds of the adaptive map."""
 
     def __init__(self, tables: dict[int, np.ndarray], weights: np.ndarray | None = None, refine: np.ndarray | None = None):
-        self.tables = tables
         self.codes = {order: t.view("<u2").ravel() for order, t in tables.items()}
-        self.bits = {order: len(t).bit_length() - 1 for order, t in tables.items()}
         self.weights = np.full((GATES, len(ORDERS) + 1), 0.3, np.float32) if weights is None else weights
         if weights is None:
             self.weights[:, -1] = 0
         self.refine = refine
-        self.quick = None
 
-    def inputs(self, gram: np.ndarray, count: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-        """For each bit: the predictions as log odds (n, inputs), the gate, the bit, its count; one occurrence of the bit itself is left out of its counts. Neighbours that agree up to the bit are one row."""
+    def finder(self, gram: np.ndarray, at: np.ndarray) -> Callable[[int, np.ndarray], list[np.ndarray]]:
+        """What gives each order's packed counts for a bit and some of the grams, which have the places `at` in the model."""
         contexts = [_contexts(order, gram) for order in ORDERS]
+
+        def found(j: int, head: np.ndarray) -> list[np.ndarray]:
+            node = _nodes(gram[head] & np.uint64(255), j)
+            return [self.codes[order][_slots(c[head], node, self.codes[order].size.bit_length() - 1)] for order, c in zip(ORDERS, contexts, strict=True)]
+
+        return found
+
+    def inputs(self, gram: np.ndarray, count: np.ndarray, at: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """For each bit: the predictions as log odds (n, inputs), the gate, the bit, its count; one occurrence of the bit itself is left out of its counts. Neighbours that agree up to the bit are one row."""
+        found = self.finder(gram, at)
         for j in range(8):
             head = _runs(gram >> np.uint64(7 - j))
-            byte = gram[head] & np.uint64(255)
-            node, bit = _nodes(byte, j), ((byte >> np.uint64(7 - j)) & np.uint64(1)).astype(np.int64)
+            bit = ((gram[head] >> np.uint64(7 - j)) & np.uint64(1)).astype(np.int64)
             x = np.ones((head.size, len(ORDERS) + 1), np.float32)
             level = []
             upper = bit << 16
-            for k, order in enumerate(ORDERS):
-                code = self.codes[order][_slots(contexts[k][head], node, self.bits[order])] + upper
+            for k, code in enumerate(found(j, head)):
+                code = code + upper
                 x[:, k] = _LEFT_ODDS[code]
                 level.append(_LEFT_SEEN[code])
             yield x, (j * LEVELS + level[-1].astype(np.int64)) * LEVELS + level[-2], bit, np.add.reduceat(count, head)
@@ -204,11 +241,12 @@ class Model:
 
     def learn(self, gram: np.ndarray, count: np.ndarray, rate: float, batch: int = 16, group: int = 256) -> None:
         """Online steps over batches of groups of neighbouring grams, in an order that doesn't depend on their bytes, each gram weighed by its count."""
-        order = np.random.default_rng(gram.size).permutation(-(-gram.size // group)) * group
+        some = np.flatnonzero(count)
+        order = np.random.default_rng(some.size).permutation(-(-some.size // group)) * group
         for lo in range(0, order.size, batch):
             index = (order[lo : lo + batch, None] + np.arange(group)).ravel()
-            index = index[index < gram.size]
-            for x, gate, bit, w in self.inputs(gram[index], count[index].astype(np.float64)):
+            index = some[index[index < some.size]]
+            for x, gate, bit, w in self.inputs(gram[index], count[index].astype(np.float64), index):
                 error = (bit - 1 / (1 + np.exp(-self.mix(x, gate)))) * w
                 place = (gate[:, None] * x.shape[1] + np.arange(x.shape[1])).ravel()
                 push, bend = (np.bincount(place, v.ravel(), self.weights.size).reshape(self.weights.shape) for v in (error[:, None] * x, w[:, None] * x * x))
@@ -224,27 +262,21 @@ class Model:
 
     def costs(self, gram: np.ndarray, batch: int = 1 << 14) -> np.ndarray:
         """log10 of the probability of each gram's last byte after the others."""
-        if self.quick is None:
-            self.quick = {order: _ODDS[c] for order, c in self.codes.items()}, {order: _SEEN[self.codes[order]] for order in ORDERS[-2:]}
-        odds, seen = self.quick
         weights = np.ascontiguousarray(self.weights.T)
         out = np.zeros(gram.size)
         for lo in range(0, gram.size, batch):
             part = gram[lo : lo + batch]
-            # Neighbours that agree up to a bit share its cost: grams are sorted.
-            context = _runs(part >> np.uint64(8))
-            spread = np.diff(np.append(context, part.size))
-            contexts = [np.repeat(_contexts(order, part[context]), spread) for order in ORDERS]
+            found = self.finder(part, np.arange(lo, lo + part.size))
             total = np.zeros(part.size, np.float32)
             for j in range(8):
+                # Neighbours that agree up to a bit share its cost: grams are sorted.
                 head = _runs(part >> np.uint64(7 - j))
-                byte = part[head] & np.uint64(255)
-                node, bit = _nodes(byte, j), ((byte >> np.uint64(7 - j)) & np.uint64(1)).astype(bool)
-                slots = [_slots(c[head], node, self.bits[order]) for c, order in zip(contexts, ORDERS, strict=True)]
-                gate = (j * LEVELS + seen[ORDERS[-1]][slots[-1]].astype(np.int64)) * LEVELS + seen[ORDERS[-2]][slots[-2]]
+                bit = ((part[head] >> np.uint64(7 - j)) & np.uint64(1)).astype(bool)
+                codes = found(j, head)
+                gate = (j * LEVELS + _SEEN[codes[-1]].astype(np.int64)) * LEVELS + _SEEN[codes[-2]]
                 z = np.zeros(head.size, np.float32)
-                for k, order in enumerate(ORDERS):
-                    z += weights[k][gate] * odds[order][slots[k]]
+                for k, code in enumerate(codes):
+                    z += weights[k][gate] * _ODDS[code]
                 z = np.clip(z / 16 + weights[-1][gate], -12, 12)
                 z = self.refined(z, gate)
                 total -= np.repeat(np.log1p(np.exp(np.where(bit, -z, z))), np.diff(np.append(head, part.size)))
@@ -252,39 +284,42 @@ class Model:
         return out / np.log(10)
 
 
-class Costs:
-    """A model's costs, with those of grams met before: a worker keeps up to KEPT of them from task to task."""
-
-    KEPT = 2_000_000
-    last: tuple[bytes, Costs] | None = None
+class Block(Model):
+    """The model for given grams (sorted, distinct) that are all there are of their contexts of three bytes: bit counts are exact, none is shared with another context."""
+
+    def __init__(self, gram: np.ndarray, count: np.ndarray, low: dict[int, np.ndarray], weights: np.ndarray | None = None, refine: np.ndarray | None = None):
+        super().__init__({}, weights, refine)
+        self.found = np.empty((8, len(ORDERS), gram.size), "<u2")
+        for k, order in enumerate(ORDERS):
+            if order in low:
+                self._take(k, slice(None), low[order], gram & np.uint64((1 << 8 * (order + 1)) - 1))
+                continue
+            key = _context(order, gram) << np.uint64(8) | gram & np.uint64(255)
+            at = np.argsort(key)
+            for j, (head, code) in enumerate(_bit_counts(key[at], count[at])):
+                self.found[j, k, at] = np.repeat(code, np.diff(np.append(head, gram.size)))
+        # Words of which less than two bytes are there may stand in other blocks as well: they are contexts of low order.
+        last, second = (~SPACED[((gram >> np.uint64(8 * d)) & np.uint64(255)).astype(np.uint8)] for d in (1, 2))
+        for order, short in ((1, last), (2, second & ~last)):
+            at = np.flatnonzero(short)
+            self._take(ORDERS.index(WORD), at, low[order], gram[at] & np.uint64((1 << 8 * (order + 1)) - 1))
+
+    def _take(self, k: int, at: slice | np.ndarray, codes: np.ndarray, key: np.ndarray) -> None:
+        for j in range(8):
+            self.found[j, k, at] = codes[_place_of(key, j)]
 
-    def __init__(self, model: Model):
-        self.model, self.gram, self.cost = model, np.zeros(0, np.uint64), np.zeros(0, np.float32)
+    def finder(self, gram: np.ndarray, at: np.ndarray) -> Callable[[int, np.ndarray], list[np.ndarray]]:
+        return lambda j, head: list(self.found[j][:, at[head]])
 
-    @classmethod
-    def of(cls, name: bytes, tables: dict[int, np.ndarray], weights: np.ndarray, refine: np.ndarray) -> Costs:
-        """This worker's costs of the model of that name."""
-        if cls.last is None or cls.last[0] != name:
-            cls.last = name, cls(Model(tables, weights, refine))
-        return cls.last[1]
 
-    def __call__(self, gram: np.ndarray) -> np.ndarray:
-        order = np.argsort(gram)
-        gram = gram[order]
-        out = np.empty(gram.size, np.float32)
-        at = np.searchsorted(self.gram, gram)
-        known = at < self.gram.size
-        known[known] = self.gram[at[known]] == gram[known]
-        out[known] = self.cost[at[known]]
-        new = np.flatnonzero(~known)
-        out[new] = self.model.costs(gram[new])
-        if new.size and self.gram.size + new.size <= self.KEPT:
-            first = new[_runs(gram[new])]
-            self.cost = np.insert(self.cost, at[first], out[first])
-            self.gram = np.insert(self.gram, at[first], gram[first])
-        back = np.empty(gram.size, np.float32)
-        back[order] = out
-        return back
+def _units(gram: np.ndarray) -> Iterator[np.ndarray]:
+    """A block's grams in parts of about UNIT, as sorted places; a context of three bytes is in one part."""
+    last = (gram >> np.uint64(8)) & np.uint64(0xFFFFFF)
+    order = np.argsort(last, kind="stable")
+    head = _runs(last[order])
+    first = head[np.flatnonzero(np.diff(head // UNIT, prepend=-1))]
+    for lo, hi in zip(first, np.append(first[1:], gram.size), strict=True):
+        yield np.sort(order[lo:hi])
 
 
 # -- words -------------------------------------------------------------------
@@ -362,11 +397,19 @@ def _unpack_grams(data: bytes) -> tuple[np.ndarray, np.ndarray]:
 # -- the passes ----------------------------------------------------------------
 
 
+def _blocks(gram: np.ndarray, n_blocks: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """An order of sorted grams by blocks, the blocks, and where each begins and the last ends. Blocks go by the last three bytes before: what longer contexts count lies in one block then."""
+    block = (mixed((gram >> np.uint64(8)) & np.uint64(0xFFFFFF)) % np.uint64(n_blocks)).astype(np.int64)
+    order = np.argsort(block, kind="stable")
+    which, first = np.unique(block[order], return_index=True)
+    return order, which, np.append(first, gram.size)
+
+
 def _gathered(n_blocks: int):
-    """For a chunk: its training grams (kind 0) and all its distinct words with their training counts (kind 1), by block."""
+    """For a chunk: all its distinct grams with their training counts (kind 0) and all its distinct words with their training counts (kind 1), by block."""
 
     def run(table: pa.Table) -> pa.Table:
-        keys, words, seen = [], [], []
+        keys, others, words, seen = [], [], [], []
         ends, chunk = 0, table.column("chunk")[0].as_py()
         for part in _slices(table):
             train = part.column(3).to_numpy(zero_copy_only=False)
@@ -378,12 +421,17 @@ def _gathered(n_blocks: int):
             words.append(coded.dictionary)
             seen.append((coded.dictionary, np.bincount(coded.indices.to_numpy(), np.repeat(train, np.diff(first)).astype(np.float64), len(coded.dictionary)).astype(np.int64) if len(coded) else np.zeros(0, np.int64)))
             gram, begin = grams(raw, at)
-            keys.append(gram if train.all() else gram[np.repeat(train, np.diff(begin))])
+            learnt = np.repeat(train, np.diff(begin))
+            keys.append(gram[learnt])
+            others.append(gram[~learnt])
         gram = np.concatenate(keys)
         del keys
         gram.sort()
         head = _runs(gram)
         gram, count = gram[head], np.diff(np.append(head, gram.size))
+        more = np.unique(np.concatenate(others))
+        del others
+        gram, count = _summed([gram, more], [count, np.zeros(more.size, np.int64)])
         own = Words(words, n_blocks)
         total = np.zeros(len(own.words), np.int64)
         for w, n in seen:
@@ -391,14 +439,10 @@ def _gathered(n_blocks: int):
         rows = [(1, int(b), chunk, _pack(own.words.slice(lo, hi - lo), total[lo:hi])) for b, lo, hi in zip(own.blocks, own.first[:-1], own.first[1:], strict=True)]
         if ends:
             rows.append((2, -1, chunk, np.array([ends], "<i8").tobytes()))
-        # By the last three bytes before: what longer contexts count lies in one block then.
-        block = (mixed((gram >> np.uint64(8)) & np.uint64(0xFFFFFF)) % np.uint64(n_blocks)).astype(np.int64)
-        order = np.argsort(block, kind="stable")
-        gram, count, block = gram[order], count[order], block[order]
-        which, first = np.unique(block, return_index=True)
-        for b, lo, hi in zip(which, first, np.append(first, gram.size)[1:], strict=True):
-            for at in range(lo, hi, 1 << 20):
-                rows.append((0, int(b), chunk, _pack_grams(gram[at : min(hi, at + (1 << 20))], count[at : min(hi, at + (1 << 20))])))
+        order, which, first = _blocks(gram, n_blocks)
+        gram, count = gram[order], count[order]
+        for b, lo, hi in zip(which, first[:-1], first[1:], strict=True):
+            rows.append((0, int(b), chunk, _pack_grams(gram[lo:hi], count[lo:hi])))
         return pa.Table.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True) if rows else ([],) * 4, (pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["kind", "block", "chunk", "payload"])
 
     return run
@@ -414,9 +458,7 @@ def _sum_grams(table: pa.Table) -> pa.Table:
             k, c = _summed(keys, counts)
             keys, counts = [k], [c]
     k, c = _summed(keys, counts)
-    cuts = range(0, k.size, 1 << 20)
-    parts = [_pack_grams(k[at : at + (1 << 20)], c[at : at + (1 << 20)]) for at in cuts]
-    return pa.Table.from_arrays([pa.array(parts, pa.binary()), pa.array([min(1 << 20, k.size - at) for at in cuts], pa.int64())], ["payload", "n"])
+    return pa.Table.from_arrays([table.column("block")[:1].combine_chunks(), pa.array([_pack_grams(k, c)], pa.binary())], ["block", "payload"])
 
 
 def _sum_words(table: pa.Table) -> pa.Table:
@@ -435,80 +477,57 @@ def _sum_words(table: pa.Table) -> pa.Table:
     )
 
 
-def _bit_counts(bits: dict[int, int]):
-    """From grams to the orders' tables in parts: (order, part, payload of slots and their two counts)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [_unpack_grams(x.as_buffer().to_pybytes()) for b in batches for x in b.column(0)]
-        if not held:
-            return
-        gram, count = (np.concatenate(x) for x in zip(*held, strict=True))
-        byte = gram & np.uint64(255)
-        for order in ORDERS:
-            size, context, n = 1 << bits[order], _contexts(order, gram), 0
-            for j in range(8):
-                both = _slots(context, _nodes(byte, j), bits[order]) * 2 + ((byte >> np.uint64(7 - j)) & np.uint64(1)).astype(np.int64)
-                n = n + np.bincount(both, count, 2 * size)
-            n = n.reshape(-1, 2)
-            some = np.flatnonzero(n.any(1))
-            cut = np.searchsorted(some, np.arange(0, size + PART, PART))
-            rows = [(order, p, zlib.compress(some[a:b].astype("<u4").tobytes() + np.minimum(n[some[a:b]], 0xFFFFFFFF).astype("<u4").tobytes(), 1)) for p, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if b > a]
-            for lo in range(0, len(rows), 16):
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows[lo : lo + 16], strict=True), (pa.int32(), pa.int32(), pa.binary()), strict=True)], ["order", "part", "payload"])
-
-    return run
+def _triples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Training counts of a byte and the two before it."""
+    for gram, count in _held(batches):
+        k, n = _summed([gram & np.uint64(0xFFFFFF)], [count])
+        yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(n)], ["key", "n"])
 
 
-def _sum_bits(table: pa.Table) -> pa.Table:
-    """A table's part: counts of a byte each, both divided where one is larger."""
-    n = np.zeros((PART, 2))
-    for x in table.column("payload"):
-        data = zlib.decompress(x.as_buffer().to_pybytes())
-        k = len(data) // 12
-        n[np.frombuffer(data, "<u4", k) % PART] += np.frombuffer(data, "<u4", 2 * k, 4 * k).reshape(-1, 2)
-    small = np.where(n > 0, np.maximum(1, np.floor(n / np.maximum(1, n.max(1, keepdims=True) / 255))), 0).astype(np.uint8)
-    return pa.Table.from_arrays([table.column("order")[:1].combine_chunks(), table.column("part")[:1].combine_chunks(), pa.array([zlib.compress(small.tobytes(), 1)], pa.binary())], ["order", "part", "payload"])
+def _held(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The grams of each block and their counts."""
+    for b in batches:
+        for data in b.column("payload"):
+            yield _unpack_grams(data.as_buffer().to_pybytes())
 
 
 def fit(grams_table: DataFrame, rounds: int = 1, rate: float = 0.4) -> tuple[Broadcast, np.ndarray, np.ndarray]:
-    """The model of a table of summed grams: its tables, broadcast, its weights and its map. What comes to the driver has a fixed size."""
+    """The model of a table of blocks of grams: the counts of low orders, broadcast, its weights and its map. What comes to the driver has a fixed size (at most 2**24 counts of three bytes in a row)."""
     sc = grams_table.sparkSession.sparkContext
-    n_grams = grams_table.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    bits = table_bits(int(n_grams))
-    parts = saved(grams_table.mapInArrow(_bit_counts(bits), "order int, part int, payload binary").groupBy("order", "part").applyInArrow(_sum_bits, "order int, part int, payload binary"), "lm-tables")
-    tables = {order: np.zeros((1 << bits[order], 2), np.uint8) for order in ORDERS}
-    for row in parts.toLocalIterator():
-        tables[row.order][row.part * PART : (row.part + 1) * PART] = np.frombuffer(zlib.decompress(row.payload), np.uint8).reshape(-1, 2)
-    free(parts)
-    model, shared = Model(tables), sc.broadcast(tables)
-
-    def weights_of(start: np.ndarray):
+    triples = grams_table.mapInArrow(_triples, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where("n > 0").toArrow()
+    low = low_orders(triples.column("key").to_numpy().view(np.uint64), triples.column("n").to_numpy())
+    del triples
+    start, shared = Block(np.zeros(0, np.uint64), np.zeros(0, np.int64), low).weights, sc.broadcast(low)
+    del low
+
+    def weights_of(weights: np.ndarray):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            own, total = Model(shared.value, start.copy()), 0
-            for b in batches:
-                for x in b.column(0):
-                    gram, count = _unpack_grams(x.as_buffer().to_pybytes())
-                    own.learn(gram, count, rate)
-                    total += int(count.sum())
+            now, total = weights.copy(), 0
+            for gram, count in _held(batches):
+                for at in _units(gram):
+                    Block(gram[at], count[at], shared.value, now).learn(gram[at], count[at], rate)
+                total += int(count.sum())
             if total:
-                yield pa.RecordBatch.from_arrays([pa.array([total]), pa.array([own.weights.astype("<f4").tobytes()], pa.binary())], ["total", "weights"])
+                yield pa.RecordBatch.from_arrays([pa.array([total]), pa.array([now.astype("<f4").tobytes()], pa.binary())], ["total", "weights"])
 
         return run
 
     for _ in range(rounds):
-        got = grams_table.mapInArrow(weights_of(model.weights), "total long, weights binary").collect()
+        got = grams_table.mapInArrow(weights_of(start), "total long, weights binary").collect()
         if got:
             mean = sum(np.frombuffer(r.weights, "<f4").astype(np.float64) * r.total for r in sorted(got, key=lambda r: r.weights)) / sum(r.total for r in got)
-            model.weights = mean.reshape(model.weights.shape).astype(np.float32)
-    weights = model.weights
+            start = mean.reshape(start.shape).astype(np.float32)
+    weights = start
 
     def refine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, n = Model(shared.value, weights), np.zeros(GATES * STEPS * 2)
-        for b in batches:
-            for data in b.column(0):
-                gram, count = _unpack_grams(data.as_buffer().to_pybytes())
-                for lo in range(0, gram.size, 1 << 14):
-                    for x, gate, bit, w in own.inputs(gram[lo : lo + (1 << 14)], count[lo : lo + (1 << 14)].astype(np.float64)):
+        n = np.zeros(GATES * STEPS * 2)
+        for gram, count in _held(batches):
+            for unit in _units(gram):
+                own, part, w_of = Block(gram[unit], count[unit], shared.value, weights), gram[unit], count[unit].astype(np.float64)
+                some = np.flatnonzero(w_of)
+                for lo in range(0, some.size, 1 << 14):
+                    at = some[lo : lo + (1 << 14)]
+                    for x, gate, bit, w in own.inputs(part[at], w_of[at], at):
                         n += np.bincount((gate * STEPS + own.step(own.mix(x, gate))) * 2 + bit, w, n.size)
         some = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(n[some])], ["place", "n"])
@@ -519,18 +538,28 @@ def fit(grams_table: DataFrame, rounds: int = 1, rate: float = 0.4) -> tuple[Bro
     n = n.reshape(GATES, STEPS, 2)
     mid = (np.arange(STEPS) - STEPS // 2) / 2
     p = 1 / (1 + np.exp(-mid))
-    model.refine = np.log((n[..., 1] + 20 * p) / (n[..., 0] + 20 * (1 - p))).astype(np.float32)
-    free(grams_table)
-    return shared, model.weights, model.refine
+    return shared, weights, np.log((n[..., 1] + 20 * p) / (n[..., 0] + 20 * (1 - p))).astype(np.float32)
 
 
-_SCORED = "id {}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long"
+def _costs(shared: Broadcast, weights: np.ndarray, refine: np.ndarray):
+    """For a block: the costs of each chunk's grams, in their order."""
 
+    def run(summed: pa.Table, chunks: pa.Table) -> pa.Table:
+        ((gram, count),) = _held(summed.to_batches())
+        cost = np.zeros(gram.size, np.float32)
+        for at in _units(gram):
+            cost[at] = Block(gram[at], count[at], shared.value, weights, refine).costs(gram[at])
+        out = [_squeezed(cost[np.searchsorted(gram, own)].astype("<f4").tobytes()) for own, _ in _held(chunks.to_batches())]
+        return pa.Table.from_arrays([pa.array([0] * len(out), pa.int32()), chunks.column("block"), chunks.column("chunk"), pa.array(out, pa.binary())], ["kind", "block", "chunk", "payload"])
+
+    return run
+
+
+_SCORED = "id {}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long"
 
-def _scored(shared: Broadcast, weights: np.ndarray, refine: np.ndarray, n_blocks: int, n: int, v: int, ends: int):
-    name = uuid.uuid4().bytes
 
-    def run(docs: pa.Table, counts: pa.Table) -> pa.Table:
+def _scored(n_blocks: int, n: int, v: int, ends: int):
+    def run(docs: pa.Table, back: pa.Table) -> pa.Table:
         log = lambda c: np.log10((c + 0.5) / (n + 0.5 * (v + 1)))
         held, words, keys = [], [], []
         for part in _slices(docs):
@@ -543,18 +572,23 @@ def _scored(shared: Broadcast, weights: np.ndarray, refine: np.ndarray, n_blocks
             words.append(coded.dictionary)
             keys.append(gram)
         own = Words(words, n_blocks)
-        by_block = {b: x.as_buffer().to_pybytes() for b, x in zip(counts.column("block").to_pylist(), counts.column("payload"), strict=True)}
-        count = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(_plain(by_block[int(b)]), "<i8") for b in own.blocks)])
+        found = {(k, b): x.as_buffer() for k, b, x in zip(back.column("kind").to_pylist(), back.column("block").to_pylist(), back.column("payload"), strict=True)}
+        given = lambda kind, blocks, dtype: np.concatenate([np.zeros(0, dtype), *(np.frombuffer(_plain(found[kind, int(b)].to_pybytes()), dtype) for b in blocks)])
+        count = given(1, own.blocks, "<i8")
         logs, known = log(count), (count > 0).astype(np.int8)
-        # Each distinct gram of the chunk is costed once.
+        # The costs of the chunk's distinct grams come in the order in which they were gathered.
         gram = np.concatenate(keys)
         sizes = np.cumsum([k.size for k in keys])
         del keys
         order = _by_context(gram)
         gram = gram[order]
         head = _runs(gram)
+        distinct, which = np.unique(gram[head], return_inverse=True)
+        by_block, blocks, _ = _blocks(distinct, n_blocks)
+        each = np.empty(distinct.size, np.float32)
+        each[by_block] = given(0, blocks, "<f4")
         cost = np.empty(gram.size, np.float32)
-        cost[order] = np.repeat(Costs.of(name, shared.value, weights, refine)(gram[head]), np.diff(np.append(head, gram.size)))
+        cost[order] = np.repeat(each[which], np.diff(np.append(head, gram.size)))
         del gram, order
         out = []
         for (ids, tested, size, first, code, begin), dictionary, own_cost in zip(held, words, np.split(cost, sizes[:-1]), strict=True):
@@ -575,12 +609,15 @@ def lm_scores(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_co
     n_blocks = int(np.ceil(4 * n_chunks ** (2 / 3)))
     rows = docs.select(F.pmod(F.xxhash64(id_col, F.octet_length(text_col)), F.lit(n_chunks)).alias("chunk"), F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.coalesce(~held_out, F.lit(False)).alias("train"))
     gathered = saved(rows.groupBy("chunk").applyInArrow(_gathered(n_blocks), "kind int, block long, chunk long, payload binary"), "lm-gathered")
-    summed = saved(gathered.where("kind = 0").groupBy("block").applyInArrow(_sum_grams, "payload binary, n long"), "lm-grams")
+    summed = saved(gathered.where("kind = 0").groupBy("block").applyInArrow(_sum_grams, "block long, payload binary"), "lm-grams")
     counts = saved(gathered.where("kind = 1").groupBy("block").applyInArrow(_sum_words, "block long, chunk long, payload binary, n_words long, n_tokens long"), "lm-words")
     v, n = counts.agg(F.coalesce(F.sum("n_words"), F.lit(0)), F.coalesce(F.sum("n_tokens"), F.lit(0))).first()
     ends = sum(int(np.frombuffer(r.payload, "<i8")[0]) for r in gathered.where("kind = 2").select("payload").toLocalIterator())
     n, v = n + ends, v + int(ends > 0)
-    free(gathered)
+    costs = summed.groupBy("block").cogroup(gathered.where("kind = 0").select("block", "chunk", "payload").groupBy("block"))
+    costs = saved(costs.applyInArrow(_costs(*fit(summed)), "kind int, block long, chunk long, payload binary"), "lm-costs")
+    free(gathered, summed)
+    back = costs.unionByName(counts.select(F.lit(1).alias("kind"), "block", "chunk", "payload"))
     kind = docs.schema[id_col].dataType.simpleString()
-    out = rows.groupBy("chunk").cogroup(counts.groupBy("chunk")).applyInArrow(_scored(*fit(summed), n_blocks, n, v, ends), _SCORED.format(kind))
+    out = rows.groupBy("chunk").cogroup(back.groupBy("chunk")).applyInArrow(_scored(n_blocks, n, v, ends), _SCORED.format(kind))
     return out.withColumnRenamed("id", id_col).withColumn("bits_per_byte", -F.col("score") * float(np.log2(10)) / (F.col("n_bytes") + 1))

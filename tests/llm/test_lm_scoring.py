@@ -8,6 +8,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from tarnweave.llm import lm_scoring
 from tarnweave.llm.lm_scoring import Model, TABLE_BITS, grams, lm_scores
 from tarnweave.llm.shared import lowered, text_bytes
 
@@ -75,3 +76,36 @@ def test_nothing(docs, no_docs):
     rows = lm_scores(docs, F.lit(True)).collect()
     assert {r.train_tokens for r in rows} == {0} and {r.n_known for r in rows} == {0} and {r.base_score for r in rows} == {0.0}
     assert lowered(np.zeros(0, np.uint8)).size == 0
+
+
+def test_counts_are_exact_in_every_block(monkeypatch):
+    """Packed counts of each order, of grams dealt to blocks and to parts of them, against a dictionary: no two contexts share a count."""
+    monkeypatch.setattr(lm_scoring, "UNIT", 50)
+    r = np.random.default_rng(2)
+    texts = ["".join(r.choice(list("aabbc  \té")) for _ in range(60)).encode() for _ in range(60)] + [b"", b"a", b" b"]
+    every, _ = grams(*text_bytes(pa.array(texts, pa.large_binary())))
+    gram = np.unique(every)
+    count = np.where(r.random(gram.size) < 0.2, 0, r.integers(1, 300, gram.size))
+    low = lm_scoring.low_orders(gram & np.uint64(0xFFFFFF), count)
+    want = Counter()
+    context = {order: lm_scoring._context(order, gram).tolist() for order in lm_scoring.ORDERS}
+    for k, (g, c) in enumerate(zip(gram.tolist(), count.tolist(), strict=True)):
+        for order in lm_scoring.ORDERS:
+            for j in range(8):
+                want[order, context[order][k], j, (g & 255) >> (8 - j), g >> (7 - j) & 1] += c
+    seen = 0
+    by_block, _, first = lm_scoring._blocks(gram, 3)
+    for lo, hi in zip(first[:-1], first[1:], strict=True):
+        own = by_block[lo:hi]
+        for at in lm_scoring._units(gram[own]):
+            at = own[at]
+            model = lm_scoring.Block(gram[at], count[at], low)
+            for j in range(8):
+                for order, codes in zip(lm_scoring.ORDERS, model.finder(gram[at], np.arange(at.size))(j, np.arange(at.size)), strict=True):
+                    for k, code in zip(at.tolist(), codes.tolist(), strict=True):
+                        n = [want[order, context[order][k], j, (int(gram[k]) & 255) >> (8 - j), b] for b in (0, 1)]
+                        if max(n) > 255:
+                            n = [max(1, int(x / (max(n) / 255))) if x else 0 for x in n]
+                        assert [code & 255, code >> 8] == n
+            seen += at.size
+    assert seen == gram.size
