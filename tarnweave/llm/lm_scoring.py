@@ -362,11 +362,11 @@ def _slices(table: pa.Table) -> Iterator[pa.RecordBatch]:
 
 
 def _squeezed(data: bytes) -> bytes:
-    return len(data).to_bytes(8, "little") + pa.compress(data, codec="lz4", asbytes=True)
+    return len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
 
 
 def _plain(data: bytes) -> bytes:
-    return pa.decompress(data[8:], int.from_bytes(data[:8], "little"), codec="lz4", asbytes=True)
+    return pa.decompress(data[8:], int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True)
 
 
 def _pack(words: pa.Array, counts: np.ndarray) -> bytes:
@@ -394,6 +394,14 @@ def _unpack_grams(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.cumsum(np.ascontiguousarray(planes[:8].T).view("<u8").ravel()), np.ascontiguousarray(planes[8:].T).view("<u4").ravel().astype(np.int64)
 
 
+def _pack_costs(cost: np.ndarray) -> bytes:
+    return _squeezed(cost.astype("<f4").view(np.uint8).reshape(-1, 4).T.tobytes())
+
+
+def _unpack_costs(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(_plain(data), np.uint8).reshape(4, -1).T).view("<f4").ravel()
+
+
 # -- the passes ----------------------------------------------------------------
 
 
@@ -491,7 +499,7 @@ def _held(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.nd
             yield _unpack_grams(data.as_buffer().to_pybytes())
 
 
-def fit(grams_table: DataFrame, rounds: int = 1, rate: float = 0.4) -> tuple[Broadcast, np.ndarray, np.ndarray]:
+def fit(grams_table: DataFrame, rounds: int = 2, rate: float = 0.4) -> tuple[Broadcast, np.ndarray, np.ndarray]:
     """The model of a table of blocks of grams: the counts of low orders, broadcast, its weights and its map. What comes to the driver has a fixed size (at most 2**24 counts of three bytes in a row)."""
     sc = grams_table.sparkSession.sparkContext
     triples = grams_table.mapInArrow(_triples, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where("n > 0").toArrow()
@@ -549,7 +557,7 @@ def _costs(shared: Broadcast, weights: np.ndarray, refine: np.ndarray):
         cost = np.zeros(gram.size, np.float32)
         for at in _units(gram):
             cost[at] = Block(gram[at], count[at], shared.value, weights, refine).costs(gram[at])
-        out = [_squeezed(cost[np.searchsorted(gram, own)].astype("<f4").tobytes()) for own, _ in _held(chunks.to_batches())]
+        out = [_pack_costs(cost[np.searchsorted(gram, own)]) for own, _ in _held(chunks.to_batches())]
         return pa.Table.from_arrays([pa.array([0] * len(out), pa.int32()), chunks.column("block"), chunks.column("chunk"), pa.array(out, pa.binary())], ["kind", "block", "chunk", "payload"])
 
     return run
@@ -573,8 +581,8 @@ def _scored(n_blocks: int, n: int, v: int, ends: int):
             keys.append(gram)
         own = Words(words, n_blocks)
         found = {(k, b): x.as_buffer() for k, b, x in zip(back.column("kind").to_pylist(), back.column("block").to_pylist(), back.column("payload"), strict=True)}
-        given = lambda kind, blocks, dtype: np.concatenate([np.zeros(0, dtype), *(np.frombuffer(_plain(found[kind, int(b)].to_pybytes()), dtype) for b in blocks)])
-        count = given(1, own.blocks, "<i8")
+        given = lambda kind, blocks: [found[kind, int(b)].to_pybytes() for b in blocks]
+        count = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(_plain(x), "<i8") for x in given(1, own.blocks))])
         logs, known = log(count), (count > 0).astype(np.int8)
         # The costs of the chunk's distinct grams come in the order in which they were gathered.
         gram = np.concatenate(keys)
@@ -586,7 +594,7 @@ def _scored(n_blocks: int, n: int, v: int, ends: int):
         distinct, which = np.unique(gram[head], return_inverse=True)
         by_block, blocks, _ = _blocks(distinct, n_blocks)
         each = np.empty(distinct.size, np.float32)
-        each[by_block] = given(0, blocks, "<f4")
+        each[by_block] = np.concatenate([np.zeros(0, np.float32), *map(_unpack_costs, given(0, blocks))])
         cost = np.empty(gram.size, np.float32)
         cost[order] = np.repeat(each[which], np.diff(np.append(head, gram.size)))
         del gram, order

@@ -109,3 +109,15 @@ def test_counts_are_exact_in_every_block(monkeypatch):
                         assert [code & 255, code >> 8] == n
             seen += at.size
     assert seen == gram.size
+
+
+def test_learning_takes_two_rounds(spark, monkeypatch):
+    docs = spark.createDataFrame([(k, f"some words of a text number {k} and then some more") for k in range(40)], "doc_id long, text string")
+    seen, collect = [], type(docs).collect
+
+    def counted(self):
+        seen.extend([1] if self.columns == ["total", "weights"] else [])
+        return collect(self)
+
+    monkeypatch.setattr(type(docs), "collect", counted)
+    assert lm_scores(docs, HELD()).count() == 40 and len(seen) == 2
