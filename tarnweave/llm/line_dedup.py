@@ -1,7 +1,8 @@
 """Line deduplication: an edit join by segment partition, with DataFrame functions only.
 
-A line counts if it has at least `least_chars` characters between its outer white space; shorter and blank lines always
-stay. Two lines are linked if they differ by at most `edits` single-character edits. Lines are cut into edits + 1
+A line counts if it has at least `least_chars` characters between its outer white space; with `exact_chars`, shorter lines of
+at least that many count as well, but only equal ones are merged, as a few edits make another line of them. Lines that
+don't count, and blank ones, always stay. Two lines of `least_chars` or more are linked if they differ by at most `edits` single-character edits. Lines are cut into edits + 1
 segments; of two linked lines the longer holds one of the other's segments unchanged, at a place that their lengths
 bound. So the shorter line's segments are indexed under (length, segment number, characters) and a line probes, for each
 length within reach, only the substrings that can match there. Candidate pairs are verified, once what they begin and
@@ -175,15 +176,16 @@ def _place(kind: DataType) -> tuple[Column, Column]:
     return (F.coalesce(F.col("doc"), F.lit(-(1 << 63))).cast("decimal(20,0)") * size + F.col("at").cast("decimal(11,0)")).cast("decimal(38,0)"), F.struct(doc.alias("doc"), at.cast("int").alias("at"))
 
 
-def dedup_lines(docs: DataFrame, edits: int = 2, least_chars: int = 20, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = 1 << 20) -> DataFrame:
+def dedup_lines(docs: DataFrame, edits: int = 2, least_chars: int = 20, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = 1 << 20, exact_chars: int | None = None) -> DataFrame:
     """docs with text_col deduplicated, and columns n_lines (lines that count), n_removed, n_links (links of its lines to other lines)."""
+    counting = least_chars if exact_chars is None else max(1, min(exact_chars, least_chars))
     broken = docs.select(F.col(id_col).alias("doc"), F.xxhash64(text_col).alias("body"), F.posexplode(F.split(text_col, "\n")).alias("at", "whole"))
-    lines = broken.select("doc", "body", "at", trimmed(F.col("whole")).alias("line")).where(F.length("line") >= least_chars)
+    lines = broken.select("doc", "body", "at", trimmed(F.col("whole")).alias("line")).where(F.length("line") >= counting)
     # Equal lines become one, under a 64-bit id of the text; the text itself is the grouping key.
     place, first_of = _place(docs.schema[id_col].dataType)
     merged = lines.groupBy("line").agg(F.min(place).alias("least"), F.count("*").alias("n_copies"))
     distinct = saved(merged.select(F.xxhash64("line").alias("id"), F.length("line").alias("n"), first_of.alias("first"), "n_copies", "line"), "lines")
-    links = edit_links(distinct, edits, broadcast_rows)
+    links = edit_links(distinct.where(F.col("n") >= least_chars), edits, broadcast_rows)
     first = distinct.select("id", "first")
     ends = links.select(F.explode(F.array(F.struct(F.col("a").alias("id"), F.col("b").alias("other")), F.struct(F.col("b").alias("id"), F.col("a").alias("other")))).alias("e")).select("e.*")
     sided = saved(ends.join(first, "id").withColumnRenamed("first", "own"), "line-sides")
@@ -202,7 +204,7 @@ def dedup_lines(docs: DataFrame, edits: int = 2, least_chars: int = 20, id_col:
     split = F.split(text_col, "\n")
     places = F.coalesce("gone places", F.array().cast("array<int>"))
     text = F.when(F.size(places) > 0, F.array_join(F.filter(split, lambda x, k: ~F.array_contains(places, k)), "\n")).otherwise(F.col(text_col))
-    counted = F.coalesce(F.size(F.filter(split, lambda x: (F.length(x) >= least_chars) & (F.length(trimmed(x)) >= least_chars))), F.lit(0))
+    counted = F.coalesce(F.size(F.filter(split, lambda x: (F.length(x) >= counting) & (F.length(trimmed(x)) >= counting))), F.lit(0))
     counts = {"n_lines": counted.cast("long"), "n_removed": F.size(places).cast("long"), "n_links": F.coalesce("n_links", F.lit(0)).cast("long")}
     own = [keyed[c] if c != text_col else text.alias(c) for c in docs.columns if c not in counts]
     return joined.select(*own, *(v.alias(k) for k, v in counts.items()))

@@ -43,7 +43,7 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tarnweave.llm.line_dedup import dedup_lines
 
-    rows = dedup_lines(table(spark, sf_dir, "documents"))
+    rows = dedup_lines(table(spark, sf_dir, "documents"), exact_chars=1)
     return rows.select("doc_id", "n_lines", "n_removed", "n_links", F.sha2("text", 256).alias("text_sha256"))
 
 

@@ -4,7 +4,9 @@ from itertools import combinations
 import pytest
 from pyspark.sql import functions as F
 
+from corpus_pipeline import by_line_dedup
 from tarnweave.llm.line_dedup import dedup_lines, within
+from tarnweave.llm.queries import op4_line_dedup
 from tests.llm.conftest import SCHEMA, row
 
 
@@ -108,5 +110,18 @@ def test_null_and_text_ids(spark):
     assert {(x.doc_id, x.text) for x in dedup_lines(named).collect()} == {("a", text + "\nx"), ("b", "")}
 
 
+def test_short_lines_are_merged_if_equal(spark, tmp_path):
+    long = "a line that is long enough to count"
+    rows = [(1, "Read more\n" + long + "\n\n}"), (2, " Read more \nRead mode\n\n}\nx"), (3, long + "!\nRead more\nRead more"), (4, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = [(1, rows[0][1], 3, 0, 1), (2, "Read mode\n\nx", 4, 2, 0), (3, "", 3, 3, 1), (4, "", 0, 0, 0)]
+    assert sorted(tuple(x) for x in dedup_lines(docs, exact_chars=1).collect()) == want
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = op4_line_dedup(spark, str(tmp_path)).select("doc_id", "n_lines", "n_removed", "n_links").collect()
+    assert sorted(map(tuple, got)) == [(d, *n) for d, _, *n in want]
+    staged = by_line_dedup(spark, docs.withColumn("n_chars", F.length("text")), str(tmp_path)).select("doc_id", "text").collect()
+    assert sorted(map(tuple, staged)) == [(d, t) for d, t, *_ in want]
+
+
 def test_nothing(no_docs):
     assert dedup_lines(no_docs).count() == 0
