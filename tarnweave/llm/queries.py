@@ -25,12 +25,12 @@ def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tarnweave.llm.warc import archive, read_archive
 
-    found = read_archive(spark, archive(table(spark, sf_dir, "pages")))
-    page = lambda urn: F.substring_index(urn, ":", -1).cast("long")
+    found = read_archive(spark, archive(table(spark, sf_dir, "pages"), nameless=True))
+    page = lambda urn: F.when(urn.startswith("urn:page:"), F.substring_index(urn, ":", -1)).cast("long")
     whole = F.col("payload").isNotNull()
     return found.select(
-        page("record_id").alias("page_id"), F.when(whole, F.length("payload")).otherwise(F.col("payload_bytes")).cast("long").alias("payload_bytes"),
-        F.when(whole, F.sha1("payload")).otherwise(F.col("payload_digest")).alias("payload_digest"), "record_type", page("refers_to").alias("refers_to"),
+        page(F.col("record_id")).alias("page_id"), F.when(whole, F.length("payload")).otherwise(F.col("payload_bytes")).cast("long").alias("payload_bytes"),
+        F.when(whole, F.sha1("payload")).otherwise(F.col("payload_digest")).alias("payload_digest"), "record_type", page(F.col("refers_to")).alias("refers_to"),
     )
 
 

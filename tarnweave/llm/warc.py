@@ -334,7 +334,7 @@ def register(spark: SparkSession) -> None:
 
 
 def record_name(page: F.col) -> F.col:
-    return F.concat(F.lit("urn:page:"), page.cast("string"))
+    return F.coalesce(F.concat(F.lit("urn:page:"), page.cast("string")), F.concat(F.lit("urn:uuid:"), F.uuid()))
 
 
 def planned(pages: DataFrame, least_bytes: int = 1000, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -345,19 +345,20 @@ def planned(pages: DataFrame, least_bytes: int = 1000, id_col: str = "page_id",
     # One row for each payload that occurs again: partly aggregated before the shuffle, so copies cost little.
     keep = rows.where(F.col("payload_bytes") >= least_bytes).groupBy("payload_digest", "payload_bytes").agg(F.max("page").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     joined = rows.join(keep, ["payload_digest", "payload_bytes"], "left")
-    again = F.col("first").isNotNull() & (F.col("first") != F.col("page"))
+    again = F.coalesce(F.col("first") != F.col("page"), F.lit(False))
     return joined.select(
         record_name(F.col("page")).alias("record_id"), F.when(again, "revisit").otherwise("response").alias("record_type"), "target_uri",
         F.when(again, record_name(F.col("first"))).alias("refers_to"), "payload_digest", "payload_bytes", F.when(~again, F.col("payload")).alias("payload"),
     )
 
 
-def archive(pages: DataFrame, path: str | None = None, **options) -> str:
-    """Writes a record for each row of pages; gives the folder. Null html is an empty payload; rows with a null id get none, as records need one; equal rows get a record each; an empty table leaves an empty folder."""
+def archive(pages: DataFrame, path: str | None = None, nameless: bool = False, **options) -> str:
+    """Writes a record for each row of pages; gives the folder. Null html is an empty payload; rows with a null id get none, or with `nameless` a record under a generated urn:uuid; equal rows get a record each; an empty table leaves an empty folder."""
     spark = pages.sparkSession
     register(spark)
     path = path or f"{shared_dir(spark)}/tarnweave/warc-{uuid.uuid4().hex}"
-    planned(pages.where(F.col(options.get("id_col", "page_id")).isNotNull()), **options).write.format("warc").mode("append").save(path)
+    rows = pages if nameless else pages.where(F.col(options.get("id_col", "page_id")).isNotNull())
+    planned(rows, **options).write.format("warc").mode("append").save(path)
     return path
 
 

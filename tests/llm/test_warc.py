@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from tarnweave.llm.queries import op2_warc
 from tarnweave.llm.warc import Stream, archive, read_archive, register
 
 SCHEMA = "page_id long, url string, html string, record_id string, payload string, page int, first int"
@@ -69,5 +70,14 @@ def test_foreign_archives(spark, tmp_path):
         assert sum(1 for _ in Stream(f)) == 4
 
 
+def test_null_ids_have_records(spark, tmp_path):
+    big = "y" * 2000
+    rows = [(1, "u", big), (4, "u", big), (None, "u", big), (None, "u", "text"), (None, "u", "text"), (None, None, None)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = op2_warc(spark, str(tmp_path)).select("page_id", "payload_bytes", "record_type", "refers_to").collect()
+    want = [(1, 2000, "revisit", 4), (4, 2000, "response", None), (None, 2000, "response", None), *[(None, 4, "response", None)] * 2, (None, 0, "response", None)]
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+
+
 def test_nothing(spark, pages, tmp_path):
     assert read_archive(spark, archive(pages.limit(0), str(tmp_path / "none"))).count() == 0
