@@ -3,7 +3,8 @@
 Each record is a gzip member of its own, and the member's extra field tells its compressed length. The reader plans
 partitions of files balanced by bytes, takes record-type and header predicates from the plan, inflates a record's header
 first, and steps over a member whose record isn't wanted (or whose payload isn't, with option payload=false) without
-inflating the rest. Members without that extra field, and archives that aren't compressed, are read as well.
+inflating the rest. Members without that extra field, which
+may hold several records, and archives that aren't compressed are read as well; where no record begins, reading fails.
 
 Files are reached by the path's scheme: local or shared folders directly, other stores through pyarrow's file systems.
 A task writes under a temporary name that the commit makes final, so tasks that are repeated leave no second copy.
@@ -170,23 +171,32 @@ class Stream:
         return self.file.read(n)
 
     def __iter__(self) -> Iterator[tuple[dict[str, str], "Stream"]]:
-        while start := self._read_at(self.at, 2):
-            packed = start == b"\x1f\x8b"
-            self._begin(packed)
-            head = b""
-            while b"\r\n\r\n" not in head:
-                more = self._more(1 << 12 if packed else 1 << 12)
+        behind = None  # what a member has shown of what follows a record in it
+        while True:
+            if behind is None:
+                start = self._read_at(self.at, 2)
+                if not start:
+                    return
+                self._begin(start == b"\x1f\x8b")
+            raw = behind or b""
+            while b"\r\n\r\n" not in raw.lstrip(b"\r\n"):
+                more = self._more(1 << 12)
                 if not more:
                     break
-                head += more
-            head = head.lstrip(b"\r\n") if not packed else head
-            if not head.startswith(b"WARC/"):
-                return
+                raw += more
+            head = raw.lstrip(b"\r\n")
+            if not head:  # nothing more in the file, or in the member
+                if not self.packed:
+                    return
+                self.at, behind = self.place - len(self.inflate.unused_data), None
+                continue
+            if not head.startswith(b"WARC/") or b"\r\n\r\n" not in head:
+                raise ValueError(f"no WARC record where one should begin, at or behind byte {self.at} of the file: {head[:40]!r}")
             cut = head.index(b"\r\n\r\n") + 4
             fields = _headers(head[: cut - 4])
             self._rest, self._length = head[cut:], int(fields.get("content-length", 0))
             yield fields, self
-            self._skip(fields)
+            behind = self._skip(len(raw) - len(head) + cut)
 
     def _begin(self, packed: bool) -> None:
         self.packed, self.start, self.size, self.ended = packed, self.at, None, False
@@ -228,17 +238,18 @@ class Stream:
         self._rest = b"".join(parts)
         return self._rest[: self._length]
 
-    def _skip(self, fields: dict[str, str]) -> None:
+    def _skip(self, header: int) -> bytes | None:
+        """Goes behind the record, whose header takes so many bytes; if it is in a member that may hold more, gives what has been read of that."""
         if not self.packed:
-            head = self._read_at(self.start, self.CHUNK)
-            skipped = len(head) - len(head.lstrip(b"\r\n"))
-            self.at = self.start + head.index(b"\r\n\r\n", skipped) + 4 + self._length + 4
+            self.at = self.start + header + self._length
         elif self.size:
             self.at = self.start + self.size
         else:
-            while not self.inflate.eof and self._more(self.CHUNK):
-                pass
-            self.at = self.place - len(self.inflate.unused_data)
+            n = len(self._rest)
+            while n < self._length and (more := self._more(min(self.CHUNK, self._length - n))):
+                n += len(more)
+            return self._rest[self._length :]
+        return None
 
 
 @dataclass

@@ -79,5 +79,19 @@ def test_null_ids_have_records(spark, tmp_path):
     assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
 
 
+def test_members_of_many_records(spark, tmp_path):
+    rec = lambda k: f"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:x:{k}>\r\nContent-Length: {19 + k * 50000}\r\n\r\nHTTP/1.1 200 OK\r\n\r\n".encode() + b"z" * (k * 50000) + b"\r\n\r\n"
+    (tmp_path / "a.warc.gz").write_bytes(gzip.compress(b"".join(map(rec, range(5)))) + gzip.compress(rec(5) + rec(6)))
+    register(spark)
+    for light in ("true", "false"):
+        rows = spark.read.format("warc").option("payload", light).load(str(tmp_path)).collect()
+        assert sorted(r.record_id for r in rows) == [f"urn:x:{k}" for k in range(7)]
+        assert light == "false" or sorted(len(r.payload) for r in rows) == [k * 50000 for k in range(7)]
+    for name, data in (("b.warc", rec(1) + b"junk" + rec(2)), ("c.warc.gz", gzip.compress(rec(1) + b"junk")), ("d.warc.gz", gzip.compress(rec(1)) + gzip.compress(b"junk"))):
+        (tmp_path / name).write_bytes(data)
+        with (tmp_path / name).open("rb") as f, pytest.raises(ValueError, match="no WARC record"):
+            list(Stream(f))
+
+
 def test_nothing(spark, pages, tmp_path):
     assert read_archive(spark, archive(pages.limit(0), str(tmp_path / "none"))).count() == 0
