@@ -104,7 +104,9 @@ def _spans_of(text: Column, kind: Kind, least: float, reach: int) -> Column:
 
     def scored(m: Column) -> Column:
         before = F.lower(F.substr(text, F.greatest(m["start"] - reach, F.lit(0)).cast("int") + 1, F.least(m["start"], F.lit(reach)).cast("int")))
-        score = F.lit(kind.score) + F.when(before.rlike(rf"(?<![a-z])(?:{kind.near})"), 0.3).otherwise(0.0)
+        behind = F.lower(F.substr(text, m["stop"].cast("int") + 1, F.lit(reach)))
+        near = rf"(?<![a-z])(?:{kind.near})"
+        score = F.lit(kind.score) + F.when(before.rlike(near) | behind.rlike(near), 0.3).otherwise(0.0)
         return F.struct(m["start"].alias("start"), F.lit(NAMES.index(kind.name)).alias("kind_no"), F.lit(kind.name).alias("kind"), m["stop"].alias("stop"), score.alias("score"), F.lit(kind.base).alias("base"))
 
     made = F.transform(F.filter(_matches(text, kind), lambda m: kind.check(m["found"])), scored)
@@ -112,7 +114,7 @@ def _spans_of(text: Column, kind: Kind, least: float, reach: int) -> Column:
 
 
 def spans(text: Column, least: float = 0.5, reach: int = 48) -> Column:
-    """All spans of a text without MARK, sorted by start, then kind: SPAN. A context word within `reach` characters before a match adds 0.3 to its score."""
+    """All spans of a text without MARK, sorted by start, then kind: SPAN. A context word within `reach` characters before or behind a match adds 0.3 to its score."""
     return F.array_sort(F.concat(*(_spans_of(text, kind, least, reach) for kind in KINDS)))
 
 

@@ -53,5 +53,12 @@ def test_added_kinds_and_context(spark):
     assert got == {0: "iban:5:32", 1: "", 2: "phone:9:21", 3: "", 4: "card:10:23", 5: ""}
 
 
+def test_context_behind(spark):
+    rows = ["555-123-4567 (mobile)", "4222222222222 is my Visa", "4222222222222 was seen", "555-123-4567 " + "x " * 30 + "mobile", "555-123-4567 hotel"]
+    docs = spark.createDataFrame([row(k, t) for k, t in enumerate(rows)], SCHEMA)
+    got = {r.doc_id: r.s for r in personal_data(docs).select("doc_id", listed(F.col("spans")).alias("s")).collect()}
+    assert got == {0: "phone:0:12", 1: "card:0:13", 2: "", 3: "", 4: ""}
+
+
 def test_nothing(no_docs):
     assert personal_data(no_docs).count() == 0
