@@ -11,11 +11,13 @@ cells of the band 2 * edits + 1 wide are reachable.
 
 Of equal lines the first occurrence (smallest document id, then place) stays; a line goes everywhere if it is linked to
 a different line that first occurs earlier. What remains of a text keeps its order. Null texts stay null, texts may
-become empty, no row is dropped; rows with equal id and text are one document and keep the same lines. An empty table
-gives an empty result; other columns are carried along.
+become empty, no row is dropped; rows with equal id and text are one document and keep the same lines, rows with equal id and
+different texts are different documents, of which one comes first. An empty table gives an empty result; other columns are carried
+along, but for those named like the three that are added.
 
-Equal lines are merged before anything is joined, hot ones in part before they are shuffled. Small results are broadcast
-after their rows have been counted; beyond `broadcast_rows` the same joins are shuffled.
+Equal lines are merged before anything is joined, hot ones in part before they are shuffled. Keys that many lines share are split by
+where these lines differ, so what is compared grows with the lines and with the pairs that are linked. Small results are broadcast
+after their size has been measured; beyond `broadcast_rows` the same joins are shuffled.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, IntegralType
 
-from tarnweave.llm.shared import free, saved
+from tarnweave.llm.shared import free, fresh, saved
 
 BLANK = " \t\r\x0b\x0c"
 
@@ -100,6 +102,12 @@ def index_keys(line: Column, n: Column, edits: int) -> Column:
     return F.array(*(_key(n, i, line, *_segment(n, i, edits)) for i in range(edits + 1)))
 
 
+def shifts(i: int, gap: int, edits: int) -> range:
+    """By how much segment i of a line may be displaced in a linked line that is `gap` longer: i errors at most lie before it, and what is left behind it must make up for the rest."""
+    left = edits - i
+    return range(max(-i, gap - left), min(i, gap + left) + 1)
+
+
 def probe_keys(line: Column, n: Column, edits: int) -> Column:
     """Keys of the substrings that can equal a segment of a linked line of at most n characters; but for the line's own segments, which index_keys has. Null where a place lies outside the line."""
     out = []
@@ -107,8 +115,7 @@ def probe_keys(line: Column, n: Column, edits: int) -> Column:
         length = n - gap
         for i in range(edits + 1):
             start, size = _segment(length, i, edits)
-            left = edits - i  # errors left for what follows, if what precedes took i
-            for shift in range(max(-i, gap - left), min(i, gap + left) + 1):
+            for shift in shifts(i, gap, edits):
                 if not (gap or shift):
                     continue
                 at = start + shift
@@ -124,9 +131,10 @@ def letter_counts(line: Column) -> list[Column]:
     return [(F.length(line) - F.length(F.replace(line, F.lit(c), F.lit("")))).alias(f"n_{c}") for c in LETTERS]
 
 
-def _small(df: DataFrame, limit: int) -> DataFrame:
-    """df, to be broadcast if it has at most `limit` rows."""
-    return F.broadcast(df) if df.count() <= limit else df
+def _small(df: DataFrame, limit: int, weight: Column | None = None) -> DataFrame:
+    """df, to be broadcast if it has at most `limit` rows, or rows of that weight in all."""
+    size = df.count() if weight is None else df.agg(F.coalesce(F.sum(weight), F.lit(0))).first()[0]
+    return F.broadcast(df) if size <= limit else df
 
 
 def possible(probe: DataFrame, index: DataFrame, n_keys: int, most_bits: int = 27) -> DataFrame:
@@ -140,71 +148,161 @@ def possible(probe: DataFrame, index: DataFrame, n_keys: int, most_bits: int = 2
     return met.where(F.getbit("ones", bit) == 1).select(*probe.columns)
 
 
-def edit_links(lines: DataFrame, edits: int, broadcast_rows: int) -> DataFrame:
-    """From distinct lines (id, line, n) to the linked pairs (a, b), a < b, each once.
+#: Pairs under one key beyond which the key is split.
+HOT_PAIRS = 1 << 16
+#: Lines of a key whose characters decide where its lines are cut; any cut is right, a good one makes small groups.
+SAMPLE = 32
+#: How often keys are split; pairs that still meet under a hot key are dealt to blocks of this many indexed lines.
+ROUNDS = 5
+BLOCK = 256
+
+
+def cuts(lines: Column, n: Column, edits: int) -> Column:
+    """Where to cut lines of n characters, as `edits` numbers of characters: so that each segment has an equal share of the places' variety in the sample `lines`, and at least one character."""
+    parts = edits + 1
+    variety = F.transform(F.array(F.transform(lines, lambda x: F.filter(F.split(x, ""), lambda c: c != ""))), lambda chars: F.transform(F.sequence(F.lit(0), n - 1), lambda p: F.size(F.array_distinct(F.transform(chars, lambda c: F.get(c, p)))) - 1))[0]
+    total = F.aggregate(variety, F.lit(0), lambda t, v: t + v)
+    kind = "struct<sum:int," + ",".join(f"c{j}:int" for j in range(1, parts)) + ">"
+    zero = F.struct(*(F.lit(0) for _ in range(parts))).cast(kind)
+
+    def step(acc: Column, v: Column, total: Column) -> Column:
+        now = acc["sum"] + v
+        return F.struct(now, *(acc[f"c{j}"] + F.when(now * parts <= total * j, 1).otherwise(0) for j in range(1, parts))).cast(kind)
+
+    found = F.transform(F.array(F.struct(variety.alias("v"), total.alias("t"))), lambda s: F.aggregate(s["v"], zero, lambda acc, v: step(acc, v, s["t"])))[0]
+
+    def placed(c: Column) -> Column:
+        out = []
+        for j in range(1, parts):
+            at = F.least(c[f"c{j}"], n - (parts - j))
+            out.append(F.greatest(at, out[-1] + 1 if out else F.lit(1)))
+        return F.array(*out)
+
+    return F.transform(F.array(found), placed)[0]
+
+
+def _narrowed(hot: DataFrame, lines: DataFrame, edits: int, broadcast_rows: int) -> tuple[DataFrame, tuple[DataFrame, ...]]:
+    """Rows (key, id, indexed) of hot keys under narrower keys, one for each segment of lines cut where this key's lines differ. Lines linked to each other that share the old key share a new one."""
+    known = saved(hot.join(lines.select("id", "line", F.col("n").alias("length")), "id"), "line-hot")
+    sample = known.where("indexed").groupBy("key", F.pmod("id", F.lit(SAMPLE)).alias("part")).agg(F.min_by("line", "id").alias("line"), F.min("length").alias("n"))
+    cut = sample.groupBy("key").agg(F.collect_list("line").alias("sample"), F.min("n").alias("n"))
+    cut = saved(cut.select("key", "n", cuts(F.col("sample"), F.col("n"), edits).alias("cuts")), "line-cuts")
+    rows = known.join(_small(cut, broadcast_rows), "key")
+    line, n, length = F.col("line"), F.col("n"), F.col("length")
+    edge = [F.lit(0), *(F.col("cuts")[j] for j in range(edits)), n]
+    out = []
+    for i in range(edits + 1):
+        size = edge[i + 1] - edge[i]
+        for gap in range(edits + 1):
+            for shift in shifts(i, gap, edits):
+                at = edge[i] + 1 + shift
+                own = not (gap or shift)
+                fits = (at >= 1) & (at + size <= length + 1) & (length == n + gap)
+                key = F.xxhash64("key", F.lit(i), F.substr(line, at, size))
+                out.append(F.when(fits & (F.col("indexed") if own else F.lit(True)), F.struct(key.alias("key"), F.lit(own).alias("indexed"))))
+                if own:  # lines of this length that the old key met by a displaced substring
+                    out.append(F.when(fits & ~F.col("indexed"), F.struct(key.alias("key"), F.lit(False).alias("indexed"))))
+    narrow = rows.select("id", F.explode(F.array(*out)).alias("k")).where("k is not null").select("k.key", "id", "k.indexed").distinct()
+    return saved(narrow, "line-narrow"), (known, cut)
+
+
+def _meeting(rows: DataFrame, broadcast_rows: int) -> tuple[DataFrame, DataFrame, tuple[DataFrame, ...]]:
+    """Of rows (key, id, indexed): those under keys where an indexed line meets another, and the same under keys with too many pairs, with the key's number of indexed lines."""
+    sizes = rows.groupBy("key").agg(F.count_if("indexed").alias("n_indexed"), F.count("*").alias("n")).where("n_indexed > 0 and n > 1")
+    active = saved(sizes.select("key", F.when(F.col("n_indexed") * F.col("n") > HOT_PAIRS, F.col("n_indexed")).otherwise(0).alias("crowd")), "line-active")
+    met = saved(rows.join(_small(active, broadcast_rows), "key"), "line-met")
+    return met.where("crowd = 0").drop("crowd"), met.where("crowd > 0"), (active, met)
 
-    Keys under which lines meet are found by counting, which doesn't grow with the square of a key's lines; only lines that have such keys get their texts, and the last join lets through nothing but verified pairs.
+
+def line_links(lines: DataFrame, edits: int, broadcast_rows: int) -> DataFrame:
+    """From distinct lines (id, line, n, least) to id, links (the number of lines that it is linked to) and late (one of them first occurs earlier).
+
+    Keys under which lines meet are found by counting, which doesn't grow with the square of a key's lines. Keys with many pairs are split again
+    by where their own lines differ, until pairs that still meet are few or alike; only lines that have such keys get their texts, and the last
+    join lets through nothing but verified pairs, which are counted at once.
     """
     index = saved(lines.select(F.explode(index_keys(F.col("line"), F.col("n"), edits)).alias("key"), "id", F.lit(True).alias("indexed")), "line-index")
     probe = possible(lines.select(F.explode(probe_keys(F.col("line"), F.col("n"), edits)).alias("key"), "id"), index, (edits + 1) * max(1, lines.count()))
     probe = saved(probe.withColumn("indexed", F.lit(False)), "line-probes")
-    rows = index.unionAll(probe)
-    active = saved(rows.groupBy("key").agg(F.count_if("indexed").alias("n_indexed"), F.count("*").alias("n")).where("n_indexed > 0 and n > 1").select("key"), "line-active")
-    met = saved(rows.join(_small(active, broadcast_rows), "key"), "line-met")
+    cool, hot, made = _meeting(index.unionAll(probe), broadcast_rows)
+    free(index, probe)
+    held, blocks, zero = list(made), [], F.lit(0).alias("block")
+    for _ in range(ROUNDS):
+        blocks.append(cool.select("key", "id", "indexed", zero))
+        if hot.isEmpty():
+            break
+        narrow, used = _narrowed(hot.drop("crowd"), lines, edits, broadcast_rows)
+        free(*used)
+        cool, hot, made = _meeting(narrow, broadcast_rows)
+        free(narrow)
+        held += made
+    else:
+        # Lines that meet whatever the cuts: a block of a key has few indexed lines, and each other line once.
+        n_blocks = F.ceil(F.col("crowd") / BLOCK)
+        indexed = hot.where("indexed").select("key", "id", "indexed", F.pmod(F.xxhash64("id"), n_blocks).cast("int").alias("block"))
+        others = hot.select("key", "id", F.lit(False).alias("indexed"), F.explode(F.sequence(F.lit(0), (n_blocks - 1).cast("int"))).alias("block"))
+        blocks += [cool.select("key", "id", "indexed", zero), indexed, others]
+    met = blocks[0]
+    for more in blocks[1:]:
+        met = met.unionByName(more)
     some = saved(met.select("id").distinct(), "line-ids")
     counts = [f"n_{c}" for c in LETTERS]
-    texts = saved(lines.join(_small(some, broadcast_rows), "id").select("id", "line", *letter_counts(F.col("line"))), "line-texts")
+    texts = saved(lines.join(_small(some, broadcast_rows), "id").select("id", "line", "least", *letter_counts(F.col("line"))), "line-texts")
     known = met.join(texts, "id")
-    a = known.where("indexed").select("key", F.col("id").alias("a"), F.col("line").alias("x"), *(F.col(n).alias(f"x{n}") for n in counts))
-    b = known.select("key", F.col("id").alias("b"), F.col("line").alias("y"), F.col("indexed").alias("both"), *counts)
-    other = (a["key"] == b["key"]) & F.when(F.col("both"), F.col("a") < F.col("b")).otherwise(F.col("a") != F.col("b"))
+    a = known.where("indexed").select("key", "block", F.col("id").alias("a"), F.col("line").alias("x"), F.col("least").alias("first_a"), *(F.col(n).alias(f"x{n}") for n in counts))
+    b = known.select(F.col("key").alias("its key"), F.col("block").alias("its block"), F.col("id").alias("b"), F.col("line").alias("y"), F.col("least").alias("first_b"), F.col("indexed").alias("both"), *counts)
+    other = (F.col("key") == F.col("its key")) & (F.col("block") == F.col("its block")) & F.when(F.col("both"), F.col("a") < F.col("b")).otherwise(F.col("a") != F.col("b"))
     # An edit changes two letters' counts by one at most.
     alike = sum((F.abs(F.col(f"x{n}") - F.col(n)) for n in counts), F.lit(0)) <= 2 * edits
     pairs = a.join(b, other & F.when(alike, within(F.col("x"), F.col("y"), edits)).otherwise(False))
-    out = saved(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "line-links")
-    free(index, probe, active, met, some, texts)
+    before = F.col("first_a") < F.col("first_b")
+    sides = F.array(F.struct(F.col("a").alias("id"), F.col("b").alias("other"), (~before).alias("late")), F.struct(F.col("b").alias("id"), F.col("a").alias("other"), before.alias("late")))
+    ends = pairs.select(F.explode(sides).alias("e")).select("e.*").distinct()
+    out = saved(ends.groupBy("id").agg(F.count("*").alias("links"), F.bool_or("late").alias("late")), "line-links")
+    free(*held, some, texts)
     return out
 
 
-def _place(kind: DataType) -> tuple[Column, Column]:
-    """What orders a line's occurrences, from columns doc and at; and the struct of both, from column least. For whole-number ids the order is one number, which needs no sorting to be aggregated; a null id comes first."""
+def _place(kind: DataType) -> Column:
+    """What orders a line's occurrences, from columns doc, at and body. For whole-number ids it is one number, which needs no sorting to be aggregated (31 bits of the body's hash tell documents of one id apart); a null id comes first."""
     if not isinstance(kind, IntegralType):
-        return F.struct("doc", "at"), F.col("least")
+        return F.struct("doc", "at", "body")
     size = F.lit(1 << 31).cast("decimal(11,0)")
-    at = F.pmod(F.col("least"), size)
-    doc = F.nullif(((F.col("least") - at) / size).cast("long"), F.lit(-(1 << 63))).cast(kind)
-    return (F.coalesce(F.col("doc"), F.lit(-(1 << 63))).cast("decimal(20,0)") * size + F.col("at").cast("decimal(11,0)")).cast("decimal(38,0)"), F.struct(doc.alias("doc"), at.cast("int").alias("at"))
+    doc = F.coalesce(F.col("doc"), F.lit(-(1 << 63))).cast("decimal(20,0)")
+    inner = F.col("at").cast("long") * F.lit(1 << 31) + F.col("body").bitwiseAND(F.lit((1 << 31) - 1))
+    return (doc * F.lit(1 << 62).cast("decimal(19,0)") + inner.cast("decimal(20,0)")).cast("decimal(38,0)")
 
 
 def dedup_lines(docs: DataFrame, edits: int = 2, least_chars: int = 20, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = 1 << 20, exact_chars: int | None = None) -> DataFrame:
-    """docs with text_col deduplicated, and columns n_lines (lines that count), n_removed, n_links (links of its lines to other lines)."""
+    """docs with text_col deduplicated, and columns n_lines (lines that count), n_removed, n_links (links of its lines to other lines), which replace columns of these names."""
     counting = least_chars if exact_chars is None else max(1, min(exact_chars, least_chars))
+    least_chars = max(least_chars, edits + 1)
+    kind = docs.schema[id_col].dataType
     broken = docs.select(F.col(id_col).alias("doc"), F.xxhash64(text_col).alias("body"), F.posexplode(F.split(text_col, "\n")).alias("at", "whole"))
     lines = broken.select("doc", "body", "at", trimmed(F.col("whole")).alias("line")).where(F.length("line") >= counting)
     # Equal lines become one, under a 64-bit id of the text; the text itself is the grouping key.
-    place, first_of = _place(docs.schema[id_col].dataType)
+    place = _place(kind)
     merged = lines.groupBy("line").agg(F.min(place).alias("least"), F.count("*").alias("n_copies"))
-    distinct = saved(merged.select(F.xxhash64("line").alias("id"), F.length("line").alias("n"), first_of.alias("first"), "n_copies", "line"), "lines")
-    links = edit_links(distinct.where(F.col("n") >= least_chars), edits, broadcast_rows)
-    first = distinct.select("id", "first")
-    ends = links.select(F.explode(F.array(F.struct(F.col("a").alias("id"), F.col("b").alias("other")), F.struct(F.col("b").alias("id"), F.col("a").alias("other")))).alias("e")).select("e.*")
-    sided = saved(ends.join(first, "id").withColumnRenamed("first", "own"), "line-sides")
-    ordered = sided.join(sided.select(F.col("id").alias("other"), F.col("own").alias("its")).distinct(), "other")
-    marks = ordered.groupBy("id").agg(F.count("*").alias("links"), F.bool_or((F.col("its") < F.col("own")) | ((F.col("its") == F.col("own")) & (F.col("other") < F.col("id")))).alias("late"))
+    distinct = saved(merged.select(F.xxhash64("line").alias("id"), F.length("line").alias("n"), "least", "n_copies", "line"), "lines")
+    marks = line_links(distinct.where(F.col("n") >= least_chars).select("id", "line", "n", "least"), edits, broadcast_rows)
     # Lines that are linked or occur again: the others need no decision.
-    decided = distinct.select("id", "first", "n_copies").join(marks, "id", "left").where("n_copies > 1 or links is not null").select("id", "first", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("late", F.lit(False)).alias("late"))
+    decided = distinct.select("id", "least", "n_copies").join(marks, "id", "left").where("n_copies > 1 or links is not null").select("id", "least", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("late", F.lit(False)).alias("late"))
     decided = saved(decided, "line-decisions")
-    placed = lines.select("doc", "body", "at", F.xxhash64("line").alias("id")).join(_small(decided, broadcast_rows), "id")
-    gone = F.col("late") | (F.col("first") != F.struct("doc", "at"))
-    per_doc = placed.groupBy("doc", "body").agg(F.sort_array(F.collect_set(F.when(gone, F.col("at")))).alias("gone places"), F.sum("links").alias("n_links"))
+    free(distinct, marks)
+    wide = None if isinstance(kind, IntegralType) else 1 + F.coalesce(F.octet_length(F.col("least.doc").cast("string")), F.lit(0)) / 32
+    placed = lines.select("doc", "body", "at", F.xxhash64("line").alias("id"), place.alias("here")).join(_small(decided, broadcast_rows, wide), "id")
+    gone = F.col("late") | ~F.col("least").eqNullSafe(F.col("here"))
+    per_doc = placed.groupBy("doc", "body").agg(F.sort_array(F.collect_set(F.when(gone, F.col("at")))).alias("places"), F.sum("links").alias("links"))
     per_doc = saved(per_doc, "line-places")
-    free(distinct, links, sided, decided)
-    keyed = docs.withColumn("body hash", F.xxhash64(text_col))
-    joined = keyed.join(_small(per_doc, broadcast_rows), keyed[id_col].eqNullSafe(per_doc["doc"]) & (keyed["body hash"] == per_doc["body"]), "left")
+    free(decided)
+    hashed, doc, body, gone_at, links = (fresh(x, *docs.columns) for x in ("body hash", "of doc", "of body", "gone places", "links of lines"))
+    marked = per_doc.select(F.col("doc").alias(doc), F.col("body").alias(body), F.col("places").alias(gone_at), F.col("links").alias(links))
+    keyed = docs.withColumn(hashed, F.xxhash64(text_col))
+    joined = keyed.join(_small(marked, 2 * broadcast_rows, F.lit(2) + F.size(gone_at) / 4), F.col(id_col).eqNullSafe(F.col(doc)) & (F.col(hashed) == F.col(body)), "left")
     split = F.split(text_col, "\n")
-    places = F.coalesce("gone places", F.array().cast("array<int>"))
+    places = F.coalesce(gone_at, F.array().cast("array<int>"))
     text = F.when(F.size(places) > 0, F.array_join(F.filter(split, lambda x, k: ~F.array_contains(places, k)), "\n")).otherwise(F.col(text_col))
     counted = F.coalesce(F.size(F.filter(split, lambda x: (F.length(x) >= counting) & (F.length(trimmed(x)) >= counting))), F.lit(0))
-    counts = {"n_lines": counted.cast("long"), "n_removed": F.size(places).cast("long"), "n_links": F.coalesce("n_links", F.lit(0)).cast("long")}
-    own = [keyed[c] if c != text_col else text.alias(c) for c in docs.columns if c not in counts]
+    counts = {"n_lines": counted.cast("long"), "n_removed": F.size(places).cast("long"), "n_links": F.coalesce(links, F.lit(0)).cast("long")}
+    own = [text.alias(c) if c.lower() == text_col.lower() else F.col(f"`{c}`") for c in docs.columns if c.lower() not in counts]
     return joined.select(*own, *(v.alias(k) for k, v in counts.items()))

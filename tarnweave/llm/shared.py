@@ -2,17 +2,27 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import suppress
 
 import numpy as np
 import pyarrow as pa
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that one numpy step handles; its arrays take about 60 times as much.
 STEP_BYTES = 2 << 20
 
+#: The folder of this driver's intermediate tables.
+RUN = uuid.uuid4().hex
+_folders: set[str] = set()
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 #: Bytes of `[^\x20\x09-\x0D]`.
@@ -24,40 +34,64 @@ ALNUM[48:58] = ALNUM[97:123] = ALNUM[128:] = True
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
+    """The folder that the driver and all executors share: spark.checkpoint.dir. Where it is unset, a local master gets a temporary one; on a cluster that raises, as executors would not see each other's files."""
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="tarnweave-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(found)
     return found.rstrip("/")
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, for what is deleted when the driver ends."""
+    folder = f"{shared_dir(spark)}/tarnweave/{RUN}"
+    if folder not in _folders:
+        _folders.add(folder)
+        atexit.register(_end, folder)
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
+
+
+def _delete(jvm, path: str) -> None:
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(jvm.org.apache.hadoop.conf.Configuration()).delete(at, True)
+
+
+def _end(folder: str) -> None:
+    with suppress(Exception):  # the driver is ending and may have lost its JVM
+        _delete(SparkContext._jvm, folder)
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: computed once, and independent of executors."""
+    """df as a Parquet table in the shared folder: computed once, and independent of executors. What it shuffled is deleted once the table is written."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tarnweave/{name}-{uuid.uuid4().hex}"
-    schema = df.schema
-    # Small row groups: a writer holds one in memory. A codec that stays on the heap.
-    df.write.option("compression", "lz4_raw").option("parquet.block.size", 16 << 20).option("parquet.enable.dictionary", "false").parquet(path)
-    del df
-    # What is no longer referenced lets go of its shuffle files only when the driver collects its garbage.
-    spark.sparkContext._jvm.System.gc()
-    out = spark.read.schema(schema).parquet(path)
+    path = scratch(spark, name)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        # Small row groups: a writer holds one in memory. A codec that stays on the heap.
+        df.write.option("compression", "lz4_raw").option("parquet.block.size", 16 << 20).option("parquet.enable.dictionary", "false").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
     out._saved_at = path
     return out
 
 
 def free(*tables: DataFrame) -> None:
-    """Deletes tables that saved() made and nothing will read again."""
+    """Deletes tables that saved() made and nothing will read again. What a result still reads is deleted when the driver ends."""
     for df in tables:
-        spark, path = df.sparkSession, spark_path(df)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(df.sparkSession.sparkContext._jvm, df._saved_at)
 
 
-def spark_path(df: DataFrame):
-    return df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(df._saved_at)
+def fresh(name: str, *taken: str) -> str:
+    """A column name that none of `taken` equals, in any case."""
+    while name.lower() in {x.lower() for x in taken}:
+        name += "_"
+    return name
 
 
 def by_bytes(batch: pa.RecordBatch, column: str = "text", limit: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpus_pipeline import by_line_dedup
+from tarnweave.llm import line_dedup
 from tarnweave.llm.line_dedup import dedup_lines, within
 from tarnweave.llm.queries import op4_line_dedup
 from tests.llm.conftest import SCHEMA, row
@@ -125,3 +126,50 @@ def test_short_lines_are_merged_if_equal(spark, tmp_path):
 
 def test_nothing(no_docs):
     assert dedup_lines(no_docs).count() == 0
+
+
+def test_clashing_names_and_repetition(spark):
+    rows = [(1, "a line that is long enough to count\nx", "u", 1, 2), (2, "a line that is long enough to count!", "v", 3, 4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, `gone places` string, N_LINKS int, least int")
+    once = dedup_lines(docs)
+    assert once.columns == ["doc_id", "text", "gone places", "least", "n_lines", "n_removed", "n_links"]
+    assert sorted(map(tuple, once.collect())) == [(1, rows[0][1], "u", 2, 1, 0, 1), (2, "", "v", 4, 1, 1, 1)]
+    assert sorted((r.doc_id, r.text, r.n_removed, r.least) for r in dedup_lines(once).collect()) == [(1, rows[0][1], 0, 2), (2, "", 0, 4)]
+
+
+def test_one_id_with_different_texts(spark):
+    line = "a line that is long enough to count"
+    docs = spark.createDataFrame([(5, line + "\none"), (5, line + "\ntwo"), (7, line)], "doc_id long, text string")
+    got = dedup_lines(docs).collect()
+    assert sorted(r.n_removed for r in got) == [0, 1, 1] and sum(line in r.text for r in got) == 1 and [r.text for r in got if r.doc_id == 7] == [""]
+
+
+@pytest.mark.parametrize("rounds", [0, 1, 5])
+def test_hot_keys_are_split(spark, monkeypatch, rounds):
+    """Lines that share most characters: pairs under narrower keys and in blocks are those of brute force."""
+    monkeypatch.setattr(line_dedup, "HOT_PAIRS", 8)
+    monkeypatch.setattr(line_dedup, "BLOCK", 4)
+    monkeypatch.setattr(line_dedup, "ROUNDS", rounds)
+    r = random.Random(21)
+    lines = ["all of these lines begin alike " + "".join(r.choice("abcdefghij") for _ in range(6)) for _ in range(120)]
+    lines += [edited(r, r.choice(lines), r.randint(1, 3)) for _ in range(60)] + [f"Order no. {k:05d} has been sent" for k in range(0, 400, 7)]
+    rows = [(k, "\n".join(lines[3 * k : 3 * k + 3])) for k in range(len(lines) // 3 + 1)]
+    docs = spark.createDataFrame([row(d, t) for d, t in rows], SCHEMA)
+    got = sorted(((x.doc_id, x.text, x.n_lines, x.n_removed, x.n_links) for x in dedup_lines(docs).collect()), key=str)
+    assert got == brute(rows, 2, 20)
+
+
+def test_pairs_under_hot_keys_grow_with_the_lines(spark, monkeypatch):
+    seen, meeting = [], line_dedup._meeting
+    monkeypatch.setattr(line_dedup, "HOT_PAIRS", 1 << 10)
+    for n in (1500, 3000):
+        r = random.Random(n)
+        rows = [(k, "x" * 30 + "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(15))) for k in range(n)]
+        lines = spark.createDataFrame(rows, "id long, line string").selectExpr("id", "line", "length(line) n", "cast(id as decimal(38,0)) least")
+        met = []
+        monkeypatch.setattr(line_dedup, "_meeting", lambda rows, limit, f=meeting: met.append(f(rows, limit)) or met[-1])
+        monkeypatch.setattr(line_dedup, "free", lambda *x: None)
+        line_dedup.line_links(lines, 2, 1 << 20)
+        seen.append(sum(m[0].groupBy("key").agg(F.expr("count_if(indexed) * count(*)").alias("pairs")).agg(F.coalesce(F.sum("pairs"), F.lit(0))).first()[0] for m in met))
+        assert met[-1][1].isEmpty()
+    assert seen[1] < 3 * seen[0] + 10_000
