@@ -108,19 +108,16 @@ def shifts(i: int, gap: int, edits: int) -> range:
     return range(max(-i, gap - left), min(i, gap + left) + 1)
 
 
-def probe_keys(line: Column, n: Column, edits: int) -> Column:
-    """Keys of the substrings that can equal a segment of a linked line of at most n characters; but for the line's own segments, which index_keys has. Null where a place lies outside the line."""
-    out = []
+def probes(lines: DataFrame, edits: int) -> DataFrame:
+    """Rows (key, id) of the substrings that can equal a segment of a linked line that is at most as long; but for the line's own segments, which index_keys has. Places are rows before keys are made, so that the generated code stays small enough to be compiled."""
+    n, places, starts = F.col("n"), [], []
     for gap in range(edits + 1):
-        length = n - gap
         for i in range(edits + 1):
-            start, size = _segment(length, i, edits)
-            for shift in shifts(i, gap, edits):
-                if not (gap or shift):
-                    continue
-                at = start + shift
-                out.append(F.when((at >= 1) & (at + size <= n + 1), _key(length, i, line, at, size)))
-    return F.array(*out)
+            start, size = _segment(n - gap, i, edits)
+            starts += [start.alias(f"start {gap} {i}"), size.alias(f"size {gap} {i}")]
+            places += [F.struct(F.lit(gap).alias("gap"), F.lit(i).alias("i"), (F.col(f"start {gap} {i}") + shift).alias("at"), F.col(f"size {gap} {i}").alias("size")) for shift in shifts(i, gap, edits) if gap or shift]
+    rows = lines.select("id", "line", "n", *starts).select("id", "line", "n", F.explode(F.array(*places)).alias("p")).where("p.at >= 1 and p.at + p.size <= n + 1")
+    return rows.select(F.xxhash64(n - F.col("p.gap"), "p.i", F.substr("line", "p.at", "p.size")).alias("key"), "id")
 
 
 #: Letters whose counts are compared before a pair is verified: any set is right, frequent letters tell most.
@@ -188,21 +185,17 @@ def _narrowed(hot: DataFrame, lines: DataFrame, edits: int, broadcast_rows: int)
     cut = sample.groupBy("key").agg(F.collect_list("line").alias("sample"), F.min("n").alias("n"))
     cut = saved(cut.select("key", "n", cuts(F.col("sample"), F.col("n"), edits).alias("cuts")), "line-cuts")
     rows = known.join(_small(cut, broadcast_rows), "key")
-    line, n, length = F.col("line"), F.col("n"), F.col("length")
-    edge = [F.lit(0), *(F.col("cuts")[j] for j in range(edits)), n]
-    out = []
+    length, edge, places = F.col("length"), [F.lit(0), *(F.col("cuts")[j] for j in range(edits)), F.col("n")], []
     for i in range(edits + 1):
-        size = edge[i + 1] - edge[i]
         for gap in range(edits + 1):
             for shift in shifts(i, gap, edits):
-                at = edge[i] + 1 + shift
-                own = not (gap or shift)
-                fits = (at >= 1) & (at + size <= length + 1) & (length == n + gap)
-                key = F.xxhash64("key", F.lit(i), F.substr(line, at, size))
-                out.append(F.when(fits & (F.col("indexed") if own else F.lit(True)), F.struct(key.alias("key"), F.lit(own).alias("indexed"))))
-                if own:  # lines of this length that the old key met by a displaced substring
-                    out.append(F.when(fits & ~F.col("indexed"), F.struct(key.alias("key"), F.lit(False).alias("indexed"))))
-    narrow = rows.select("id", F.explode(F.array(*out)).alias("k")).where("k is not null").select("k.key", "id", "k.indexed").distinct()
+                at, size = edge[i] + 1 + shift, edge[i + 1] - edge[i]
+                # A line that the old key met by a displaced substring isn't indexed under the new ones.
+                own = F.lit(False) if gap or shift else F.col("indexed")
+                places.append(F.struct(F.lit(i).alias("i"), F.lit(gap).alias("gap"), at.alias("at"), size.alias("size"), own.alias("own")))
+    spread = rows.select("key", "id", "line", "n", "length", F.explode(F.array(*places)).alias("p"))
+    fits = spread.where("p.at >= 1 and p.at + p.size <= length + 1 and length = n + p.gap")
+    narrow = fits.select(F.xxhash64("key", "p.i", F.substr("line", "p.at", "p.size")).alias("key"), "id", F.col("p.own").alias("indexed")).distinct()
     return saved(narrow, "line-narrow"), (known, cut)
 
 
@@ -222,7 +215,7 @@ def line_links(lines: DataFrame, edits: int, broadcast_rows: int) -> DataFrame:
     join lets through nothing but verified pairs, which are counted at once.
     """
     index = saved(lines.select(F.explode(index_keys(F.col("line"), F.col("n"), edits)).alias("key"), "id", F.lit(True).alias("indexed")), "line-index")
-    probe = possible(lines.select(F.explode(probe_keys(F.col("line"), F.col("n"), edits)).alias("key"), "id"), index, (edits + 1) * max(1, lines.count()))
+    probe = possible(probes(lines, edits), index, (edits + 1) * max(1, lines.count()))
     probe = saved(probe.withColumn("indexed", F.lit(False)), "line-probes")
     cool, hot, made = _meeting(index.unionAll(probe), broadcast_rows)
     free(index, probe)
