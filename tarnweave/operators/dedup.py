@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tarnweave.functions.text import folded
 from tarnweave.functions.vocabulary import GENERIC_TITLES
+from tarnweave.operators.durable import durable
 
 
 def first_wins(df: DataFrame, keys: list[str], order: list[str], blank_free: str | None = None) -> tuple[DataFrame, DataFrame]:
@@ -53,12 +54,16 @@ def aliases(df: DataFrame, chosen: DataFrame, group: str, order: str) -> DataFra
     return df.join(c, group).where(F.col(order) != F.col("canonical"))
 
 
+def placed(df: DataFrame, order: list[Column | str], name: str = "place") -> DataFrame:
+    """df with each row's place (from 0) in the given order. Rows are ranged over partitions, each counts on from those before it, and no task sees more than its own: what is counted is written first, so that both looks at it see the same partitions."""
+    n = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    part = durable(df.repartitionByRange(n, *order).withColumn("part", F.spark_partition_id()))
+    sizes = part.groupBy("part").agg(F.count("*").alias("size"))
+    before = sizes.alias("a").join(sizes.alias("b"), F.col("b.part") < F.col("a.part"), "left").groupBy(F.col("a.part").alias("part")).agg(F.coalesce(F.sum("b.size"), F.lit(0)).alias("before"))
+    nth = F.row_number().over(Window.partitionBy("part").orderBy(*order)) - 1
+    return part.withColumn("nth", nth).join(F.broadcast(before), "part").select(*df.columns, (F.col("nth") + F.col("before")).alias(name))
+
+
 def numbered(df: DataFrame, prefix: str, order: list[Column | str], name: str = "id") -> DataFrame:
-    """Sequential ids in the given order, such as page_001. A global number needs all rows in one order: rows are ranged over partitions, and each counts on from those before it."""
-    spark = df.sparkSession
-    ranged = df.repartitionByRange(max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))), *order).sortWithinPartitions(*order)
-    part = ranged.withColumn("part", F.spark_partition_id()).withColumn("nth", F.row_number().over(Window.partitionBy("part").orderBy(*order)))
-    sizes = part.groupBy("part").count()
-    before = sizes.alias("a").join(sizes.alias("b"), F.col("b.part") < F.col("a.part"), "left").groupBy(F.col("a.part").alias("part")).agg(F.coalesce(F.sum("b.count"), F.lit(0)).alias("before"))
-    number = F.col("nth") + F.col("before")
-    return part.join(F.broadcast(before), "part").select(F.format_string(f"{prefix}_%03d", number).alias(name), *df.columns)
+    """Sequential ids in the given order, such as page_001."""
+    return placed(df, order, "place of row").select(F.format_string(f"{prefix}_%03d", F.col("place of row") + 1).alias(name), *df.columns)

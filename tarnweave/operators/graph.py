@@ -5,29 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tarnweave.operators.durable import durable
+
 
 def breadth_first(edges: DataFrame, roots: DataFrame, most_depth: int | None = None, most_nodes: int | None = None) -> DataFrame:
     """Nodes reached from the roots (column node) over edges (src, dst, pos): node, depth, parent (the first to find it: smallest parent, then place).
 
-    One join and one anti-join a level. Every level is checkpointed to the shared folder, so plans stay short and lost executors cost one level.
+    One join and one anti-join a level. Every level is written once, to the shared folder, so plans stay short and lost executors cost one level.
     `most_nodes` is the crawl budget: discovery stops after the level that reaches it.
     """
-    spark = edges.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
-    level = roots.select(F.col("node"), F.lit(0).alias("depth"), F.lit(None).cast(edges.schema["src"].dataType).alias("parent")).distinct().checkpoint()
-    seen, depth = level, 0
+    level = durable(roots.select(F.col("node"), F.lit(0).alias("depth"), F.lit(None).cast(edges.schema["src"].dataType).alias("parent")).distinct())
+    seen, n_nodes, depth = level, level.count(), 0
     while True:
         depth += 1
-        if most_depth is not None and depth > most_depth or most_nodes is not None and seen.count() >= most_nodes:
+        if most_depth is not None and depth > most_depth or most_nodes is not None and n_nodes >= most_nodes:
             return seen
         found = edges.join(level.select(F.col("node").alias("src")), "src").groupBy(F.col("dst").alias("node")).agg(F.min_by("src", F.struct("src", "pos")).alias("parent"))
-        level = found.join(seen.select("node"), "node", "left_anti").select("node", F.lit(depth).alias("depth"), "parent").checkpoint()
-        if level.isEmpty():
+        level = durable(found.join(seen.select("node"), "node", "left_anti").select("node", F.lit(depth).alias("depth"), "parent"))
+        n_new = level.count()
+        if not n_new:
             return seen
-        seen = seen.unionByName(level).checkpoint()
+        seen, n_nodes = seen.unionByName(level), n_nodes + n_new
 
 
 def children(nodes: DataFrame) -> DataFrame:

@@ -2,15 +2,39 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tarnweave.operators.durable import durable
 from tarnweave.operators.profile import upper_median
 
 
 def gap_clusters(df: DataFrame, keys: list[str], value: str, gap: Column, name: str = "cluster") -> DataFrame:
-    """Numbers the groups of values that gaps larger than `gap` divide, for each key."""
-    w = Window.partitionBy(*keys).orderBy(value)
+    """Numbers the groups of values that gaps larger than `gap` divide, for each key.
+
+    Rows are ranged over partitions by key and value, so a key with many rows is spread; a partition numbers its own part of a key, and goes on from
+    where the parts before it end, of which only their ends and numbers of gaps are compared. Null values come first and start no group.
+    """
+    n = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    part = durable(df.withColumn("gap of row", gap).repartitionByRange(n, *keys, value).withColumn("part", F.spark_partition_id()))
+    w = Window.partitionBy("part", *keys).orderBy(value)
+    opens = F.when(F.col(value) - F.lag(value).over(w) > F.col("gap of row"), 1).otherwise(0)
+    own = part.withColumn("opens", opens)
+    ends = own.groupBy("part", *keys).agg(F.sum("opens").alias("n_opens"), F.min(F.struct(F.col(value).isNotNull(), value, "gap of row")).alias("head"), F.max(value).alias("tail"))
+    parts = Window.partitionBy(*keys).orderBy("part")
+    first = F.when(F.col(f"head.{value}") - F.lag("tail").over(parts) > F.col("head.gap of row"), 1).otherwise(0)
+    before = ends.withColumn("first", first).select("part", *keys, (F.sum("first").over(parts) + F.coalesce(F.sum("n_opens").over(parts.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).alias("before"))
+    counted = own.withColumn("inside", F.sum("opens").over(w.rangeBetween(Window.unboundedPreceding, 0)))
+    on = (counted["part"] == before["part"]) & reduce(and_, (counted[k].eqNullSafe(before[k]) for k in keys))
+    return counted.join(before, on).select(*(counted[c] for c in df.columns), (F.col("inside") + F.col("before")).cast("int").alias(name))
+
+
+def _columns(df: DataFrame, page: str, value: str, gap: Column, name: str) -> DataFrame:
+    """The same for the words of a page, which are few."""
+    w = Window.partitionBy(page).orderBy(value)
     new = F.when(F.col(value) - F.lag(value).over(w) > gap, 1).otherwise(0)
     return df.withColumn("new", new).withColumn(name, F.sum("new").over(w.rangeBetween(Window.unboundedPreceding, 0)).cast("int")).drop("new")
 
@@ -28,6 +52,6 @@ def table_lines(items: DataFrame, page: str = "page", tolerance: float = 1.3, le
         return F.struct(F.when(new, w["y"]).otherwise(a["anchor"]).alias("anchor"), row.alias("row"), F.concat(a["out"], F.array(F.struct(row.alias("row"), w.alias("item")))).alias("out")).cast(state)
 
     rows = per.select(page, "width", F.explode(F.aggregate("items", zero, step, lambda a: a["out"])).alias("r")).select(page, "width", F.col("r.row").alias("line_no"), "r.item.x", "r.item.text")
-    cells = gap_clusters(rows, [page], "x", F.greatest(F.col("width") * gap, F.lit(least_gap)), "column")
+    cells = _columns(rows, page, "x", F.greatest(F.col("width") * gap, F.lit(least_gap)), "column")
     joined = cells.groupBy(page, "line_no", "column").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x", "text"))), lambda c: c["text"]), " ").alias("cell"))
     return joined.groupBy(page, "line_no").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("column", "cell"))), lambda c: c["cell"]), " | ").alias("line"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -49,10 +49,9 @@ def backfill(rows: DataFrame, candidates: DataFrame, id_col: str, keys: list[str
 
 
 def fill_missing(rows: DataFrame, key: str, fields: list[str], score: Column, order: str) -> DataFrame:
-    """One row for each key: every field from the best row (score, then order) that has it."""
-    w = Window.partitionBy(key).orderBy(score.desc(), F.col(order)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    filled = [F.first(F.nullif(F.col(f), F.lit("")), ignorenulls=True).over(w).alias(f) for f in fields]
-    return rows.select(key, *filled).distinct()
+    """One row for each key: every field from the best row (score, then order) that has it. Rows of a key are combined before the shuffle, so a key may hold any share of them."""
+    place = F.struct(-score, order)
+    return rows.groupBy(key).agg(*(F.min_by(f, F.when(F.col(f) != "", place)).alias(f) for f in fields))
 
 
 def metadata_score(url: Column, title: Column, sha: Column, urls: Column, file: Column) -> Column:

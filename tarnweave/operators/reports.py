@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tarnweave.operators.dedup import placed
 from tarnweave.operators.vector import MOST_DISTANCE
 
 
@@ -23,9 +24,17 @@ def recall(results: DataFrame, **wanted: Column) -> DataFrame:
 
 
 def every_nth(df: DataFrame, order: list[str], size: int, step: int, n: int) -> DataFrame:
-    """Of `size` rows in order, every step-th, at most n: rows come from a top-k, not from a global window."""
-    head = df.orderBy(*order).limit(min(size, step * (n - 1) + 1))
-    return head.withColumn("nth", F.row_number().over(Window.orderBy(*order)) - 1).where(F.col("nth") % step == 0).drop("nth")
+    """Of `size` rows in order, every step-th, at most n. Places are counted per partition, so no task sorts all rows."""
+    place = F.col("place of row")
+    return placed(df, order, "place of row").where((place < min(size, step * (n - 1) + 1)) & (place % step == 0)).drop("place of row")
+
+
+def first_middle_last(df: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """Of each key's rows in order the first, the middle (of an even number, the upper one) and the last, each once; `sample` says which."""
+    w = Window.partitionBy(*keys).orderBy(order)
+    rows = df.withColumn("nth", F.row_number().over(w) - 1).join(df.groupBy(*keys).agg(F.count("*").alias("size")), keys)
+    which = F.when(F.col("nth") == 0, "first").when(F.col("nth") == F.floor(F.col("size") / 2), "middle").when(F.col("nth") == F.col("size") - 1, "last")
+    return rows.withColumn("sample", which).where("sample is not null").drop("nth", "size")
 
 
 def answer_line(program: Column, campus: Column, category: Column, minimum: Column, own: Column) -> Column:

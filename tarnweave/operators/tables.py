@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -114,16 +117,25 @@ def contains_either(a: Column, b: Column) -> Column:
     return (a != "") & (b != "") & (F.contains(a, b) | F.contains(b, a))
 
 
-def asked(records: DataFrame, questions: DataFrame) -> DataFrame:
-    """Records that fit each question's program, campus and category (null: any). The table is small and is broadcast after a count; a larger one is joined as it is."""
-    table = F.broadcast(records) if records.count() <= 100_000 else records
-    fits = lambda wanted, test: F.col(wanted).isNull() | test
-    on = (
-        fits("q_program", contains_either(program_key("program"), program_key("q_program")))
-        & fits("q_campus", contains_either(folded("campus"), folded("q_campus")))
-        & fits("q_category", folded("category") == folded("q_category"))
-    )
-    return questions.join(table, on)
+def asked(records: DataFrame, questions: DataFrame, broadcast_rows: int = 100_000) -> DataFrame:
+    """Records that fit each question's program, campus and category (null: any).
+
+    Names fit by containment, which is no equality to join by: so the distinct names that are asked for meet the distinct names of the records, of which
+    there are few, and records and questions are joined by equality to what fits. A category that is asked for is an equality from the start.
+    """
+    own = [program_key("program").alias("key of program"), folded("campus").alias("key of campus"), folded("category").alias("key of category")]
+    want = ["q_program", "q_campus", "q_category"]
+    keyed = records.select(F.struct(*records.columns).alias("record"), *own)
+    names = ["key of program", "key of campus", "key of category"]
+    sets = keyed.select(*names).distinct()
+    sets = F.broadcast(sets) if sets.count() <= broadcast_rows else sets
+    wants = questions.select(*want).distinct()
+    fits = (F.col("q_program").isNull() | contains_either(F.col("key of program"), program_key("q_program"))) & (F.col("q_campus").isNull() | contains_either(F.col("key of campus"), folded("q_campus")))
+    given = wants.where("q_category is not null").join(sets, (folded("q_category") == F.col("key of category")) & fits)
+    pairs = given.unionByName(wants.where("q_category is null").join(sets, fits))
+    pairs = pairs.select(*(F.col(w).alias(f"asked {w}") for w in want), *(F.col(k).alias(f"fitting {k}") for k in names))
+    of = questions.join(pairs, reduce(and_, (F.col(w).eqNullSafe(F.col(f"asked {w}")) for w in want)))
+    return of.join(keyed, reduce(and_, (F.col(k) == F.col(f"fitting {k}") for k in names))).select(*questions.columns, "record.*")
 
 
 def compared(rows: DataFrame, own: str = "q_aggregate", minimum: str = "closing_merit") -> DataFrame:

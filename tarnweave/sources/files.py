@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from tarnweave.operators.durable import durable
+
+#: Levels of nesting between two looks at whether more are there.
+LEVELS = 8
+
 
 def envelope(spark: SparkSession, path: str, rows: str, schema: str) -> DataFrame:
     """The rows under a key of a JSON document."""
@@ -25,16 +30,19 @@ def records(spark: SparkSession, path: str, candidates: list[str], schema: str)
     return out.withColumn("url", F.coalesce("url", "key")).drop("key") if "url" in out.columns else out.drop("key")
 
 
-def url_records(df: DataFrame, variant: str = "doc", depth: int = 8) -> DataFrame:
-    """Every object with a url that isn't blank, anywhere within `depth` levels of a variant column, as JSON. A level at a time, by exploding."""
+def url_records(df: DataFrame, variant: str = "doc") -> DataFrame:
+    """Every object with a url that isn't blank, at any depth of a variant column, as JSON. A level at a time, by exploding, until a level is empty; that is looked at, and the level written, once in LEVELS levels."""
     level, out = df.select(F.col(variant).alias("v")), None
-    for _ in range(depth):
-        url = F.try_variant_get("v", "$.url", "string")
-        hit = level.where(F.trim(url) != "").select(url.alias("url"), F.to_json("v").alias("record"))
-        out = hit if out is None else out.unionByName(hit)
-        kids = F.coalesce(F.try_variant_get("v", "$", "array<variant>"), F.map_values(F.try_variant_get("v", "$", "map<string,variant>")))
-        level = level.select(F.explode(kids).alias("v"))
-    return out
+    while True:
+        for _ in range(LEVELS):
+            url = F.try_variant_get("v", "$.url", "string")
+            hit = level.where(F.trim(url) != "").select(url.alias("url"), F.to_json("v").alias("record"))
+            out = hit if out is None else out.unionByName(hit)
+            kids = F.coalesce(F.try_variant_get("v", "$", "array<variant>"), F.map_values(F.try_variant_get("v", "$", "map<string,variant>")))
+            level = level.select(F.explode(kids).alias("v"))
+        level = durable(level)
+        if level.isEmpty():
+            return out
 
 
 def pdf_status(content: Column, error: Column | None = None, wanted: Column | None = None) -> Column:
@@ -69,16 +77,71 @@ def write_report(rows: DataFrame, path: str) -> None:
     rows.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
 
 
-def promote(rows: DataFrame, path: str, version: str) -> DataFrame:
-    """Writes a version and gives it back read anew; raises if its count differs, so that what readers use is never half written."""
-    target = f"{path}/version={version}"
-    rows.write.mode("overwrite").parquet(target)
-    again = rows.sparkSession.read.parquet(target)
-    if again.count() != rows.count():
-        raise ValueError(f"{target} is incomplete")
+def _files(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _point(spark: SparkSession, path: str, name: str, version: str) -> None:
+    """Makes a pointer name a version: written aside, then renamed."""
+    aside, fs = _files(spark, f"{path}/_{name}.{version}")
+    out = fs.create(aside, True)
+    out.write(bytearray(version.encode()))
+    out.close()
+    target, _ = _files(spark, f"{path}/_{name}")
+    fs.delete(target, False)
+    if not fs.rename(aside, target):
+        raise OSError(f"{path}: the pointer {name} couldn't be moved")
+
+
+def version_of(spark: SparkSession, path: str, name: str = "current") -> str | None:
+    """The version that a pointer names; null before the first promotion."""
+    at, fs = _files(spark, f"{path}/_{name}")
+    if not fs.exists(at):
+        return None
+    file = fs.open(at)
+    try:
+        return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(file, "UTF-8")
+    finally:
+        file.close()
+
+
+def promote(rows: DataFrame, path: str, version: str, key: str | None = None) -> DataFrame:
+    """Writes rows as a new version, checks it as read back (all rows there, with `key` each once and none null), and only then lets `current` name it; what was current before is the backup, `previous`. Versions are never overwritten, so a promotion that fails leaves readers what they had."""
+    spark, target = rows.sparkSession, f"{path}/version={version}"
+    at, fs = _files(spark, target)
+    if fs.exists(at):
+        raise ValueError(f"{target} exists")
+    seen = Observation()
+    rows.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(target)
+    again = spark.read.parquet(target)
+    keyed = [F.lit(True)] if key is None else [F.count_distinct(key) == F.count("*")]
+    n, unique = again.agg(F.count("*"), *keyed).first()
+    if n != seen.get["n"] or not unique:
+        fs.delete(at, True)
+        raise ValueError(f"{target}: {n} rows of {seen.get['n']}" + ", keys aren't unique" * (not unique))
+    before = version_of(spark, path)
+    if before is not None:
+        _point(spark, path, "previous", before)
+    _point(spark, path, "current", version)
     return again
 
 
+def current(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of the version that is current."""
+    return spark.read.parquet(f"{path}/version={version_of(spark, path)}")
+
+
+def rolled_back(spark: SparkSession, path: str) -> DataFrame:
+    """Makes the backup current again; the two change places."""
+    now, before = version_of(spark, path), version_of(spark, path, "previous")
+    if before is None:
+        raise ValueError(f"{path} has no backup")
+    _point(spark, path, "current", before)
+    _point(spark, path, "previous", now)
+    return current(spark, path)
+
+
 def file_category(name: Column) -> Column:
     """What a stage's file is, by its name: exact names first, then a prefix."""
     known = {"_sections.json": "SECTIONS", "_selected_sections.json": "SECTIONS", "_content_targets.json": "TARGETS", "_pages_reviewed.json": "PAGES", "_knowledge_refined.json": "PAGES", "_knowledge_books.json": "BOOKS", "_actions_registry.json": "ACTIONS", "_knowledge_base.json": "KNOWLEDGE_BASE", "_pdf_downloads.json": "DOWNLOADS", "_pdf_duplicates.json": "DUPLICATES"}

@@ -1,9 +1,10 @@
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from tarnweave.operators import dedup, graph, profile, reports
+from tarnweave.operators import dedup, graph, layout, merge, profile, reports
 from tarnweave.sources import files
 from tarnweave.streaming import incremental
 
@@ -95,3 +96,55 @@ def test_hash_eligible_and_addresses(spark):
     assert [r.url for r in ok.collect()] == ["a"] and {r.url: r.dedup_error for r in rest.collect()} == {"b": "status FAILED", "c": "missing file"}
     docs = spark.createDataFrame([("u", [("v",), ("u",)]), ("w", None)], "canonical_url string, aliases array<struct<url:string>>")
     assert {r.canonical_url: r.all_urls for r in reports.all_urls(docs).collect()} == {"u": ["u", "v"], "w": ["w"]}
+
+
+def test_promotion_keeps_a_backup(spark, tmp_path):
+    path = str(tmp_path / "p")
+    assert files.version_of(spark, path) is None
+    files.promote(spark.range(5), path, "1", "id")
+    files.promote(spark.range(7), path, "2", "id")
+    assert files.current(spark, path).count() == 7 and files.version_of(spark, path, "previous") == "1"
+    with pytest.raises(ValueError, match="exists"):
+        files.promote(spark.range(1), path, "2")
+    with pytest.raises(ValueError, match="unique"):
+        files.promote(spark.sql("SELECT * FROM VALUES (1), (1) AS t(id)"), path, "3", "id")
+    assert files.version_of(spark, path) == "2" and not (tmp_path / "p/version=3").exists()
+    assert files.rolled_back(spark, path).count() == 5 and files.version_of(spark, path, "previous") == "2"
+
+
+def test_addresses_at_any_depth(spark):
+    doc, urls = {"url": "deepest"}, ["deepest"]
+    for k in range(21):
+        doc = {"url": f"u{k}", "kids": [doc, {"x": {"url": " "}}]} if k % 2 else {"inner": {"a": doc}, "url": f"u{k}"}
+        urls.append(f"u{k}")
+    df = spark.createDataFrame([(json.dumps(doc),), ("[]",)], "t string").select(F.parse_json("t").alias("doc"))
+    assert sorted(r.url for r in files.url_records(df).collect()) == sorted(urls)
+    assert files.url_records(df.limit(0)).count() == 0
+
+
+def test_gaps_across_partitions(spark):
+    r = random.Random(3)
+    rows = [(k, v) for k in ("hot", None, "x") for v in r.choices(range(0, 4000, 7), k=500 if k == "hot" else 20)] + [("hot", None), ("y", None), ("z", 4)]
+    got = layout.gap_clusters(spark.createDataFrame(rows, "k string, v int"), ["k"], "v", F.lit(20)).collect()
+    for key in {k for k, _ in rows}:
+        values = sorted(v for k, v in rows if k == key and v is not None)
+        want, n = {}, 0
+        for a, b in zip([values[0] if values else 0, *values], values):
+            n += b - a > 20
+            want[b] = n
+        assert len([x for x in got if x.k == key]) == sum(k == key for k, _ in rows)
+        assert {x.v: x.cluster for x in got if x.k == key and x.v is not None} == want
+
+
+def test_samples(spark):
+    df = spark.range(1000).select((F.col("id") * 7 % 1000).alias("v"))
+    assert [r.v for r in reports.every_nth(df, ["v"], 900, 100, 6).orderBy("v").collect()] == [0, 100, 200, 300, 400, 500]
+    assert reports.every_nth(df.limit(0), ["v"], 9, 2, 3).count() == 0
+    few = spark.createDataFrame([("a", k) for k in range(4)] + [("b", 9), ("c", 1), ("c", 2)], "k string, v int")
+    assert sorted((r.k, r.v, r["sample"]) for r in reports.first_middle_last(few, ["k"], "v").collect()) == [("a", 0, "first"), ("a", 2, "middle"), ("a", 3, "last"), ("b", 9, "first"), ("c", 1, "first"), ("c", 2, "middle")]
+
+
+def test_fields_from_the_best_row(spark):
+    rows = [("k", 1, "", "b1"), ("k", 2, "a2", None), ("k", 3, "a3", "b3"), ("l", 4, None, "")]
+    got = merge.fill_missing(spark.createDataFrame(rows, "k string, n int, a string, b string"), "k", ["a", "b"], F.lit(0), "n").collect()
+    assert sorted(map(tuple, got)) == [("k", "a2", "b1"), ("l", None, None)]
