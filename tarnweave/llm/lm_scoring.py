@@ -8,15 +8,17 @@ with an end symbol, so a text's probability doesn't depend on its neighbours or
 Learning sees all training rows. Chunks of all rows are reduced to distinct 6-byte grams with their training counts, which
 are summed in blocks of a hash of the last three bytes before. A block holds all that its contexts of three bytes and more
 (and its words) have been followed by, so their bit counts are exact and grow with the corpus, and no table of them
-exists; the counts of one and two bytes before, whose number the alphabet bounds, have a place each and are broadcast.
-Weights are learned online over the grams, a gram's own occurrence left out of the counts that predict it, by each task
-over its share, and averaged; the map is learned likewise. Each distinct gram of the corpus is costed once, in its block;
-the costs come back to the chunks in the order of their grams.
+exists; the counts of one and two bytes before, whose number the alphabet bounds, are broadcast.
+Weights are learned online over the grams, a gram's own occurrence left out of the counts that predict it, by each block
+from where the last of two rounds ended, and averaged over the blocks; then the map is learned. Blocks and their order are
+given by the grams, so scores don't depend on how rows are dealt. Each distinct gram of the corpus is costed once, in its
+block; the costs come back to the chunks in the order of their grams.
 
 The base is a unigram model with exact counts: tokens travel as each chunk's distinct words in blocks of a hash, and the
 counts come back in the same order, so what is shuffled is each chunk's vocabulary, not its tokens.
 
-A null text is empty: its only token is the end. Equal rows are scored (and, in training, counted) each; without
+A null text is empty: its only token is the end. Equal rows are scored (and, in training, counted) each; very many of them are
+one row with their number on the way. Without
 training rows the base is log10(0.5 / 0.5) a token (all counts 0, one pseudo-word) and the model predicts evenly. An
 empty table gives an empty result; other columns are ignored.
 """
@@ -38,29 +40,17 @@ REACH = 5
 WORD = 6
 ORDERS = (1, 2, 3, 4, REACH, WORD)
 END = 255  # no byte of UTF-8
-#: Binary logarithm of each order's table in a model of hashed tables; the corpus model has none (see Block).
-TABLE_BITS = {1: 16, 2: 20, 3: 21, 4: 22, 5: 22, WORD: 22}
 #: Grams of a block that are handled at a time; those of one context of three bytes stay together.
-UNIT = 1 << 18
+UNIT = 1 << 17
 LEVELS = 5
 GATES = 8 * LEVELS * LEVELS
 STEPS = 33
 CHUNK_BYTES = 8 << 20
 SLICE_BYTES = 1 << 20
-_DELTA = 0.25
+_DELTA = np.float32(0.25)
 
-_N = np.arange(512)
-_LOG = np.log(_N + _DELTA).astype(np.float32)
-_LEVEL = np.digitize(_N, [1, 2, 4, 16]).astype(np.int8)
 _T = mixed(np.arange(1, 257, dtype=np.uint64)).astype(np.uint32)
 _P = mixed(np.arange(2001, 2065, dtype=np.uint64)).astype(np.uint32) | np.uint32(1)
-#: Quantised log odds of counts (n0, n1 in the lower and upper byte) for scoring, in sixteenths.
-_ODDS = np.rint(16 * (_LOG[np.arange(65536) >> 8] - _LOG[np.arange(65536) & 255])).astype(np.int8)
-_SEEN = _LEVEL[(np.arange(65536) >> 8) + (np.arange(65536) & 255)]
-#: For learning, by the bit in the upper half: log odds and level without one occurrence of that bit.
-_LESS0 = np.concatenate([np.maximum((np.arange(65536) & 255) - 1, 0), np.arange(65536) & 255])
-_LESS1 = np.concatenate([np.arange(65536) >> 8, np.maximum((np.arange(65536) >> 8) - 1, 0)])
-_LEFT_ODDS, _LEFT_SEEN = _LOG[_LESS1] - _LOG[_LESS0], _LEVEL[_LESS0 + _LESS1]
 
 
 # -- grams ------------------------------------------------------------------
@@ -155,163 +145,143 @@ def _context(order: int, gram: np.ndarray) -> np.ndarray:
     return context
 
 
-def _contexts(order: int, gram: np.ndarray) -> np.ndarray:
-    """Hashes of the order's contexts."""
-    return mixed(_context(order, gram) * np.uint64(8) + np.uint64(order))
-
-
-def _slots(context: np.ndarray, node: np.ndarray, bits: int) -> np.ndarray:
-    """Table places of contexts with the bits so far."""
-    return (((context ^ node) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - bits)).view(np.int64)
-
-
-def _nodes(byte: np.ndarray, j: int) -> np.ndarray:
-    """A hash of the first j bits of each byte."""
-    return ((byte | np.uint64(256)) >> np.uint64(8 - j)) * np.uint64(0x9E3779B97F4A7C15)
-
-
-def _packed(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
-    """Two counts in a byte each, both divided where one is larger."""
-    n = np.stack([n0, n1], 1).astype(np.float64)
-    small = np.where(n > 0, np.maximum(1, np.floor(n / np.maximum(1, n.max(1, keepdims=True) / 255))), 0).astype(np.uint8)
-    return small.view("<u2").ravel()
-
-
-def _bit_counts(key: np.ndarray, count: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For each bit of the last bytes of sorted keys: where what precedes it changes, and the packed counts of the bit there."""
+def _bit_counts(key: np.ndarray, count: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each bit of the last bytes of sorted keys: where what precedes it changes, and how often a zero and a one are there."""
     for j in range(8):
         head = _runs(key >> np.uint64(8 - j))
         ones = np.add.reduceat(count * ((key >> np.uint64(7 - j)) & np.uint64(1)).astype(np.int64), head)
-        yield head, _packed(np.add.reduceat(count, head) - ones, ones)
-
-
-def _place_of(key: np.ndarray, j: int) -> np.ndarray:
-    """Places of contexts of one or two bytes and the first j bits of the byte behind: each has its own."""
-    return ((key & ~np.uint64(255)) | ((key & np.uint64(255) | np.uint64(256)) >> np.uint64(8 - j))).view(np.int64)
+        yield head, np.add.reduceat(count, head) - ones, ones
+
+
+class LowOrder:
+    """Bit counts after one or two bytes: a row of 256 places (the first bits of the byte behind, led by a one) for each context that occurs, and one of zeros for the others."""
+
+    def __init__(self, order: int, key: np.ndarray, count: np.ndarray):
+        key, count = _summed([key & np.uint64((1 << 8 * (order + 1)) - 1)], [count])
+        contexts, row = np.unique(key >> np.uint64(8), return_inverse=True)
+        self.mask = np.uint64((1 << 8 * (order + 1)) - 1)
+        self.rows = np.full(1 << 8 * order, contexts.size, np.int32)
+        self.rows[contexts.astype(np.int64)] = np.arange(contexts.size)
+        self.n = np.zeros((2, (contexts.size + 1) * 256), np.float32)
+        for j, (head, zeros, ones) in enumerate(_bit_counts(key, count) if key.size else ()):
+            place = row[head] * 256 + ((key[head] & np.uint64(255) | np.uint64(256)) >> np.uint64(8 - j)).astype(np.int64)
+            self.n[0, place], self.n[1, place] = zeros, ones
+
+    def counts(self, gram: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        key = gram & self.mask
+        row = self.rows[(key >> np.uint64(8)).astype(np.int64)].astype(np.int64) * 256
+        node = (key & np.uint64(255) | np.uint64(256)).astype(np.int64)
+        for j in range(8):
+            place = row + (node >> (8 - j))
+            yield self.n[0, place], self.n[1, place]
 
 
-def low_orders(key: np.ndarray, count: np.ndarray) -> dict[int, np.ndarray]:
-    """Packed bit counts of the contexts of one and two bytes, from counts of three bytes in a row."""
-    out = {}
-    for order in (1, 2):
-        k, c = _summed([key & np.uint64((1 << 8 * (order + 1)) - 1)], [count])
-        out[order] = np.zeros(1 << 8 * (order + 1), "<u2")
-        for j, (head, code) in enumerate(_bit_counts(k, c) if k.size else ()):
-            out[order][_place_of(k[head], j)] = code
-    return out
+def low_orders(key: np.ndarray, count: np.ndarray) -> dict[int, LowOrder]:
+    """The counts of the contexts of one and two bytes, from counts of three bytes in a row."""
+    return {order: LowOrder(order, key, count) for order in (1, 2)}
 
 
-class Model:
-    """tables[order]: (slots, 2) bit counts of a byte each; weights (gates, inputs); refine (gates, steps): log odds of the adaptive map."""
+class Weights:
+    """weights (gates, inputs) and refine (gates, steps), the adaptive map's log odds: all of the model but for its counts."""
 
-    def __init__(self, tables: dict[int, np.ndarray], weights: np.ndarray | None = None, refine: np.ndarray | None = None):
-        self.codes = {order: t.view("<u2").ravel() for order, t in tables.items()}
-        self.weights = np.full((GATES, len(ORDERS) + 1), 0.3, np.float32) if weights is None else weights
+    def __init__(self, weights: np.ndarray | None = None, refine: np.ndarray | None = None):
+        self.weights, self.refine = weights, refine
         if weights is None:
+            self.weights = np.full((GATES, len(ORDERS) + 1), 0.3, np.float32)
             self.weights[:, -1] = 0
-        self.refine = refine
 
-    def finder(self, gram: np.ndarray, at: np.ndarray) -> Callable[[int, np.ndarray], list[np.ndarray]]:
-        """What gives each order's packed counts for a bit and some of the grams, which have the places `at` in the model."""
-        contexts = [_contexts(order, gram) for order in ORDERS]
+    @staticmethod
+    def step(z: np.ndarray) -> np.ndarray:
+        return np.rint(np.clip(z, -8, 8) * 2).astype(np.int64) + STEPS // 2
+
+    def refined(self, z: np.ndarray, gate: np.ndarray) -> np.ndarray:
+        return z if self.refine is None else 0.5 * (z + self.refine[gate, self.step(z)])
 
-        def found(j: int, head: np.ndarray) -> list[np.ndarray]:
-            node = _nodes(gram[head] & np.uint64(255), j)
-            return [self.codes[order][_slots(c[head], node, self.codes[order].size.bit_length() - 1)] for order, c in zip(ORDERS, contexts, strict=True)]
 
-        return found
+class Block:
+    """What the contexts predict for each bit of given grams (sorted, distinct), which are all there are of their contexts of three bytes: bit counts are exact, none is shared with another context. With `leave_out`, a bit's own occurrence is left out of the counts that predict it."""
 
-    def inputs(self, gram: np.ndarray, count: np.ndarray, at: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-        """For each bit: the predictions as log odds (n, inputs), the gate, the bit, its count; one occurrence of the bit itself is left out of its counts. Neighbours that agree up to the bit are one row."""
-        found = self.finder(gram, at)
+    def __init__(self, gram: np.ndarray, count: np.ndarray, low: dict[int, LowOrder], leave_out: bool = False):
+        self.gram, self.leave_out = gram, leave_out
+        self.odds = np.empty((8, len(ORDERS), gram.size), np.float32)
+        self.level = np.empty((8, 2, gram.size), np.int8)
+        everywhere = np.arange(gram.size)
+        for k, order in enumerate(ORDERS):
+            if order in low:
+                for j, (zeros, ones) in enumerate(low[order].counts(gram)):
+                    self._put(j, k, everywhere, zeros, ones)
+                continue
+            key = _context(order, gram) << np.uint64(8) | gram & np.uint64(255)
+            at = np.argsort(key)
+            for j, (head, zeros, ones) in enumerate(_bit_counts(key[at], count[at])):
+                size = np.diff(np.append(head, gram.size))
+                self._put(j, k, at, np.repeat(zeros.astype(np.float32), size), np.repeat(ones.astype(np.float32), size))
+        # Words of which less than two bytes are there may stand in other blocks as well: they are contexts of low order.
+        last, second = (~SPACED[((gram >> np.uint64(8 * d)) & np.uint64(255)).astype(np.uint8)] for d in (1, 2))
+        for order, short in ((1, last), (2, second & ~last)):
+            at = np.flatnonzero(short)
+            for j, (zeros, ones) in enumerate(low[order].counts(gram[at])):
+                self._put(j, ORDERS.index(WORD), at, zeros, ones)
+
+    def _put(self, j: int, k: int, at: np.ndarray, zeros: np.ndarray, ones: np.ndarray) -> None:
+        if self.leave_out:
+            bit = ((self.gram[at] >> np.uint64(7 - j)) & np.uint64(1)).astype(np.float32)
+            zeros, ones = np.maximum(zeros - (1 - bit), 0), np.maximum(ones - bit, 0)
+        self.odds[j, k, at] = np.log(ones + _DELTA) - np.log(zeros + _DELTA)
+        if k >= len(ORDERS) - 2:
+            n = zeros + ones
+            self.level[j, k - len(ORDERS) + 2, at] = (n >= 1).astype(np.int8) + (n >= 2) + (n >= 4) + (n >= 16)
+
+    def gate(self, j: int, at: np.ndarray) -> np.ndarray:
+        return (j * LEVELS + self.level[j, 1, at].astype(np.int64)) * LEVELS + self.level[j, 0, at]
+
+    def inputs(self, at: np.ndarray, count: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """For each bit of the grams at these places: the predictions as log odds (n, inputs), the gate, the bit, its count. Neighbours that agree up to the bit are one row."""
+        gram = self.gram[at]
         for j in range(8):
             head = _runs(gram >> np.uint64(7 - j))
-            bit = ((gram[head] >> np.uint64(7 - j)) & np.uint64(1)).astype(np.int64)
             x = np.ones((head.size, len(ORDERS) + 1), np.float32)
-            level = []
-            upper = bit << 16
-            for k, code in enumerate(found(j, head)):
-                code = code + upper
-                x[:, k] = _LEFT_ODDS[code]
-                level.append(_LEFT_SEEN[code])
-            yield x, (j * LEVELS + level[-1].astype(np.int64)) * LEVELS + level[-2], bit, np.add.reduceat(count, head)
-
-    def mix(self, x: np.ndarray, gate: np.ndarray) -> np.ndarray:
-        return np.clip(np.einsum("ij,ij->i", x, self.weights[gate]), -12, 12)
-
-    def learn(self, gram: np.ndarray, count: np.ndarray, rate: float, batch: int = 16, group: int = 256) -> None:
+            x[:, :-1] = self.odds[j][:, at[head]].T
+            yield x, self.gate(j, at[head]), ((gram[head] >> np.uint64(7 - j)) & np.uint64(1)).astype(np.int64), np.add.reduceat(count, head)
+
+    def mixed(self, model: Weights, x: np.ndarray, gate: np.ndarray) -> np.ndarray:
+        return np.clip(np.einsum("ij,ij->i", x, model.weights[gate]), -12, 12)
+
+    def learn(self, model: Weights, count: np.ndarray, rate: float, batch: int = 16, group: int = 256) -> None:
         """Online steps over batches of groups of neighbouring grams, in an order that doesn't depend on their bytes, each gram weighed by its count."""
         some = np.flatnonzero(count)
         order = np.random.default_rng(some.size).permutation(-(-some.size // group)) * group
         for lo in range(0, order.size, batch):
             index = (order[lo : lo + batch, None] + np.arange(group)).ravel()
             index = some[index[index < some.size]]
-            for x, gate, bit, w in self.inputs(gram[index], count[index].astype(np.float64), index):
-                error = (bit - 1 / (1 + np.exp(-self.mix(x, gate)))) * w
+            for x, gate, bit, w in self.inputs(index, count[index].astype(np.float64)):
+                error = (bit - 1 / (1 + np.exp(-self.mixed(model, x, gate)))) * w
                 place = (gate[:, None] * x.shape[1] + np.arange(x.shape[1])).ravel()
-                push, bend = (np.bincount(place, v.ravel(), self.weights.size).reshape(self.weights.shape) for v in (error[:, None] * x, w[:, None] * x * x))
+                push, bend = (np.bincount(place, v.ravel(), model.weights.size).reshape(model.weights.shape) for v in (error[:, None] * x, w[:, None] * x * x))
                 size = np.bincount(gate, w, GATES)[:, None]
-                self.weights += rate * (push / (0.25 * bend + 0.02 * size + 50)).astype(np.float32)
+                model.weights += rate * (push / (0.25 * bend + 0.02 * size + 50)).astype(np.float32)
 
-    @staticmethod
-    def step(z: np.ndarray) -> np.ndarray:
-        return np.rint(np.clip(z, -8, 8) * 2).astype(np.int64) + STEPS // 2
-
-    def refined(self, z: np.ndarray, gate: np.ndarray) -> np.ndarray:
-        return z if self.refine is None else 0.5 * (z + self.refine[gate, self.step(z)])
-
-    def costs(self, gram: np.ndarray, batch: int = 1 << 14) -> np.ndarray:
+    def costs(self, model: Weights, batch: int = 1 << 14) -> np.ndarray:
         """log10 of the probability of each gram's last byte after the others."""
-        weights = np.ascontiguousarray(self.weights.T)
-        out = np.zeros(gram.size)
-        for lo in range(0, gram.size, batch):
-            part = gram[lo : lo + batch]
-            found = self.finder(part, np.arange(lo, lo + part.size))
+        weights = np.ascontiguousarray(model.weights.T)
+        out = np.zeros(self.gram.size)
+        for lo in range(0, self.gram.size, batch):
+            part = self.gram[lo : lo + batch]
             total = np.zeros(part.size, np.float32)
             for j in range(8):
                 # Neighbours that agree up to a bit share its cost: grams are sorted.
                 head = _runs(part >> np.uint64(7 - j))
+                gate = self.gate(j, lo + head)
+                z = weights[-1][gate]
+                for k in range(len(ORDERS)):
+                    z += weights[k][gate] * self.odds[j, k, lo + head]
+                z = model.refined(np.clip(z, -12, 12), gate)
                 bit = ((part[head] >> np.uint64(7 - j)) & np.uint64(1)).astype(bool)
-                codes = found(j, head)
-                gate = (j * LEVELS + _SEEN[codes[-1]].astype(np.int64)) * LEVELS + _SEEN[codes[-2]]
-                z = np.zeros(head.size, np.float32)
-                for k, code in enumerate(codes):
-                    z += weights[k][gate] * _ODDS[code]
-                z = np.clip(z / 16 + weights[-1][gate], -12, 12)
-                z = self.refined(z, gate)
                 total -= np.repeat(np.log1p(np.exp(np.where(bit, -z, z))), np.diff(np.append(head, part.size)))
             out[lo : lo + part.size] = total
         return out / np.log(10)
 
 
-class Block(Model):
-    """The model for given grams (sorted, distinct) that are all there are of their contexts of three bytes: bit counts are exact, none is shared with another context."""
-
-    def __init__(self, gram: np.ndarray, count: np.ndarray, low: dict[int, np.ndarray], weights: np.ndarray | None = None, refine: np.ndarray | None = None):
-        super().__init__({}, weights, refine)
-        self.found = np.empty((8, len(ORDERS), gram.size), "<u2")
-        for k, order in enumerate(ORDERS):
-            if order in low:
-                self._take(k, slice(None), low[order], gram & np.uint64((1 << 8 * (order + 1)) - 1))
-                continue
-            key = _context(order, gram) << np.uint64(8) | gram & np.uint64(255)
-            at = np.argsort(key)
-            for j, (head, code) in enumerate(_bit_counts(key[at], count[at])):
-                self.found[j, k, at] = np.repeat(code, np.diff(np.append(head, gram.size)))
-        # Words of which less than two bytes are there may stand in other blocks as well: they are contexts of low order.
-        last, second = (~SPACED[((gram >> np.uint64(8 * d)) & np.uint64(255)).astype(np.uint8)] for d in (1, 2))
-        for order, short in ((1, last), (2, second & ~last)):
-            at = np.flatnonzero(short)
-            self._take(ORDERS.index(WORD), at, low[order], gram[at] & np.uint64((1 << 8 * (order + 1)) - 1))
-
-    def _take(self, k: int, at: slice | np.ndarray, codes: np.ndarray, key: np.ndarray) -> None:
-        for j in range(8):
-            self.found[j, k, at] = codes[_place_of(key, j)]
-
-    def finder(self, gram: np.ndarray, at: np.ndarray) -> Callable[[int, np.ndarray], list[np.ndarray]]:
-        return lambda j, head: list(self.found[j][:, at[head]])
-
-
 def _units(gram: np.ndarray) -> Iterator[np.ndarray]:
     """A block's grams in parts of about UNIT, as sorted places; a context of three bytes is in one part."""
     last = (gram >> np.uint64(8)) & np.uint64(0xFFFFFF)
@@ -385,13 +355,13 @@ def _unpack(data: bytes) -> tuple[pa.Array, np.ndarray]:
 
 def _pack_grams(gram: np.ndarray, count: np.ndarray) -> bytes:
     """Sorted grams as differences, by planes of bytes, which pack well."""
-    planes = [np.diff(gram, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T, np.minimum(count, 0xFFFFFFFF).astype("<u4").view(np.uint8).reshape(-1, 4).T]
+    planes = [np.diff(gram, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T, count.astype("<u8").view(np.uint8).reshape(-1, 8).T]
     return _squeezed(b"".join(p.tobytes() for p in planes))
 
 
 def _unpack_grams(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    planes = np.frombuffer(_plain(data), np.uint8).reshape(12, -1)
-    return np.cumsum(np.ascontiguousarray(planes[:8].T).view("<u8").ravel()), np.ascontiguousarray(planes[8:].T).view("<u4").ravel().astype(np.int64)
+    planes = np.frombuffer(_plain(data), np.uint8).reshape(16, -1)
+    return np.cumsum(np.ascontiguousarray(planes[:8].T).view("<u8").ravel()), np.ascontiguousarray(planes[8:].T).view("<i8").ravel()
 
 
 def _pack_costs(cost: np.ndarray) -> bytes:
@@ -414,13 +384,14 @@ def _blocks(gram: np.ndarray, n_blocks: int) -> tuple[np.ndarray, np.ndarray, np
 
 
 def _gathered(n_blocks: int):
-    """For a chunk: all its distinct grams with their training counts (kind 0) and all its distinct words with their training counts (kind 1), by block."""
+    """For a chunk: all its distinct grams with their training counts (kind 0) and all its distinct words with their training counts (kind 1), by block; and its training texts' number (kind 2)."""
 
     def run(table: pa.Table) -> pa.Table:
         keys, others, words, seen = [], [], [], []
+        many, times = [], []  # grams of texts that stand for several rows
         ends, chunk = 0, table.column("chunk")[0].as_py()
         for part in _slices(table):
-            train = part.column(3).to_numpy(zero_copy_only=False)
+            train = np.where(part.column(3).to_numpy(zero_copy_only=False), 0, part.column(4).to_numpy())
             ends += int(train.sum())
             raw, at = text_bytes(part.column(2))
             raw = lowered(raw)
@@ -429,9 +400,11 @@ def _gathered(n_blocks: int):
             words.append(coded.dictionary)
             seen.append((coded.dictionary, np.bincount(coded.indices.to_numpy(), np.repeat(train, np.diff(first)).astype(np.float64), len(coded.dictionary)).astype(np.int64) if len(coded) else np.zeros(0, np.int64)))
             gram, begin = grams(raw, at)
-            learnt = np.repeat(train, np.diff(begin))
-            keys.append(gram[learnt])
-            others.append(gram[~learnt])
+            each = np.repeat(train, np.diff(begin))
+            keys.append(gram[each == 1])
+            others.append(gram[each == 0])
+            many.append(gram[each > 1])
+            times.append(each[each > 1])
         gram = np.concatenate(keys)
         del keys
         gram.sort()
@@ -439,34 +412,36 @@ def _gathered(n_blocks: int):
         gram, count = gram[head], np.diff(np.append(head, gram.size))
         more = np.unique(np.concatenate(others))
         del others
-        gram, count = _summed([gram, more], [count, np.zeros(more.size, np.int64)])
+        gram, count = _summed([gram, more, *many], [count, np.zeros(more.size, np.int64), *times])
         own = Words(words, n_blocks)
         total = np.zeros(len(own.words), np.int64)
         for w, n in seen:
             total += np.bincount(own.code(w), n, total.size).astype(np.int64) if len(w) else 0
-        rows = [(1, int(b), chunk, _pack(own.words.slice(lo, hi - lo), total[lo:hi])) for b, lo, hi in zip(own.blocks, own.first[:-1], own.first[1:], strict=True)]
+        rows = [(1, int(b), chunk, _pack(own.words.slice(lo, hi - lo), total[lo:hi]), 0) for b, lo, hi in zip(own.blocks, own.first[:-1], own.first[1:], strict=True)]
         if ends:
-            rows.append((2, -1, chunk, np.array([ends], "<i8").tobytes()))
+            rows.append((2, -1, chunk, b"", ends))
         order, which, first = _blocks(gram, n_blocks)
         gram, count = gram[order], count[order]
         for b, lo, hi in zip(which, first[:-1], first[1:], strict=True):
-            rows.append((0, int(b), chunk, _pack_grams(gram[lo:hi], count[lo:hi])))
-        return pa.Table.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True) if rows else ([],) * 4, (pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["kind", "block", "chunk", "payload"])
+            rows.append((0, int(b), chunk, _pack_grams(gram[lo:hi], count[lo:hi]), 0))
+        return pa.Table.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True) if rows else ([],) * 5, (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int64()), strict=True)], ["kind", "block", "chunk", "payload", "ends"])
 
     return run
 
 
-def _sum_grams(table: pa.Table) -> pa.Table:
-    keys, counts = [], []
-    for data in table.column("payload"):
-        k, c = _unpack_grams(data.as_buffer().to_pybytes())
-        keys.append(k)
-        counts.append(c)
-        if len(keys) == 64:
-            k, c = _summed(keys, counts)
-            keys, counts = [k], [c]
+def _sum_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A block's grams from all chunks; what is held are the distinct ones and some payloads."""
+    keys, counts, block = [], [], None
+    for batch in batches:
+        block = batch.column(batch.schema.get_field_index("block"))[0].as_py() if batch.num_rows else block
+        for k, c in _held([batch]):
+            keys.append(k)
+            counts.append(c)
+            if len(keys) == 64:
+                k, c = _summed(keys, counts)
+                keys, counts = [k], [c]
     k, c = _summed(keys, counts)
-    return pa.Table.from_arrays([table.column("block")[:1].combine_chunks(), pa.array([_pack_grams(k, c)], pa.binary())], ["block", "payload"])
+    yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([_pack_grams(k, c)], pa.binary())], ["block", "payload"])
 
 
 def _sum_words(table: pa.Table) -> pa.Table:
@@ -499,71 +474,82 @@ def _held(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.nd
             yield _unpack_grams(data.as_buffer().to_pybytes())
 
 
-def fit(grams_table: DataFrame, rounds: int = 2, rate: float = 0.4) -> tuple[Broadcast, np.ndarray, np.ndarray]:
-    """The model of a table of blocks of grams: the counts of low orders, broadcast, its weights and its map. What comes to the driver has a fixed size (at most 2**24 counts of three bytes in a row)."""
+def _collected(table: DataFrame, make: Callable[[Iterator[pa.RecordBatch]], np.ndarray], size: int) -> np.ndarray:
+    """The sum over all tasks of an array of that size, added up by Spark: what comes to the driver is one such array."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = make(batches)
+        some = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(n[some])], ["place", "n"])
+
+    out = np.zeros(size)
+    for r in table.mapInArrow(run, "place long, n double").groupBy("place").agg(F.sum("n").alias("n")).collect():
+        out[r.place] = r.n
+    return out
+
+
+def fit(grams_table: DataFrame, rounds: int = 2, rate: float = 0.4) -> tuple[Broadcast, Weights]:
+    """The model of a table of blocks of grams: the counts of low orders, broadcast, its weights and its map. What comes to the driver has a bounded size (at most 2**24 counts of three bytes in a row).
+
+    Each block learns from where the last round ended, and the blocks' weights are averaged by their counts: blocks are a hash of the grams, so the result doesn't depend on which task has which."""
     sc = grams_table.sparkSession.sparkContext
     triples = grams_table.mapInArrow(_triples, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where("n > 0").toArrow()
     low = low_orders(triples.column("key").to_numpy().view(np.uint64), triples.column("n").to_numpy())
     del triples
-    start, shared = Block(np.zeros(0, np.uint64), np.zeros(0, np.int64), low).weights, sc.broadcast(low)
+    shared, model = sc.broadcast(low), Weights()
     del low
 
-    def weights_of(weights: np.ndarray):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            now, total = weights.copy(), 0
+    def weights_of(start: np.ndarray):
+        def run(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
+            out = np.zeros(start.size + 1)
             for gram, count in _held(batches):
+                now = Weights(start.copy())
                 for at in _units(gram):
-                    Block(gram[at], count[at], shared.value, now).learn(gram[at], count[at], rate)
-                total += int(count.sum())
-            if total:
-                yield pa.RecordBatch.from_arrays([pa.array([total]), pa.array([now.astype("<f4").tobytes()], pa.binary())], ["total", "weights"])
+                    Block(gram[at], count[at], shared.value, True).learn(now, count[at], rate)
+                out[:-1] += now.weights.ravel().astype(np.float64) * count.sum()
+                out[-1] += count.sum()
+            return out
 
         return run
 
     for _ in range(rounds):
-        got = grams_table.mapInArrow(weights_of(start), "total long, weights binary").collect()
-        if got:
-            mean = sum(np.frombuffer(r.weights, "<f4").astype(np.float64) * r.total for r in sorted(got, key=lambda r: r.weights)) / sum(r.total for r in got)
-            start = mean.reshape(start.shape).astype(np.float32)
-    weights = start
+        total = _collected(grams_table, weights_of(model.weights), model.weights.size + 1)
+        if total[-1]:
+            model = Weights((total[:-1] / total[-1]).reshape(model.weights.shape).astype(np.float32))
 
-    def refine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def tally(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
         n = np.zeros(GATES * STEPS * 2)
         for gram, count in _held(batches):
             for unit in _units(gram):
-                own, part, w_of = Block(gram[unit], count[unit], shared.value, weights), gram[unit], count[unit].astype(np.float64)
+                own, w_of = Block(gram[unit], count[unit], shared.value, True), count[unit].astype(np.float64)
                 some = np.flatnonzero(w_of)
                 for lo in range(0, some.size, 1 << 14):
                     at = some[lo : lo + (1 << 14)]
-                    for x, gate, bit, w in own.inputs(part[at], w_of[at], at):
-                        n += np.bincount((gate * STEPS + own.step(own.mix(x, gate))) * 2 + bit, w, n.size)
-        some = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(n[some])], ["place", "n"])
+                    for x, gate, bit, w in own.inputs(at, w_of[at]):
+                        n += np.bincount((gate * STEPS + model.step(own.mixed(model, x, gate))) * 2 + bit, w, n.size)
+        return n
 
-    n = np.zeros(GATES * STEPS * 2)
-    for r in grams_table.mapInArrow(refine, "place long, n double").groupBy("place").agg(F.sum("n").alias("n")).collect():
-        n[r.place] = r.n
-    n = n.reshape(GATES, STEPS, 2)
+    n = _collected(grams_table, tally, GATES * STEPS * 2).reshape(GATES, STEPS, 2)
     mid = (np.arange(STEPS) - STEPS // 2) / 2
     p = 1 / (1 + np.exp(-mid))
-    return shared, weights, np.log((n[..., 1] + 20 * p) / (n[..., 0] + 20 * (1 - p))).astype(np.float32)
+    return shared, Weights(model.weights, np.log((n[..., 1] + 20 * p) / (n[..., 0] + 20 * (1 - p))).astype(np.float32))
 
 
-def _costs(shared: Broadcast, weights: np.ndarray, refine: np.ndarray):
+def _costs(shared: Broadcast, model: Weights):
     """For a block: the costs of each chunk's grams, in their order."""
 
     def run(summed: pa.Table, chunks: pa.Table) -> pa.Table:
         ((gram, count),) = _held(summed.to_batches())
         cost = np.zeros(gram.size, np.float32)
         for at in _units(gram):
-            cost[at] = Block(gram[at], count[at], shared.value, weights, refine).costs(gram[at])
+            cost[at] = Block(gram[at], count[at], shared.value).costs(model)
         out = [_pack_costs(cost[np.searchsorted(gram, own)]) for own, _ in _held(chunks.to_batches())]
         return pa.Table.from_arrays([pa.array([0] * len(out), pa.int32()), chunks.column("block"), chunks.column("chunk"), pa.array(out, pa.binary())], ["kind", "block", "chunk", "payload"])
 
     return run
 
 
-_SCORED = "id {}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long"
+_SCORED = "id {}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long, copies long"
 
 
 def _scored(n_blocks: int, n: int, v: int, ends: int):
@@ -576,7 +562,7 @@ def _scored(n_blocks: int, n: int, v: int, ends: int):
             starts, stops, first = words_of(raw, at, SPACED)
             coded = pc.dictionary_encode(strings(raw, starts, stops))
             gram, begin = grams(raw, at)
-            held.append((part.column(1), pc.invert(part.column(3)), np.diff(at), first, coded.indices.to_numpy() if len(coded) else np.zeros(0, np.int32), begin))
+            held.append((part.column(1), part.column(3), part.column(4), np.diff(at), first, coded.indices.to_numpy() if len(coded) else np.zeros(0, np.int32), begin))
             words.append(coded.dictionary)
             keys.append(gram)
         own = Words(words, n_blocks)
@@ -599,28 +585,44 @@ def _scored(n_blocks: int, n: int, v: int, ends: int):
         cost[order] = np.repeat(each[which], np.diff(np.append(head, gram.size)))
         del gram, order
         out = []
-        for (ids, tested, size, first, code, begin), dictionary, own_cost in zip(held, words, np.split(cost, sizes[:-1]), strict=True):
+        for (ids, tested, copies, size, first, code, begin), dictionary, own_cost in zip(held, words, np.split(cost, sizes[:-1]), strict=True):
             code = own.code(dictionary)[code] if code.size else code
             out.append(pa.RecordBatch.from_arrays(
-                [ids, tested, pa.array(np.diff(first) + 1), pa.array(sums(known[code], first) + int(ends > 0)), pa.array(np.full(size.size, n)), pa.array(sums(logs[code], first) + log(ends)), pa.array(sums(own_cost.astype(np.float64), begin)), pa.array(size)],
-                ["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_bytes"],
+                [ids, tested, pa.array(np.diff(first) + 1), pa.array(sums(known[code], first) + int(ends > 0)), pa.array(np.full(size.size, n)), pa.array(sums(logs[code], first) + log(ends)), pa.array(sums(own_cost.astype(np.float64), begin)), pa.array(size), copies],
+                ["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_bytes", "copies"],
             ))
         return pa.Table.from_batches(out)
 
     return run
 
 
+def _rows(docs: DataFrame, held_out: Column, id_col: str, text_col: str, chunk_bytes: int) -> tuple[DataFrame, int]:
+    """Rows (id, text, held, copies) for those of docs, and their bytes. Equal rows become one with their number where they would fill much of a chunk, combined in part before they are shuffled."""
+    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.coalesce(held_out, F.lit(False)).alias("held"))
+    sizes = own.groupBy("id", "held", F.xxhash64("text").alias("body"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("size")).agg(F.count("*").alias("n"))
+    sizes = saved(sizes, "lm-copies")
+    n_bytes = sizes.agg(F.coalesce(F.sum(F.col("n") * F.col("size")), F.lit(0))).first()[0]
+    often = sizes.where((F.col("n") > 1) & (F.col("n") * (F.col("size") + 100) > chunk_bytes // 4)).select(F.struct("id", "held", "body").alias("often")).distinct()
+    single = own.withColumn("copies", F.lit(1).cast("long"))
+    if often.isEmpty():
+        free(sizes)
+        return single, n_bytes
+    same = F.struct("id", "held", F.xxhash64("text").alias("body")).eqNullSafe(F.col("often"))
+    merged = own.join(F.broadcast(often), same, "left_semi").groupBy("id", "text", "held").agg(F.count("*").alias("copies"))
+    return single.join(F.broadcast(often), same, "left_anti").unionByName(merged), n_bytes
+
+
 def lm_scores(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """Per row: id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10 of the model's probability of the text and its end), n_bytes, bits_per_byte (of n_bytes + 1 symbols)."""
-    sized = docs.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0)).alias("n")).first().n
+    """Per row: id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10 of the model's probability of the text and its end), n_bytes, bits_per_byte (of n_bytes + 1 symbols). Where held_out is null, it is false."""
+    rows, sized = _rows(docs, held_out, id_col, text_col, chunk_bytes)
     n_chunks = max(1, -(-sized // chunk_bytes))
     n_blocks = int(np.ceil(4 * n_chunks ** (2 / 3)))
-    rows = docs.select(F.pmod(F.xxhash64(id_col, F.octet_length(text_col)), F.lit(n_chunks)).alias("chunk"), F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.coalesce(~held_out, F.lit(False)).alias("train"))
-    gathered = saved(rows.groupBy("chunk").applyInArrow(_gathered(n_blocks), "kind int, block long, chunk long, payload binary"), "lm-gathered")
-    summed = saved(gathered.where("kind = 0").groupBy("block").applyInArrow(_sum_grams, "block long, payload binary"), "lm-grams")
-    counts = saved(gathered.where("kind = 1").groupBy("block").applyInArrow(_sum_words, "block long, chunk long, payload binary, n_words long, n_tokens long"), "lm-words")
+    rows = rows.select(F.pmod(F.xxhash64("id", "text"), F.lit(n_chunks)).alias("chunk"), "id", "text", "held", "copies")
+    gathered = saved(rows.groupBy("chunk").applyInArrow(_gathered(n_blocks), "kind int, block long, chunk long, payload binary, ends long"), "lm-gathered")
+    summed = saved(gathered.where("kind = 0").select("block", "payload").groupBy("block").applyInArrow(_sum_grams, "block long, payload binary"), "lm-grams")
+    counts = saved(gathered.where("kind = 1").select("block", "chunk", "payload").groupBy("block").applyInArrow(_sum_words, "block long, chunk long, payload binary, n_words long, n_tokens long"), "lm-words")
     v, n = counts.agg(F.coalesce(F.sum("n_words"), F.lit(0)), F.coalesce(F.sum("n_tokens"), F.lit(0))).first()
-    ends = sum(int(np.frombuffer(r.payload, "<i8")[0]) for r in gathered.where("kind = 2").select("payload").toLocalIterator())
+    ends = gathered.where("kind = 2").agg(F.coalesce(F.sum("ends"), F.lit(0))).first()[0]
     n, v = n + ends, v + int(ends > 0)
     costs = summed.groupBy("block").cogroup(gathered.where("kind = 0").select("block", "chunk", "payload").groupBy("block"))
     costs = saved(costs.applyInArrow(_costs(*fit(summed)), "kind int, block long, chunk long, payload binary"), "lm-costs")
@@ -628,4 +630,7 @@ def lm_scores(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_co
     back = costs.unionByName(counts.select(F.lit(1).alias("kind"), "block", "chunk", "payload"))
     kind = docs.schema[id_col].dataType.simpleString()
     out = rows.groupBy("chunk").cogroup(back.groupBy("chunk")).applyInArrow(_scored(n_blocks, n, v, ends), _SCORED.format(kind))
-    return out.withColumnRenamed("id", id_col).withColumn("bits_per_byte", -F.col("score") * float(np.log2(10)) / (F.col("n_bytes") + 1))
+    # Rows that stood for several, in steps that no array is long for.
+    step = 1 << 16
+    out = out.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("copies") - 1) / step)))).withColumn("part", F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.lit(step).cast("long"), F.col("copies") - step * F.col("part")))))
+    return out.drop("copies", "part").withColumnRenamed("id", id_col).withColumn("bits_per_byte", -F.col("score") * float(np.log2(10)) / (F.col("n_bytes") + 1))

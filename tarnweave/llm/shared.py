@@ -3,9 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import re
-import shutil
-import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import suppress
@@ -15,6 +12,8 @@ import pyarrow as pa
 from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
+from tarnweave.operators.durable import checkpoint_dir
+
 #: Bytes of text that one numpy step handles; its arrays take about 60 times as much.
 STEP_BYTES = 2 << 20
 
@@ -33,22 +32,9 @@ ALNUM = np.zeros(256, bool)
 ALNUM[48:58] = ALNUM[97:123] = ALNUM[128:] = True
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir. Where it is unset, a local master gets a temporary one; on a cluster that raises, as executors would not see each other's files."""
-    sc = spark.sparkContext
-    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not found:
-        if not re.fullmatch(r"local(\[.*\])?", sc.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        found = tempfile.mkdtemp(prefix="tarnweave-")
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder, for what is deleted when the driver ends."""
-    folder = f"{shared_dir(spark)}/tarnweave/{RUN}"
+    folder = f"{checkpoint_dir(spark)}/tarnweave/{RUN}"
     if folder not in _folders:
         _folders.add(folder)
         atexit.register(_end, folder)

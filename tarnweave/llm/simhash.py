@@ -19,10 +19,12 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnweave.llm.shared import SPACED, by_bytes, lowered, saved, text_bytes, words_of
+from tarnweave.llm.shared import SPACED, by_bytes, free, lowered, saved, text_bytes, words_of
+from tarnweave.llm.similar_sets import classes as set_classes
+from tarnweave.llm.similar_sets import set_links, shingle_sets
 
 MAX_BITS = 3
 NEEDED = 8 - MAX_BITS
@@ -69,16 +71,20 @@ def fingerprints_of(raw: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
     return np.packbits(over, axis=1, bitorder="little").view("<u8").ravel().astype(np.uint64)
 
 
-def fingerprints(docs: DataFrame, size: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: id and fp, the fingerprint's bits as a long."""
+def fingerprints(docs: DataFrame, size: int = 3, id_col: str = "doc_id", text_col: str = "text", with_class: bool = False) -> DataFrame:
+    """Per row: id and fp, the fingerprint's bits as a long; and class, a hash of the set of shingles, if asked for."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in by_bytes(batch, "text", 1 << 20):
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fingerprints_of(*text_bytes(part.column(1)), size).view(np.int64))], ["id", "fp"])
+                raw, at = text_bytes(part.column(1))
+                out = {"id": part.column(0), "fp": pa.array(fingerprints_of(raw, at, size).view(np.int64))}
+                if with_class:
+                    out["class"] = pa.array(set_classes(*shingle_sets(raw, at, size)))
+                yield pa.RecordBatch.from_arrays(list(out.values()), list(out))
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(make, f"id {kind}, fp long").withColumnRenamed("id", id_col)
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(make, f"id {kind}, fp long" + ", class long" * with_class).withColumnRenamed("id", id_col)
 
 
 def family(width: int) -> list[tuple[int, ...]]:
@@ -116,11 +122,12 @@ def _linked(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def forest(fps: np.ndarray) -> list[tuple[int, int]]:
-    """Spanning forest of the links among distinct sorted fingerprints of a group, as (fingerprint, smallest of its tree)."""
+def forest(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Spanning forest of the links among distinct sorted fingerprints of a group: fingerprints, and the smallest of the tree of each."""
     n = fps.size
     if n == 2:
-        return [(int(fps[1]), int(fps[0]))] if _linked(fps[:1], fps[1:])[0] else []
+        hit = _linked(fps[:1], fps[1:])
+        return fps[1:][hit], fps[:1][hit]
     tree = np.arange(n)
 
     def merge(a: np.ndarray, b: np.ndarray) -> None:
@@ -155,7 +162,7 @@ def forest(fps: np.ndarray) -> list[tuple[int, int]]:
                 if hit.size:
                     merge(hit, at[hit])
     child = np.flatnonzero(tree != np.arange(n))
-    return [(int(fps[c]), int(fps[tree[c]])) for c in child]
+    return fps[child], fps[tree[child]]
 
 
 def _groups(batches: Iterator[pa.RecordBatch], limit: int | None) -> Iterator[tuple[str, int, np.ndarray]]:
@@ -190,21 +197,21 @@ def _forests(limit: int | None):
     """For mapInArrow: links of groups (kind 0: a is linked to b), and members of hot keys (kind 1: fingerprint a in slot b)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind, a, b = [], [], []
+        held, size = [], 0
+
+        def rows() -> pa.RecordBatch:
+            kind, a, b = (np.concatenate([np.zeros(0, t), *x]) for t, x in zip((np.int32, np.int64, np.int64), zip(*held, strict=True) if held else ([], [], []), strict=True))
+            return pa.RecordBatch.from_arrays([pa.array(kind), pa.array(a), pa.array(b)], ["kind", "a", "b"])
+
         for what, slot, fps in _groups(batches, limit):
-            if what == "hot":
-                kind += [1] * fps.size
-                a += fps.tolist()
-                b += [slot] * fps.size
-            else:
-                found = forest(fps)
-                kind += [0] * len(found)
-                a += [x for x, _ in found]
-                b += [y for _, y in found]
-            if len(a) > 20_000:
-                yield pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["kind", "a", "b"])
-                kind, a, b = [], [], []
-        yield pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["kind", "a", "b"])
+            a, b = (fps, np.full(fps.size, slot, np.int64)) if what == "hot" else forest(fps)
+            if a.size:
+                held.append((np.full(a.size, what == "hot", np.int32), a, b))
+                size += a.size
+            if size > 20_000:
+                yield rows()
+                held, size = [], 0
+        yield rows()
 
     return run
 
@@ -234,8 +241,7 @@ def links(fps: DataFrame, n: int) -> DataFrame:
 
 def components(edges: DataFrame, spark: SparkSession) -> DataFrame:
     """From undirected edges (a, b) to (node, root), root the smallest node of the component. Alternating large and small stars; each round is written to the shared folder, so that plans stay short and survive lost executors."""
-    edges = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
-    tag = None
+    edges, tag, written = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), None, []
     while True:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
@@ -243,20 +249,37 @@ def components(edges: DataFrame, spark: SparkSession) -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.explode(F.array(F.struct(F.col("a").alias("x"), F.col("m").alias("y")), F.struct(F.col("b").alias("x"), F.col("m").alias("y")))).alias("e")).select(F.col("e.x").alias("a"), F.col("e.y").alias("b")).where("a <> b").distinct()
         edges = saved(small, "simhash-stars")
+        free(*written)
+        written = [edges]
         row = edges.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x"), F.sum(F.pmod(F.xxhash64("b", "a"), F.lit(1 << 30))).alias("s")).first()
         if tag == tuple(row):
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
         tag = tuple(row)
 
 
-def near_duplicates(docs: DataFrame, size: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: id, fingerprint (16 hex digits) and component_id, the smallest id that links reach."""
+def near_duplicates(docs: DataFrame, size: int = 3, id_col: str = "doc_id", text_col: str = "text", similarity: float | None = None) -> DataFrame:
+    """Per row: id, fingerprint (16 hex digits) and component_id, the smallest id that links reach. With `similarity`, texts whose sets of shingles have at least that Jaccard similarity are linked as well, which fingerprints alone miss."""
     spark = docs.sparkSession
-    rows = saved(fingerprints(docs, size, id_col, text_col), "simhash")
+    rows = saved(fingerprints(docs, size, id_col, text_col, similarity is not None), "simhash")
     fps = saved(rows.groupBy("fp").agg(F.min(id_col).alias("least")), "simhash-distinct")
-    found = components(links(fps.select("fp"), fps.count()), spark)
-    # The smallest id of each component, for its fingerprints; others keep their own.
-    tied = fps.join(found, fps["fp"] == found["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    edges = links(fps.select("fp"), fps.count())
+    node, nodes = "fp", fps
+    if similarity is not None:  # nodes are classes of equal sets; a fingerprint stands for the smallest class that has it
+        node, nodes = "class", saved(rows.groupBy("class").agg(F.min(id_col).alias("least")), "simhash-classes")
+        of_fp = saved(rows.groupBy("fp").agg(F.min("class").alias("first")), "simhash-first")
+        same = rows.join(of_fp, "fp").where(F.col("class") != F.col("first")).select(F.col("class").alias("a"), F.col("first").alias("b"))
+        of_a, of_b = (of_fp.select(F.col("fp").alias(c), F.col("first").alias(f"first_{c}")) for c in ("a", "b"))
+        near = edges.join(of_a, "a").join(of_b, "b").select(F.col("first_a").alias("a"), F.col("first_b").alias("b"))
+        every = same.unionByName(near).unionByName(set_links(docs, nodes, lambda x: components(x, spark), size, similarity, id_col, text_col))
+        edges = saved(every.distinct(), "simhash-links")
+    found = components(edges, spark)
+    # The smallest id of each component, for its nodes; others keep their own.
+    tied = nodes.join(found, nodes[node] == found["node"], "left").select(node, "least", F.coalesce("root", node).alias("root"))
     best = tied.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = tied.join(best, "root").select("fp", "component_id")
-    return rows.join(of, "fp").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    of = saved(tied.join(best, "root").select(node, "component_id"), "simhash-components")
+    free(fps)
+    return rows.join(of, node).select(id_col, _hex(), "component_id")
+
+
+def _hex() -> Column:
+    return F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, In, InputPartition, IsNotNull, WriterCommitMessage
 
-from tarnweave.llm.shared import shared_dir
+from tarnweave.llm.shared import scratch
 
 READ_SCHEMA = "file string, record_id string, record_type string, target_uri string, date string, refers_to string, payload_digest string, payload_bytes long, headers map<string,string>, payload binary"
 WRITE_COLUMNS = ("record_id", "record_type", "target_uri", "refers_to", "payload_digest", "payload_bytes", "payload")
@@ -367,7 +367,7 @@ def archive(pages: DataFrame, path: str | None = None, nameless: bool = False, *
     """Writes a record for each row of pages; gives the folder. Null html is an empty payload; rows with a null id get none, or with `nameless` a record under a generated urn:uuid; equal rows get a record each; an empty table leaves an empty folder."""
     spark = pages.sparkSession
     register(spark)
-    path = path or f"{shared_dir(spark)}/tarnweave/warc-{uuid.uuid4().hex}"
+    path = path or scratch(spark, "warc")
     rows = pages if nameless else pages.where(F.col(options.get("id_col", "page_id")).isNotNull())
     planned(rows, **options).write.format("warc").mode("append").save(path)
     return path

@@ -1,4 +1,5 @@
 import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -9,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tarnweave.llm import lm_scoring
-from tarnweave.llm.lm_scoring import Model, TABLE_BITS, grams, lm_scores
+from tarnweave.llm.lm_scoring import Block, Weights, grams, lm_scores, low_orders
 from tarnweave.llm.shared import lowered, text_bytes
 
 
@@ -38,17 +39,19 @@ def test_base_against_brute_force(docs, scored):
 
 
 def test_score_does_not_depend_on_dealing(docs, scored):
-    again = lm_scores(docs.repartition(5), HELD(), chunk_bytes=20_000).collect()
-    a, b = (sorted((r.doc_id, r.score) for r in x) for x in (scored, again))
-    assert np.allclose(a, b, rtol=0.02) and all(s <= 0 for _, s in a)
+    for parts in (1, 16):
+        again = lm_scores(docs.repartition(parts), HELD(), chunk_bytes=20_000).collect()
+        a, b = (sorted((r.doc_id, r.score) for r in x) for x in (scored, again))
+        assert np.allclose(a, b, rtol=1e-6) and all(s <= 0 for _, s in a)
 
 
 def test_model_is_a_distribution():
     r = np.random.default_rng(1)
-    model = Model({k: r.integers(0, 9, (1 << b, 2)).astype(np.uint8) for k, b in TABLE_BITS.items()})
     for context in (b"hello", b" a bc", b"\xff\xff\xffab"):
-        head = np.uint64(int.from_bytes(context, "big") << 8)
-        p = 10 ** model.costs(head | np.arange(256, dtype=np.uint64))
+        gram = np.uint64(int.from_bytes(context, "big") << 8) | np.arange(256, dtype=np.uint64)
+        count = r.integers(0, 9, 256)
+        block = Block(gram, count, low_orders(gram & np.uint64(0xFFFFFF), count))
+        p = 10 ** block.costs(Weights(None, r.normal(size=(lm_scoring.GATES, lm_scoring.STEPS)).astype(np.float32)))
         assert abs(p.sum() - 1) < 1e-4
 
 
@@ -78,46 +81,62 @@ def test_nothing(docs, no_docs):
     assert lowered(np.zeros(0, np.uint8)).size == 0
 
 
-def test_counts_are_exact_in_every_block(monkeypatch):
-    """Packed counts of each order, of grams dealt to blocks and to parts of them, against a dictionary: no two contexts share a count."""
+def word_before(text, k):
+    """The word so far; if it is short, with the white space or what leads the text before it."""
+    start = k
+    while start > 0 and text[start - 1] not in b" \t\n\x0b\x0c\r":
+        start -= 1
+    return text[start:k] if k - start >= 5 else text[start - 1 : k] if start else (b"\xff" * 5 + text[:k])[-5:]
+
+
+def test_score_against_a_slow_model(spark, monkeypatch):
+    """Scores from counts in dictionaries, one bit at a time, with the weights and the map that were learned."""
     monkeypatch.setattr(lm_scoring, "UNIT", 50)
-    r = np.random.default_rng(2)
-    texts = ["".join(r.choice(list("aabbc  \té")) for _ in range(60)).encode() for _ in range(60)] + [b"", b"a", b" b"]
-    every, _ = grams(*text_bytes(pa.array(texts, pa.large_binary())))
-    gram = np.unique(every)
-    count = np.where(r.random(gram.size) < 0.2, 0, r.integers(1, 300, gram.size))
-    low = lm_scoring.low_orders(gram & np.uint64(0xFFFFFF), count)
-    want = Counter()
-    context = {order: lm_scoring._context(order, gram).tolist() for order in lm_scoring.ORDERS}
-    for k, (g, c) in enumerate(zip(gram.tolist(), count.tolist(), strict=True)):
-        for order in lm_scoring.ORDERS:
-            for j in range(8):
-                want[order, context[order][k], j, (g & 255) >> (8 - j), g >> (7 - j) & 1] += c
-    seen = 0
-    by_block, _, first = lm_scoring._blocks(gram, 3)
-    for lo, hi in zip(first[:-1], first[1:], strict=True):
-        own = by_block[lo:hi]
-        for at in lm_scoring._units(gram[own]):
-            at = own[at]
-            model = lm_scoring.Block(gram[at], count[at], low)
+    kept, fit = [], lm_scoring.fit
+    monkeypatch.setattr(lm_scoring, "fit", lambda table: kept.append(fit(table)) or kept[-1])
+    r = random.Random(2)
+    rows = [(k, "".join(r.choice(["a", "b", "ab", "longword", " ", "  ", "\t", "é", "Xy"]) for _ in range(30))) for k in range(60)] + [(60, ""), (61, "a"), (62, " b"), (63, None)]
+    got = {x.doc_id: x.score for x in lm_scores(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), HELD(), chunk_bytes=600).collect()}
+    model, pad = kept[0][1], b"\xff" * 5
+    seen = Counter()
+
+    def contexts(text, k, j, byte):
+        lead = pad + text[:k]
+        return [(order, (word_before(text, k) if order == lm_scoring.WORD else lead[-order:]), j, (256 | byte) >> (8 - j)) for order in lm_scoring.ORDERS]
+
+    def symbols(text):
+        text = lowered(np.frombuffer((text or "").encode(), np.uint8)).tobytes()
+        return [(text, k, (text + b"\xff")[k]) for k in range(len(text) + 1)]
+
+    for d, t in rows:
+        for text, k, byte in symbols(t) if not held(d) else ():
+            seen.update((c, byte >> (7 - j) & 1) for j in range(8) for c in contexts(text, k, j, byte))
+    for d, t in rows:
+        total = 0
+        for text, k, byte in symbols(t):
             for j in range(8):
-                for order, codes in zip(lm_scoring.ORDERS, model.finder(gram[at], np.arange(at.size))(j, np.arange(at.size)), strict=True):
-                    for k, code in zip(at.tolist(), codes.tolist(), strict=True):
-                        n = [want[order, context[order][k], j, (int(gram[k]) & 255) >> (8 - j), b] for b in (0, 1)]
-                        if max(n) > 255:
-                            n = [max(1, int(x / (max(n) / 255))) if x else 0 for x in n]
-                        assert [code & 255, code >> 8] == n
-            seen += at.size
-    assert seen == gram.size
+                n = [(seen[c, 0], seen[c, 1]) for c in contexts(text, k, j, byte)]
+                level = [sum(sum(x) >= least for least in (1, 2, 4, 16)) for x in n]
+                gate = (j * 5 + level[-1]) * 5 + level[-2]
+                z = float(np.clip(sum(w * x for w, x in zip(model.weights[gate], [*(math.log(b + 0.25) - math.log(a + 0.25) for a, b in n), 1])), -12, 12))
+                z = 0.5 * (z + model.refine[gate, round(min(8, max(-8, z)) * 2) + 16])
+                total -= math.log10(1 + math.exp(-z if byte >> (7 - j) & 1 else z))
+        assert abs(total - got[d]) < 1e-4 * max(1, abs(total)), (d, t, total, got[d])
+
+
+def test_many_equal_rows(spark):
+    """Rows that would fill a chunk are one on the way; they count, and come back, each."""
+    rows = [(None, "same text again")] * 70 + [(3, "same text again")] * 30 + [(k, f"text {k}") for k in range(10, 40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    many, few = (lm_scores(docs, HELD(), chunk_bytes=n).collect() for n in (400, 1 << 20))
+    assert len(many) == len(few) == len(rows) and {r.held_out for r in many if r.doc_id is None} == {False}
+    columns = lambda out: sorted((r.doc_id or 0, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in out)
+    assert columns(many) == columns(few)
+    assert many[0].train_tokens == sum(len(tokens(t)) for d, t in rows if d is None or not held(d))
 
 
 def test_learning_takes_two_rounds(spark, monkeypatch):
     docs = spark.createDataFrame([(k, f"some words of a text number {k} and then some more") for k in range(40)], "doc_id long, text string")
-    seen, collect = [], type(docs).collect
-
-    def counted(self):
-        seen.extend([1] if self.columns == ["total", "weights"] else [])
-        return collect(self)
-
-    monkeypatch.setattr(type(docs), "collect", counted)
-    assert lm_scores(docs, HELD()).count() == 40 and len(seen) == 2
+    sizes, collected = [], lm_scoring._collected
+    monkeypatch.setattr(lm_scoring, "_collected", lambda table, make, size: sizes.append(size) or collected(table, make, size))
+    assert lm_scores(docs, HELD()).count() == 40 and sizes == [1401, 1401, 13200]
