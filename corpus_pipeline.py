@@ -18,7 +18,7 @@ from tarnweave.llm.decontamination import contamination
 from tarnweave.llm.line_dedup import dedup_lines
 from tarnweave.llm.packing import pack
 from tarnweave.llm.quality_rules import quality_rules
-from tarnweave.llm.shared import saved
+from tarnweave.llm.shared import free, saved
 from tarnweave.llm.simhash import near_duplicates
 
 #: Rows of ids to drop that may be broadcast (about 32 MB); more of them are joined by a shuffle.
@@ -49,8 +49,8 @@ def by_line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def by_simhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest id of each near-duplicate group."""
-    return without(docs, near_duplicates(keyed(docs), id_col=KEY).where(F.col(KEY) != F.col("component_id")))
+    """The document of smallest id of each near-duplicate group: by fingerprints of 5-word shingles, and by sets of them whose Jaccard similarity is 0.8 or more."""
+    return without(docs, near_duplicates(keyed(docs), size=5, id_col=KEY, similarity=0.8).where(F.col(KEY) != F.col("component_id")))
 
 
 def by_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -77,6 +77,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = saved(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    for k, (name, stage) in enumerate(STAGES[:-1]):
+        before, docs = docs, saved(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if k:
+            free(before)
     return STAGES[-1][1](spark, docs, sf_dir)
