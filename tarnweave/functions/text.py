@@ -97,20 +97,16 @@ def audit_text(x: Column | str) -> Column:
 
 def count_of(x: Column | str, characters: str) -> Column:
     """How many characters of a class (as in a pattern's brackets) the text has."""
-    return F.length(F.regexp_replace(F.coalesce(col(x), F.lit("")), f"[^{characters}]", ""))
+    return F.length(F.regexp_replace(F.coalesce(col(x), F.lit("")), f"[^{characters}]+", ""))
 
 
 def quality(x: Column | str) -> Column:
     """Struct of flag and ratios (3 decimals): empty, likely_garbled, likely_non_english_or_garbled or ok."""
     x = F.coalesce(col(x), F.lit(""))
     n, letters, vowels = F.length(x), count_of(x, "A-Za-z"), count_of(x, "AEIOUaeiou")
-    w = words(x)
-
-    def odd(y: Column) -> Column:
-        core = F.regexp_replace(y, "[-./]", "")
-        return y.rlike("[_~{}]") | (core.rlike(r"\p{Nd}") & core.rlike(r"\p{L}"))
-
-    n_words, n_odd = F.size(w), F.size(F.filter(w, odd))
+    # A word with an odd sign, or with both a digit and a letter; whole words are stepped over, so the text is read about once.
+    odd = r"(?U)(?<!\S)(?:(?=[^\s_~{}]*+[_~{}])|(?=[^\s\p{Nd}]*+\p{Nd})(?=[^\s\p{L}]*+\p{L}))\S++"
+    n_words, n_odd = F.regexp_count(x, F.lit(r"(?U)\S++")), F.regexp_count(x, F.lit(odd))
     ascii_ratio = letters / F.greatest(n, F.lit(1))
     vowel_ratio = F.when(letters > 0, vowels / F.greatest(letters, F.lit(1))).otherwise(0.0)
     odd_ratio = F.when(n_words > 0, n_odd / F.greatest(n_words, F.lit(1))).otherwise(0.0)

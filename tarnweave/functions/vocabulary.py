@@ -268,3 +268,15 @@ QUESTION_PROGRAM_ALIASES = {'computer science': 'Computer Science',
 MERIT_KEYWORDS = ['merit', 'aggregate', 'selected', 'selection', 'closing merit', 'cutoff', 'cut off', 'minimum merit', 'minimum aggregate', 'last merit',
  'merit list', 'meritlist', 'closing aggregate', 'above merit', 'below merit', 'my aggregate', 'my merit', 'can i get admission', 'can i get in',
  'will i get admission', 'am i selected', 'got selected']
+
+#: Patterns of a typed question's filter words (fixed values).
+FILTER_WORDS = r"\b(?:what|what is|show|find|merit|closing|minimum|for|at|the|campus|morning|evening|afternoon|ecat|non[- ]?ecat)\b"
+CATEGORY_WORDS = r"\b(?:a1m|a2m|ap1m|ap2m|a1|a2|ap1|ap2|nm|m)\b"
+
+#: What is said where a question about closing marks has no answer (fixed values).
+MERIT_MESSAGES = {
+    "merit_unavailable": "The latest {site} merit list could not be retrieved right now.",
+    "merit_empty": "The latest {site} merit PDF was downloaded, but no merit records could be extracted.",
+    "merit_not_found": "No current merit record was found for the requested program, campus, or category.",
+    "merit_invalid_records": "Matching merit records were found, but their closing merit could not be read.",
+}

@@ -1,5 +1,7 @@
 """Small relations that both engines read as SQL: rows that the given tables don't have."""
 
+import json
+
 RECORDS = """(VALUES
  ('Main Campus (LHR)','Computer Science','A1','Morning','ECAT',82.5,1),('Main Campus (LHR)','Computer Science','A2','Evening','ECAT',78.25,1),
  ('New Campus (KSK)','Computer Science','A1','Morning','ECAT',74.125,2),('Faislabad Campus','Electrical Engineering','NM','Morning','ECAT',69.75,2),
@@ -70,3 +72,25 @@ REVIEWS = """(VALUES
  (15,'https://admission.example.edu/foreign-students/','F','international student fees, accommodation, required documents'),(16,'https://admission.example.edu/UG-2026','U','orientation schedule'),
  (17,'https://example.org/news/4','N','ecat result and schedule')
 ) AS t(pos, url, title, text)"""
+
+TYPED = """(VALUES
+ (1,'show all programs at KSK'),(2,'list the programs'),(3,'programs below 75'),(4,'closing merit of cs over 80 morning'),(5,'what is the merit for artificial intelligence at main campus'),(6,'show civil engineering morning ecat category O'),
+ (7,'show NM at Faislabad'),(8,'I have 79.5 for computer science evening'),(9,'closing for mechanical non-ecat'),(10,'find engineering at lhr'),(11,'merit for Intelligence'),(12,''),(13,'Show   all PROGRAMS in narowal under 70'),(14,'find electrical'),(15,'aggregate 101 and 61.5 for m')
+) AS t(qid, question)"""
+
+FILES = """(VALUES
+ ('_sections.json'),('_selected_sections.json'),('_content_targets.json'),('_pages_reviewed.json'),('_knowledge_refined.json'),('_knowledge_books.json'),('_actions_registry.json'),('_knowledge_base.json'),('_pdf_downloads.json'),('_pdf_duplicates.json'),
+ ('_pdf_knowledge_ab.json'),('_pdf_knowledge_'),('_pdf_knowledge'),('x.json'),('_Sections.json')
+) AS t(name)"""
+
+
+def _nested(levels: int) -> str:
+    """A JSON document with an address on every level."""
+    out = {"url": "deepest", "title": "t"}
+    for k in range(levels):
+        out = {"url": f"u{k}", "title": f"t{k}", "kids": [out, {"url": " "}]} if k % 2 else {"inner": [[out]], "x": {"url": f"u{k}", "title": f"t{k}"}, "n": k}
+    return json.dumps(out)
+
+
+#: Far more levels than are looked at in one go.
+NESTED = _nested(12)

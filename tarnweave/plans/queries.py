@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tarnweave.functions import chunking, classify, html, text, urls
 from tarnweave.functions import vocabulary as V
-from tarnweave.operators import dedup, graph, layout, merge, profile, reports, tables, vector
+from tarnweave.operators import answers, dedup, graph, layout, merge, profile, reports, tables, vector
 from tarnweave.plans import fixtures as X
 from tarnweave.sources import files
 
@@ -134,11 +134,10 @@ def q_native_quality(s, d):
 
 
 @query("""WITH t AS (SELECT doc_id, regexp_replace(text, '\\s+', '', 'g') AS dense, text FROM documents)
- SELECT doc_id, CASE WHEN length(dense) > 0 AND length(regexp_replace(dense, '[^0-9]', '', 'g')) > 0.65 * length(dense) THEN 'high_digit_ratio' ELSE '' END AS digits,
- length(text) - length(replace(text, chr(65533), '')) >= 2 AS replaced FROM t""")
+ SELECT doc_id, concat_ws(',', CASE WHEN len(regexp_extract_all(text, '[\\p{L}\\p{M}\\p{N}_]+')) < 5 THEN 'very_short' END, CASE WHEN length(text) - length(replace(text, chr(65533), '')) >= 2 THEN 'replacement_characters' END,
+ CASE WHEN regexp_matches(text, '[^\\p{L}\\p{M}\\p{N}_\\s]{8,}') THEN 'punctuation_noise' END, CASE WHEN length(dense) > 0 AND length(regexp_replace(dense, '[^0-9]', '', 'g')) > 0.65 * length(dense) THEN 'high_digit_ratio' END) AS issues FROM t""")
 def q_text_issues(s, d):
-    issues = text.text_issues("text")
-    return table(s, d, "documents").select("doc_id", F.when(F.array_contains(issues, "high_digit_ratio"), "high_digit_ratio").otherwise("").alias("digits"), F.array_contains(issues, "replacement_characters").alias("replaced"))
+    return table(s, d, "documents").select("doc_id", F.array_join(text.text_issues("text"), ",").alias("issues"))
 
 
 @query(f"""SELECT doc_id, concat_ws(',', CASE WHEN len({WORDS.format('text')}) < 10 THEN 'very_few_words' END, CASE WHEN length(regexp_replace(text, '[^{{}}\\[\\]~]', '', 'g')) > 0.03 * length(text) THEN 'symbol_noise' END,
@@ -149,15 +148,15 @@ def q_suspicions(s, d):
 
 
 @query("""SELECT doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all(text, '\\b([A-Z]{2,5}\\d{3,4})\\b', 1))), ',') AS codes,
- concat_ws(',', CASE WHEN regexp_matches(text, '(?i)\\bSubject\\b') THEN 'subject' END, CASE WHEN regexp_matches(text, '(?i)\\bCourses?\\b') THEN 'course' END, CASE WHEN contains(text, '|') THEN 'separator' END) AS indicators FROM documents""")
+ concat_ws(',', CASE WHEN regexp_matches(text, '(?i)\\b(?:course\\s*(?:no|number)|code)\\b') THEN 'course_number' END, CASE WHEN regexp_matches(text, '(?i)\\bsubject\\b') THEN 'subject' END, CASE WHEN regexp_matches(text, '(?i)\\b(?:cr\\.?\\s*hrs?|credit\\s*hours?|credits?)\\b') THEN 'credit' END,
+ CASE WHEN regexp_matches(text, '(?i)\\belective\\s+courses?\\b') THEN 'elective' END, CASE WHEN regexp_matches(text, '(?i)\\bcourses?\\b') THEN 'course' END, CASE WHEN contains(text, '|') THEN 'separator' END) AS indicators FROM documents""")
 def q_table_indicators(s, d):
-    found = text.table_indicators("text")
-    return table(s, d, "documents").select("doc_id", F.array_join(text.course_codes("text"), ",").alias("codes"), F.array_join(F.filter(found, lambda x: x.isin("subject", "course", "separator")), ",").alias("indicators"))
+    return table(s, d, "documents").select("doc_id", F.array_join(text.course_codes("text"), ",").alias("codes"), F.array_join(text.table_indicators("text"), ",").alias("indicators"))
 
 
-@query("""SELECT doc_id, len(list_filter(string_split(text, chr(10)), lambda y: regexp_matches(y, '(?i)\\bhttps?\\b|\\w+\\s*\\.\\s*(?:edu|pk|com|org|gov)')))::BIGINT AS n_lines FROM documents""")
+@query("""SELECT doc_id, array_to_string(list_filter(string_split(text, chr(10)), lambda y: regexp_matches(y, '(?i)\\bhttps?\\b|\\w+\\s*\\.\\s*(?:edu|pk|com|org|gov)')), chr(10)) AS lines FROM documents""")
 def q_url_lines(s, d):
-    return table(s, d, "documents").select("doc_id", F.size(text.garbled_url_lines("text")).cast("long").alias("n_lines"))
+    return table(s, d, "documents").select("doc_id", F.array_join(text.garbled_url_lines("text"), "\n").alias("lines"))
 
 
 @query("""WITH l AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda y: trim(y) <> '') AS ls FROM documents)
@@ -167,9 +166,11 @@ def q_head_tail(s, d):
     return both.select("doc_id", F.array_join("x.head", "\n").alias("head"), F.array_join("x.tail", "\n").alias("tail"))
 
 
-@query("""SELECT conv_id, turn, array_to_string(list_distinct(regexp_extract_all(text, '\\b(20\\d{2})\\b', 1)), ',') AS years FROM conversations""")
+@query("""WITH f AS (SELECT conv_id, turn, list_concat(regexp_extract_all(text, '\\b(\\d{1,2}[/-]\\d{1,2}[/-]\\d{2,4})\\b', 1),
+ regexp_extract_all(text, '(?i)\\b(\\d{1,2}\\s+(?:january|february|march|april|may|june|july|august|september|october|november|december|jan|feb|mar|apr|jun|jul|aug|sept?|oct|nov|dec)\\s+\\d{4})\\b', 1), regexp_extract_all(text, '\\b(20\\d{2})\\b', 1)) AS found FROM conversations)
+ SELECT conv_id, turn, array_to_string(list_filter(found, lambda x, i: list_position(list_transform(found, lambda y: lower(y)), lower(x)) = i)[1:50], ',') AS dates FROM f""")
 def q_date_signals(s, d):
-    return table(s, d, "conversations").select("conv_id", "turn", F.array_join(F.filter(text.date_signals("text"), lambda x: x.rlike(r"^20\d{2}$")), ",").alias("years"))
+    return table(s, d, "conversations").select("conv_id", "turn", F.array_join(text.date_signals("text"), ",").alias("dates"))
 
 
 _CHUNKS = f"""WITH w AS (SELECT doc_id, text, {WORDS.format('text')} AS ws FROM documents),
@@ -676,9 +677,46 @@ def q_commands(s, d):
     return rows.select("qid", "command", "t.side", "t.value", "campus")
 
 
-@query(f"""SELECT qid::BIGINT AS qid, {_longest('lower(question)', V.TABLE_PROGRAM_ALIASES, 99)} AS program, list_filter(regexp_extract_all(question, '\\b(\\d{{1,3}}(?:\\.\\d+)?)\\b', 1), lambda x: x::DOUBLE <= 100 AND (contains(x, '.') OR x::DOUBLE >= 50))[1]::DOUBLE AS aggregate, NULL AS category FROM {X.QUESTIONS}""")
+@query(f"""SELECT qid::BIGINT AS qid, {_longest('lower(question)', V.TABLE_PROGRAM_ALIASES, 99)} AS program, list_filter(regexp_extract_all(question, '\\b(\\d{{1,3}}(?:\\.\\d+)?)\\b', 1), lambda x: x::DOUBLE <= 100 AND (contains(x, '.') OR x::DOUBLE >= 50))[1]::DOUBLE AS aggregate, {_longest('lower(question)', V.TABLE_CATEGORY_ALIASES, 99)} AS category FROM {X.QUESTIONS}""")
 def q_typed_entities(s, d):
-    return given(s, X.QUESTIONS).select(F.col("qid").cast("long").alias("qid"), tables.typed_program("question").alias("program"), tables.typed_aggregate("question").alias("aggregate"), tables.canonical_category("question").alias("category"))
+    return given(s, X.QUESTIONS).select(F.col("qid").cast("long").alias("qid"), tables.typed_program("question").alias("program"), tables.typed_aggregate("question").alias("aggregate"), answers.typed_category("question").alias("category"))
+
+
+_COMPACT = "regexp_replace(lower({0}), '[^a-z0-9]+', '', 'g')"
+_TYPED = f"""WITH t AS (SELECT qid, question, {COLLAPSE.format('lower(question)')} AS t FROM {X.TYPED}),
+ f AS (SELECT *, {_longest('t', V.TABLE_CAMPUS_ALIASES, 99)} AS want_campus, {_longest('t', V.TABLE_PROGRAM_ALIASES, 99)} AS alias_program, {_longest('t', V.TABLE_CATEGORY_ALIASES, 99)} AS want_category,
+  CASE WHEN regexp_matches(t, '\\bafternoon\\b') THEN 'Afternoon' WHEN regexp_matches(t, '\\bevening\\b') THEN 'Evening' WHEN regexp_matches(t, '\\bmorning\\b') THEN 'Morning' END AS want_session,
+  CASE WHEN regexp_matches(t, '\\bnon[- ]?ecat\\b') THEN 'Non-ECAT' WHEN regexp_matches(t, '\\becat\\b') THEN 'ECAT' END AS want_type,
+  list_filter(regexp_extract_all(question, '\\b(\\d{{1,3}}(?:\\.\\d+)?)\\b', 1), lambda x: x::DOUBLE <= 100 AND (contains(x, '.') OR x::DOUBLE >= 50))[1]::DOUBLE AS aggregate,
+  try_cast(regexp_extract(t, '\\b(?:below|under|less than|above|over|greater than)\\s+(\\d{{1,3}}(?:\\.\\d+)?)', 1) AS DOUBLE) AS value, regexp_matches(t, '\\b(?:below|under|less than)\\b') AS lower_side,
+  {COLLAPSE.format(f"regexp_replace(regexp_replace(t, '{V.FILTER_WORDS}', ' ', 'g'), '{V.CATEGORY_WORDS}', ' ', 'g')")} AS rest FROM t),
+ c AS (SELECT *, CASE WHEN contains(t, 'program') AND {any_of('t', ('all', 'show', 'list'))} AND want_campus IS NOT NULL THEN 'programs' WHEN value IS NOT NULL THEN 'threshold' ELSE 'lookup' END AS command FROM f),
+ r AS (SELECT * FROM {X.RECORDS}), names AS (SELECT DISTINCT program AS name FROM r),
+ a AS (SELECT qid, lower(CASE rest {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in V.TABLE_PROGRAM_ALIASES.items())} ELSE rest END) AS asked FROM c WHERE command = 'lookup' AND alias_program IS NULL AND rest <> ''),
+ m AS (SELECT qid, name, lower(name) = asked AS whole FROM a, names WHERE contains(lower(name), asked) OR contains({_COMPACT.format('name')}, {_COMPACT.format('asked')})),
+ o AS (SELECT qid, min(name) AS one FROM m WHERE whole OR qid NOT IN (SELECT qid FROM m WHERE whole) GROUP BY 1 HAVING count(*) = 1),
+ w AS (SELECT c.*, coalesce(alias_program, one) AS want_program, command = 'lookup' AND aggregate IS NOT NULL AS checks FROM c LEFT JOIN o ON c.qid = o.qid)"""
+
+
+@query(f"""{_TYPED} SELECT qid::BIGINT AS qid, CASE WHEN checks THEN 'check' ELSE command END AS command, campus, program, category, session, admission_type, closing_merit::DOUBLE AS closing_merit, CASE WHEN checks THEN aggregate END AS aggregate,
+ CASE WHEN checks THEN round(aggregate - closing_merit, 5) END::DOUBLE AS difference, CASE WHEN checks THEN CASE WHEN aggregate >= closing_merit THEN 'ABOVE' ELSE 'BELOW' END END AS verdict FROM w, r
+ WHERE command <> 'programs' AND (want_campus IS NULL OR campus = want_campus) AND (want_program IS NULL OR contains(lower(program), lower(want_program)) OR contains({_COMPACT.format('program')}, {_COMPACT.format('want_program')})) AND (want_category IS NULL OR category = want_category)
+ AND (want_session IS NULL OR session = want_session) AND (want_type IS NULL OR admission_type = want_type) AND (command <> 'threshold' OR CASE WHEN lower_side THEN closing_merit < value ELSE closing_merit > value END)
+ UNION ALL SELECT DISTINCT qid, command, campus, program, NULL, NULL, NULL, NULL::DOUBLE, NULL::DOUBLE, NULL::DOUBLE, NULL FROM w JOIN r ON campus = want_campus WHERE command = 'programs'""")
+def q_typed_questions(s, d):
+    rows = given(s, X.RECORDS).withColumn("closing_merit", F.col("closing_merit").cast("double"))
+    return answers.run_questions(rows, given(s, X.TYPED)).withColumn("qid", F.col("qid").cast("long"))
+
+
+@query(f"""WITH e AS ({_ENTITIES}), k AS (SELECT e.*, r.*, {_KEYED.format('program')} AS a, {_KEYED.format('q_program')} AS b FROM e, (SELECT * FROM {X.RECORDS}) r),
+ f AS (SELECT *, '**' || program || ' — ' || campus || '**' AS head FROM k WHERE (q_program IS NULL OR contains(a, b) OR contains(b, a)) AND (q_campus IS NULL OR contains(lower(campus), lower(q_campus)) OR contains(lower(q_campus), lower(campus))) AND (q_category IS NULL OR lower(category) = lower(q_category))),
+ l AS (SELECT qid, q_aggregate, page, CASE WHEN q_aggregate IS NULL THEN head || ' | ' || category || ' | ' || session || ' | ' || admission_type || printf(' → **%.5f**', closing_merit::DOUBLE)
+  ELSE chr(10) || head || chr(10) || '- Category: ' || category || chr(10) || '- Session: ' || session || chr(10) || '- Type: ' || admission_type || chr(10) || printf('- Current closing merit: **%.5f**', closing_merit::DOUBLE) || chr(10) || printf('- Difference: **%+.5f**', round(q_aggregate - closing_merit, 5)::DOUBLE)
+  || chr(10) || '- Status: ' || CASE WHEN q_aggregate >= closing_merit THEN '✅ **SELECTED / ABOVE CURRENT MERIT**' ELSE '❌ **BELOW CURRENT MERIT**' END END AS line FROM f),
+ t AS (SELECT qid, count(*) AS n, CASE WHEN q_aggregate IS NULL THEN '' ELSE printf('Your aggregate: **%.5f**', q_aggregate) || chr(10) END || string_agg(line, chr(10) ORDER BY page, line) || chr(10) || chr(10) || '[🔗 Open official the merit source](https://x.example/list.pdf)' AS answer FROM l GROUP BY qid, q_aggregate)
+ SELECT e.qid::BIGINT AS qid, CASE WHEN n IS NULL THEN 'merit_not_found' WHEN q_aggregate IS NULL THEN 'merit' ELSE 'merit_check' END AS kind, coalesce(n, 0)::BIGINT AS n_records, coalesce(answer, 'No current merit record was found for the requested program, campus, or category.') AS answer FROM e LEFT JOIN t ON e.qid = t.qid""")
+def q_merit_answers(s, d):
+    return answers.merit_answers(given(s, X.RECORDS), _entities(s), "page", source_url="https://x.example/list.pdf").withColumn("qid", F.col("qid").cast("long"))
 
 
 @query(f"""SELECT program, count(*) AS n_rows, min(closing_merit)::DOUBLE AS lowest FROM {X.RECORDS} WHERE closing_merit < 75 GROUP BY 1""")
@@ -686,25 +724,49 @@ def q_below(s, d):
     return given(s, X.RECORDS).where("closing_merit < 75").groupBy("program").agg(F.count("*").alias("n_rows"), F.min("closing_merit").cast("double").alias("lowest"))
 
 
-@query("SELECT 1::BIGINT AS pos, 2025::BIGINT AS list_number, 'u1' AS url")
+_ORDINAL = "CASE lower(regexp_extract({0}, '(?i)\\b(" + "|".join(V.ORDINAL_WORDS) + ")\\s+merit\\s*list', 1)) " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in V.ORDINAL_WORDS.items()) + " END"
+_LIST_NUMBER = "coalesce(try_cast(regexp_extract({0}, '(?i)(\\d+)\\s*(?:st|nd|rd|th)?\\s+merit\\s*list', 1) AS BIGINT), try_cast(regexp_extract({0}, '(?i)merit\\s*list\\s*(?:no\\.?|number)?\\s*[:\\-]?\\s*(\\d+)', 1) AS BIGINT), " + _ORDINAL + ")"
+
+
+@query(f"""WITH l AS (SELECT pos::BIGINT AS pos, {_LIST_NUMBER.format('title')}::BIGINT AS list_number, url, coalesce(list_max(regexp_extract_all(title, '20\\d{{2}}')), '0')::INT AS year FROM {X.LISTS})
+ SELECT pos, list_number, url FROM l WHERE list_number IS NOT NULL ORDER BY year DESC, list_number DESC, pos LIMIT 1""")
 def q_latest_list(s, d):
     rows = given(s, X.LISTS).withColumn("list_number", tables.list_number("title")).where("list_number is not null")
     return tables.latest(rows, "title", "list_number", "pos").select(F.col("pos").cast("long").alias("pos"), F.col("list_number").cast("long").alias("list_number"), "url")
 
 
-@query("SELECT * FROM (VALUES ('https://x.example/l2.pdf', 'Second Merit List', 2::BIGINT), ('https://x.example/l1.pdf', 'again', 1)) AS t(url, title, list_number)")
+@query(f"""WITH p AS (SELECT unnest(string_split(regexp_replace('{X.LIST_PAGE}', '(<h[1-6]\\b)', chr(1) || '\\1', 'g'), chr(1))) AS section),
+ n AS (SELECT section, row_number() OVER () AS part, trim(regexp_replace(regexp_extract(section, '(?is)^<h[3-5]\\b[^>]*>(.*?)</h[3-5]\\s*>', 1), '<[^>]*>', ' ', 'g')) AS heading FROM p),
+ c AS (SELECT * FROM n WHERE (contains(lower(heading), 'merit list') OR contains(lower(heading), 'minimum') AND (contains(lower(heading), 'merit') OR contains(lower(heading), 'aggregate'))) AND NOT {any_of('lower(heading)', V.POSTGRADUATE_WORDS)}),
+ l AS (SELECT part, heading, unnest(regexp_extract_all(section, '<a href="([^"]*)">([^<]*)</a>', 1)) AS href, unnest(regexp_extract_all(section, '<a href="([^"]*)">([^<]*)</a>', 2)) AS title, generate_subscripts(regexp_extract_all(section, '<a href="([^"]*)">([^<]*)</a>', 1), 1) AS spot FROM c),
+ u AS (SELECT 'https://x.example/' || ltrim(href, '/') AS url, title, heading, part, spot FROM l)
+ SELECT url, title, {_LIST_NUMBER.format("(title || ' ' || heading)")}::BIGINT AS list_number FROM u QUALIFY row_number() OVER (PARTITION BY url ORDER BY part DESC, spot DESC) = 1""")
 def q_discovered_lists(s, d):
     page = s.createDataFrame([(X.LIST_PAGE, "https://x.example/")], "html string, base string")
     return tables.discovered_lists(page, "html", "base").select("url", "title", F.col("list_number").cast("long").alias("list_number"))
 
 
-@query("""SELECT * FROM (VALUES (1::BIGINT, 'Main Campus (LHR)', 'Computer Science', 'A1', 'Morning', 'ECAT', 81.5::DOUBLE), (1, 'New Campus (KSK)', 'Data Science', 'NM', 'Evening', 'Non-ECAT', 70.0), (2, 'Somewhere', 'Physics', 'A2-M', 'Afternoon', 'ECAT', 100.0)) AS t(page, campus, program, category, session, admission_type, closing_merit)""")
+_CAMPUS = "CASE lower({0}) " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in V.TABLE_CAMPUS_ALIASES.items()) + " ELSE {0} END"
+
+
+@query(f"""WITH RECURSIVE p AS (SELECT page, list(cell ORDER BY pos) AS c FROM {X.CELLS} WHERE NOT (lower(cell) IN ({quoted(V.HEADER_CELLS)}, '') OR regexp_matches(lower(cell), '^(campus discipline|admission:|merit list no)') OR contains(lower(cell), 'university of engineering') OR (starts_with(lower(cell), 'ug-') AND contains(lower(cell), 'page'))) GROUP BY 1),
+ walk AS (SELECT page, c, 1 AS i FROM p UNION ALL SELECT page, c, CASE WHEN {{good}} THEN i + 6 ELSE i + 1 END FROM walk WHERE i + 5 <= len(c))
+ SELECT page::BIGINT AS page, {_CAMPUS.format('c[i]')} AS campus, c[i + 1] AS program, upper(c[i + 2]) AS category, upper(c[i + 3][1]) || lower(c[i + 3][2:]) AS session, CASE lower(c[i + 4]) WHEN 'ecat' THEN 'ECAT' ELSE 'Non-ECAT' END AS admission_type, c[i + 5]::DOUBLE AS closing_merit FROM walk WHERE i + 5 <= len(c) AND {{good}}""".format(
+    good="(lower(c[i + 3]) IN ('morning', 'evening', 'afternoon') AND lower(c[i + 4]) IN ('ecat', 'non-ecat') AND regexp_matches(c[i + 2], '(?i)^(A1-M|A2-M|AP1-M|AP2-M|A1|A2|AP1|AP2|NM|M|[A-Z]{1,2})$') AND try_cast(c[i + 5] AS DOUBLE) BETWEEN 0 AND 100 AND c[i + 1] <> '')"
+))
 def q_table_records(s, d):
     pages = given(s, X.CELLS).groupBy("page").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "cell"))), lambda c: c["cell"]).alias("cells"))
     return tables.records(pages).select(F.col("page").cast("long").alias("page"), "campus", "program", "category", "session", "admission_type", "closing_merit")
 
 
-@query("""SELECT * FROM (VALUES (1::BIGINT, 0::BIGINT, 'Code | Title'), (1, 1, 'CS101 | Intro to CS'), (1, 2, 'CS102 | Logic'), (2, 0, 'alone')) AS t(page, line_no, line)""")
+@query(f"""WITH RECURSIVE i AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY y, x, text) AS n FROM {X.ITEMS}),
+ m AS (SELECT page, list_sort(list(h))[count(*) // 2 + 1] AS median, max(x) - min(x) AS width FROM i GROUP BY 1),
+ walk AS (SELECT page, n, y AS anchor, 0 AS line_no FROM i WHERE n = 1 UNION ALL
+  SELECT i.page, i.n, CASE WHEN i.y - anchor > greatest(median * 1.3, 8) THEN i.y ELSE anchor END, line_no + (i.y - anchor > greatest(median * 1.3, 8))::INT FROM walk w JOIN i ON i.page = w.page AND i.n = w.n + 1 JOIN m ON m.page = w.page),
+ g AS (SELECT i.page, n, x, text, CASE WHEN x - lag(x) OVER (PARTITION BY i.page ORDER BY x) > greatest(width * 0.08, 40) THEN 1 ELSE 0 END AS opens FROM i JOIN m ON i.page = m.page),
+ c AS (SELECT page, n, x, text, sum(opens) OVER (PARTITION BY page ORDER BY x RANGE UNBOUNDED PRECEDING) AS col FROM g),
+ cells AS (SELECT c.page, line_no, col, string_agg(text, ' ' ORDER BY x, text) AS cell FROM c JOIN walk w ON c.page = w.page AND c.n = w.n GROUP BY ALL)
+ SELECT page::BIGINT AS page, line_no::BIGINT AS line_no, string_agg(cell, ' | ' ORDER BY col) AS line FROM cells GROUP BY ALL""")
 def q_table_lines(s, d):
     items = given(s, X.ITEMS)
     return layout.table_lines(items).select(F.col("page").cast("long").alias("page"), F.col("line_no").cast("long").alias("line_no"), "line")
@@ -717,12 +779,16 @@ def q_gap_clusters(s, d):
     return layout.gap_clusters(events, ["user_id"], "t", F.lit(3600.0)).groupBy("user_id", F.col("cluster").cast("long").alias("cluster")).agg(F.count("*").alias("n_events"))
 
 
-@query("SELECT * FROM (VALUES ('a', 0::BIGINT, NULL), ('b', 1, 'a'), ('c', 1, 'a'), ('d', 2, 'b'), ('e', 3, 'd'), ('f', 4, 'e')) AS t(node, depth, parent)")
+_FOUND = f"""WITH RECURSIVE walk(node, depth) AS (SELECT 'a', 0 UNION SELECT dst, depth + 1 FROM walk JOIN {X.LINKS} ON src = node WHERE depth < 20), least AS (SELECT node, min(depth) AS depth FROM walk GROUP BY 1),
+ found AS (SELECT l.node, l.depth::BIGINT AS depth, min(u.node) AS parent FROM least l LEFT JOIN {X.LINKS} ON dst = l.node LEFT JOIN least u ON u.node = src AND u.depth = l.depth - 1 GROUP BY ALL)"""
+
+
+@query(f"{_FOUND} SELECT node, depth, parent FROM found")
 def q_discovery(s, d):
     return graph.breadth_first(given(s, X.LINKS), s.sql("SELECT 'a' AS node")).select("node", F.col("depth").cast("long").alias("depth"), "parent")
 
 
-@query("SELECT * FROM (VALUES ('a', 'b,c'), ('b', 'd'), ('d', 'e'), ('e', 'f')) AS t(node, children)")
+@query(f"{_FOUND} SELECT parent AS node, string_agg(node, ',' ORDER BY node) AS children FROM found WHERE parent IS NOT NULL GROUP BY 1")
 def q_tree(s, d):
     nodes = graph.breadth_first(given(s, X.LINKS), s.sql("SELECT 'a' AS node"))
     return graph.children(nodes).select("node", F.array_join("children", ",").alias("children"))
@@ -798,13 +864,13 @@ def q_json_keys(s, d):
     return table(s, d, "events").groupBy("event_type").agg(F.count("*").alias("n_rows"), F.min(keys).cast("long").alias("fewest_keys"), F.max(keys).cast("long").alias("most_keys"))
 
 
-@query("SELECT url, title FROM (VALUES ('u1', 'a'), ('u2', 'b'), ('u3', 'c')) AS t(url, title)")
+@query(f"SELECT json_extract_string(value, '$.url') AS url, json_extract_string(value, '$.title') AS title FROM json_tree('{X.NESTED}') WHERE type = 'OBJECT' AND trim(json_extract_string(value, '$.url')) <> ''")
 def q_url_records(s, d):
-    doc = s.sql("""SELECT parse_json('{"pages":[{"url":"u1","title":"a"},{"x":{"url":"u2","title":"b"}}],"deep":{"list":[[{"url":"u3","title":"c"}],{"url":" "}]}}') AS doc""")
+    doc = s.sql(f"SELECT parse_json('{X.NESTED}') AS doc")
     return files.url_records(doc).select("url", F.get_json_object("record", "$.title").alias("title"))
 
 
-@query("SELECT * FROM (VALUES ('_sections.json', 'SECTIONS'), ('_pdf_knowledge_ab.json', 'PDF_KNOWLEDGE'), ('x.json', 'OTHER')) AS t(name, category)")
+@query(f"""SELECT name, CASE WHEN name IN ('_sections.json', '_selected_sections.json') THEN 'SECTIONS' WHEN name = '_content_targets.json' THEN 'TARGETS' WHEN name IN ('_pages_reviewed.json', '_knowledge_refined.json') THEN 'PAGES' WHEN name = '_knowledge_books.json' THEN 'BOOKS' WHEN name = '_actions_registry.json' THEN 'ACTIONS'
+ WHEN name = '_knowledge_base.json' THEN 'KNOWLEDGE_BASE' WHEN name = '_pdf_downloads.json' THEN 'DOWNLOADS' WHEN name = '_pdf_duplicates.json' THEN 'DUPLICATES' WHEN starts_with(name, '_pdf_knowledge_') THEN 'PDF_KNOWLEDGE' ELSE 'OTHER' END AS category FROM {X.FILES}""")
 def q_file_categories(s, d):
-    names = s.sql("SELECT * FROM VALUES ('_sections.json'), ('_pdf_knowledge_ab.json'), ('x.json') AS t(name)")
-    return names.select("name", files.file_category(F.col("name")).alias("category"))
+    return given(s, X.FILES).select("name", files.file_category(F.col("name")).alias("category"))
