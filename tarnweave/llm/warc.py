@@ -4,7 +4,9 @@ Each record is a gzip member of its own, and the member's extra field tells its
 partitions of files balanced by bytes, takes record-type and header predicates from the plan, inflates a record's header
 first, and steps over a member whose record isn't wanted (or whose payload isn't, with option payload=false) without
 inflating the rest. Members without that extra field, which
-may hold several records, and archives that aren't compressed are read as well; where no record begins, reading fails.
+may hold several records, and archives that aren't compressed are read as well. Where there is no whole record (a stray line, a length that is
+no number or more than there is, a member that ends early) reading fails with file and place; with option mode=permissive it
+goes on at the next record, and what it left out is a row of type `skipped`.
 
 Files are reached by the path's scheme: local or shared folders directly, other stores through pyarrow's file systems.
 A task writes under a temporary name that the commit makes final, so tasks that are repeated leave no second copy.
@@ -27,13 +29,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, In, InputPartition, IsNotNull, WriterCommitMessage
 
-from tarnweave.llm.shared import scratch
+from tarnweave.llm.shared import saved, scratch
 
 READ_SCHEMA = "file string, record_id string, record_type string, target_uri string, date string, refers_to string, payload_digest string, payload_bytes long, headers map<string,string>, payload binary"
 WRITE_COLUMNS = ("record_id", "record_type", "target_uri", "refers_to", "payload_digest", "payload_bytes", "payload")
 #: Columns whose predicates are decided from the header alone.
 HEADER_OF = {"record_id": "warc-record-id", "record_type": "warc-type", "target_uri": "warc-target-uri", "date": "warc-date", "refers_to": "warc-refers-to"}
 DATE = "1970-01-01T00:00:00Z"
+#: Repeated payloads whose digests may be broadcast (about 100 MB).
+BROADCAST_ROWS = 1 << 19
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -158,52 +162,103 @@ def _headers(block: bytes) -> dict[str, str]:
     return {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:]) if _}
 
 
+class Malformed(ValueError):
+    """No whole WARC record at a place of a file."""
+
+
 class Stream:
-    """Records of an archive, one after another: header first, the rest on demand."""
+    """Records of an archive, one after another: header first, the rest on demand. Where there is no whole record this raises; or, if `permissive`, goes on at the next place where a record begins and tells of what it left out as (None, reason, place, bytes)."""
 
     CHUNK = 1 << 16
+    MOST_HEADER = 16 << 20
 
-    def __init__(self, file):
-        self.file, self.at = file, 0
+    def __init__(self, file, permissive: bool = False):
+        self.file, self.at, self.permissive = file, 0, permissive
+        self.end = file.seek(0, 2)
 
     def _read_at(self, at: int, n: int) -> bytes:
         self.file.seek(at)
         return self.file.read(n)
 
-    def __iter__(self) -> Iterator[tuple[dict[str, str], "Stream"]]:
+    def __iter__(self) -> Iterator[tuple]:
+        records = self._records()
+        while True:
+            try:
+                for fields in records:
+                    yield fields, self
+                return
+            except (Malformed, zlib.error, EOFError) as e:
+                if not self.permissive:
+                    raise Malformed(f"no whole WARC record at byte {self.start}: {e}") from e
+                begin, self.at = self.start, self._next(self.start + 1)
+                yield None, str(e), begin, self.at - begin
+                records = self._records()
+
+    def _records(self) -> Iterator[dict[str, str]]:
         behind = None  # what a member has shown of what follows a record in it
         while True:
             if behind is None:
-                start = self._read_at(self.at, 2)
-                if not start:
+                self.start = self.at
+                magic = self._read_at(self.at, 2)
+                if not magic:
                     return
-                self._begin(start == b"\x1f\x8b")
+                self._begin(magic == b"\x1f\x8b")
             raw = behind or b""
             while b"\r\n\r\n" not in raw.lstrip(b"\r\n"):
-                more = self._more(1 << 12)
+                more = self._more(max(1 << 12, len(raw)))
                 if not more:
                     break
                 raw += more
+                if not raw.lstrip(b"\r\n").startswith(b"WARC/"[: len(raw.lstrip(b"\r\n"))]) or len(raw) > self.MOST_HEADER:
+                    break
             head = raw.lstrip(b"\r\n")
             if not head:  # nothing more in the file, or in the member
                 if not self.packed:
                     return
+                if not self.inflate.eof:
+                    raise Malformed("a member that ends early")
                 self.at, behind = self.place - len(self.inflate.unused_data), None
                 continue
+            if not self.packed:
+                self.start += len(raw) - len(head)
             if not head.startswith(b"WARC/") or b"\r\n\r\n" not in head:
-                raise ValueError(f"no WARC record where one should begin, at or behind byte {self.at} of the file: {head[:40]!r}")
+                raise Malformed(f"no header in {head[:40]!r}")
             cut = head.index(b"\r\n\r\n") + 4
             fields = _headers(head[: cut - 4])
-            self._rest, self._length = head[cut:], int(fields.get("content-length", 0))
-            yield fields, self
-            behind = self._skip(len(raw) - len(head) + cut)
+            length = fields.get("content-length", "")
+            if not re.fullmatch("[0-9]+", length):
+                raise Malformed(f"Content-Length {length[:40]!r}")
+            self._rest, self._length = head[cut:], int(length)
+            yield fields
+            behind = self._skip(cut)
+
+    def _next(self, at: int) -> int:
+        """The next place where a record or a member with one begins, or the end."""
+        keep = 16
+        while at < self.end:
+            data = self._read_at(at, self.CHUNK + keep)
+            for m in re.finditer(rb"\x1f\x8b\x08|(?<=\n)WARC/[0-9.]+\r\n", data):
+                if m.start() >= self.CHUNK:
+                    break
+                if m[0].startswith(b"W") or self._opens(at + m.start()):
+                    return at + m.start()
+            at += self.CHUNK
+        return self.end
+
+    def _opens(self, at: int) -> bool:
+        try:
+            return zlib.decompressobj(31).decompress(self._read_at(at, 1 << 12), 64).lstrip(b"\r\n").startswith(b"WARC/")
+        except zlib.error:
+            return False
 
     def _begin(self, packed: bool) -> None:
-        self.packed, self.start, self.size, self.ended = packed, self.at, None, False
+        self.packed, self.size = packed, None
         if packed:
             fixed = self._read_at(self.at, 24)
-            if fixed[3] & 4 and fixed[12:14] == b"TL":
+            if len(fixed) == 24 and fixed[3] & 4 and fixed[12:14] == b"TL":
                 self.size = struct.unpack("<Q", fixed[16:24])[0]
+                if self.at + self.size > self.end or self.size < 24:
+                    raise Malformed(f"a member of {self.size} bytes where the file has {self.end - self.at}")
             self.inflate, self.place, self.tail = zlib.decompressobj(31), self.at, b""
         else:
             self.place = self.at
@@ -227,12 +282,12 @@ class Stream:
         return b""
 
     def block(self) -> bytes:
-        """The record's block."""
+        """The record's block, whole."""
         parts, n = [self._rest], len(self._rest)
         while n < self._length:
             more = self._more(self._length - n)
             if not more:
-                break
+                raise Malformed(f"a block of {n} bytes where the header says {self._length}")
             parts.append(more)
             n += len(more)
         self._rest = b"".join(parts)
@@ -242,12 +297,16 @@ class Stream:
         """Goes behind the record, whose header takes so many bytes; if it is in a member that may hold more, gives what has been read of that."""
         if not self.packed:
             self.at = self.start + header + self._length
+            if self.at > self.end:
+                raise Malformed(f"a block of {self._length} bytes where the file has {self.end - self.start - header}")
         elif self.size:
             self.at = self.start + self.size
         else:
             n = len(self._rest)
             while n < self._length and (more := self._more(min(self.CHUNK, self._length - n))):
                 n += len(more)
+            if n < self._length:
+                raise Malformed(f"a block of {n} bytes where the header says {self._length}")
             return self._rest[self._length :]
         return None
 
@@ -258,10 +317,11 @@ class Files(InputPartition):
 
 
 class WarcReader(DataSourceReader):
-    """Rows of READ_SCHEMA from the records that pass the predicates."""
+    """Rows of READ_SCHEMA from the records that pass the predicates. With mode=permissive, what holds no whole record is a row of type `skipped`, with its length in payload_bytes and reason and place among the headers."""
 
     def __init__(self, options: dict[str, str]):
         self.path, self.target = options["path"], int(options.get("partition_bytes", 64 << 20))
+        self.permissive = str(options.get("mode", "failfast")).lower() == "permissive"
         self.payload = str(options.get("payload", "true")).lower() != "false"
         self.wanted: list[tuple[str, list]] = []
 
@@ -292,11 +352,21 @@ class WarcReader(DataSourceReader):
         store, rows, size = Store(self.path), [], 0
         for name in partition.names:
             with store.open(name) as file:
-                for fields, at in Stream(file):
-                    plain = fields | {k: fields[k].strip("<>") for k in ("warc-record-id", "warc-refers-to") if k in fields}
+                for fields, at, *rest in self._stream(file, name):
+                    if fields is None:
+                        plain = {"warc-type": "skipped", "reason": at, "place": str(rest[0]), "content-length": str(rest[1])}
+                    else:
+                        plain = fields | {k: fields[k].strip("<>") for k in ("warc-record-id", "warc-refers-to") if k in fields}
                     if not all(k in plain and (not values or plain[k] in values) for k, values in self.wanted):
                         continue
-                    rows.append(self._row(name, plain, at))
+                    try:
+                        rows.append(self._row(name, plain, at))
+                    except (Malformed, zlib.error) as e:
+                        if not self.permissive:
+                            raise Malformed(f"{name}, byte {at.start}: {e}") from e
+                        if not (at.packed and at.size):
+                            continue  # the stream tells of it, as it looks for the next record
+                        rows.append(self._row(name, {"warc-type": "skipped", "reason": str(e), "place": str(at.start), "content-length": str(at.size)}, None))
                     size += 500 + len(rows[-1]["payload"] or b"")
                     if size > 4 << 20:
                         yield pa.RecordBatch.from_pylist(rows, schema)
@@ -304,10 +374,18 @@ class WarcReader(DataSourceReader):
         if rows:
             yield pa.RecordBatch.from_pylist(rows, schema)
 
-    def _row(self, name: str, fields: dict[str, str], at: Stream) -> dict:
+    def _stream(self, file, name: str) -> Iterator[tuple]:
+        try:
+            yield from Stream(file, self.permissive)
+        except Malformed as e:
+            raise Malformed(f"{name}: {e}") from e
+
+    def _row(self, name: str, fields: dict[str, str], at: Stream | None) -> dict:
         kind = fields.get("warc-type")
         body = length = None
-        if self.payload or kind == "revisit":
+        if kind == "skipped":
+            length = int(fields["content-length"])
+        elif self.payload or kind == "revisit":
             http, _, body = at.block().partition(b"\r\n\r\n")
             stated = re.search(rb"(?i)\r\ncontent-length:\s*(\d+)", http)
             length = int(stated[1]) if stated else len(body)
@@ -316,7 +394,7 @@ class WarcReader(DataSourceReader):
             digest = base64.b32decode(digest).hex()
         return {
             "file": name, "record_id": fields.get("warc-record-id"), "record_type": kind, "target_uri": fields.get("warc-target-uri"), "date": fields.get("warc-date"), "refers_to": fields.get("warc-refers-to"),
-            "payload_digest": digest.lower(), "payload_bytes": length, "headers": list(fields.items()), "payload": body if self.payload and kind != "revisit" else None,
+            "payload_digest": digest.lower(), "payload_bytes": length, "headers": list(fields.items()), "payload": body if self.payload and kind not in ("revisit", "skipped") else None,
         }
 
 
@@ -354,8 +432,11 @@ def planned(pages: DataFrame, least_bytes: int = 1000, id_col: str = "page_id",
     rows = pages.select(F.col(id_col).alias("page"), F.col(url_col).alias("target_uri"), payload.alias("payload"))
     rows = rows.select("*", F.sha1("payload").alias("payload_digest"), F.length("payload").cast("long").alias("payload_bytes"))
     # One row for each payload that occurs again: partly aggregated before the shuffle, so copies cost little.
-    keep = rows.where(F.col("payload_bytes") >= least_bytes).groupBy("payload_digest", "payload_bytes").agg(F.max("page").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    joined = rows.join(keep, ["payload_digest", "payload_bytes"], "left")
+    sized = rows.where(F.col("payload_bytes") >= least_bytes)
+    keep = sized.groupBy("payload_digest", "payload_bytes").agg(F.max("page").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    keep = saved(keep, "warc-repeated")
+    # Rows of fixed size: few of them are broadcast, and payloads then cross no shuffle.
+    joined = rows.join(F.broadcast(keep) if keep.count() <= BROADCAST_ROWS else keep, ["payload_digest", "payload_bytes"], "left")
     again = F.coalesce(F.col("first") != F.col("page"), F.lit(False))
     return joined.select(
         record_name(F.col("page")).alias("record_id"), F.when(again, "revisit").otherwise("response").alias("record_type"), "target_uri",
@@ -373,6 +454,6 @@ def archive(pages: DataFrame, path: str | None = None, nameless: bool = False, *
     return path
 
 
-def read_archive(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
+def read_archive(spark: SparkSession, path: str, payload: bool = True, mode: str = "failfast") -> DataFrame:
     register(spark)
-    return spark.read.format("warc").option("payload", str(payload).lower()).load(path)
+    return spark.read.format("warc").option("payload", str(payload).lower()).option("mode", mode).load(path)

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tarnweave.llm.queries import op2_warc
-from tarnweave.llm.warc import Stream, archive, read_archive, register
+from tarnweave.llm.warc import Stream, archive, member, read_archive, register
 
 SCHEMA = "page_id long, url string, html string, record_id string, payload string, page int, first int"
 
@@ -89,9 +89,37 @@ def test_members_of_many_records(spark, tmp_path):
         assert light == "false" or sorted(len(r.payload) for r in rows) == [k * 50000 for k in range(7)]
     for name, data in (("b.warc", rec(1) + b"junk" + rec(2)), ("c.warc.gz", gzip.compress(rec(1) + b"junk")), ("d.warc.gz", gzip.compress(rec(1)) + gzip.compress(b"junk"))):
         (tmp_path / name).write_bytes(data)
-        with (tmp_path / name).open("rb") as f, pytest.raises(ValueError, match="no WARC record"):
+        with (tmp_path / name).open("rb") as f, pytest.raises(ValueError, match="no whole WARC record"):
             list(Stream(f))
 
 
+def test_no_silent_loss(spark, tmp_path):
+    """Malformed, truncated and long-headed records, compressed and not: an error with file and place, or a row that tells what was left out."""
+    rec = lambda k, length=None, more="": f"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:x:{k}>\r\n{more}Content-Length: {length or 119}\r\n\r\nHTTP/1.1 200 OK\r\n\r\n".encode() + b"z" * 100 + b"\r\n\r\n"
+    long = "X-Long: " + "h" * 300_000 + "\r\n"
+    spoiled = bytearray(member(rec(2)))
+    spoiled[-20] ^= 255
+    cases = {
+        "stray.warc": (rec(1) + b"stray line\r\n" + rec(2) + rec(3), [1, 2, 3], 1), "number.warc": (rec(1) + rec(2, "many") + rec(3), [1, 3], 1),
+        "short.warc": (rec(1) + rec(2, 1000), [1], 1), "long.warc": (rec(1) + rec(2, None, long) + rec(3), [1, 2, 3], 0),
+        "stray.warc.gz": (gzip.compress(rec(1)) + b"stray" + gzip.compress(rec(2)) + gzip.compress(rec(3)), [1, 2, 3], 1), "number.warc.gz": (gzip.compress(rec(1) + rec(2, "many")) + gzip.compress(rec(3)), [1, 3], 1),
+        "short.warc.gz": (gzip.compress(rec(1)) + gzip.compress(rec(2, 1000)) + gzip.compress(rec(3)), [1, 3], 1), "cut.warc.gz": (gzip.compress(rec(1)) + gzip.compress(rec(2))[:-30], [1], 1),
+        "cut2.warc.gz": (member(rec(1)) + member(rec(2))[:-30], [1], 1), "spoiled.warc.gz": (member(rec(1)) + bytes(spoiled) + member(rec(3)), [1, 3], 1), "long.warc.gz": (member(rec(1)) + member(rec(2, None, long)), [1, 2], 0),
+    }
+    for name, (data, ids, n_skipped) in cases.items():
+        path = tmp_path / name.replace(".", "_") / name
+        path.parent.mkdir()
+        path.write_bytes(data)
+        rows = read_archive(spark, str(path.parent), mode="permissive").collect()
+        skipped = [r for r in rows if r.record_type == "skipped"]
+        assert [r.record_id for r in rows if r.record_type != "skipped"] == [f"urn:x:{k}" for k in ids], name
+        assert all(len(r.payload) == 100 for r in rows if r.record_type != "skipped"), name
+        assert len(skipped) == n_skipped and all(r.file.endswith(name) and r.headers["reason"] and r.payload_bytes > 0 for r in skipped), (name, skipped)
+        assert read_archive(spark, str(path.parent), mode="permissive").where("record_type = 'response'").count() == len(ids)
+        if n_skipped:
+            with pytest.raises(Exception, match=name.replace(".", r"\.")):
+                read_archive(spark, str(path.parent)).collect()
+
+
 def test_nothing(spark, pages, tmp_path):
     assert read_archive(spark, archive(pages.limit(0), str(tmp_path / "none"))).count() == 0
