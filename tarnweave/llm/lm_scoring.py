@@ -14,8 +14,9 @@ from where the last of two rounds ended, and averaged over the blocks; then the
 given by the grams, so scores don't depend on how rows are dealt. Each distinct gram of the corpus is costed once, in its
 block; the costs come back to the chunks in the order of their grams.
 
-The base is a unigram model with exact counts: tokens travel as each chunk's distinct words in blocks of a hash, and the
-counts come back in the same order, so what is shuffled is each chunk's vocabulary, not its tokens.
+The base is a unigram model: tokens travel as each chunk's distinct words in blocks of a hash, and the
+counts come back in the same order, so what is shuffled is each chunk's vocabulary, not its tokens. Words are numbers on the way; only two of
+8 bytes and more could share one, with a probability of 2**-63 a pair.
 
 A null text is empty: its only token is the end. Equal rows are scored (and, in training, counted) each; very many of them are
 one row with their number on the way. Without
@@ -29,12 +30,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarnweave.llm.shared import SPACED, by_bytes, free, lowered, mixed, saved, strings, sums, text_bytes, words_of
+from tarnweave.llm.shared import SPACED, by_bytes, free, lowered, mixed, saved, sums, text_bytes, words_of
 
 REACH = 5
 WORD = 6
@@ -308,22 +308,26 @@ def _word_hash(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
     return mixed(np.add.reduceat(_W[raw[nth + np.repeat(starts, size)]] * _V[nth & 63], place[:-1]) + size.astype(np.uint64))
 
 
-class Words:
-    """A chunk's distinct words in blocks, sorted: the order in which counts come back. Blocks are of a hash of the word."""
+def word_codes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Words as numbers: one of up to 7 bytes is its length and bytes, a longer one a hash of 63 bits, led by a one."""
+    size = ends - starts
+    wide = np.concatenate([raw, np.zeros(8, np.uint8)])
+    out = np.ndarray(raw.size, "<u8", wide, strides=(1,))[starts] if raw.size else np.zeros(0, np.uint64)
+    short = np.minimum(size, 7).astype(np.uint64)
+    out &= (np.uint64(1) << np.uint64(8) * short) - np.uint64(1)
+    out |= short << np.uint64(56)
+    long = np.flatnonzero(size > 7)
+    out[long] = _word_hash(raw, starts[long], ends[long]) | np.uint64(1 << 63)
+    return out
 
-    def __init__(self, parts: list[pa.Array], n_blocks: int):
-        words = pc.unique(pa.chunked_array(parts, pa.large_binary()).combine_chunks()) if parts else pa.array([], pa.large_binary())
-        words = words.combine_chunks() if isinstance(words, pa.ChunkedArray) else words
-        raw, at = text_bytes(words)
-        block = (_word_hash(raw, at[:-1], at[1:]) % np.uint64(n_blocks)).astype(np.int64)
-        order = pc.sort_indices(pa.table({"b": pa.array(block), "w": words}), [("b", "ascending"), ("w", "ascending")])
-        self.words = words.take(order)
-        block = block[order.to_numpy()] if len(words) else block
-        self.blocks, self.first = np.unique(block, return_index=True)
-        self.first = np.append(self.first, len(words))
 
-    def code(self, words: pa.Array) -> np.ndarray:
-        return pc.index_in(words, self.words).to_numpy()
+def _distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values, sorted, and the place among them of each."""
+    order = np.argsort(x)
+    head = _runs(x[order])
+    which = np.empty(x.size, np.int64)
+    which[order] = np.repeat(np.arange(head.size), np.diff(np.append(head, x.size)))
+    return x[order[head]], which
 
 
 def _slices(table: pa.Table) -> Iterator[pa.RecordBatch]:
@@ -339,20 +343,6 @@ def _plain(data: bytes) -> bytes:
     return pa.decompress(data[8:], int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True)
 
 
-def _pack(words: pa.Array, counts: np.ndarray) -> bytes:
-    raw, at = text_bytes(words)
-    head = np.array([len(words)], "<i8").tobytes()
-    return _squeezed(head + np.diff(at).astype("<i4").tobytes() + counts.astype("<i8").tobytes() + raw.tobytes())
-
-
-def _unpack(data: bytes) -> tuple[pa.Array, np.ndarray]:
-    data = _plain(data)
-    n = int(np.frombuffer(data, "<i8", 1)[0])
-    at = np.concatenate([[0], np.cumsum(np.frombuffer(data, "<i4", n, 8), dtype=np.int64)])
-    counts = np.frombuffer(data, "<i8", n, 8 + 4 * n)
-    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(at), pa.py_buffer(data[8 + 12 * n :])]), counts
-
-
 def _pack_grams(gram: np.ndarray, count: np.ndarray) -> bytes:
     """Sorted grams as differences, by planes of bytes, which pack well."""
     planes = [np.diff(gram, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T, count.astype("<u8").view(np.uint8).reshape(-1, 8).T]
@@ -375,19 +365,25 @@ def _unpack_costs(data: bytes) -> np.ndarray:
 # -- the passes ----------------------------------------------------------------
 
 
-def _blocks(gram: np.ndarray, n_blocks: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """An order of sorted grams by blocks, the blocks, and where each begins and the last ends. Blocks go by the last three bytes before: what longer contexts count lies in one block then."""
-    block = (mixed((gram >> np.uint64(8)) & np.uint64(0xFFFFFF)) % np.uint64(n_blocks)).astype(np.int64)
+def _blocks(key: np.ndarray, n_blocks: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """An order of sorted numbers by blocks of a hash of their keys, the blocks, and where each begins and the last ends."""
+    block = (mixed(key) % np.uint64(n_blocks)).astype(np.int64)
     order = np.argsort(block, kind="stable")
-    which, first = np.unique(block[order], return_index=True)
-    return order, which, np.append(first, gram.size)
+    block = block[order]
+    first = _runs(block)
+    return order, block[first], np.append(first, key.size)
+
+
+def _gram_key(gram: np.ndarray) -> np.ndarray:
+    """Blocks of grams go by the last three bytes before: what longer contexts count lies in one block then."""
+    return (gram >> np.uint64(8)) & np.uint64(0xFFFFFF)
 
 
 def _gathered(n_blocks: int):
     """For a chunk: all its distinct grams with their training counts (kind 0) and all its distinct words with their training counts (kind 1), by block; and its training texts' number (kind 2)."""
 
     def run(table: pa.Table) -> pa.Table:
-        keys, others, words, seen = [], [], [], []
+        keys, others, words, uses = [], [], [], []
         many, times = [], []  # grams of texts that stand for several rows
         ends, chunk = 0, table.column("chunk")[0].as_py()
         for part in _slices(table):
@@ -396,9 +392,9 @@ def _gathered(n_blocks: int):
             raw, at = text_bytes(part.column(2))
             raw = lowered(raw)
             starts, stops, first = words_of(raw, at, SPACED)
-            coded = pc.dictionary_encode(strings(raw, starts, stops))
-            words.append(coded.dictionary)
-            seen.append((coded.dictionary, np.bincount(coded.indices.to_numpy(), np.repeat(train, np.diff(first)).astype(np.float64), len(coded.dictionary)).astype(np.int64) if len(coded) else np.zeros(0, np.int64)))
+            code, which = _distinct(word_codes(raw, starts, stops))
+            words.append(code)
+            uses.append(np.bincount(which, np.repeat(train, np.diff(first)), code.size).astype(np.int64))
             gram, begin = grams(raw, at)
             each = np.repeat(train, np.diff(begin))
             keys.append(gram[each == 1])
@@ -410,20 +406,17 @@ def _gathered(n_blocks: int):
         gram.sort()
         head = _runs(gram)
         gram, count = gram[head], np.diff(np.append(head, gram.size))
-        more = np.unique(np.concatenate(others))
+        more = np.sort(np.concatenate(others))
+        more = more[_runs(more)]
         del others
         gram, count = _summed([gram, more, *many], [count, np.zeros(more.size, np.int64), *times])
-        own = Words(words, n_blocks)
-        total = np.zeros(len(own.words), np.int64)
-        for w, n in seen:
-            total += np.bincount(own.code(w), n, total.size).astype(np.int64) if len(w) else 0
-        rows = [(1, int(b), chunk, _pack(own.words.slice(lo, hi - lo), total[lo:hi]), 0) for b, lo, hi in zip(own.blocks, own.first[:-1], own.first[1:], strict=True)]
+        rows = []
+        for kind, (number, n, key) in enumerate(((gram, count, _gram_key(gram)), (own := _summed(words, uses))[:2] + (own[0],))):
+            order, which, first = _blocks(key, n_blocks)
+            number, n = number[order], n[order]
+            rows += [(kind, int(b), chunk, _pack_grams(number[lo:hi], n[lo:hi]), 0) for b, lo, hi in zip(which, first[:-1], first[1:], strict=True)]
         if ends:
             rows.append((2, -1, chunk, b"", ends))
-        order, which, first = _blocks(gram, n_blocks)
-        gram, count = gram[order], count[order]
-        for b, lo, hi in zip(which, first[:-1], first[1:], strict=True):
-            rows.append((0, int(b), chunk, _pack_grams(gram[lo:hi], count[lo:hi]), 0))
         return pa.Table.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True) if rows else ([],) * 5, (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int64()), strict=True)], ["kind", "block", "chunk", "payload", "ends"])
 
     return run
@@ -446,13 +439,9 @@ def _sum_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _sum_words(table: pa.Table) -> pa.Table:
     """For a block: each chunk's words' counts over all chunks, and (in one row) the number of words counted and their counts' sum."""
-    chunks = table.column("chunk").to_pylist()
-    parts = [_unpack(x.as_buffer().to_pybytes()) for x in table.column("payload")]
-    coded = pc.dictionary_encode(pa.concat_arrays([w for w, _ in parts]))
-    code, n = coded.indices.to_numpy(), np.concatenate([c for _, c in parts])
-    total = np.bincount(code, n.astype(np.float64), len(coded.dictionary)).astype(np.int64)
-    ends = np.cumsum([len(w) for w, _ in parts])
-    out = [_squeezed(x.astype("<i8").tobytes()) for x in np.split(total[code], ends[:-1])]
+    chunks, parts = table.column("chunk").to_pylist(), list(_held(table.to_batches()))
+    code, total = _summed(*map(list, zip(*parts, strict=True)))
+    out = [_squeezed(total[np.searchsorted(code, own)].astype("<i8").tobytes()) for own, _ in parts]
     zero = [0] * (len(out) - 1)
     return pa.Table.from_arrays(
         [pa.array([table.column("block")[0].as_py()] * len(out), pa.int64()), pa.array(chunks, pa.int64()), pa.array(out, pa.binary()), pa.array([int((total > 0).sum()), *zero], pa.int64()), pa.array([int(total.sum()), *zero], pa.int64())],
@@ -560,15 +549,23 @@ def _scored(n_blocks: int, n: int, v: int, ends: int):
             raw, at = text_bytes(part.column(2))
             raw = lowered(raw)
             starts, stops, first = words_of(raw, at, SPACED)
-            coded = pc.dictionary_encode(strings(raw, starts, stops))
+            code, which = _distinct(word_codes(raw, starts, stops))
             gram, begin = grams(raw, at)
-            held.append((part.column(1), part.column(3), part.column(4), np.diff(at), first, coded.indices.to_numpy() if len(coded) else np.zeros(0, np.int32), begin))
-            words.append(coded.dictionary)
+            held.append((part.column(1), part.column(3), part.column(4), np.diff(at), first, which, begin))
+            words.append(code)
             keys.append(gram)
-        own = Words(words, n_blocks)
         found = {(k, b): x.as_buffer() for k, b, x in zip(back.column("kind").to_pylist(), back.column("block").to_pylist(), back.column("payload"), strict=True)}
-        given = lambda kind, blocks: [found[kind, int(b)].to_pybytes() for b in blocks]
-        count = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(_plain(x), "<i8") for x in given(1, own.blocks))])
+
+        def given(kind: int, key: np.ndarray, read: Callable[[bytes], np.ndarray], like: type) -> np.ndarray:
+            """What came back for sorted distinct numbers, which went by blocks."""
+            order, blocks, _ = _blocks(key, n_blocks)
+            back_of = np.empty(key.size, like)
+            back_of[order] = np.concatenate([np.zeros(0, like), *(read(found[kind, int(b)].to_pybytes()) for b in blocks)])
+            return back_of
+
+        own = np.sort(np.concatenate(words))
+        own = own[_runs(own)]
+        count = given(1, own, lambda x: np.frombuffer(_plain(x), "<i8"), np.int64)
         logs, known = log(count), (count > 0).astype(np.int8)
         # The costs of the chunk's distinct grams come in the order in which they were gathered.
         gram = np.concatenate(keys)
@@ -577,16 +574,14 @@ def _scored(n_blocks: int, n: int, v: int, ends: int):
         order = _by_context(gram)
         gram = gram[order]
         head = _runs(gram)
-        distinct, which = np.unique(gram[head], return_inverse=True)
-        by_block, blocks, _ = _blocks(distinct, n_blocks)
-        each = np.empty(distinct.size, np.float32)
-        each[by_block] = np.concatenate([np.zeros(0, np.float32), *map(_unpack_costs, given(0, blocks))])
+        distinct, which = _distinct(gram[head])
+        each = given(0, _gram_key(distinct), _unpack_costs, np.float32)
         cost = np.empty(gram.size, np.float32)
         cost[order] = np.repeat(each[which], np.diff(np.append(head, gram.size)))
         del gram, order
         out = []
-        for (ids, tested, copies, size, first, code, begin), dictionary, own_cost in zip(held, words, np.split(cost, sizes[:-1]), strict=True):
-            code = own.code(dictionary)[code] if code.size else code
+        for (ids, tested, copies, size, first, which, begin), words_of_part, own_cost in zip(held, words, np.split(cost, sizes[:-1]), strict=True):
+            code = np.searchsorted(own, words_of_part)[which]
             out.append(pa.RecordBatch.from_arrays(
                 [ids, tested, pa.array(np.diff(first) + 1), pa.array(sums(known[code], first) + int(ends > 0)), pa.array(np.full(size.size, n)), pa.array(sums(logs[code], first) + log(ends)), pa.array(sums(own_cost.astype(np.float64), begin)), pa.array(size), copies],
                 ["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_bytes", "copies"],
