@@ -9,7 +9,7 @@ Learning sees all training rows. Chunks of all rows are reduced to distinct 6-by
 are summed in blocks of a hash of the last three bytes before. A block holds all that its contexts of three bytes and more
 (and its words) have been followed by, so their bit counts are exact and grow with the corpus, and no table of them
 exists; the counts of one and two bytes before, whose number the alphabet bounds, are broadcast.
-Weights are learned online over the grams, a gram's own occurrence left out of the counts that predict it, by each block
+Weights are learned online over the grams, a gram's own occurrence left out of the counts that predict it, twice by each block
 from where the last of two rounds ended, and averaged over the blocks; then the map is learned. Blocks and their order are
 given by the grams, so scores don't depend on how rows are dealt. Each distinct gram of the corpus is costed once, in its
 block; the costs come back to the chunks in the order of their grams.
@@ -477,7 +477,7 @@ def _collected(table: DataFrame, make: Callable[[Iterator[pa.RecordBatch]], np.n
     return out
 
 
-def fit(grams_table: DataFrame, rounds: int = 2, rate: float = 0.4) -> tuple[Broadcast, Weights]:
+def fit(grams_table: DataFrame, rounds: int = 2, passes: int = 2, rate: float = 1.5) -> tuple[Broadcast, Weights]:
     """The model of a table of blocks of grams: the counts of low orders, broadcast, its weights and its map. What comes to the driver has a bounded size (at most 2**24 counts of three bytes in a row).
 
     Each block learns from where the last round ended, and the blocks' weights are averaged by their counts: blocks are a hash of the grams, so the result doesn't depend on which task has which."""
@@ -494,7 +494,9 @@ def fit(grams_table: DataFrame, rounds: int = 2, rate: float = 0.4) -> tuple[Bro
             for gram, count in _held(batches):
                 now = Weights(start.copy())
                 for at in _units(gram):
-                    Block(gram[at], count[at], shared.value, True).learn(now, count[at], rate)
+                    block = Block(gram[at], count[at], shared.value, True)
+                    for _ in range(passes):
+                        block.learn(now, count[at], rate)
                 out[:-1] += now.weights.ravel().astype(np.float64) * count.sum()
                 out[-1] += count.sum()
             return out
