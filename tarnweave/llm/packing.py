@@ -8,10 +8,7 @@ that holds the end id. Repeated rows are packed each. Other columns are ignored;
 
 from __future__ import annotations
 
-import json
-import os
-from collections.abc import Callable, Iterator
-from functools import lru_cache
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,46 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarnweave.llm.shared import by_bytes
-from tarnweave.llm.token_counts import safe_pieces
-
-
-def _ranks(model: dict) -> dict[bytes, int]:
-    """The byte strings of a byte-level vocabulary whose ids are the merges' ranks; the 256 bytes have visible stand-ins in the file."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    byte_of = {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in set(plain))}
-    return {bytes(byte_of[c] for c in token): rank for token, rank in model["vocab"].items() if all(c in byte_of for c in token)}
-
-
-@lru_cache(2)
-def encoder(path: str) -> Callable[[str], list[int]]:
-    """From a text to its ids as the tokenizers library gives them, without added special tokens.
-
-    A byte-level BPE without normaliser, whose ids are ranks, is run by tiktoken's engine over the same file (4 times as
-    fast; tests hold it against the library); special strings inside a text get their own ids, as by the library's default.
-    Anything else is run by the library.
-    """
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    with open(path, encoding="utf-8") as file:
-        spec = json.load(file)
-    before = spec.get("pre_tokenizer") or {}
-    special = {x["content"]: x["id"] for x in spec["added_tokens"]}
-    simple = all(x["special"] and not (x["single_word"] or x["lstrip"] or x["rstrip"] or x["normalized"]) for x in spec["added_tokens"])
-    merges = [x if isinstance(x, str) else " ".join(x) for x in spec["model"].get("merges", [])]
-    vocab = spec["model"].get("vocab", {})
-    ranked = isinstance(vocab, dict) and all(vocab.get(m.replace(" ", "")) == 256 + k for k, m in enumerate(merges))
-    if simple and ranked and spec["model"]["type"] == "BPE" and before.get("type") == "ByteLevel" and before.get("use_regex") and not before.get("add_prefix_space") and not spec["normalizer"]:
-        import tiktoken
-
-        # The pre-tokenizer's fixed pattern.
-        pattern = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-        engine = tiktoken.Encoding("byte_level", pat_str=pattern, mergeable_ranks=_ranks(spec["model"]), special_tokens=special)
-        return lambda text: engine.encode(text, allowed_special="all") if any(x in text for x in special) else engine.encode_ordinary(text)
-    from tokenizers import Tokenizer
-
-    model = Tokenizer.from_file(path)
-    model.no_truncation()
-    model.no_padding()
-    return lambda text: model.encode(text, add_special_tokens=False).ids
+from tarnweave.llm.token_counts import encoder, safe_pieces
 
 
 def piece_lengths(n: int, window: int) -> list[int]:
@@ -76,12 +34,12 @@ def pack(docs: DataFrame, vocabulary: str, window: int = 2048, end_id: int = 1,
         raise ValueError("window must be a power of two below 65536")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(vocabulary)
+        encode, may_split = encoder(vocabulary)
         for batch in batches:
             for part in by_bytes(batch, "text", 1 << 20):
                 owner, start, length, ids, total = [], [], [], [], []
                 for k, text in enumerate(part.column(1).cast(pa.large_string()).to_pylist()):
-                    data = np.array([x for piece in safe_pieces(text, 1 << 16) for x in encode(piece)] + [end_id], "<u4").tobytes()
+                    data = np.array([x for piece in (safe_pieces(text, 1 << 16) if may_split else [text]) for x in encode(piece)] + [end_id], "<u4").tobytes()
                     n, at = len(data) // 4, 0
                     for size in piece_lengths(n, window):
                         owner.append(k)

@@ -8,6 +8,7 @@ names are ignored.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections.abc import Callable, Iterator
@@ -20,8 +21,9 @@ from pyspark.sql import functions as F
 
 from tarnweave.llm.shared import by_bytes
 
-#: A letter, then white space: byte-level pre-tokenizers end a token at the letter whatever follows, and begin the next at the space.
-_SAFE = re.compile(r"(?<=[A-Za-zÀ-ÿ])(?=[ \n\t\r])")
+#: Where byte-level pre-tokenizers end one token and begin the next whatever surrounds it: before white space that follows something else (no token has it
+#: but at its beginning), and between wide punctuation and a letter or number, for scripts that are written without spaces.
+_SAFE = re.compile(r"(?<=\S)(?=[ \n\t\r])|(?<=[。，、！？；：])(?=[^\W_])")
 
 
 def safe_pieces(text: str, limit: int) -> list[str]:
@@ -36,22 +38,57 @@ def safe_pieces(text: str, limit: int) -> list[str]:
     return [*out, text[start:]]
 
 
+def _ranks(model: dict) -> dict[bytes, int]:
+    """The byte strings of a byte-level vocabulary whose ids are the merges' ranks; the 256 bytes have visible stand-ins in the file."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    byte_of = {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in set(plain))}
+    return {bytes(byte_of[c] for c in token): rank for token, rank in model["vocab"].items() if all(c in byte_of for c in token)}
+
+
+@lru_cache(2)
+def encoder(path: str) -> tuple[Callable[[str], list[int]], bool]:
+    """From a text to its ids as the tokenizers library gives them, without added special tokens; and whether texts may be split for it (see safe_pieces).
+
+    A byte-level BPE without normaliser, whose ids are ranks, is run by tiktoken's engine over the same file (4 times as
+    fast; tests hold it against the library); special strings inside a text get their own ids, as by the library's default.
+    Anything else is run by the library.
+    """
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    with open(path, encoding="utf-8") as file:
+        spec = json.load(file)
+    before = spec.get("pre_tokenizer") or {}
+    special = {x["content"]: x["id"] for x in spec["added_tokens"]}
+    simple = all(x["special"] and not (x["single_word"] or x["lstrip"] or x["rstrip"] or x["normalized"]) for x in spec["added_tokens"])
+    merges = [x if isinstance(x, str) else " ".join(x) for x in spec["model"].get("merges", [])]
+    vocab = spec["model"].get("vocab", {})
+    ranked = isinstance(vocab, dict) and all(vocab.get(m.replace(" ", "")) == 256 + k for k, m in enumerate(merges))
+    # A special string that a cut could go through would be taken apart.
+    may_split = before.get("type") == "ByteLevel" and bool(before.get("use_regex")) and not spec["normalizer"] and not any(_SAFE.search(x) for x in special)
+    if simple and ranked and spec["model"]["type"] == "BPE" and before.get("type") == "ByteLevel" and before.get("use_regex") and not before.get("add_prefix_space") and not spec["normalizer"]:
+        import tiktoken
+
+        # The pre-tokenizer's fixed pattern.
+        pattern = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+        engine = tiktoken.Encoding("byte_level", pat_str=pattern, mergeable_ranks=_ranks(spec["model"]), special_tokens=special)
+        return lambda text: engine.encode(text, allowed_special="all") if any(x in text for x in special) else engine.encode_ordinary(text), may_split
+    from tokenizers import Tokenizer
+
+    model = Tokenizer.from_file(path)
+    model.no_truncation()
+    model.no_padding()
+    return lambda text: model.encode(text, add_special_tokens=False).ids, may_split
+
+
 @lru_cache(4)
 def _counter(path: str) -> tuple[Callable[[list[str]], list[int]], bool]:
     """A function from texts to token counts; whether texts may be split for it."""
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
     if path.endswith(".model"):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         return lambda texts: [len(x) for x in model.encode(texts, num_threads=1)], False
-    from tokenizers import Tokenizer
-
-    model = Tokenizer.from_file(path)
-    model.no_truncation()
-    model.no_padding()
-    kind = type(model.pre_tokenizer).__name__
-    return lambda texts: [len(x) for x in model.encode_batch_fast(texts, add_special_tokens=False)], kind == "ByteLevel" and model.normalizer is None
+    encode, may_split = encoder(path)
+    return lambda texts: [len(encode(x)) for x in texts], may_split
 
 
 def token_counts(docs: DataFrame, vocabulary: str, limit: int = 1024, id_col: str = "doc_id", text_col: str = "text", batch_bytes: int = 1 << 20, piece_chars: int = 1 << 16) -> DataFrame:

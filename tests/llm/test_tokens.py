@@ -1,3 +1,4 @@
+import random
 import zlib
 from collections import defaultdict
 
@@ -6,8 +7,8 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from tarnweave.llm.packing import encoder, pack, piece_lengths
-from tarnweave.llm.token_counts import safe_pieces, token_counts
+from tarnweave.llm.packing import pack, piece_lengths
+from tarnweave.llm.token_counts import encoder, safe_pieces, token_counts
 
 BPE = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -41,6 +42,19 @@ def test_pieces_join():
     assert "".join(safe_pieces(text, 100)) == text and max(map(len, safe_pieces(text[:11000], 100))) < 200
 
 
+def test_cuts_are_safe_in_any_script(library):
+    r = random.Random(6)
+    parts = ["слово", "λόγος", "日本語。テキスト", "中文，句子", "！", "x", "'s", "42", "½", " ", "  ", "\n", "\t ", "\u3000", "\x1c", "\x85", "é", "👍🏽", "。。", "_", "'", "<|endoftext|>", "<|"]
+    encode, _ = encoder(BPE)
+    for _ in range(300):
+        text = "".join(r.choice(parts) for _ in range(60))
+        cut = safe_pieces(text, 5)
+        assert "".join(cut) == text and len(cut) > 3
+        assert [x for piece in cut for x in encode(piece)] == library.encode(text, add_special_tokens=False).ids, text
+    for text in ("слово и ещё " * 9000, "日本語、テキスト。" * 9000):
+        assert max(map(len, safe_pieces(text, 1 << 10))) < 1100
+
+
 def test_lengths():
     for n in range(1, 5000, 7):
         out = piece_lengths(n, 2048)
@@ -48,8 +62,10 @@ def test_lengths():
 
 
 def test_engine_is_the_library(docs, library):
+    encode, may_split = encoder(BPE)
+    assert may_split
     for r in docs.collect():
-        assert encoder(BPE)(r.text or "") == library.encode(r.text or "", add_special_tokens=False).ids
+        assert encode(r.text or "") == library.encode(r.text or "", add_special_tokens=False).ids
 
 
 def test_pack_round_trip(docs, library):
