@@ -84,16 +84,20 @@ NAMES = ("email", "ip", "card", "phone", "iban")
 def _matches(text: Column, kind: Kind) -> Column:
     """All matches of a kind in a text without MARK: array of (start, stop, found)."""
     parts = F.split(F.regexp_replace(text, kind.pattern, f"{MARK}$0{MARK}"), MARK)
-    kind_of = "struct<at:long,odd:boolean,out:array<struct<start:long,stop:long,found:string>>>"
-    zero = F.struct(F.lit(0).cast("long").alias("at"), F.lit(False).alias("odd"), F.expr("cast(array() as array<struct<start:long,stop:long,found:string>>)").alias("out")).cast(kind_of)
+    some = "array<struct<start:long,stop:long,found:string>>"
+    state = f"struct<at:long,odd:boolean,now:{some},out:array<{some}>>"
+    empty = F.expr(f"cast(array() as {some})")
+    zero = F.struct(F.lit(0).cast("long"), F.lit(False), empty, F.expr(f"cast(array() as array<{some}>)")).cast(state)
 
     def step(a: Column, part: Column) -> Column:
         end = a["at"] + F.length(part)
-        one = F.array(F.struct(a["at"].alias("start"), end.alias("stop"), part.alias("found")))
-        return F.struct(end.alias("at"), (~a["odd"]).alias("odd"), F.when(a["odd"], F.concat(a["out"], one)).otherwise(a["out"]).alias("out")).cast(kind_of)
+        one = F.concat(a["now"], F.array(F.struct(a["at"].alias("start"), end.alias("stop"), part.alias("found"))))
+        # An append copies an array: so matches are gathered in short arrays, and these in one.
+        full = a["odd"] & (F.size(a["now"]) >= 127)
+        return F.struct(end, ~a["odd"], F.when(full, empty).when(a["odd"], one).otherwise(a["now"]), F.when(full, F.concat(a["out"], F.array(one))).otherwise(a["out"])).cast(state)
 
-    none = F.expr("cast(array() as array<struct<start:long,stop:long,found:string>>)")
-    found = F.aggregate(parts, zero, step, lambda a: a["out"])
+    none = empty
+    found = F.aggregate(parts, zero, step, lambda a: F.concat(F.flatten(a["out"]), a["now"]))
     # Most texts have no match; they are done after the pattern.
     found = F.when(F.regexp_like(text, F.lit(kind.pattern)), found).otherwise(none)
     return F.when(F.contains(text, F.lit(kind.needs)), found).otherwise(none) if kind.needs else found

@@ -33,7 +33,7 @@ def samples():
     r = random.Random(4)
     bits = ["a.b+c@d-e.fr", "x@y", "@", "a@b.c.d@e.f", "1.2.3.4", "999.1.2.3.4", "010.0.0.255", "1.2.3.4.5.6.7.8", "4111 1111 1111 1111", "4111-1111-1111-1112", "+1 (555) 010-9999", "+44 20 7946 0958.", "++1", "+1-", "378282246310005", "6011000990139424 12", "é😀", "\x01", "\x02", "12 - 34", "00000000000000", " ", "_z@q.r", "79927398713", "%", "12345678901234567890123"]
     out = ["".join(r.choice(bits) + r.choice(["", " ", ",", "\n"]) for _ in range(r.randint(1, 12))) for _ in range(400)]
-    return [None, "", *bits, *out, "7" * 60000, "a" * 60000, "1." * 30000, "4 " * 30000, "a@b.c " * 600, "+1" + "(" * 5000]
+    return [None, "", *bits, *out, "7" * 60000, "a" * 60000, "1." * 30000, "4 " * 30000, "a@b.c " * 600, "a@b.c " * 128, "1.2.3.4 " * 127, "1.2.3.4 " * 255, "+1" + "(" * 5000]
 
 
 def test_base_against_brute_force(spark):
