@@ -177,8 +177,9 @@ def _probe(shared):
 def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Per row of docs: id, n_words, spans (hit words, merged, [start, stop)), items (ids of items with windows there, as sorted strings)."""
     spark = docs.sparkSession
-    items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).alias("text")).where("item is not null")
-    total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).alias("text")).where("item is not null and text <> ''").distinct()
+    # Repeated and empty items don't count; each other one takes some room beside its text.
+    total = items.agg(F.coalesce(F.sum(F.octet_length("text") + 100), F.lit(0))).first()[0]
     n_blocks = max(1, -(-2 * total // block_bytes))
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
     kind = docs.schema[id_col].dataType.simpleString()
