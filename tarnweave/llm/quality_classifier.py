@@ -60,10 +60,10 @@ def features(raw: np.ndarray, at: np.ndarray) -> Iterator[tuple[np.ndarray, np.n
 
 
 def training_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From (label, text) to (label, buckets, shares): each text's distinct buckets and their shares of its features."""
+    """From (place, label, text) to (place, label, buckets, shares): each text's distinct buckets and their shares of its features."""
     for batch in batches:
         for part in by_bytes(batch):
-            raw, at = text_bytes(part.column(1))
+            raw, at = text_bytes(part.column(2))
             own: list[list[np.ndarray]] = [[] for _ in range(part.num_rows)]
             for bucket, first in features(raw, at):
                 for k in range(part.num_rows):
@@ -72,7 +72,7 @@ def training_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             for x in own:
                 ids, n = np.unique(np.concatenate(x), return_counts=True) if x else (np.zeros(0, np.int32), np.zeros(0))
                 rows.append((ids.astype("<i4").tobytes(), (n / max(1, n.sum())).astype("<f4").tobytes()))
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([a for a, _ in rows], pa.binary()), pa.array([b for _, b in rows], pa.binary())], ["label", "buckets", "shares"])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([a for a, _ in rows], pa.binary()), pa.array([b for _, b in rows], pa.binary())], ["place", "label", "buckets", "shares"])
 
 
 def train(rows: pd.DataFrame, epochs: int = 5, rate: float = 1.0, batch: int = 8, seed: int = 7) -> tuple[np.ndarray, float]:
@@ -118,7 +118,9 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", may_lear
     some = known.select(F.col(id_col).alias("id"), F.col(label_col).cast("long").alias("label")).orderBy(F.xxhash64("id"), "id", "label").limit(max_rows)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     joined = texts.join(F.broadcast(some), "id")  # at most max_rows rows
-    rows = joined.orderBy(F.xxhash64("id", "text"), "label").limit(max_rows).select("label", "text").mapInArrow(training_rows, "label long, buckets binary, shares binary")
+    # Texts stay where they are read; what comes together are their features, of bounded size.
+    made = joined.select(F.xxhash64("id", "text").alias("place"), "label", "text").mapInArrow(training_rows, "place long, label long, buckets binary, shares binary")
+    rows = made.orderBy("place", "label").limit(max_rows).drop("place")
 
     def learn(pdf: pd.DataFrame) -> pd.DataFrame:
         scores, bias = train(pdf.sort_values(["buckets", "shares", "label"]))
