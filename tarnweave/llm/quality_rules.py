@@ -44,8 +44,12 @@ _CHAR[128:192] = False
 
 def _repeats(owner: np.ndarray, key: np.ndarray) -> np.ndarray:
     """Marks the entries whose (owner, key) occurs twice or more."""
-    code = pc.dictionary_encode(pa.array(mixed(key ^ mixed(owner.astype(np.uint64) + np.uint64(1))))).indices.to_numpy()
-    return np.bincount(code)[code] > 1 if code.size else np.zeros(0, bool)
+    key = mixed(key ^ mixed(owner.astype(np.uint64) + np.uint64(1)))
+    order = np.argsort(key)
+    again = np.flatnonzero(np.diff(key[order]) == 0)
+    out = np.zeros(key.size, bool)
+    out[order[again]] = out[order[again + 1]] = True
+    return out
 
 
 def text_stats(raw: np.ndarray, at: np.ndarray) -> dict[str, np.ndarray]:
@@ -90,7 +94,8 @@ def text_stats(raw: np.ndarray, at: np.ndarray) -> dict[str, np.ndarray]:
         small = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(low), [None, pa.py_buffer(np.ascontiguousarray(where)), pa.py_buffer(lowered(body))])
         stop_word = pc.is_in(small, pa.array([x.encode() for x in STOP_WORDS], pa.large_binary())).to_numpy(zero_copy_only=False)
         out["n_stop"] = sums(stop_word[code].astype(np.int8), first)
-        pair = np.unique((owner.astype(np.uint64) << np.uint64(32)) | code.astype(np.uint64))
+        pair = np.sort((owner.astype(np.uint64) << np.uint64(32)) | code.astype(np.uint64))
+        pair = pair[np.diff(pair, prepend=np.uint64((1 << 64) - 1)) != 0]
         out["n_distinct"] = np.bincount((pair >> np.uint64(32)).astype(np.int64), minlength=at.size - 1)
     else:
         out["n_stop"] = out["n_distinct"] = np.zeros(at.size - 1, np.int64)
