@@ -2,16 +2,16 @@
 
 At a similarity of 0.8 two fingerprints of 64 bits differ in ten bits on average, which no set of positional bytes bounds. So these links come
 from an exact prefix-filtered join. Of each set, ordered by (common or not, hash), the first n - ceil(t * n) + 1 shingles
-are its prefix; two sets that are similar enough share one of theirs, whatever the order. Shingles that many prefixes hold are counted and
-put last in the order, by a bitmap of fixed size, which makes groups small and is looked at anew a few times.
+are its prefix; two sets that are similar enough share one of theirs, whatever the order, at places early enough for what follows to suffice, and
+their sizes are alike: what fails one of these is no candidate. Shingles that very many prefixes hold are put last in the order, by a bitmap of fixed size.
 
 Sets that meet under a shingle are not compared in pairs: first each with the smallest of its group. Sets that prove linked are one component; only
 sets of a group that are in different components then are compared, unless their distances to the smallest differ by more than the
 threshold allows (Jaccard distance is a metric). So a large group of copies costs as many comparisons as it has members, and no
-link between components is lost.
+link between components is lost. Where many texts share a passage and are else different, each with a size and places alike, these pairs are compared.
 
-Texts are compared in lower-case A-Z. Equal sets are one class; a text of fewer words than a shingle has one shingle, all of it; texts
-without words are a class of their own, linked to no other. Null texts are empty, repeated rows one class; other columns are ignored.
+Texts are compared in lower-case A-Z, shingles as hashes of 44 bits. Equal sets are one class; a text of fewer words than a shingle has one shingle,
+all of it; texts without words are a class of their own, linked to no other. Null texts are empty, repeated rows one class; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,21 +26,33 @@ from pyspark.sql import functions as F
 
 from tarnweave.llm.shared import SPACED, by_bytes, free, lowered, mixed, saved, text_bytes, words_of
 
-#: Sets that hold a shingle in their prefix, from which on it goes to the end of the order.
-COMMON = 64
+#: Sets that hold a shingle in their prefix, beyond which it goes to the end of the order.
+COMMON = 2048
 #: How often shingles are put last.
 ROUNDS = 3
 #: Places of the bitmap of common shingles (2 MB); a shingle that shares a place with one is put last as well.
 BITS = 24
 #: Rows of ids that may be broadcast.
 BROADCAST_ROWS = 1 << 20
+#: Bits of a shingle's number; what is left of 64 bits numbers a batch's texts, and a sort of both is one of plain numbers.
+WIDTH = 44
+MOST_TEXTS = 1 << 63 - WIDTH
 
 _BYTE = mixed(np.arange(7001, 7257, dtype=np.uint64))
 _PLACE = mixed(np.arange(8001, 8065, dtype=np.uint64)) | np.uint64(1)
 
 
+def _sorted_by_owner(owner: np.ndarray, h: np.ndarray, late: np.ndarray | None = None) -> np.ndarray:
+    """Numbers in the order of their owners, then late or not, then themselves. Owners are numbers in a row and stay where they are."""
+    key = owner.astype(np.uint64) << np.uint64(WIDTH + 1) | h
+    if late is not None:
+        key |= late.astype(np.uint64) << np.uint64(WIDTH)
+    key.sort()
+    return key
+
+
 def shingle_sets(raw: np.ndarray, at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct shingles' hashes of each text, sorted, one text after another, and the n + 1 places where texts begin."""
+    """The distinct shingles' numbers of each text, sorted, one text after another, and the n + 1 places where texts begin."""
     raw = lowered(raw)
     starts, ends, first = words_of(raw, at, SPACED)
     n = np.diff(first)
@@ -50,19 +62,21 @@ def shingle_sets(raw: np.ndarray, at: np.ndarray, size: int) -> tuple[np.ndarray
     place = np.concatenate([[0], np.cumsum(length)])
     nth = np.arange(place[-1]) - np.repeat(place[:-1], length)
     word = mixed(np.add.reduceat(_BYTE[raw[nth + np.repeat(starts, length)]] * _PLACE[nth & 63], place[:-1]) + length.astype(np.uint64))
+    # Every place as if a shingle began there; texts of fewer words have one, of the words they have.
+    padded = np.concatenate([word, np.zeros(size, np.uint64)])
+    every = np.zeros(word.size, np.uint64)
+    for k in range(size):
+        every += padded[k : k + word.size] * _PLACE[k]
     per = np.where(n == 0, 0, np.maximum(n - size + 1, 1))
     owner = np.repeat(np.arange(n.size), per)
     begin = first[owner] + np.arange(owner.size) - np.repeat(np.cumsum(per) - per, per)
-    width = np.minimum(size, n[owner])
-    h = width.astype(np.uint64)
-    for k in range(size):
-        inside = k < width
-        h[inside] = mixed(h[inside] * np.uint64(0x9E3779B97F4A7C15) + word[begin[inside] + k])
-    order = np.lexsort((h, owner))
-    h, owner = h[order], owner[order]
-    keep = np.ones(h.size, bool)
-    keep[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])
-    return h[keep], np.concatenate([[0], np.cumsum(np.bincount(owner[keep], minlength=n.size))])
+    h = every[begin]
+    for t in np.flatnonzero((n > 0) & (n < size)):
+        h[np.searchsorted(owner, t)] = (word[first[t] : first[t + 1]] * _PLACE[: n[t]]).sum() + np.uint64(n[t])
+    key = _sorted_by_owner(owner, mixed(h) >> np.uint64(64 - WIDTH))
+    key = key[np.concatenate([[True], key[1:] != key[:-1]])]
+    owner = (key >> np.uint64(WIDTH + 1)).astype(np.int64)
+    return key & np.uint64((1 << WIDTH) - 1), np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=n.size))])
 
 
 def classes(h: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -72,37 +86,61 @@ def classes(h: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def _over(docs: DataFrame, id_col: str, text_col: str, size: int, make: Callable, schema: str) -> DataFrame:
-    """For rows (id, text): what `make` gives for (ids, hashes, places, classes)."""
+    """For rows (id, text): what `make` gives for (ids, numbers, places, classes)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in by_bytes(batch, "text", 1 << 20):
-                h, at = shingle_sets(*text_bytes(part.column(1)), size)
-                yield make(part.column(0), h, at, classes(h, at))
+                for lo in range(0, part.num_rows, MOST_TEXTS):
+                    some = part.slice(lo, MOST_TEXTS)
+                    h, at = shingle_sets(*text_bytes(some.column(1)), size)
+                    yield make(some.column(0), h, at, classes(h, at))
 
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
 
 
+ROW = "token long, class long, n int, place int"
+
+
 def _prefixes(common: np.ndarray | None, similarity: float):
     def make(ids: pa.Array, h: np.ndarray, at: np.ndarray, cls: np.ndarray) -> pa.RecordBatch:
         n = np.diff(at)
         owner = np.repeat(np.arange(n.size), n)
         if common is not None:
             spot = (h & np.uint64((1 << BITS) - 1)).astype(np.int64)
-            late = common[spot >> 3] >> (spot & 7).astype(np.uint8) & 1
-            order = np.lexsort((h, late, owner))
-            h = h[order]
-        most = n - np.ceil(similarity * n - 1e-9).astype(np.int64) + 1
-        take = np.arange(h.size) - at[:-1][owner] < most[owner]
-        return pa.RecordBatch.from_arrays([pa.array(h[take].view(np.int64)), pa.array(cls[owner[take]]), pa.array(n[owner[take]].astype(np.int32))], ["token", "class", "n"])
+            h = _sorted_by_owner(owner, h, common[spot >> 3] >> (spot & 7).astype(np.uint8) & 1) & np.uint64((1 << WIDTH) - 1)
+        place = np.arange(h.size) - at[:-1][owner]
+        take = np.flatnonzero(place <= (n - np.ceil(similarity * n - 1e-9).astype(np.int64))[owner])
+        return pa.RecordBatch.from_arrays([pa.array(h[take].view(np.int64)), pa.array(cls[owner[take]]), pa.array(n[owner[take]].astype(np.int32)), pa.array(place[take].astype(np.int32))], ["token", "class", "n", "place"])
 
     return make
 
 
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by token and class: those of tokens that two classes or more hold, each once, beside the token's first (columns head, m, spot). What is kept from batch to batch is a token's first row."""
+    head, out_yet, last = np.full(4, -1, np.int64), True, -1
+    for batch in batches:
+        rows = np.stack([batch.column(k).to_numpy().astype(np.int64) for k in range(4)])
+        before = np.concatenate([[[head[0]], [last]], rows[:2, :-1]], 1) if rows.shape[1] else rows[:2]
+        rows = rows[:, (rows[:2] != before).any(0)]  # equal sets are one class
+        if not rows.shape[1]:
+            continue
+        lead = rows[0] != np.concatenate([[head[0]], rows[0, :-1]])
+        group = np.cumsum(lead)
+        heads = np.concatenate([head[:, None], rows[:, lead]], 1)
+        more = np.bincount(group[~lead], minlength=heads.shape[1]) > 0
+        opened = np.flatnonzero(more & (np.arange(more.size) > 0 if out_yet else True))
+        kept, of = np.concatenate([heads[:, opened], rows[:, ~lead]], 1), np.concatenate([opened, group[~lead]])
+        if of.size:
+            yield pa.RecordBatch.from_arrays([*(pa.array(x, t) for x, t in zip((*kept, *heads[1:, of]), (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32()), strict=True))], ["token", "class", "n", "place", "head", "m", "spot"])
+        out_yet = bool(more[group[-1]]) or (group[-1] == 0 and out_yet)
+        head, last = heads[:, group[-1]], rows[1, -1]
+
+
 def _common(counts: DataFrame, before: np.ndarray | None) -> np.ndarray | None:
     """`before` with the places of shingles that more than COMMON sets hold; None if there are no new ones. The bitmap has a fixed size."""
-    place = F.col("token").bitwiseAND(F.lit((1 << BITS) - 1))
-    rows = counts.where(F.col("n_sets") > COMMON).select(F.shiftright(place, 6).alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(F.lit(63)).cast("int")).alias("one"))
+    spot = F.col("token").bitwiseAND(F.lit((1 << BITS) - 1))
+    rows = counts.where(F.col("n_sets") > COMMON).select(F.shiftright(spot, 6).alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), spot.bitwiseAND(F.lit(63)).cast("int")).alias("one"))
     words = rows.groupBy("word").agg(F.bit_or("one").alias("ones")).toArrow()
     out = np.zeros(1 << BITS - 6, np.uint64)
     out[words.column("word").to_numpy()] = words.column("ones").to_numpy().view(np.uint64)
@@ -113,22 +151,20 @@ def _common(counts: DataFrame, before: np.ndarray | None) -> np.ndarray | None:
 
 
 def meeting(docs: DataFrame, size: int, similarity: float, id_col: str, text_col: str) -> DataFrame:
-    """Rows (token, class, n) of prefixes, of tokens that two sets or more hold."""
+    """Rows of prefixes (token, class, n, place), of tokens that two classes or more hold, beside the token's smallest class (head, m, spot)."""
     spark, common = docs.sparkSession, None
     for last in [False] * ROUNDS + [True]:
         shared = None if common is None else spark.sparkContext.broadcast(common)
         prefix = _prefixes(None, similarity) if shared is None else (lambda *x, s=shared: _prefixes(s.value, similarity)(*x))
-        rows = saved(_over(docs, id_col, text_col, size, prefix, "token long, class long, n int").groupBy("token", "class").agg(F.first("n").alias("n")), "sets-prefixes")
-        counts = saved(rows.groupBy("token").agg(F.count("*").alias("n_sets")).where("n_sets > 1"), "sets-tokens")
-        more = None if last else _common(counts, common)
+        rows = _over(docs, id_col, text_col, size, prefix, ROW)
+        sorted_rows = rows.repartition("token").sortWithinPartitions("token", "class")
+        met = saved(sorted_rows.mapInArrow(_met, f"{ROW}, head long, m int, spot int"), "sets-met")
+        more = None if last else _common(met.groupBy("token").agg(F.count("*").alias("n_sets")), common)
         if more is None:
-            break
+            return met
         common = more
-        free(rows, counts)
-    small = F.broadcast(counts.select("token")) if counts.count() <= BROADCAST_ROWS else counts.select("token")
-    out = saved(rows.join(small, "token"), "sets-met")
-    free(rows, counts)
-    return out
+        free(met)
+    raise AssertionError
 
 
 def _distance(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,25 +212,32 @@ def set_links(docs: DataFrame, least: DataFrame, components: Callable[[DataFrame
     most = 1 - similarity + 1e-9
     met = meeting(docs, size, similarity, id_col, text_col)
     sets = Sets(docs, least, size, id_col, text_col)
-    near = lambda m, n: F.least(m, n) >= F.lit(similarity) * F.greatest(m, n) - 1e-9
+
+    def may_link(m: Column, i: Column, n: Column, j: Column) -> Column:
+        """Whether sets of m and n shingles that first share those at places i and j can be similar enough."""
+        enough = F.ceil((m + n) * F.lit(similarity / (1 + similarity)) - 1e-9)
+        return (F.least(m, n) >= F.lit(similarity) * F.greatest(m, n) - 1e-9) & (F.least(m - i, n - j) >= enough)
+
     # Each set with the smallest of its group.
-    heads = met.groupBy("token").agg(F.min_by(F.struct("class", "n"), "class").alias("head"))
-    star = met.join(heads, "token").where((F.col("class") != F.col("head.class")) & near(F.col("n"), F.col("head.n")))
-    known = sets.distances(saved(star.select(F.col("head.class").alias("a"), F.col("class").alias("b")).distinct(), "sets-stars"))
+    star = met.where((F.col("class") != F.col("head")) & may_link(F.col("m"), F.col("spot"), F.col("n"), F.col("place")))
+    stars = saved(star.select(F.col("head").alias("a"), F.col("class").alias("b")).distinct(), "sets-stars")
+    known = sets.distances(stars)
     first = known.where(F.col("distance") <= most).select("a", "b")
     roots = saved(components(first), "sets-roots")
     # Groups that are in several components still: those outside a group's largest one with all others.
-    of = met.join(roots, met["class"] == roots["node"], "left").select("token", "class", "n", F.coalesce("root", "class").alias("root"))
+    few = lambda df: F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    of = met.join(few(roots), met["class"] == roots["node"], "left").select("token", "class", "n", "place", "head", F.coalesce("root", "class").alias("root"))
+    of = saved(of, "sets-of")
     parts = of.groupBy("token", "root").agg(F.count("*").alias("size"))
     split = saved(parts.groupBy("token").agg(F.count("*").alias("n_parts"), F.max_by("root", F.struct("size", "root")).alias("main")).where("n_parts > 1").select("token", "main"), "sets-split")
-    rest = saved(of.join(F.broadcast(split) if split.count() <= BROADCAST_ROWS else split, "token").join(heads.select("token", F.col("head.class").alias("head")), "token"), "sets-rest")
-    rest = rest.join(known.select(F.col("a").alias("head"), F.col("b").alias("class"), "distance"), ["head", "class"], "left")
-    rest = saved(rest.withColumn("distance", F.when(F.col("head") == F.col("class"), 0.0).otherwise(F.col("distance"))), "sets-measured")
-    a = rest.where("root <> main").select("token", F.col("class").alias("a"), F.col("n").alias("m"), F.col("root").alias("root_a"), F.col("distance").alias("far_a"))
-    b = rest.select("token", F.col("class").alias("b"), "n", F.col("root").alias("root_b"), F.col("distance").alias("far_b"), (F.col("root") == F.col("main")).alias("in_main"))
-    open_ = (F.col("root_a") != F.col("root_b")) & (F.col("in_main") | (F.col("a") < F.col("b"))) & near(F.col("m"), F.col("n")) & ~F.coalesce(F.abs(F.col("far_a") - F.col("far_b")) > most, F.lit(False))
+    rest = of.join(few(split), "token").join(few(known).select(F.col("a").alias("head"), F.col("b").alias("class"), "distance"), ["head", "class"], "left")
+    rest = saved(rest.withColumn("distance", F.when(F.col("head") == F.col("class"), 0.0).otherwise(F.col("distance"))), "sets-rest")
+    a = rest.where("root <> main").select("token", F.col("class").alias("a"), F.col("n").alias("m"), F.col("place").alias("i"), F.col("root").alias("root_a"), F.col("distance").alias("far_a"))
+    b = rest.select("token", F.col("class").alias("b"), "n", F.col("place").alias("j"), F.col("root").alias("root_b"), F.col("distance").alias("far_b"), (F.col("root") == F.col("main")).alias("in_main"))
+    apart = F.coalesce(F.abs(F.col("far_a") - F.col("far_b")) > most, F.lit(False))
+    open_ = (F.col("root_a") != F.col("root_b")) & (F.col("in_main") | (F.col("a") < F.col("b"))) & may_link(F.col("m"), F.col("i"), F.col("n"), F.col("j")) & ~apart
     pairs = a.join(b, "token").where(open_).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    pairs = saved(pairs.join(known, ["a", "b"], "left_anti"), "sets-pairs")
+    pairs = saved(pairs.join(few(stars), ["a", "b"], "left_anti"), "sets-pairs")
     second = sets.distances(pairs)
-    free(met, split, rest, pairs)
+    free(met, stars, of, split, rest, pairs)
     return first.unionByName(second.where(F.col("distance") <= most).select("a", "b"))
