@@ -5,17 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tarnweave.functions.text import col, strip, words
+from tarnweave.functions.text import col, once, strip, words
 
 _STATE = "struct<out:array<string>,cur:string>"
 
 
 def word_windows(x: Column | str, size: int = 180, overlap: int = 30) -> Column:
     """Windows of `size` words, each `overlap` words into the one before, joined by spaces, until one reaches the end. A text of one window stays as it is; a text without words has none."""
-    w, step = words(x), size - overlap
-    n = F.size(w)
-    many = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil((n - size) / step), F.lit(0)).cast("int")), lambda k: F.array_join(F.slice(w, k * step + 1, F.lit(size)), " "))
-    return F.when(n == 0, F.expr("cast(array() as array<string>)")).when(n <= size, F.array(col(x))).otherwise(many)
+    step = size - overlap
+
+    def windows(w: Column) -> Column:
+        n = F.size(w)
+        many = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil((n - size) / step), F.lit(0)).cast("int")), lambda k: F.array_join(F.slice(w, k * step + 1, F.lit(size)), " "))
+        return F.when(n == 0, F.expr("cast(array() as array<string>)")).when(n <= size, F.array(col(x))).otherwise(many)
+
+    return once(words(x), windows)
 
 
 def sentences(x: Column | str) -> Column:

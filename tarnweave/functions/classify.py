@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tarnweave.functions import vocabulary as V
-from tarnweave.functions.text import col, contains_any, date_signals, folded, pattern_signals, signals, strip
+from tarnweave.functions.text import col, contains_any, date_signals, folded, once, pattern_signals, signals, strip
 from tarnweave.functions.urls import extension, host_of, trimmed
 
 
@@ -96,7 +96,7 @@ def page_type(url: Column | str, title: Column | str, text: Column | str, site:
     """The first type by priority whose patterns are found in address, title and the text's first 10,000 characters."""
     t = F.concat_ws(" ", strip(url), strip(title), F.left(F.coalesce(col(text), F.lit("")), F.lit(10_000)))
     order = ["faq", "program", "download", "foreign_students", "news", "admission", "home"]
-    return first_match([(t.rlike("(?i)(?:" + "|".join(site.words(V.PAGE_TYPE_PATTERNS[k])) + ")"), F.lit(k)) for k in order], F.lit("other"))
+    return once(t, lambda t: first_match([(t.rlike("(?i)(?:" + "|".join(site.words(V.PAGE_TYPE_PATTERNS[k])) + ")"), F.lit(k)) for k in order], F.lit("other")))
 
 
 def quality_score(kind: Column, text: Column, content: Column, action: Column, low: Column) -> Column:
@@ -120,7 +120,7 @@ def page_signals(url: Column | str, title: Column | str, text: Column | str, sit
         "page_type": page_type(url, title, text, site),
         "content_signals": pattern_signals(t, V.CONTENT_SIGNALS),
         "action_signals": pattern_signals(t, V.ACTION_SIGNALS),
-        "low_value_signals": F.filter(F.array(*map(F.lit, low)), lambda p: F.contains(F.lower(t), p)),
+        "low_value_signals": once(F.lower(t), lambda t: F.filter(F.array(*map(F.lit, low)), lambda p: F.contains(t, p))),
         "date_signals": date_signals(t),
     }
 
@@ -183,7 +183,7 @@ def temporal_signals(text: Column | str) -> Column:
 
 def refinement(kind: Column | str, title: Column | str, url: Column | str, text: Column | str, site: Site) -> Column:
     """Status, role, score, reason and book of a page, from columns `categories` and `temporal` and its text."""
-    cats, temporal, t = F.col("categories"), F.col("temporal"), F.lower(F.coalesce(col(text), F.lit("")))
+    cats, temporal, low = F.col("categories"), F.col("temporal"), F.lower(F.coalesce(col(text), F.lit("")))
     own, timed = book(cats), temporal_book(cats, temporal)
     none, news = F.size(temporal) == 0, is_news(kind, title, url)
     strong = F.arrays_overlap(temporal, F.array(*map(F.lit, ("deadline", "merit", "fee", "admission_process"))))
@@ -192,7 +192,7 @@ def refinement(kind: Column | str, title: Column | str, url: Column | str, text:
     def made(status: str, role: str, score: int, reason: str, to: Column) -> Column:
         return F.struct(F.lit(status).alias("status"), F.lit(role).alias("role"), F.lit(score).alias("score"), F.lit(reason).alias("reason"), to.alias("book"))
 
-    return first_match([
+    return once(low, lambda t: first_match([
         (contains_any(t, V.OPERATIONAL_SIGNALS) & none, made("SKIP", "operational", 0, "Operational/technical information is not admission knowledge", own)),
         (contains_any(t, site.words(V.PROMOTIONAL_SIGNALS)) & none, made("SKIP", "promotional", 0, "Page appears promotional or low-value for the knowledge base", own)),
         (news & ~none & strong, made("CORE", "temporal", 100, "News page contains actionable admission information", timed)),
@@ -201,7 +201,7 @@ def refinement(kind: Column | str, title: Column | str, url: Column | str, text:
         (core & (F.size(cats) > 0), made("SUPPORTING", "core", 75, "Useful supporting admission information", own)),
         (~none, made("TEMPORAL", "temporal", 80, "Contains time-sensitive admission information", timed)),
         (F.array_contains(cats, "programs"), made("REVIEW", "supporting", 30, "Page contains program information but not enough actionable admission knowledge", F.lit("programs"))),
-    ], made("REVIEW", "supporting", 20, "Page does not contain enough recognized admission knowledge", own))
+    ], made("REVIEW", "supporting", 20, "Page does not contain enough recognized admission knowledge", own)))
 
 
 def usability(status: Column, role: Column, book_of: Column, decided: Column | None = None) -> Column:

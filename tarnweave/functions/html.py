@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -61,6 +63,16 @@ def nav_html(html: Column | str) -> Column:
     return F.when(nav != "", nav).otherwise(F.regexp_extract(x, r"(?is)<ul\b[^>]*>(.*?)</ul\s*>", 1))
 
 
+def menu_html(html: Column | str, menu_id: str, menu_class: str = "nav-menu", n_links: int = 7) -> Column:
+    """The list with that id, else the first of that class with exactly so many links; empty without one."""
+    x = without_boilerplate(html)
+    start = r"""(?is)<ul\b(?=[^>]*?\s{0}\s*=\s*["']{1}["'])[^>]*>(.*?)</ul\s*>"""
+    named = F.regexp_extract(x, start.format("id", re.escape(menu_id)), 1)
+    among = rf"""(?:[^"']*\s)?{re.escape(menu_class)}(?:\s[^"']*)?"""
+    classed = F.regexp_extract_all(x, F.lit(start.format("class", among)), F.lit(1))
+    return F.when(named != "", named).otherwise(F.coalesce(F.get(F.filter(classed, lambda m: F.size(links(m)) == n_links), F.lit(0)), F.lit("")))
+
+
 def skipped_href(href: Column) -> Column:
     """Links to nowhere: empty, fragments, scripts, mail, telephone."""
     return (href == "") | href.rlike(r"(?i)^(?:#|javascript:|mailto:|tel:)")

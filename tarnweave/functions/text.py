@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,6 +15,11 @@ def col(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def once(x: Column, use: Callable[[Column], Column]) -> Column:
+    """What `use` makes of x, x being computed once: as a lambda's variable, however often it is used."""
+    return F.transform(F.array(x), use)[0]
+
+
 def strip(x: Column | str) -> Column:
     """Without white space at the ends; null becomes empty."""
     return F.regexp_replace(F.coalesce(col(x), F.lit("")), rf"^{SPACE}+|(?U)\s+$", "")
@@ -179,6 +186,29 @@ def table_indicators(x: Column | str) -> Column:
     return F.array_compact(F.array(*(F.when(F.coalesce(col(x), F.lit("")).rlike(p), k) for k, p in TABLE_HEADINGS.items())))
 
 
+def page_profile(x: Column | str) -> Column:
+    """What an audit looks at in a page's text: struct of chars, words, lines, codes, indicators, suspicions, head and tail."""
+    x = F.coalesce(col(x), F.lit(""))
+    lines = F.size(F.filter(F.split(x, "\n"), lambda y: F.btrim(y) != ""))
+    ends = head_tail(x)
+    return F.struct(F.length(x).alias("n_chars"), F.size(words(x)).alias("n_words"), lines.alias("n_lines"), course_codes(x).alias("codes"), table_indicators(x).alias("indicators"), suspicions(x).alias("suspicions"), ends["head"].alias("head"), ends["tail"].alias("tail"))
+
+
+def flat_metadata(**fields: Column) -> list[Column]:
+    """Metadata that any store takes: lists joined by ", ", strings stripped, numbers 0 and flags false where null; a field's kind is told by its name's ending (_list, _number, _flag, else text)."""
+    out = []
+    for name, x in fields.items():
+        kind = name.rpartition("_")[2]
+        plain = {"list": lambda x: F.array_join(F.coalesce(x, F.array().cast("array<string>")), ", "), "number": lambda x: F.coalesce(x.try_cast("int"), F.lit(0)), "flag": lambda x: F.coalesce(x.cast("boolean"), F.lit(False))}.get(kind, strip)
+        out.append(plain(x).alias(name.removesuffix(f"_{kind}") if kind in ("list", "number", "flag") else name))
+    return out
+
+
+def listed(x: Column | str) -> Column:
+    """A list from "a, b": empty without anything."""
+    return F.filter(F.split(strip(x), r",\s*"), lambda y: y != "")
+
+
 def garbled_url_lines(x: Column | str) -> Column:
     """Lines that look like broken addresses."""
     pattern = r"(?i)\bhttps?\b|\w+\s*\.\s*(?:edu|pk|com|org|gov)"
@@ -202,8 +232,8 @@ def date_signals(x: Column | str, most: int = 50) -> Column:
 
 def signals(x: Column | str, words_of: dict[str, list[str]]) -> Column:
     """Sorted names of the lists of which any word is in the (lower case) text."""
-    x = F.coalesce(col(x), F.lit(""))
-    return F.array_sort(F.array_compact(F.array(*(F.when(contains_any(x, ws), k) for k, ws in words_of.items()))))
+    found = lambda x: F.array(*(F.when(contains_any(x, ws), k) for k, ws in words_of.items()))
+    return F.array_sort(F.array_compact(once(F.coalesce(col(x), F.lit("")), found)))
 
 
 def contains_any(x: Column, parts: list[str]) -> Column:

@@ -269,6 +269,22 @@ MERIT_KEYWORDS = ['merit', 'aggregate', 'selected', 'selection', 'closing merit'
  'merit list', 'meritlist', 'closing aggregate', 'above merit', 'below merit', 'my aggregate', 'my merit', 'can i get admission', 'can i get in',
  'will i get admission', 'am i selected', 'got selected']
 
+#: Under which names a page's fields may stand, in order (fixed values).
+PAGE_FIELDS = {
+    "title": ["title", "name", "page_title"],
+    "url": ["url", "page_url", "source_url"],
+    "status": ["status", "Status", "decision_status"],
+    "role": ["role", "Role", "source_role"],
+    "book": ["book", "Book", "book_target", "book_name"],
+    "score": ["score", "Score"],
+    "categories": ["categories", "Categories"],
+    "type": ["type", "Type", "page_type"],
+    "reason": ["reason", "Reason"],
+}
+
+#: Objects within a page that may hold its fields, in order (fixed values).
+NESTED_FIELDS = ["refinement", "knowledge_refinement", "knowledge_refined", "classification", "decision", "review"]
+
 #: Patterns of a typed question's filter words (fixed values).
 FILTER_WORDS = r"\b(?:what|what is|show|find|merit|closing|minimum|for|at|the|campus|morning|evening|afternoon|ecat|non[- ]?ecat)\b"
 CATEGORY_WORDS = r"\b(?:a1m|a2m|ap1m|ap2m|a1|a2|ap1|ap2|nm|m)\b"

@@ -54,6 +54,12 @@ def aliases(df: DataFrame, chosen: DataFrame, group: str, order: str) -> DataFra
     return df.join(c, group).where(F.col(order) != F.col("canonical"))
 
 
+def grouped(df: DataFrame, keys: list[str], order: str, fields: list[str], name: str = "members") -> DataFrame:
+    """Each key with its rows' fields as a list in order, and their number. For groups that are small by nature, such as the files of one digest."""
+    members = F.transform(F.array_sort(F.collect_list(F.struct(order, *(f for f in fields if f != order)))), lambda m: F.struct(*(m[f].alias(f) for f in fields)))
+    return df.groupBy(*keys).agg(members.alias(name), F.count("*").alias("n_members"))
+
+
 def placed(df: DataFrame, order: list[Column | str], name: str = "place") -> DataFrame:
     """df with each row's place (from 0) in the given order. Rows are ranged over partitions, each counts on from those before it, and no task sees more than its own: what is counted is written first, so that both looks at it see the same partitions."""
     n = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tarnweave.operators.durable import durable
+
 
 def counts(df: DataFrame, *keys: str, name: str = "n_rows") -> DataFrame:
     return df.groupBy(*keys).agg(F.count("*").alias(name))
@@ -50,6 +52,33 @@ def checks(df: DataFrame, **conditions: Column) -> DataFrame:
     return one.withColumn("status", status).select(F.explode(F.array(*(F.struct(F.lit(k).alias("check"), F.col(k).alias("passed"), F.col("status").alias("status")) for k in conditions))).alias("c")).select("c.*")
 
 
+def graded_checks(df: DataFrame, critical: dict[str, Column], review: dict[str, Column]) -> DataFrame:
+    """Each named condition over all rows, and the status of all: NEEDS_REPAIR if a critical one fails, NEEDS_REVIEW if another does, else PASS_WITH_HEURISTIC_REVIEW, as what is checked are signs and no proof."""
+    names = [*critical, *review]
+    one = df.agg(*(F.coalesce(c, F.lit(True)).alias(k) for k, c in (critical | review).items()))
+    holds = lambda of: F.forall(F.array(*of), lambda x: x) if of else F.lit(True)
+    status = F.when(~holds(critical), "NEEDS_REPAIR").when(~holds(review), "NEEDS_REVIEW").otherwise("PASS_WITH_HEURISTIC_REVIEW")
+    rows = F.array(*(F.struct(F.lit(k).alias("check"), F.lit("critical" if k in critical else "review").alias("level"), F.col(k).alias("passed"), F.col("status").alias("status")) for k in names))
+    return one.withColumn("status", status).select(F.explode(rows).alias("c")).select("c.*")
+
+
+def json_structure(df: DataFrame, variant: str, levels: int = 8) -> DataFrame:
+    """Paths of a variant column at any depth, with the kinds of value there and how often: path, kind, n_values. Elements of a list share a path."""
+    level, out = df.select(F.lit("$").alias("path"), F.col(variant).alias("v")), None
+    while True:
+        for _ in range(levels):
+            told = F.regexp_extract(F.schema_of_variant("v"), "^[A-Z]+", 0)
+            kind = F.when(F.col("v").isNull() | F.is_variant_null("v"), "null").when(told == "OBJECT", "object").when(told == "ARRAY", "array").when(told == "STRING", "string").when(told == "BOOLEAN", "boolean").otherwise("number")
+            part = level.select("path", kind.alias("kind"))
+            out = part if out is None else out.unionByName(part)
+            items = F.transform(F.try_variant_get("v", "$", "array<variant>"), lambda x: F.struct(F.lit("[]").alias("step"), x.alias("v")))
+            fields = F.transform(F.map_entries(F.try_variant_get("v", "$", "map<string,variant>")), lambda e: F.struct(F.concat(F.lit("."), e["key"]).alias("step"), e["value"].alias("v")))
+            level = level.select("path", F.explode(F.coalesce(items, fields)).alias("k")).select(F.concat("path", "k.step").alias("path"), "k.v")
+        level = durable(level)
+        if level.isEmpty():
+            return out.groupBy("path", "kind").agg(F.count("*").alias("n_values"))
+
+
 def upper_median(values: Column) -> Column:
     """The middle of sorted values; of an even number, the upper one."""
     return F.element_at(F.array_sort(values), (F.floor(F.size(values) / 2) + 1).cast("int"))

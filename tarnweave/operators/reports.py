@@ -101,7 +101,7 @@ def extracted(files: DataFrame, reader: Callable[[bytes], list[tuple[str, str]]]
         for pdf in parts:
             for k, data in zip(pdf[key], pdf[content], strict=True):
                 try:
-                    pages = reader(bytes(data))
+                    pages = [] if data is None else reader(bytes(data))
                 except ValueError:
                     pages = []
                 yield pd.DataFrame([(k, n, s, t) for n, (s, t) in enumerate(pages, 1)], columns=[key, "page", "source", "text"])

@@ -12,6 +12,7 @@ from tarnweave.functions import html
 from tarnweave.functions import vocabulary as V
 from tarnweave.functions.classify import first_match
 from tarnweave.functions.text import collapse, compact, contains_any, folded, program_key, safe_float
+from tarnweave.operators import dedup
 
 
 def category(q: Column | str) -> Column:
@@ -112,6 +113,13 @@ def discovered_lists(pages: DataFrame, source: str, base: str) -> DataFrame:
     return last.withColumn("list_number", list_number(F.concat_ws(" ", "title", "heading")))
 
 
+def unique_records(rows: DataFrame, order: str, name: str = "place") -> DataFrame:
+    """The first record of each campus, program, category, session and admission type, whatever their case; with its place among them in that order."""
+    keys = {f"key {k}": F.upper(k) if k == "category" else F.lower(k) for k in ("campus", "program", "category", "session", "admission_type")}
+    kept, _ = dedup.first_wins(rows.withColumns(keys), list(keys), [order])
+    return dedup.placed(kept, ["key campus", "key program", "category", "key session", "key admission_type"], name).drop(*keys)
+
+
 def contains_either(a: Column, b: Column) -> Column:
     """Equal, or one within the other; nothing matches an empty one."""
     return (a != "") & (b != "") & (F.contains(a, b) | F.contains(b, a))

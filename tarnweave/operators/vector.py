@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarnweave.functions.classify import confidence
+from tarnweave.functions.text import strip
+from tarnweave.operators.durable import durable
 
 CANDIDATES, RESULTS, MOST_DISTANCE, PER_SOURCE = 20, 8, 0.78, 4  # fixed values
 #: Query rows in a block: with 1,000 numbers each about 8 MB are broadcast.
@@ -35,6 +39,63 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_i
     return out
 
 
+def trained_centroids(vectors: DataFrame, n_lists: int, id_col: str = "vec_id", vector: str = "embedding", sample: int = 20_000, rounds: int = 8) -> np.ndarray:
+    """Centres for an index, by k-means over the `sample` rows with the smallest hashes of their ids: a bounded sample, which decides how fast searches are and not what they find."""
+    rows = vectors.where(F.col(vector).isNotNull()).select(F.xxhash64(id_col).alias("h"), vector).orderBy("h", vector).limit(sample).collect()
+    points = np.array([r[1] for r in rows], np.float64).reshape(len(rows), -1)
+    if len(points) <= n_lists:
+        return points
+    centres = points[:n_lists].copy()
+    for _ in range(rounds):
+        nearest_of = _squared(points, centres).argmin(1)
+        total = np.zeros_like(centres)
+        np.add.at(total, nearest_of, points)
+        n = np.bincount(nearest_of, minlength=n_lists)[:, None]
+        centres = np.where(n > 0, total / np.maximum(n, 1), centres)
+    return centres
+
+
+def _squared(points: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    return np.maximum((points**2).sum(1)[:, None] - 2 * points @ centres.T + (centres**2).sum(1), 0)
+
+
+def indexed(vectors: DataFrame, centres: np.ndarray, vector: str = "embedding") -> DataFrame:
+    """Every vector with the list of its nearest centre (list_no) and its distance from it (reach). Written partitioned or bucketed by list_no, it is the index. Null vectors have no list."""
+
+    @F.pandas_udf("struct<list_no:int,reach:double>")
+    def listed(x: pd.Series) -> pd.DataFrame:
+        d = np.sqrt(_squared(np.stack(x.to_numpy()).astype(np.float64), centres))
+        return pd.DataFrame({"list_no": d.argmin(1).astype(np.int32), "reach": d.min(1)})
+
+    return vectors.where(F.col(vector).isNotNull()).withColumn("listed", listed(vector)).select("*", "listed.*").drop("listed")
+
+
+def nearest_indexed(index: DataFrame, centres: np.ndarray, queries: DataFrame, k: int, id_col: str = "vec_id", vector: str = "embedding", skip_self: bool = True, n_probe: int = 2) -> DataFrame:
+    """What `nearest` gives, from an index: the lists of a query's `n_probe` nearest centres first; then those rows of the other lists that the distances from the centres don't rule out, as a row is as far from a query as its distances from a centre differ. Exact, whatever the centres."""
+
+    @F.pandas_udf("array<double>")
+    def far(x: pd.Series) -> pd.Series:
+        return pd.Series(list(np.sqrt(_squared(np.stack(x.to_numpy()).astype(np.float64), centres))))
+
+    lists = queries.where(F.col(vector).isNotNull()).select("query_id", F.col(vector).alias("query_vector"), F.posexplode(far(vector)).alias("list_no", "far"))
+    order = Window.partitionBy("query_id").orderBy("far", "list_no")
+    probes = durable(lists.withColumn("turn", F.row_number().over(order)))
+    best = Window.partitionBy("query_id").orderBy(F.asc_nulls_last("distance"), id_col)
+    other = F.col(id_col) != F.col("query_id") if skip_self else F.lit(True)
+
+    def scored(part: DataFrame, more: Column = F.lit(True)) -> DataFrame:
+        met = index.join(part, "list_no").where(other & more)
+        rows = met.withColumn("distance", squared_distance(F.col(vector), F.col("query_vector"))).select("query_id", *(c for c in index.columns if c not in (vector, "list_no", "reach")), "distance")
+        return rows.withColumn("rank_no", F.row_number().over(best)).where(F.col("rank_no") <= k)
+
+    first = durable(scored(probes.where(F.col("turn") <= n_probe)))
+    # Within this distance the k nearest are; without k rows yet, anywhere.
+    bound = first.groupBy("query_id").agg(F.when(F.count("*") == k, F.sqrt(F.max("distance"))).alias("bound"))
+    rest = probes.where(F.col("turn") > n_probe).join(bound, "query_id", "left")
+    second = scored(rest, F.col("bound").isNull() | (F.abs(F.col("far") - F.col("reach")) <= F.col("bound") + 1e-6))
+    return first.unionByName(second).withColumn("rank_no", F.row_number().over(best)).where(F.col("rank_no") <= k)
+
+
 def within_distance(rows: DataFrame, most: float = MOST_DISTANCE) -> DataFrame:
     return rows.where(F.col("distance").isNotNull() & (F.col("distance") <= most))
 
@@ -52,6 +113,37 @@ def source_key(source_type: Column, pdf_file: Column, url: Column, title: Column
     return F.when((F.lower(source_type) == "pdf") & some(pdf_file), F.concat(F.lit("pdf::"), pdf_file)).when(some(url), F.concat(F.lit("url::"), url)).when(some(title), F.concat(F.lit("title::"), title)).otherwise("unknown")
 
 
+def source_reference(source_type: Column, title: Column, url: Column, pdf_file: Column, page: Column) -> Column:
+    """Where a result is from, as a struct; a page that is no page is null."""
+    return F.struct(strip(source_type).alias("source_type"), strip(title).alias("title"), strip(url).alias("url"), strip(pdf_file).alias("pdf_file"), F.when(page > 0, page.cast("int")).alias("page"))
+
+
+#: What a result shows of its metadata.
+SHOWN = ("source_type", "title", "url", "pdf_file", "book", "quality_flag", "extraction_method", "categories")
+
+
+def cleaned(rows: DataFrame, id_col: str = "vec_id", text: str = "text") -> DataFrame:
+    """Results flat: query_id, rank, id, distance, the stripped metadata (empty where null or lacking), page (0 without one), temporal, text."""
+    own = {c.lower() for c in rows.columns}
+    some = lambda c: strip(c) if c in own else F.lit("")
+    page = F.coalesce(F.col("page").try_cast("int"), F.lit(0)) if "page" in own else F.lit(0)
+    temporal = F.coalesce(F.col("temporal").cast("boolean"), F.lit(False)) if "temporal" in own else F.lit(False)
+    return rows.select("query_id", F.col("rank_no").alias("rank"), F.col(id_col).alias("id"), "distance", *(some(c).alias(c) for c in SHOWN), page.alias("page"), temporal.alias("temporal"), some(text).alias("text"))
+
+
+def audited(results: DataFrame, candidates: DataFrame, questions: DataFrame, model: str, prefix: str, most: float = MOST_DISTANCE) -> DataFrame:
+    """One audit record for each question: model and prefix, numbers of candidates and results, threshold, confidence, the different sources in order of rank, and the results as JSON. A question's results are few."""
+    rows = cleaned(results)
+    reference = source_reference(*(F.col(c) for c in ("source_type", "title", "url", "pdf_file", "page")))
+    own = rows.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", reference.alias("source"), F.struct(*rows.columns[1:]).alias("result")))).alias("r"), F.min("distance").alias("best"))
+    counted = candidates.groupBy("query_id").agg(F.count("*").alias("candidate_count"))
+    out = questions.join(own, "query_id", "left").join(counted, "query_id", "left")
+    return out.select(
+        "query_id", "question", F.lit(model).alias("embedding_model"), F.lit(prefix).alias("query_prefix"), F.coalesce("candidate_count", F.lit(0)).alias("candidate_count"), F.coalesce(F.size("r"), F.lit(0)).cast("long").alias("final_result_count"),
+        F.lit(most).alias("max_distance"), confidence(F.col("best")).alias("confidence"), F.array_distinct(F.transform("r", lambda x: x["source"])).alias("sources"), F.to_json(F.transform("r", lambda x: x["result"])).alias("results"),
+    )
+
+
 def graded(rows: DataFrame) -> DataFrame:
     """Each query's number of results, best distance and confidence."""
     out = rows.groupBy("query_id").agg(F.count("*").alias("n_results"), F.min("distance").alias("best_distance"))

@@ -1,6 +1,7 @@
 """Small relations that both engines read as SQL: rows that the given tables don't have."""
 
 import json
+import zlib
 
 RECORDS = """(VALUES
  ('Main Campus (LHR)','Computer Science','A1','Morning','ECAT',82.5,1),('Main Campus (LHR)','Computer Science','A2','Evening','ECAT',78.25,1),
@@ -92,5 +93,30 @@ def _nested(levels: int) -> str:
     return json.dumps(out)
 
 
+def pdf(pages: list[list[str]], packed: bool) -> bytes:
+    """A small PDF document with these lines on its pages."""
+    parts = [b"%PDF-1.4\n", b"1 0 obj\n<< /Type /Catalog /Pages 2 0 R >>\nendobj\n", b"2 0 obj\n<< /Type /Pages /Kids [" + b" ".join(b"%d 0 R" % (4 + 2 * k) for k in range(len(pages))) + b"] /Count %d /Resources << /Font << /F1 3 0 R >> >> >>\nendobj\n" % len(pages), b"3 0 obj\n<< /Type /Font /Subtype /Type1 /BaseFont /Helvetica >>\nendobj\n"]
+    for k, lines in enumerate(pages):
+        shown = b"\n".join(b"(" + x.replace("\\", "\\\\").replace("(", "\\(").replace(")", "\\)").encode("cp1252") + b") Tj 0 -14 Td" for x in lines)
+        data = b"BT\n/F1 12 Tf\n72 720 Td\n" + shown + b"\nET"
+        data = zlib.compress(data) if packed else data
+        parts.append(b"%d 0 obj\n<< /Type /Page /Parent 2 0 R /Contents %d 0 R >>\nendobj\n%d 0 obj\n<< /Length %d%s >>\nstream\n" % (4 + 2 * k, 5 + 2 * k, 5 + 2 * k, len(data), b" /Filter /FlateDecode" * packed) + data + b"\nendstream\nendobj\n")
+    return b"".join(parts) + b"trailer\n<< /Root 1 0 R >>\n%%EOF\n"
+
+
 #: Far more levels than are looked at in one go.
 NESTED = _nested(12)
+
+RAW_PAGES = """(VALUES
+ (1,'{"title":" Fee Structure ","url":"https://x.example/fee#a","status":"core","role":" Core","book":"Fee Book","score":7,"categories":["Fees"," ECAT ",""],"type":"Program","reason":"r"}'),
+ (2,'{"name":"N","title":"","page_url":"u2","refinement":{"decision_status":"skip","book_name":"a b","Score":2.5,"Categories":"fees, Merit ,,"},"page_type":"FAQ"}'),
+ (3,'{"review":"no object","decision":{"title":"inner","status":"Review"},"categories":5}'),
+ (4,'{"classification":{"role":"x"},"refinement":null,"title":null,"source_url":" u4 "}'),
+ (5,'{}'),(6,'{"title":12,"score":"3","categories":[1,"B"]}')
+) AS t(pos, doc)"""
+
+MENUS = """(VALUES
+ (1,'<ul class="nav-menu"><li><a href="/a">A</a></li></ul><ul class="nav-menu" id="quick"><a href="/q">Q</a><a href="#x">skip</a></ul>'),
+ (2,'<ul class="nav-menu"><a href="/1">1</a></ul><ul class="big nav-menu top"><a href="/1">1</a><a href="/2">2</a><a href="/3">3</a><a href="/4">4</a><a href="/5">5</a><a href="/6">6</a><a href="/7">7</a></ul>'),
+ (3,'<ul class="nav-menus"><a href="/1">1</a></ul><nav><a href="/2">2</a></nav>')
+) AS t(pos, html)"""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,8 +11,9 @@ from pyspark.sql import functions as F
 from tarnweave.functions import chunking, classify, html, text, urls
 from tarnweave.functions import vocabulary as V
 from tarnweave.operators import answers, dedup, graph, layout, merge, profile, reports, tables, vector
+from tarnweave.operators.durable import checkpoint_dir
 from tarnweave.plans import fixtures as X
-from tarnweave.sources import files
+from tarnweave.sources import files, pdf
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -293,8 +295,11 @@ def q_excluded(s, d):
 @query(_CHUNKS + """, r AS (SELECT doc_id, 0::BIGINT AS chunk_index, 'recovered ' || quality AS chunk FROM labels WHERE quality = 0),
  m AS (SELECT doc_id, chunk_index, chunk, 'existing' AS origin FROM chunks WHERE doc_id NOT IN (SELECT doc_id FROM r) UNION ALL SELECT doc_id, chunk_index, chunk, 'recovered' FROM r) SELECT origin, count(*) AS n_rows, sum(length(chunk))::BIGINT AS n_chars FROM m GROUP BY 1""")
 def q_replaced_pages(s, d):
-    fresh = table(s, d, "labels").where("quality = 0").select("doc_id", F.lit(0).cast("long").alias("chunk_index"), F.concat(F.lit("recovered "), F.col("quality").cast("string")).alias("chunk"))
-    return merge.replace_by_key(_chunks(s, d), fresh, ["doc_id"]).groupBy("origin").agg(F.count("*").alias("n_rows"), F.sum(F.length("chunk")).alias("n_chars"))
+    fresh = table(s, d, "labels").where("quality = 0").select("doc_id", F.concat(F.lit("recovered "), F.col("quality").cast("string")).alias("text"))
+    # Documents are replaced before they are cut, so what makes way is never cut.
+    both = merge.replace_by_key(table(s, d, "documents").select("doc_id", "text"), fresh, ["doc_id"])
+    chunks = F.when(F.col("origin") == "existing", chunking.word_windows("text")).otherwise(F.array("text"))
+    return both.select("origin", F.explode(chunks).alias("chunk")).groupBy("origin").agg(F.count("*").alias("n_rows"), F.sum(F.length("chunk")).alias("n_chars"))
 
 
 @query(_CHUNKS + """, o AS (SELECT doc_id, ['first ' || doc_id, 'second'] AS texts FROM labels WHERE toxic = 1 UNION ALL SELECT -1, ['nowhere']),
@@ -463,7 +468,23 @@ def q_url_parts(s, d):
     return table(s, d, "pages").select("page_id", urls.trimmed("url").alias("trimmed"), urls.host_of("url").alias("host"), urls.extension("url").alias("extension"), urls.query_value("url", "ref").alias("ref"), urls.in_domain("url", "example.com", True).alias("inside"))
 
 
-@query()
+_PARTS = "regexp_extract({0}, '^([A-Za-z][A-Za-z0-9+.-]*):(?://([^/?#]*))?([^?#]*)(\\?[^#]*)?', {1})"
+
+
+def _cases(x: str, table: dict[str, str], other: str) -> str:
+    return f"CASE {x} " + " ".join(f"WHEN '{k}' THEN '{v.replace(chr(39), chr(39) * 2)}'" for k, v in table.items()) + f" ELSE {other} END"
+
+
+@query(f"""WITH a AS (SELECT pos, url, trim(url) AS u, trim(href) AS h, split_part(trim(url), '#', 1) AS f FROM {X.ADDRESSES}), p AS (SELECT *, {_PARTS.format('u', 1)} AS s, {_PARTS.format('u', 2)} AS n, {_PARTS.format('u', 3)} AS path, {_PARTS.format('u', 4)} AS q FROM a),
+ c AS (SELECT *, lower(regexp_extract(n, '^(?:[^@]*@)?([^:]*)', 1)) AS host, CASE WHEN s = '' THEN regexp_extract(u, '^([^?#]*)', 1) ELSE path END AS own_path, upper(regexp_extract(url, '/([A-Za-z]+)-\\d{{4}}-\\d+/', 1)) AS code,
+  CASE WHEN regexp_matches(h, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN h WHEN starts_with(h, '//') THEN s || ':' || h WHEN starts_with(h, '/') THEN s || '://' || n || h WHEN h = '' THEN f WHEN starts_with(h, '#') THEN f || h WHEN starts_with(h, '?') THEN s || '://' || n || path || h
+  ELSE s || '://' || n || CASE WHEN regexp_replace(path, '[^/]*$', '') = '' THEN '/' ELSE regexp_replace(path, '[^/]*$', '') END || h END AS whole FROM p),
+ r AS (SELECT *, regexp_extract(whole, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1) AS target FROM c),
+ t AS (SELECT *, list_reduce(string_split(target, '/'), lambda a, p: CASE p WHEN '.' THEN a WHEN '..' THEN regexp_replace(a, '/[^/]*$', '') ELSE a || '/' || p END) || CASE WHEN regexp_matches(target, '/\\.\\.?$') THEN '/' ELSE '' END AS tidy, lower(regexp_extract(own_path, '(\\.[^./]+)$', 1)) AS ext, regexp_extract(own_path, '([^/]*)$', 1) AS last FROM r)
+ SELECT pos, regexp_replace(f, '/$', '') AS once, CASE WHEN s = '' THEN rtrim(f, '/') ELSE lower(s) || '://' || lower(n) || rtrim(path, '/') || q END AS split_form, CASE WHEN s = '' THEN f ELSE lower(s) || '://' || lower(n) || CASE WHEN path = '' THEN '/' ELSE path END || q END AS crawl_form,
+ CASE WHEN lower(s) IN ('http', 'https') AND host <> '' THEN lower(s) || '://' || CASE WHEN host = 'www.{SITE.host}' THEN '{SITE.host}' ELSE host END || CASE WHEN rtrim(path, '/') = '' THEN '/' ELSE rtrim(path, '/') END || q END AS site_form,
+ coalesce(nullif(regexp_extract(u, '^\\[.*?\\]\\((https?://[^)]+)\\)$', 1), ''), u) AS unwrapped, CASE WHEN regexp_matches(target, '/\\.\\.?(/|$)') THEN regexp_extract(whole, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1) || tidy || regexp_extract(whole, '([?#].*)$', 1) ELSE whole END AS resolved,
+ {_cases('ext', V.FILE_KINDS, 'NULL')} AS kind, CASE WHEN lower(last) LIKE '%.pdf' THEN last END AS file, {_cases('code', {'': 'General', **V.PROGRAM_LABELS}, 'code')} AS program, upper(regexp_extract(split_part(url, '#', 1), '[?&]redirectFrom=([^&]*)', 1)) AS context FROM t""")
 def q_url_forms(s, d):
     rows = given(s, X.ADDRESSES)
     return rows.select(
@@ -874,3 +895,200 @@ def q_url_records(s, d):
  WHEN name = '_knowledge_base.json' THEN 'KNOWLEDGE_BASE' WHEN name = '_pdf_downloads.json' THEN 'DOWNLOADS' WHEN name = '_pdf_duplicates.json' THEN 'DUPLICATES' WHEN starts_with(name, '_pdf_knowledge_') THEN 'PDF_KNOWLEDGE' ELSE 'OTHER' END AS category FROM {X.FILES}""")
 def q_file_categories(s, d):
     return given(s, X.FILES).select("name", files.file_category(F.col("name")).alias("category"))
+
+
+# -- assembled rows, audits, structure ---------------------------------------------------
+
+
+def _first_json(field: str, cast: str = "") -> str:
+    return "coalesce(" + ", ".join(f"nullif(json_extract_string({v}, '$.{k}'), ''){cast}" for v in ("doc", "inner_doc") for k in V.PAGE_FIELDS[field]) + ")"
+
+
+_INNER = "coalesce(" + ", ".join(f"CASE WHEN json_type(doc, '$.{k}') = 'OBJECT' THEN json_extract(doc, '$.{k}') END" for k in V.NESTED_FIELDS) + ")"
+_CATEGORIES = "coalesce(" + ", ".join(f"CASE WHEN json_extract_string({v}, '$.{k}') <> '' THEN json_extract({v}, '$.{k}') END" for v in ("doc", "inner_doc") for k in V.PAGE_FIELDS["categories"]) + ")"
+
+
+@query(f"""WITH p AS (SELECT pos, doc::JSON AS doc FROM {X.RAW_PAGES}), i AS (SELECT *, {_INNER} AS inner_doc FROM p), c AS (SELECT *, {_CATEGORIES} AS cats FROM i)
+ SELECT trim(coalesce({_first_json('title')}, '')) AS title, trim(coalesce({_first_json('url')}, '')) AS url, upper(trim(coalesce({_first_json('status')}, ''))) AS status, lower(trim(coalesce({_first_json('role')}, ''))) AS role, replace(lower(trim(coalesce({_first_json('book')}, ''))), ' ', '_') AS book,
+ {_first_json('score', '::DOUBLE')} AS score, array_to_string(list_filter(list_transform(CASE json_type(cats) WHEN 'ARRAY' THEN json_extract_string(cats, '$[*]') WHEN 'VARCHAR' THEN string_split(json_extract_string(cats, '$'), ',') ELSE coalesce([json_extract_string(cats, '$')], []) END, lambda x: lower(trim(x))), lambda x: x <> ''), ', ') AS categories,
+ lower(trim(coalesce({_first_json('type')}, ''))) AS type, trim(coalesce({_first_json('reason')}, '')) AS reason FROM c""")
+def q_page_rows(s, d):
+    return files.page_rows(given(s, X.RAW_PAGES).select(F.parse_json("doc").alias("doc"))).withColumn("categories", F.array_join("categories", ", "))
+
+
+@query(f"""WITH r AS (SELECT *, row_number() OVER (PARTITION BY lower(campus), lower(program), upper(category), lower(session), lower(admission_type) ORDER BY page) AS nth FROM {X.RECORDS})
+ SELECT row_number() OVER (ORDER BY lower(campus), lower(program), category, lower(session), lower(admission_type)) - 1 AS place, campus, program, category, page::BIGINT AS page FROM r WHERE nth = 1""")
+def q_sorted_records(s, d):
+    return tables.unique_records(given(s, X.RECORDS), "page").select("place", "campus", "program", "category", F.col("page").cast("long").alias("page"))
+
+
+@query("""SELECT replace(regexp_replace(fullkey, '\\[\\d+\\]', '[]', 'g'), '"', '') AS path, CASE j.type WHEN 'OBJECT' THEN 'object' WHEN 'ARRAY' THEN 'array' WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'NULL' THEN 'null' ELSE 'number' END AS kind, count(*) AS n_values
+ FROM events e, json_tree(e.props) j GROUP BY ALL""")
+def q_json_structure(s, d):
+    return profile.json_structure(table(s, d, "events").select(F.parse_json("props").alias("doc")), "doc")
+
+
+@query("""WITH x AS (SELECT count(*) FILTER (text IS NULL OR trim(text) = '') AS empties, count(*) FILTER (doc_id IS NULL) AS nameless, count(*) - count(DISTINCT text) AS repeats FROM documents),
+ s AS (SELECT *, CASE WHEN empties > 0 OR nameless > 0 THEN 'NEEDS_REPAIR' WHEN repeats > 0 THEN 'NEEDS_REVIEW' ELSE 'PASS_WITH_HEURISTIC_REVIEW' END AS status FROM x)
+ SELECT 'no_empty_text' AS check, 'critical' AS level, empties = 0 AS passed, status FROM s UNION ALL SELECT 'ids', 'critical', nameless = 0, status FROM s UNION ALL SELECT 'no_repeated_text', 'review', repeats = 0, status FROM s""")
+def q_graded_audit(s, d):
+    docs = table(s, d, "documents")
+    critical = {"no_empty_text": F.count_if(F.coalesce(F.trim("text"), F.lit("")) == "") == 0, "ids": F.count_if(F.col("doc_id").isNull()) == 0}
+    return profile.graded_checks(docs.select("doc_id", "text"), critical, {"no_repeated_text": F.count_distinct("text") == F.count("*")})
+
+
+@query(f"""WITH m AS (SELECT pos, coalesce(nullif(regexp_extract(html, '(?is)<ul\\b[^>]*\\sid\\s*=\\s*"quick"[^>]*>(.*?)</ul\\s*>', 1), ''),
+ list_filter(regexp_extract_all(html, '(?is)<ul\\b[^>]*\\sclass\\s*=\\s*"(?:[^"]*\\s)?nav-menu(?:\\s[^"]*)?"[^>]*>(.*?)</ul\\s*>', 1), lambda u: len(regexp_extract_all(u, '<a href="')) = 7)[1], '') AS menu FROM {X.MENUS})
+ SELECT pos::BIGINT AS pos, array_to_string(list_filter(regexp_extract_all(menu, '<a href="([^"]*)"', 1), lambda h: NOT starts_with(h, '#')), ',') AS hrefs FROM m""")
+def q_menus(s, d):
+    menu = html.menu_html("html", "quick")
+    return given(s, X.MENUS).select(F.col("pos").cast("long").alias("pos"), F.array_join(F.transform(F.filter(html.links(menu), lambda a: ~html.skipped_href(a["href"])), lambda a: a["href"]), ",").alias("hrefs"))
+
+
+@query(f"""WITH {NEAREST}, c AS (SELECT query_id, count(*) AS candidate_count FROM near WHERE rank_no <= 20 GROUP BY 1), r AS (SELECT * FROM near WHERE rank_no <= 8)
+ SELECT c.query_id, 'question ' || c.query_id AS question, candidate_count::BIGINT AS candidate_count, count(r.vec_id)::BIGINT AS final_result_count, CASE WHEN min(distance) IS NULL THEN 'none' WHEN min(distance) <= 0.55 THEN 'strong' WHEN min(distance) <= 0.65 THEN 'good' WHEN min(distance) <= 0.78 THEN 'moderate' ELSE 'low' END AS confidence,
+ string_agg(vec_id::VARCHAR, ',' ORDER BY rank_no) AS ids, count(DISTINCT label)::BIGINT AS n_sources, min(CASE WHEN vec_id % 3 > 0 THEN (vec_id % 3)::INT END) AS least_page FROM c LEFT JOIN r ON c.query_id = r.query_id GROUP BY ALL""")
+def q_retrieval_audit(s, d):
+    near = _near(s, d).where("rank_no <= 20")
+    results = near.where("rank_no <= 8").withColumns({"source_type": F.lit(" pdf "), "title": F.concat(F.lit("label "), F.col("label").cast("string")), "page": F.col("vec_id") % 3})
+    questions = near.select("query_id").distinct().withColumn("question", F.concat(F.lit("question "), F.col("query_id").cast("string")))
+    out = vector.audited(results, near, questions, "model", "prefix: ")
+    rows = F.from_json("results", "array<struct<rank:int,id:long,source_type:string,url:string,page:int,temporal:boolean>>")
+    n_sources = F.size(F.array_distinct(F.transform("sources", lambda x: x["title"]))).cast("long")
+    least = F.array_min(F.transform("sources", lambda x: x["page"]))
+    return out.select("query_id", "question", "candidate_count", "final_result_count", "confidence", F.array_join(F.transform(rows, lambda r: r["id"].cast("string")), ",").alias("ids"), n_sources.alias("n_sources"), least.alias("least_page"))
+
+
+@query("""WITH l AS (SELECT doc_id, text, list_filter(string_split(text, chr(10)), lambda y: trim(y) <> '') AS ls FROM documents)
+ SELECT doc_id, length(text)::BIGINT AS n_chars, len(list_filter(string_split_regex(text, '\\s+'), lambda w: w <> ''))::BIGINT AS n_words, len(ls)::BIGINT AS n_lines, array_to_string(ls[1:3], chr(10)) AS head FROM l""")
+def q_page_profiles(s, d):
+    rows = table(s, d, "documents").select("doc_id", text.page_profile("text").alias("p"))
+    return rows.select("doc_id", F.col("p.n_chars").cast("long").alias("n_chars"), F.col("p.n_words").cast("long").alias("n_words"), F.col("p.n_lines").cast("long").alias("n_lines"), F.array_join("p.head", "\n").alias("head"))
+
+
+@query("""SELECT text AS key, string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) AS ids, count(*) AS n_members FROM (SELECT doc_id, sha256(text) AS text FROM documents) GROUP BY 1 HAVING count(*) > 1""")
+def q_grouped(s, d):
+    rows = dedup.grouped(table(s, d, "documents").select(F.sha2("text", 256).alias("key"), "doc_id", "source"), ["key"], "doc_id", ["doc_id", "source"]).where("n_members > 1")
+    return rows.select("key", F.array_join(F.transform("members", lambda m: m["doc_id"].cast("string")), ",").alias("ids"), "n_members")
+
+
+@query("""WITH r AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS nth, count(*) OVER (PARTITION BY source) AS n FROM documents)
+ SELECT source, doc_id, CASE WHEN nth = 0 THEN 'first' WHEN nth = n // 2 THEN 'middle' ELSE 'last' END AS sample FROM r WHERE nth IN (0, n // 2, n - 1)""")
+def q_samples(s, d):
+    return reports.first_middle_last(table(s, d, "documents").select("source", "doc_id"), ["source"], "doc_id")
+
+
+@query("""SELECT doc_id, trim(lang) AS lang, coalesce(n_chars, 0)::INT AS size, lang || ', ' || source AS categories, '' AS status FROM documents""")
+def q_flat_metadata(s, d):
+    return table(s, d, "documents").select("doc_id", *text.flat_metadata(lang=F.col("lang"), size_number=F.col("n_chars").cast("string"), categories_list=F.array("lang", "source"), status=F.lit(None).cast("string")))
+
+
+@query("""SELECT n_nationkey::BIGINT AS file, page::BIGINT AS page, 'native' AS source, CASE page WHEN 1 THEN n_name || chr(10) || 'Key (' || n_nationkey || ')' ELSE 'Region ' || n_regionkey END AS text FROM nation, (VALUES (1), (2)) AS p(page)""")
+def q_pdf_pages(s, d):
+    files = table(s, d, "nation").select("n_nationkey", "n_name", "n_regionkey").collect()  # 25 rows, of which documents are made
+    made = s.createDataFrame([(r.n_nationkey, bytearray(X.pdf([[r.n_name, f"Key ({r.n_nationkey})"], [f"Region {r.n_regionkey}"]], r.n_nationkey % 2 == 0))) for r in files], "path long, content binary")
+    rows = pdf.pdf_pages(made.withColumn("path", F.col("path").cast("string")))
+    return rows.select(F.col("path").cast("long").alias("file"), F.col("page").cast("long").alias("page"), "source", "text")
+
+
+# -- sources and sinks, by way of the shared folder ----------------------------------------
+
+
+def _aside(s: SparkSession, name: str) -> str:
+    return f"{checkpoint_dir(s)}/tarnweave-{name}-{uuid.uuid4().hex}"
+
+
+@query("""SELECT 'urls' AS shape, 'u' || n_nationkey AS url, n_name AS title FROM nation UNION ALL SELECT 'pages', 'u' || r_regionkey, r_name FROM region UNION ALL SELECT 'list', 'u' || r_regionkey, r_name FROM region""")
+def q_json_records(s, d):
+    """Documents of three shapes, written and read again: addresses mapped to records, records under a key, a list of records."""
+    of = lambda t, k, n: table(s, d, t).select(F.concat(F.lit("u"), F.col(k).cast("string")).alias("url"), F.col(n).alias("title"))
+    nations, regions = of("nation", "n_nationkey", "n_name"), of("region", "r_regionkey", "r_name")
+    members = F.collect_list(F.struct("url", "title"))
+    shapes = {
+        "urls": nations.agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("url", F.struct("title"))))).alias("value")),
+        "pages": regions.agg(F.to_json(F.struct(members.alias("pages"))).alias("value")), "list": regions.agg(F.to_json(members).alias("value")),
+    }
+    out = None
+    for shape, rows in shapes.items():
+        path = _aside(s, "records")
+        rows.write.text(path)
+        part = files.records(s, path, ["chunks", "pages"], "url string, title string").select(F.lit(shape).alias("shape"), "url", "title")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query("""SELECT 'documents' AS source, 'kept' AS stage, count(*) AS n_rows, count(*) FILTER (lang = 'en') AS n_english, sum(n_chars)::BIGINT AS n_chars FROM documents WHERE doc_id % 3 = 0""")
+def q_envelope(s, d):
+    """Rows and their manifest, written and read again: the manifest's counts beside the rows' own."""
+    path = _aside(s, "envelope")
+    files.write_envelope(table(s, d, "documents").where("doc_id % 3 = 0").select("doc_id", "lang", "n_chars"), path, "documents", "kept", n_english=F.count_if(F.col("lang") == "en"))
+    rows = s.read.parquet(f"{path}/rows").agg(F.sum("n_chars").alias("n_chars"))
+    return s.read.schema("source string, stage string, n_rows long, n_english long").json(f"{path}/envelope").join(rows)
+
+
+@query("""SELECT 'current' AS state, c_mktsegment, count(*) AS n_rows FROM customer WHERE c_custkey % 2 = 0 GROUP BY ALL UNION ALL SELECT 'rolled back', c_mktsegment, count(*) FROM customer GROUP BY ALL""")
+def q_promoted(s, d):
+    """A version, a newer one that takes its place, and the first one back from its backup."""
+    path, rows = _aside(s, "promoted"), table(s, d, "customer").select("c_custkey", "c_mktsegment")
+    files.promote(rows, path, "1", "c_custkey")
+    files.promote(rows.where("c_custkey % 2 = 0"), path, "2", "c_custkey")
+    now = files.current(s, path)
+    return profile.counts(now, "c_mktsegment").withColumn("state", F.lit("current")).unionByName(profile.counts(files.rolled_back(s, path), "c_mktsegment").withColumn("state", F.lit("rolled back")))
+
+
+@query("SELECT n_regionkey::VARCHAR AS region, count(*)::VARCHAR AS n_rows FROM nation GROUP BY 1")
+def q_report(s, d):
+    path = _aside(s, "report")
+    files.write_report(profile.counts(table(s, d, "nation").withColumnRenamed("n_regionkey", "region"), "region"), path)
+    return s.read.option("header", True).csv(path)
+
+
+# -- the rest of the expressions -----------------------------------------------------------
+
+
+@query("""WITH k AS (SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'FAILED' ELSE 'DOWNLOADED' END AS status, CASE WHEN page_id % 3 > 0 THEN url END AS local_path FROM pages)
+ SELECT page_id, CASE WHEN status <> 'DOWNLOADED' THEN 'status ' || status WHEN coalesce(local_path, '') = '' THEN 'missing file' ELSE 'eligible' END AS verdict FROM k""")
+def q_hash_eligible(s, d):
+    rows = table(s, d, "pages").select("page_id", F.when(F.col("page_id") % 4 == 0, "FAILED").otherwise("DOWNLOADED").alias("status"), F.when(F.col("page_id") % 3 > 0, F.col("url")).alias("local_path"))
+    good, bad = reports.hash_eligible(rows)
+    return good.select("page_id", F.lit("eligible").alias("verdict")).unionByName(bad.select("page_id", F.col("dedup_error").alias("verdict")))
+
+
+@query(f"""SELECT page_id, array_to_string(list_filter(list_transform(string_split({_DECODE.format(f"regexp_replace({_STRIP.format('html')}, '(?s)<[^>]*>', chr(10), 'g')")}, chr(10)), lambda y: trim(y)), lambda y: y <> ''), chr(10)) AS text FROM pages""")
+def q_full_text(s, d):
+    return table(s, d, "pages").select("page_id", html.full_text("html").alias("text"))
+
+
+@query("""SELECT doc_id, trim(regexp_replace(regexp_replace(replace(text, ' ', chr(13) || chr(10)), chr(13) || chr(10) || '?', chr(10), 'g'), chr(10) || '{3,}', chr(10) || chr(10), 'g'), ' ' || chr(10) || chr(9)) AS text FROM documents""")
+def q_audit_text(s, d):
+    return table(s, d, "documents").select("doc_id", text.audit_text(F.replace("text", F.lit(" "), F.lit("\r\n"))).alias("text"))
+
+
+@query(f"""SELECT conv_id, turn, CASE WHEN {COLLAPSE.format('text')} = '' THEN '' ELSE '{text.QUERY_PREFIX}' || {COLLAPSE.format('text')} END AS input, coalesce(nullif(trim(CASE WHEN turn % 2 = 0 THEN '  ' END), ''), nullif(trim(role), ''), '') AS first FROM conversations""")
+def q_query_inputs(s, d):
+    return table(s, d, "conversations").select("conv_id", "turn", text.query_input("text").alias("input"), text.first_value(F.when(F.col("turn") % 2 == 0, "  "), "role").alias("first"))
+
+
+@query(f"""SELECT pos::BIGINT AS pos, CASE WHEN url = '' THEN 'MISSING_URL' WHEN title = '' THEN 'MISSING_TITLE' WHEN kind = '' THEN 'MISSING_ACTION_TYPE' WHEN kind NOT IN ({quoted(V.ACTION_TYPES)}) THEN 'UNKNOWN_ACTION_TYPE:' || kind ELSE 'USABLE' END AS verdict
+ FROM (SELECT pos, CASE WHEN pos % 5 = 1 THEN '' ELSE url END AS url, CASE WHEN pos % 5 = 2 THEN '' ELSE title END AS title, CASE pos % 5 WHEN 3 THEN '' WHEN 4 THEN 'dance' ELSE 'login' END AS kind FROM {X.TARGETS})""")
+def q_action_usability(s, d):
+    nth = F.col("pos") % 5
+    rows = given(s, X.TARGETS).select(F.col("pos").cast("long").alias("pos"), F.when(nth == 1, " ").otherwise(F.col("url")).alias("url"), F.when(nth == 2, "").otherwise(F.col("title")).alias("title"), F.when(nth == 3, "").when(nth == 4, "dance").otherwise("login").alias("kind"))
+    return rows.select("pos", classify.action_usability("title", "url", F.col("kind")).alias("verdict"))
+
+
+@query(f"WITH {NEAREST} SELECT query_id, vec_id, rank_no::BIGINT AS rank_no, distance FROM near WHERE rank_no <= 5")
+def q_nearest_indexed(s, d):
+    """The same as all pairs give, from an index."""
+    vectors = table(s, d, "embeddings").select("vec_id", "embedding")
+    centres = vector.trained_centroids(vectors, 32)
+    rows = vector.nearest_indexed(vector.indexed(vectors, centres), centres, vectors.where("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id"), 5)
+    return rows.select("query_id", "vec_id", F.col("rank_no").cast("long").alias("rank_no"), F.round("distance", 6).alias("distance"))
+
+
+@query("""WITH r AS (SELECT conv_id AS query_id, turn AS vec_id, CASE WHEN turn % 3 > 0 THEN length(text)::DOUBLE END AS distance FROM conversations)
+ SELECT query_id, vec_id::BIGINT AS vec_id, row_number() OVER (PARTITION BY query_id ORDER BY distance NULLS LAST, vec_id) AS rank_no FROM r QUALIFY rank_no <= 3""")
+def q_null_distances(s, d):
+    """Rows without a distance come last."""
+    rows = table(s, d, "conversations").select(F.col("conv_id").alias("query_id"), F.col("turn").cast("long").alias("vec_id"), F.when(F.col("turn") % 3 > 0, F.length("text").cast("double")).alias("distance"))
+    return vector.diversified(rows, "vec_id", n=3).select("query_id", "vec_id", F.col("rank_no").cast("long").alias("rank_no"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from tarnweave.functions import vocabulary as V
+from tarnweave.functions.text import strip
 from tarnweave.operators.durable import durable
 
 #: Levels of nesting between two looks at whether more are there.
@@ -45,6 +47,23 @@ def url_records(df: DataFrame, variant: str = "doc") -> DataFrame:
             return out
 
 
+def page_rows(df: DataFrame, variant: str = "doc") -> DataFrame:
+    """Pages of unknown shape as rows: title, url, status (upper case), role, book (spaces as underscores), score, categories (a list from a list, or from "a, b"), type, reason. A field is the first of its names that isn't null or empty, on the page or else in the object within it that holds its review."""
+    kind = lambda v: F.regexp_extract(F.schema_of_variant(v), "^[A-Z]+", 0)
+    at = lambda v, k, t: F.try_variant_get(v, f"$['{k}']", t)
+    inner = F.coalesce(*(F.when(kind(at(variant, k, "variant")) == "OBJECT", at(variant, k, "variant")) for k in V.NESTED_FIELDS))
+    rows = df.withColumn("inner of page", inner)
+    text = lambda f: strip(F.coalesce(*(F.nullif(at(v, k, "string"), F.lit("")) for v in (variant, "inner of page") for k in V.PAGE_FIELDS[f])))
+    some = F.coalesce(*(F.when(at(v, k, "string") != "", at(v, k, "variant")) for v in (variant, "inner of page") for k in V.PAGE_FIELDS["categories"]))
+    parts = F.when(kind(some) == "ARRAY", F.transform(F.variant_get(some, "$", "array<variant>"), lambda x: F.try_variant_get(x, "$", "string"))).when(kind(some) == "STRING", F.split(F.variant_get(some, "$", "string"), ",")).otherwise(F.array(F.try_variant_get(some, "$", "string")))
+    categories = F.filter(F.transform(F.coalesce(parts, F.array().cast("array<string>")), lambda x: F.lower(strip(x))), lambda x: x != "")
+    score = F.coalesce(*(at(v, k, "double") for v in (variant, "inner of page") for k in V.PAGE_FIELDS["score"]))
+    return rows.select(
+        text("title").alias("title"), text("url").alias("url"), F.upper(text("status")).alias("status"), F.lower(text("role")).alias("role"), F.replace(F.lower(text("book")), F.lit(" "), F.lit("_")).alias("book"),
+        score.alias("score"), categories.alias("categories"), F.lower(text("type")).alias("type"), text("reason").alias("reason"),
+    )
+
+
 def pdf_status(content: Column, error: Column | None = None, wanted: Column | None = None) -> Column:
     """What became of a download: by decision, error and the first bytes."""
     magic = F.hex(F.substring(content, 1, 4)) == "25504446"
