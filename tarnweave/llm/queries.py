@@ -96,7 +96,26 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_lm_scoring, op2_warc, op3_token_counts, op4_line_dedup, op5_packing, op6_pii, op7_decontamination, op8_quality_rules, op9_quality_classifier, op10_simhash)}
+def base_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of op1: all but the model's own score."""
+    return op1_lm_scoring(spark, sf_dir).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 4).alias("base_score"))
+
+
+def base_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of op6: how many spans of each base kind a text has."""
+    return op6_pii(spark, sf_dir).select("doc_id", "n_email", "n_ip", "n_card", "n_phone")
+
+
+def base_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of op8: the base's counts and verdict."""
+    return op8_quality_rules(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_lm_scoring, op2_warc, op3_token_counts, op4_line_dedup, op5_packing, op6_pii, op7_decontamination, op8_quality_rules, op9_quality_classifier, op10_simhash, base_lm_scoring, base_pii, base_quality_rules)}
+
+#: CRC-32 of a number's decimal digits, a bit at a time.
+_CRC32 = """xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(string_split({0}::VARCHAR, ''), lambda x: ascii(x)::UBIGINT)),
+ lambda c, b: list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]::UBIGINT[]), lambda v, i: xor(v >> 1, (v & 1) * 3988292384))), 4294967295::UBIGINT)"""
 
 #: DuckDB SQL for queries that SQL can express.
 ORACLES: dict[str, str] = {
@@ -122,4 +141,30 @@ ORACLES: dict[str, str] = {
         SELECT d.id AS doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, coalesce(items_sha256, sha256('')) AS items_sha256, n_hit IS NOT NULL AS contaminated
         FROM worded d LEFT JOIN hits h ON d.id = h.id LEFT JOIN named n ON d.id = n.id WHERE side = 'd'
     """,
+    "base_lm_scoring": r"""
+        WITH d AS (SELECT doc_id, {crc} % 5 = 1 AS held_out, list_append(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), ' ') AS w FROM documents),
+        t AS (SELECT doc_id, held_out, unnest(w) AS token FROM d),
+        c AS (SELECT token, count(*) FILTER (NOT held_out) AS c FROM t GROUP BY 1),
+        n AS (SELECT sum(c)::BIGINT AS n, count(*) FILTER (c > 0) AS v FROM c)
+        SELECT doc_id, held_out, count(*) AS n_tokens, count(*) FILTER (c > 0) AS n_known, n AS train_tokens, round(sum(log10((c + 0.5) / (n + 0.5 * (v + 1)))), 4) AS base_score
+        FROM t JOIN c USING (token), n GROUP BY doc_id, held_out, n
+    """.replace("{crc}", _CRC32.format("doc_id")),
+    "base_pii": r"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+        m AS (SELECT doc_id, len(regexp_extract_all(t, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+'))::BIGINT AS n_email, regexp_extract_all(t, '[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)') AS ips,
+            list_transform(regexp_extract_all(t, '[0-9]([\x20-]?[0-9])+'), lambda x: regexp_replace(x, '[^0-9]', '', 'g')) AS cards, list_transform(regexp_extract_all(t, '\+[0-9][\x20().0-9-]+[0-9]'), lambda x: regexp_replace(x, '[^0-9]', '', 'g')) AS phones FROM d)
+        SELECT doc_id, n_email, len(list_filter(ips, lambda x: len(list_filter(string_split(x, '.'), lambda p: length(ltrim(p, '0')) > 3 OR coalesce(try_cast(p AS INT), 0) > 255)) = 0))::BIGINT AS n_ip,
+            len(list_filter(cards, lambda x: length(x) BETWEEN 14 AND 19 AND list_sum(list_transform(string_split(reverse(x), ''), lambda c, k: CASE WHEN k % 2 = 1 THEN c::INT WHEN c::INT > 4 THEN 2 * c::INT - 9 ELSE 2 * c::INT END)) % 10 = 0))::BIGINT AS n_card,
+            len(list_filter(phones, lambda x: length(x) BETWEEN 10 AND 15))::BIGINT AS n_phone FROM m
+    """,
+    "base_quality_rules": r"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        k AS (SELECT doc_id, unnest(generate_series(1, len(w) - 4)) AS k, w FROM d WHERE len(w) >= 5),
+        s AS (SELECT doc_id, k, array_to_string(w[k:k + 4], ' ') AS words FROM k), again AS (SELECT doc_id, words FROM s GROUP BY ALL HAVING count(*) > 1),
+        hit AS (SELECT doc_id, count(DISTINCT spot)::BIGINT AS n FROM (SELECT s.doc_id, unnest(generate_series(k, k + 4)) AS spot FROM s JOIN again ON s.doc_id = again.doc_id AND s.words = again.words) GROUP BY 1),
+        l AS (SELECT doc_id, list_filter(string_split(t, chr(10)), lambda y: regexp_matches(y, '[^\x20\x09-\x0D]')) AS ls FROM d),
+        b AS (SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(n, 0) AS n_repeat_words
+            FROM d JOIN l ON d.doc_id = l.doc_id LEFT JOIN hit ON d.doc_id = hit.doc_id)
+        SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM b
+    """,
 }
