@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from tarnweave.llm.shared import SPACED, by_bytes, free, lowered, saved, text_bytes, words_of
 from tarnweave.llm.similar_sets import classes as set_classes
-from tarnweave.llm.similar_sets import set_links, shingle_sets
+from tarnweave.llm.similar_sets import set_links, shingle_sets, signatures
 
 MAX_BITS = 3
 NEEDED = 8 - MAX_BITS
@@ -72,7 +72,7 @@ def fingerprints_of(raw: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, size: int = 3, id_col: str = "doc_id", text_col: str = "text", with_class: bool = False) -> DataFrame:
-    """Per row: id and fp, the fingerprint's bits as a long; and class, a hash of the set of shingles, if asked for."""
+    """Per row: id and fp, the fingerprint's bits as a long; and class and signature of its set of shingles (see similar_sets), if asked for."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -80,11 +80,12 @@ def fingerprints(docs: DataFrame, size: int = 3, id_col: str = "doc_id", text_co
                 raw, at = text_bytes(part.column(1))
                 out = {"id": part.column(0), "fp": pa.array(fingerprints_of(raw, at, size).view(np.int64))}
                 if with_class:
-                    out["class"] = pa.array(set_classes(*shingle_sets(raw, at, size)))
+                    shingles = shingle_sets(raw, at, size)
+                    out |= {"class": pa.array(set_classes(*shingles)), "signature": signatures(*shingles)}
                 yield pa.RecordBatch.from_arrays(list(out.values()), list(out))
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(make, f"id {kind}, fp long" + ", class long" * with_class).withColumnRenamed("id", id_col)
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(make, f"id {kind}, fp long" + ", class long, signature binary" * with_class).withColumnRenamed("id", id_col)
 
 
 def family(width: int) -> list[tuple[int, ...]]:
@@ -265,7 +266,7 @@ def near_duplicates(docs: DataFrame, size: int = 3, id_col: str = "doc_id", text
     edges = links(fps.select("fp"), fps.count())
     node, nodes = "fp", fps
     if similarity is not None:  # nodes are classes of equal sets; a fingerprint stands for the smallest class that has it
-        node, nodes = "class", saved(rows.groupBy("class").agg(F.min(id_col).alias("least")), "simhash-classes")
+        node, nodes = "class", saved(rows.groupBy("class").agg(F.min(id_col).alias("least"), F.first("signature").alias("signature")), "simhash-classes")
         of_fp = saved(rows.groupBy("fp").agg(F.min("class").alias("first")), "simhash-first")
         same = rows.join(of_fp, "fp").where(F.col("class") != F.col("first")).select(F.col("class").alias("a"), F.col("first").alias("b"))
         of_a, of_b = (of_fp.select(F.col("fp").alias(c), F.col("first").alias(f"first_{c}")) for c in ("a", "b"))

@@ -5,6 +5,9 @@ from an exact prefix-filtered join. Of each set, ordered by (common or not, hash
 are its prefix; two sets that are similar enough share one of theirs, whatever the order, at places early enough for what follows to suffice, and
 their sizes are alike: what fails one of these is no candidate. Shingles that very many prefixes hold are put last in the order, by a bitmap of fixed size.
 
+Before sets are fetched for comparison, their signatures are: of 1024 places, each by the shingles that fall there, whether they are odd in number. Two signatures
+differ in no more places than the sets in shingles, so what differs in more than the threshold allows is no pair; that loses nothing either.
+
 Sets that meet under a shingle are not compared in pairs: first each with the smallest of its group. Sets that prove linked are one component; only
 sets of a group that are in different components then are compared, unless their distances to the smallest differ by more than the
 threshold allows (Jaccard distance is a metric). So a large group of copies costs as many comparisons as it has members, and no
@@ -85,6 +88,40 @@ def classes(h: np.ndarray, at: np.ndarray) -> np.ndarray:
     return mixed(total[at[1:]] - total[at[:-1]] + np.diff(at).astype(np.uint64)).view(np.int64)
 
 
+#: Places of a signature.
+SIGNATURE = 1024
+
+
+def signatures(h: np.ndarray, at: np.ndarray) -> pa.Array:
+    """Of each set: its size (4 bytes), then whether the numbers of shingles at the SIGNATURE places are odd."""
+    n, out = np.diff(at), []
+    owner = np.repeat(np.arange(n.size), n)
+    spot = (h >> np.uint64(WIDTH - 10)).astype(np.int64)
+    for lo in range(0, n.size, 512):
+        hi = min(lo + 512, n.size)
+        some = slice(at[lo], at[hi])
+        odd = np.bincount((owner[some] - lo) * SIGNATURE + spot[some], minlength=(hi - lo) * SIGNATURE) & 1
+        out.append(np.concatenate([n[lo:hi].astype("<i4").view(np.uint8).reshape(-1, 4), np.packbits(odd.astype(bool).reshape(-1, SIGNATURE), axis=1)], 1))
+    width = 4 + SIGNATURE // 8
+    data = np.concatenate(out) if out else np.zeros((0, width), np.uint8)
+    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(width), n.size, [None, pa.py_buffer(np.ascontiguousarray(data))]).cast(pa.binary())
+
+
+def _plausible(similarity: float):
+    """Pairs (a, b, x, y) whose signatures x and y don't rule them out, as (a, b)."""
+    width = 4 + SIGNATURE // 8
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(v.as_buffer().to_pybytes() for v in batch.column(k)), np.uint8).reshape(-1, width) for k in (2, 3))
+            sizes = sum(np.ascontiguousarray(v[:, :4]).view("<i4").ravel().astype(np.int64) for v in (x, y))
+            differ = np.bitwise_count(x[:, 4:] ^ y[:, 4:]).sum(1, dtype=np.int64)
+            most = sizes - 2 * np.ceil(sizes * (similarity / (1 + similarity)) - 1e-9)
+            yield batch.select([0, 1]).filter(pa.array(differ <= most))
+
+    return run
+
+
 def _over(docs: DataFrame, id_col: str, text_col: str, size: int, make: Callable, schema: str) -> DataFrame:
     """For rows (id, text): what `make` gives for (ids, numbers, places, classes)."""
 
@@ -179,15 +216,18 @@ def _distance(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Sets:
-    """Sets of classes, read again from one document of each where they are asked for."""
+    """Sets of classes, read again from one document of each where they are asked for. `known` has class, least (a document's id) and signature."""
 
-    def __init__(self, docs: DataFrame, found: DataFrame, size: int, id_col: str, text_col: str):
-        self.docs, self.size, self.id_col, self.text_col = docs, size, id_col, text_col
-        self.least = found
+    def __init__(self, docs: DataFrame, known: DataFrame, size: int, similarity: float, id_col: str, text_col: str):
+        self.docs, self.size, self.similarity, self.id_col, self.text_col = docs, size, similarity, id_col, text_col
+        self.known = known
 
     def distances(self, pairs: DataFrame) -> DataFrame:
-        """For pairs (a, b) of classes: with their distance."""
-        wanted = saved(pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct().join(self.least, "class"), "sets-wanted")
+        """For those pairs (a, b) of classes that signatures don't rule out: with their distance."""
+        x, y = (self.known.select(F.col("class").alias(c), F.col("signature").alias(v)) for c, v in (("a", "x"), ("b", "y")))
+        plausible = pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_plausible(self.similarity), "a long, b long")
+        pairs = saved(plausible, "sets-plausible")
+        wanted = saved(pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct().join(self.known.select("class", "least"), "class"), "sets-wanted")
         n = wanted.count()
         few = lambda df: F.broadcast(df) if n <= BROADCAST_ROWS else df
         ids = wanted.select(F.col("least").alias("wanted id")).distinct()
@@ -201,17 +241,17 @@ class Sets:
         sets = saved(sets.groupBy("class").agg(F.first("shingles").alias("shingles")), "sets-texts")
         x, y = (sets.select(F.col("class").alias(c), F.col("shingles").alias(v)) for c, v in (("a", "x"), ("b", "y")))
         out = saved(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_distance, "a long, b long, distance double"), "sets-distances")
-        free(wanted, sets)
+        free(pairs, wanted, sets)
         return out
 
 
-def set_links(docs: DataFrame, least: DataFrame, components: Callable[[DataFrame], DataFrame], size: int, similarity: float, id_col: str, text_col: str) -> DataFrame:
-    """Links (a, b) between classes that span the components of "similar enough". `least` has a document's id for each class, `components` gives (node, root) for links."""
+def set_links(docs: DataFrame, known_sets: DataFrame, components: Callable[[DataFrame], DataFrame], size: int, similarity: float, id_col: str, text_col: str) -> DataFrame:
+    """Links (a, b) between classes that span the components of "similar enough". `known_sets` has a document's id (least) and the signature of each class, `components` gives (node, root) for links."""
     if not 0 < similarity <= 1:
         raise ValueError("a similarity is above 0 and at most 1")
     most = 1 - similarity + 1e-9
     met = meeting(docs, size, similarity, id_col, text_col)
-    sets = Sets(docs, least, size, id_col, text_col)
+    sets = Sets(docs, known_sets, size, similarity, id_col, text_col)
 
     def may_link(m: Column, i: Column, n: Column, j: Column) -> Column:
         """Whether sets of m and n shingles that first share those at places i and j can be similar enough."""

@@ -139,3 +139,14 @@ def test_similar_sets_of_nothing_and_repeated_ids(spark, no_docs):
     rows = [(1, words), (1, "other words altogether"), (2, words + " more"), (None, None), (None, "")]
     got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 5, similarity=0.8).collect()
     assert sorted((r.doc_id or 0, r.component_id or 0) for r in got) == [(0, 0), (0, 0), (1, 1), (1, 1), (2, 1)]
+
+
+def test_signatures_bound_differences():
+    r = np.random.default_rng(5)
+    sets = [np.unique(r.integers(0, 1 << similar_sets.WIDTH, n).astype(np.uint64)) for n in (0, 1, 30, 500, 5000)]
+    sets += [np.unique(np.concatenate([x[: x.size * 9 // 10], r.integers(0, 1 << similar_sets.WIDTH, x.size // 12).astype(np.uint64)])) for x in sets]
+    at = np.concatenate([[0], np.cumsum([x.size for x in sets])])
+    out = [np.frombuffer(x, np.uint8) for x in similar_sets.signatures(np.concatenate(sets), at).to_pylist()]
+    for (x, a), (y, b) in combinations(zip(sets, out, strict=True), 2):
+        assert np.bitwise_count(a[4:] ^ b[4:]).sum() <= np.setxor1d(x, y).size
+    assert [int(a[:4].view("<i4")[0]) for a in out] == [x.size for x in sets]
