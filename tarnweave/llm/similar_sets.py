@@ -5,8 +5,9 @@ from an exact prefix-filtered join. Of each set, ordered by (common or not, hash
 are its prefix; two sets that are similar enough share one of theirs, whatever the order, at places early enough for what follows to suffice, and
 their sizes are alike: what fails one of these is no candidate. Shingles that very many prefixes hold are put last in the order, by a bitmap of fixed size.
 
-Before sets are fetched for comparison, their signatures are: of 1024 places, each by the shingles that fall there, whether they are odd in number. Two signatures
-differ in no more places than the sets in shingles, so what differs in more than the threshold allows is no pair; that loses nothing either.
+Before sets are fetched for comparison, their signatures are: of two to four places for each shingle, whether those that fall there are odd in number. Two signatures
+differ in no more places than the sets in shingles, so what differs in more than the threshold allows is no pair; that loses nothing either. As places grow
+with the set, sets of any size are ruled out unless they are nearly as similar as asked.
 
 Sets that meet under a shingle are not compared in pairs: first each with the smallest of its group. Sets that prove linked are one component; only
 sets of a group that are in different components then are compared, unless their distances to the smallest differ by more than the
@@ -88,34 +89,51 @@ def classes(h: np.ndarray, at: np.ndarray) -> np.ndarray:
     return mixed(total[at[1:]] - total[at[:-1]] + np.diff(at).astype(np.uint64)).view(np.int64)
 
 
-#: Places of a signature.
-SIGNATURE = 1024
+#: Places of the signature of an empty set; others have two to four for each shingle.
+LEAST_PLACES = 64
 
 
 def signatures(h: np.ndarray, at: np.ndarray) -> pa.Array:
-    """Of each set: its size (4 bytes), then whether the numbers of shingles at the SIGNATURE places are odd."""
-    n, out = np.diff(at), []
-    owner = np.repeat(np.arange(n.size), n)
-    spot = (h >> np.uint64(WIDTH - 10)).astype(np.int64)
-    for lo in range(0, n.size, 512):
-        hi = min(lo + 512, n.size)
-        some = slice(at[lo], at[hi])
-        odd = np.bincount((owner[some] - lo) * SIGNATURE + spot[some], minlength=(hi - lo) * SIGNATURE) & 1
-        out.append(np.concatenate([n[lo:hi].astype("<i4").view(np.uint8).reshape(-1, 4), np.packbits(odd.astype(bool).reshape(-1, SIGNATURE), axis=1)], 1))
-    width = 4 + SIGNATURE // 8
-    data = np.concatenate(out) if out else np.zeros((0, width), np.uint8)
-    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(width), n.size, [None, pa.py_buffer(np.ascontiguousarray(data))]).cast(pa.binary())
+    """Of each set: its size (4 bytes), then whether the numbers of shingles at its places are odd. Places are a power of two, so that a longer signature folds to a shorter one's."""
+    n = np.diff(at)
+    places = np.maximum(LEAST_PLACES, 2 << np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64))
+    width = places // 8 + 4
+    begin = np.concatenate([[0], np.cumsum(width)])
+    odd = np.zeros(8 * begin[-1], np.uint8)
+    np.add.at(odd, np.repeat(8 * begin[:-1] + 32, n) + (h & np.repeat(places - 1, n).astype(np.uint64)).astype(np.int64), np.uint8(1))
+    data = np.packbits(odd & 1)
+    data[begin[:-1, None] + np.arange(4)] = n[:, None].astype("<i4").view(np.uint8)
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), n.size, [None, pa.py_buffer(begin), pa.py_buffer(data)]).cast(pa.binary())
+
+
+def _folded(rows: np.ndarray, width: int) -> np.ndarray:
+    while rows.shape[1] > width:
+        rows = rows[:, : rows.shape[1] // 2] ^ rows[:, rows.shape[1] // 2 :]
+    return rows
+
+
+def _differing(x: pa.Array, y: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Of pairs of signatures: the sum of their sets' sizes, and in how many places they differ."""
+    (raw_x, at_x), (raw_y, at_y) = (text_bytes(v.cast(pa.large_binary())) for v in (x, y))
+    width_x, width_y = np.diff(at_x), np.diff(at_y)
+    sizes = sum(raw[at[:-1, None] + np.arange(4)].view("<i4").ravel().astype(np.int64) for raw, at in ((raw_x, at_x), (raw_y, at_y)))
+    differ = np.zeros(len(x), np.int64)
+    for wx, wy in np.unique(np.stack([width_x, width_y], 1), axis=0).tolist():
+        like = np.flatnonzero((width_x == wx) & (width_y == wy))
+        step = max(1, (1 << 18) // max(wx, wy))
+        for some in (like[lo : lo + step] for lo in range(0, like.size, step)):
+            a, b = (raw[at[:-1][some, None] + np.arange(4, w)] for raw, at, w in ((raw_x, at_x, wx), (raw_y, at_y, wy)))
+            narrow = min(wx, wy) - 4
+            differ[some] = np.bitwise_count(_folded(a, narrow) ^ _folded(b, narrow)).sum(1, dtype=np.int64)
+    return sizes, differ
 
 
 def _plausible(similarity: float):
     """Pairs (a, b, x, y) whose signatures x and y don't rule them out, as (a, b)."""
-    width = 4 + SIGNATURE // 8
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = (np.frombuffer(b"".join(v.as_buffer().to_pybytes() for v in batch.column(k)), np.uint8).reshape(-1, width) for k in (2, 3))
-            sizes = sum(np.ascontiguousarray(v[:, :4]).view("<i4").ravel().astype(np.int64) for v in (x, y))
-            differ = np.bitwise_count(x[:, 4:] ^ y[:, 4:]).sum(1, dtype=np.int64)
+            sizes, differ = _differing(batch.column(2), batch.column(3))
             most = sizes - 2 * np.ceil(sizes * (similarity / (1 + similarity)) - 1e-9)
             yield batch.select([0, 1]).filter(pa.array(differ <= most))
 

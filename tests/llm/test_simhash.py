@@ -3,6 +3,7 @@ import re
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 
 from tarnweave.llm import similar_sets, simhash
@@ -142,7 +143,10 @@ def test_signatures_bound_differences():
     sets = [np.unique(r.integers(0, 1 << similar_sets.WIDTH, n).astype(np.uint64)) for n in (0, 1, 30, 500, 5000)]
     sets += [np.unique(np.concatenate([x[: x.size * 9 // 10], r.integers(0, 1 << similar_sets.WIDTH, x.size // 12).astype(np.uint64)])) for x in sets]
     at = np.concatenate([[0], np.cumsum([x.size for x in sets])])
-    out = [np.frombuffer(x, np.uint8) for x in similar_sets.signatures(np.concatenate(sets), at).to_pylist()]
-    for (x, a), (y, b) in combinations(zip(sets, out, strict=True), 2):
-        assert np.bitwise_count(a[4:] ^ b[4:]).sum() <= np.setxor1d(x, y).size
-    assert [int(a[:4].view("<i4")[0]) for a in out] == [x.size for x in sets]
+    out = similar_sets.signatures(np.concatenate(sets), at)
+    i, j = np.array(list(combinations(range(len(sets)), 2))).T
+    sizes, differ = similar_sets._differing(out.take(pa.array(i)), out.take(pa.array(j)))
+    apart = np.array([np.setxor1d(sets[a], sets[b]).size for a, b in zip(i, j, strict=True)])
+    assert (differ <= apart).all() and sizes.tolist() == [sets[a].size + sets[b].size for a, b in zip(i, j, strict=True)]
+    # Sets without a common shingle differ in nearly half of the places of the smaller one.
+    assert differ[(i == 3) & (j == 4)] > 400 and differ[(i == 4) & (j == 9)] <= apart[(i == 4) & (j == 9)] < 1200
