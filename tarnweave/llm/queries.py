@@ -96,6 +96,19 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tarnweave.llm.merkle import folded, leaf, manifest
+
+    docs = table(spark, sf_dir, "documents")
+    # Tampering of every seventh document: its n_chars is one more.
+    changed = leaf([F.col("doc_id"), F.col("source"), F.col("lang"), F.col("n_chars").cast("decimal(20,0)") + 1, F.col("text")])
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 7 == 0, F.when(F.col("n_chars").isNotNull(), changed))
+    rows = manifest(docs, also=tampered)
+    proof = F.array_join(F.transform("path", lambda s: F.coalesce(s["digest"], F.lit(""))), "")
+    found = rows.select("doc_id", "leaf", "subroot", "root", F.sha2(proof, 256).alias("proof_sha256"), folded(F.coalesce("also", "leaf"), F.col("path")).alias("folded_root"))
+    return found.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 def base_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What SQL can say of op1: all but the model's own score."""
     return op1_lm_scoring(spark, sf_dir).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 4).alias("base_score"))
@@ -111,12 +124,15 @@ def base_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op8_quality_rules(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_lm_scoring, op2_warc, op3_token_counts, op4_line_dedup, op5_packing, op6_pii, op7_decontamination, op8_quality_rules, op9_quality_classifier, op10_simhash, base_lm_scoring, base_pii, base_quality_rules)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_lm_scoring, op2_warc, op3_token_counts, op4_line_dedup, op5_packing, op6_pii, op7_decontamination, op8_quality_rules, op9_quality_classifier, op10_simhash, op13_merkle, base_lm_scoring, base_pii, base_quality_rules)}
 
 #: CRC-32 of a number's decimal digits, a bit at a time.
 _CRC32 = """xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(string_split({0}::VARCHAR, ''), lambda x: ascii(x)::UBIGINT)),
  lambda c, b: list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]::UBIGINT[]), lambda v, i: xor(v >> 1, (v & 1) * 3988292384))), 4294967295::UBIGINT)"""
 
+#: A field as it goes into a leaf: byte count and value, or a dash.
+_FIELD = "coalesce(strlen({0}::VARCHAR) || ':' || {0}::VARCHAR, '-')"
+
 #: DuckDB SQL for queries that SQL can express.
 ORACLES: dict[str, str] = {
     "op2_warc": """
@@ -141,6 +157,24 @@ ORACLES: dict[str, str] = {
         SELECT d.id AS doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, coalesce(items_sha256, sha256('')) AS items_sha256, n_hit IS NOT NULL AS contaminated
         FROM worded d LEFT JOIN hits h ON d.id = h.id LEFT JOIN named n ON d.id = n.id WHERE side = 'd'
     """,
+    "op13_merkle": r"""
+        WITH RECURSIVE d AS (SELECT doc_id, lang, sha256({head} || {n} || {text}) AS leaf, sha256({head} || {more} || {text}) AS changed, {crc} % 7 = 0 AS hit FROM documents),
+        l AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n FROM d),
+        nodes(lang, level, i, h, n) AS (SELECT lang, 0, i, leaf, n FROM l UNION ALL
+            SELECT lang, level + 1, i // 2, sha256(string_agg(h, '' ORDER BY i)), (max(n) + 1) // 2 FROM nodes WHERE n > 1 GROUP BY lang, level, i // 2),
+        sub AS (SELECT lang, h, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS i, count(*) OVER () AS n FROM nodes WHERE n = 1),
+        tops(level, i, h, n) AS (SELECT 0, i, h, n FROM sub UNION ALL SELECT level + 1, i // 2, sha256(string_agg(h, '' ORDER BY i)), (max(n) + 1) // 2 FROM tops WHERE n > 1 GROUP BY level, i // 2),
+        steps AS (SELECT p.lang, p.level, p.i, CASE WHEN s.h IS NULL THEN '' WHEN s.i < p.i THEN '<' || s.h ELSE '>' || s.h END AS step FROM nodes p
+            LEFT JOIN nodes s ON p.lang IS NOT DISTINCT FROM s.lang AND p.level = s.level AND s.i = xor(p.i, 1) WHERE p.n > 1),
+        top_steps AS (SELECT p.level, p.i, CASE WHEN s.h IS NULL THEN '' WHEN s.i < p.i THEN '<' || s.h ELSE '>' || s.h END AS step FROM tops p LEFT JOIN tops s ON p.level = s.level AND s.i = xor(p.i, 1) WHERE p.n > 1),
+        low AS (SELECT l.lang, l.i, list(step ORDER BY level) FILTER (step IS NOT NULL) AS steps FROM l LEFT JOIN steps s ON l.lang IS NOT DISTINCT FROM s.lang AND s.i = l.i >> s.level GROUP BY 1, 2),
+        high AS (SELECT sub.lang, sub.h, list(step ORDER BY level) FILTER (step IS NOT NULL) AS steps FROM sub LEFT JOIN top_steps s ON s.i = sub.i >> s.level GROUP BY 1, 2),
+        whole AS (SELECT l.*, high.h AS subroot, list_concat(coalesce(low.steps, []), coalesce(high.steps, [])) AS path FROM l
+            JOIN low ON l.lang IS NOT DISTINCT FROM low.lang AND l.i = low.i JOIN high ON l.lang IS NOT DISTINCT FROM high.lang),
+        done AS (SELECT *, (SELECT h FROM tops WHERE n = 1) AS root, sha256(array_to_string(list_transform(path, lambda s: s[2:]), '')) AS proof_sha256,
+            list_reduce(list_prepend(CASE WHEN hit THEN changed ELSE leaf END, path), lambda h, s: sha256(CASE s[1] WHEN '<' THEN s[2:] || h WHEN '>' THEN h || s[2:] ELSE h END)) AS folded_root FROM whole)
+        SELECT doc_id, leaf, subroot, root, proof_sha256, folded_root, folded_root = root AS verified FROM done
+    """.replace("{head}", " || ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang"))).replace("{n}", _FIELD.format("n_chars")).replace("{more}", _FIELD.format("(n_chars + 1)")).replace("{text}", _FIELD.format("text")).replace("{crc}", _CRC32.format("doc_id")),
     "base_lm_scoring": r"""
         WITH d AS (SELECT doc_id, {crc} % 5 = 1 AS held_out, list_append(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), ' ') AS w FROM documents),
         t AS (SELECT doc_id, held_out, unnest(w) AS token FROM d),
