@@ -26,6 +26,11 @@ from tarnweave.llm.shared import by_bytes
 _SAFE = re.compile(r"(?<=\S)(?=[ \n\t\r])|(?<=[。，、！？；：])(?=[^\W_])")
 
 
+#: White space beyond which the engine's pattern overflows its stack (at some hundred thousand characters).
+LONG_SPACE = 50_000
+_LONG_SPACE = re.compile(r"\s{%d}" % LONG_SPACE)
+
+
 def safe_pieces(text: str, limit: int) -> list[str]:
     """The text in pieces of about `limit` characters, cut at safe boundaries only; joined they give the text."""
     out, start = [], 0
@@ -45,13 +50,21 @@ def _ranks(model: dict) -> dict[bytes, int]:
     return {bytes(byte_of[c] for c in token): rank for token, rank in model["vocab"].items() if all(c in byte_of for c in token)}
 
 
-@lru_cache(2)
-def encoder(path: str) -> tuple[Callable[[str], list[int]], bool]:
+def token_bytes(path: str) -> list[bytes]:
+    """The bytes of each id of a byte-level vocabulary; of added tokens, their text."""
+    with open(path, encoding="utf-8") as file:
+        spec = json.load(file)
+    known = {rank: token for token, rank in _ranks(spec["model"]).items()} | {x["id"]: x["content"].encode() for x in spec["added_tokens"]}
+    return [known.get(k, b"") for k in range(max(known) + 1)]
+
+
+@lru_cache(4)
+def encoder(path: str, plain: bool = False) -> tuple[Callable[[str], list[int]], bool]:
     """From a text to its ids as the tokenizers library gives them, without added special tokens; and whether texts may be split for it (see safe_pieces).
 
     A byte-level BPE without normaliser, whose ids are ranks, is run by tiktoken's engine over the same file (4 times as
-    fast; tests hold it against the library); special strings inside a text get their own ids, as by the library's default.
-    Anything else is run by the library.
+    fast; tests hold it against the library); special strings inside a text get their own ids, as by the library's default, or are
+    text as any other if `plain`. Anything else is run by the library, and so is a piece with over LONG_SPACE characters of white space in a row.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     with open(path, encoding="utf-8") as file:
@@ -64,19 +77,31 @@ def encoder(path: str) -> tuple[Callable[[str], list[int]], bool]:
     ranked = isinstance(vocab, dict) and all(vocab.get(m.replace(" ", "")) == 256 + k for k, m in enumerate(merges))
     # A special string that a cut could go through would be taken apart.
     may_split = before.get("type") == "ByteLevel" and bool(before.get("use_regex")) and not spec["normalizer"] and not any(_SAFE.search(x) for x in special)
+
+    @lru_cache(1)
+    def library() -> Callable[[str], list[int]]:
+        from tokenizers import Tokenizer
+
+        model = Tokenizer.from_file(path)
+        model.no_truncation()
+        model.no_padding()
+        model.encode_special_tokens = plain
+        return lambda text: model.encode(text, add_special_tokens=False).ids
+
     if simple and ranked and spec["model"]["type"] == "BPE" and before.get("type") == "ByteLevel" and before.get("use_regex") and not before.get("add_prefix_space") and not spec["normalizer"]:
         import tiktoken
 
         # The pre-tokenizer's fixed pattern.
         pattern = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
         engine = tiktoken.Encoding("byte_level", pat_str=pattern, mergeable_ranks=_ranks(spec["model"]), special_tokens=special)
-        return lambda text: engine.encode(text, allowed_special="all") if any(x in text for x in special) else engine.encode_ordinary(text), may_split
-    from tokenizers import Tokenizer
 
-    model = Tokenizer.from_file(path)
-    model.no_truncation()
-    model.no_padding()
-    return lambda text: model.encode(text, add_special_tokens=False).ids, may_split
+        def encode(text: str) -> list[int]:
+            if len(text) >= LONG_SPACE and _LONG_SPACE.search(text):
+                return library()(text)
+            return engine.encode(text, allowed_special="all") if not plain and any(x in text for x in special) else engine.encode_ordinary(text)
+
+        return encode, may_split
+    return library(), may_split
 
 
 @lru_cache(4)

@@ -90,3 +90,13 @@ def test_crc(docs):
 
 def test_pack_nothing(no_docs):
     assert pack(no_docs, BPE).count() == 0
+
+
+@pytest.mark.parametrize("text", [" " * 1_000_000, "\n" * 1_000_000, "\t\n 　" * 250_000, "a " + " " * 1_000_000 + "word\n" * 20_000 + "\n" * 60_000 + "<|endoftext|>" + " " * 500_000, "x" * 1_000_000, "!?" * 500_000, "7" * 1_000_000])
+def test_very_long_runs(spark, library, text):
+    """White space on which the engine's pattern overflows its stack, in both operators and through Spark."""
+    docs = spark.createDataFrame([(1, text), (2, "next")], "doc_id long, text string").repartition(1)
+    ids = library.encode(text, add_special_tokens=False).ids
+    assert {r.doc_id: r.n_tokens for r in token_counts(docs, BPE).collect()} == {1: len(ids), 2: len(library.encode("next").ids)}
+    pieces = sorted((r.start, bytes(r.ids)) for r in pack(docs, BPE).where("doc_id = 1").collect())
+    assert np.frombuffer(b"".join(x for _, x in pieces), "<u4").tolist() == [*ids, 1]
