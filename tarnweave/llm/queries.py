@@ -103,6 +103,15 @@ def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", F.coalesce("groups", F.lit("")).alias("groups_sha256"))
 
 
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tarnweave.llm.toxicity import fit, toxicity
+
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 0
+    rows = toxicity(docs, fit(docs, table(spark, sf_dir, "labels"), "toxic", ~held_out))
+    return rows.select("doc_id", held_out.alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"), "n_words", "n_matches")
+
+
 def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tarnweave.llm.merkle import folded, leaf, manifest
 
@@ -131,7 +140,7 @@ def base_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op8_quality_rules(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_lm_scoring, op2_warc, op3_token_counts, op4_line_dedup, op5_packing, op6_pii, op7_decontamination, op8_quality_rules, op9_quality_classifier, op10_simhash, op11_alignment, op13_merkle, base_lm_scoring, base_pii, base_quality_rules)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_lm_scoring, op2_warc, op3_token_counts, op4_line_dedup, op5_packing, op6_pii, op7_decontamination, op8_quality_rules, op9_quality_classifier, op10_simhash, op11_alignment, op12_toxicity, op13_merkle, base_lm_scoring, base_pii, base_quality_rules)}
 
 #: CRC-32 of a number's decimal digits, a bit at a time.
 _CRC32 = """xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(string_split({0}::VARCHAR, ''), lambda x: ascii(x)::UBIGINT)),
