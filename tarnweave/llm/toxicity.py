@@ -6,12 +6,13 @@ letter then divides words, which are joined by single spaces, with a space befor
 (" word "), so that one automaton finds both at words' edges. Exception phrases are entries too: a match inside one doesn't count.
 
 Weights are learned from at most `max_rows` labelled rows, those of smallest hash: stems and words are added one by one, by how much
-each raises the likelihood of the labels beyond those already there, until none is worth its place. Phrases of a lexicon word and a
+each, standing in a row at all or densely, raises the likelihood of the labels beyond those already there, until none is worth its place; a
+weight is the logarithm of how much more often the term occurs in rows of label 1. Phrases of a lexicon word and a
 neighbour that stand in clean rows only become exceptions. A text's rate is the sum of its matches' weights for each hundred words (of at
 least 20); the score is a logistic function of its logarithm and of that of the sum itself.
 
 Null, empty and wordless texts have no matches and get the score of a clean text. Without labelled rows of both classes there is no lexicon and all scores are
-the share of label 1 (0.5 if there are no rows). Repeated rows are scored each, repeated labels used each; empty tables give an empty result. Long texts are folded in
+the share of label 1 (0.5 if there are no rows). Repeated rows are scored each, of texts of one id one is learned from; empty tables give an empty result. Long texts are folded in
 pieces cut at white space. Other columns are ignored.
 """
 
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarnweave.llm.shared import by_bytes
+from tarnweave.llm.shared import by_bytes, free, saved
 
 #: Letters of other scripts that look like Latin ones.
 HOMOGLYPHS = {
@@ -50,6 +51,8 @@ _LETTERS = re.compile(r"[^a-z]+")
 _NUMBER = re.compile(r"(?<![^\W_])[0-9]+(?![^\W_])")
 
 STEMS = range(3, 11)
+#: Matches for each hundred words from which a term is dense in a text.
+DENSE = 1.0
 #: What a term must add to the log likelihood of the labels, and in how many rows of label 1 it must stand.
 LEAST_GAIN, LEAST_ROWS = 9.0, 4
 MAX_TERMS, MAX_CANDIDATES = 256, 2048
@@ -111,16 +114,16 @@ def _automaton(terms: tuple[str, ...], exceptions: frozenset[str]) -> ahocorasic
     return out
 
 
-def matches(text: str, terms: tuple[str, ...], exceptions: frozenset[str] = frozenset()) -> tuple[list[tuple[int, int, int]], str]:
-    """The matches of terms in a folded text, as (number, start, end), but for those inside an exception phrase; and the text."""
+def matches(text: str, terms: tuple[str, ...], exceptions: frozenset[str] = frozenset()) -> list[tuple[int, int, int]]:
+    """The matches of terms in a folded text, as (number, start, end), but for those inside an exception phrase."""
     automaton, found, spared = _automaton(terms, exceptions), [], []
     if not len(automaton):
-        return found, text
+        return found
     for end, (k, size) in automaton.iter(text):
         (found if k >= 0 else spared).append((k, end + 1 - size, end + 1))
     if spared and found:
         found = [m for m in found if not any(a <= m[1] and m[2] <= b for _, a, b in spared)]
-    return found, text
+    return found
 
 
 def evidence(text: str | None, lexicon: Lexicon) -> tuple[float, int, int]:
@@ -129,7 +132,7 @@ def evidence(text: str | None, lexicon: Lexicon) -> tuple[float, int, int]:
     weights = list(lexicon.terms.values())
     total, n, words = 0.0, 0, 0
     for piece in pieces(text or ""):
-        found, whole = matches(folded(piece), terms, lexicon.exceptions)
+        found = matches(whole := folded(piece), terms, lexicon.exceptions)
         words += max(0, whole.count(" ") - 1)
         best: dict[int, float] = {}
         for k, start, _ in found:
@@ -165,25 +168,36 @@ def _entries(word: str) -> Iterator[str]:
             yield f" {word[:n]}"
 
 
-def _word_set(text: str) -> set[str]:
-    return {w for piece in pieces(text) for w in folded(piece).split() if len(w) >= STEMS[0]}
+def _entry_counts(text: str | None) -> tuple[dict[str, int], float]:
+    """How often each possible entry stands in a text, and how often that must be to be dense."""
+    words: Counter[str] = Counter()
+    for piece in pieces(text or ""):
+        words.update(folded(piece).split())
+    out: dict[str, int] = {}
+    for w, n in words.items():
+        if len(w) >= STEMS[0]:
+            for e in _entries(w):
+                out[e] = out.get(e, 0) + n
+    return out, DENSE * max(LEAST_WORDS, words.total()) / 100
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From (label, text) to (entry, ones, zeros): in how many rows of either label an entry stands, for each task's share of rows."""
-    counts: tuple[Counter, Counter] = (Counter(), Counter())
+    """From (label, text) to (entry, ones, zeros, dense_ones, dense_zeros): in how many rows of either label an entry stands, and densely so, for each task's share of rows."""
+    counts: dict[str, list[int]] = {}
 
     def out() -> pa.RecordBatch:
-        names = list(counts[0] | counts[1])
-        made = pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *(pa.array([counts[k][x] for x in names], pa.int64()) for k in (1, 0))], ["entry", "ones", "zeros"])
-        for c in counts:
-            c.clear()
+        made = pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), *(pa.array([c[k] for c in counts.values()], pa.int64()) for k in range(4))], ["entry", "ones", "zeros", "dense_ones", "dense_zeros"])
+        counts.clear()
         return made
 
     for batch in batches:
         for label, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            counts[label].update({e for w in _word_set(text or "") for e in _entries(w)})
-            if len(counts[0]) + len(counts[1]) > 1 << 20:
+            own, dense = _entry_counts(text)
+            for e, n in own.items():
+                c = counts.setdefault(e, [0, 0, 0, 0])
+                c[1 - label] += 1
+                c[3 - label] += n >= dense
+            if len(counts) > 1 << 20:
                 yield out()
     yield out()
 
@@ -213,19 +227,15 @@ def _select(has: np.ndarray, y: np.ndarray, names: list[str]) -> list[int]:
 
 
 def _more(has: np.ndarray, y: np.ndarray, names: list[str], chosen: list[int]) -> list[int]:
-    """Further terms that stand in rows of label 1 nearly only, but are hidden behind chosen ones: whole words and stems as frequent as the rarest chosen one, of stems of one another the best."""
-    ones, zeros = has[y == 1].sum(0, dtype=np.int64), has[y == 0].sum(0, dtype=np.int64)
+    """Chosen terms, and others that stand in rows of label 1 only (one in a hundred may be of the other), nearly as often as the most frequent chosen one, behind which they may be hidden."""
     if not chosen:
         return chosen
-    floor = 0.25 * min(ones[k] for k in chosen[:8])
+    ones, zeros = has[y == 1].sum(0, dtype=np.int64), has[y == 0].sum(0, dtype=np.int64)
     out = list(chosen)
-    share = float(np.clip(y.mean(), 1e-6, 1 - 1e-6))
-    gain = _gain(ones, zeros, share)
-    for k in np.lexsort((-np.array([len(n) for n in names]), -gain.round(6))):
-        if len(out) >= MAX_TERMS or ones[k] < max(LEAST_ROWS, floor) or gain[k] < LEAST_GAIN:
-            continue
-        if zeros[k] <= 0.01 * ones[k] and not any(names[k].startswith(names[c].rstrip()) or names[c].startswith(names[k].rstrip()) for c in out):
-            out.append(int(k))
+    for k in np.lexsort((-np.array([len(n) for n in names]), -ones)):
+        if len(out) < MAX_TERMS and ones[k] >= max(LEAST_ROWS, 0.3 * ones[chosen].max()) and zeros[k] <= 0.01 * ones[k]:
+            if not any(names[k].startswith(names[c].rstrip()) or names[c].startswith(names[k].rstrip()) for c in out):
+                out.append(int(k))
     return out
 
 
@@ -235,65 +245,82 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", may_learn:
     if may_learn is not None:
         known = known.where(may_learn)
     some = known.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).orderBy(F.xxhash64("id"), "id", "label").limit(max_rows)
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(some), "id")
-    counts = texts.select("label", "text").mapInArrow(_counted, "entry string, ones long, zeros long").groupBy("entry").agg(F.sum("ones").alias("ones"), F.sum("zeros").alias("zeros"))
-    likely = counts.where((F.col("ones") >= LEAST_ROWS) & (F.col("ones") > 2 * F.col("zeros")))
+    # At most max_rows rows, whose ids are sent to all tasks; of several texts of one id one is learned from.
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(some.select("id").distinct()), "id", "left_semi")
+    texts = texts.groupBy("id").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    texts = saved(texts.join(F.broadcast(some), "id").select("label", "text"), "toxicity-sample")
+    counts = texts.mapInArrow(_counted, "entry string, ones long, zeros long, dense_ones long, dense_zeros long").groupBy("entry").agg(*(F.sum(c).alias(c) for c in ("ones", "zeros", "dense_ones", "dense_zeros")))
+    kinds = [(F.col(a) >= LEAST_ROWS) & (F.col(a) > 2 * F.col(b)) for a, b in (("ones", "zeros"), ("dense_ones", "dense_zeros"))]
+    value = F.greatest(*(F.when(k, F.col(a) * F.log((F.col(a) + 1) / (F.col(b) + 0.5))).otherwise(0) for k, (a, b) in zip(kinds, (("ones", "zeros"), ("dense_ones", "dense_zeros")))))
     # Frequent in one class, rare in the other; of equal ones the longest, as its stems add nothing.
-    likely = likely.orderBy((F.col("ones") * F.log((F.col("ones") + 1) / (F.col("zeros") + 0.5))).desc(), F.length("entry").desc(), "entry").limit(MAX_CANDIDATES)
-    names = [r.entry for r in likely.collect()]
+    names = [r.entry for r in counts.where(kinds[0] | kinds[1]).orderBy(value.desc(), F.length("entry").desc(), "entry").limit(MAX_CANDIDATES).collect()]
     spared = frozenset(folded(x) for x in exceptions)
 
     def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place = {n: k for k, n in enumerate(names)}
         for batch in batches:
             bits = []
             for text in batch.column(1).to_pylist():
-                has = np.zeros(len(names), bool)
-                has[[place[e] for w in _word_set(text or "") for e in _entries(w) if e in place]] = True
-                bits.append(np.packbits(has).tobytes())
+                own, dense = _entry_counts(text)
+                n = np.array([own.get(e, 0) for e in names])
+                bits.append(np.packbits(np.concatenate([n > 0, n >= dense])).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bits, pa.binary())], ["label", "bits"])
 
-    # As many rows as are learned from at most: repeated ids could make more of them.
-    found = texts.select("label", "text").mapInArrow(rows_of, "label int, bits binary").orderBy(F.xxhash64("bits"), "bits", "label").limit(max_rows).toArrow()
+    found = texts.mapInArrow(rows_of, "label int, bits binary").toArrow()
     y = np.asarray(found.column("label"), np.int64)
     share = float((y.sum() + 1) / (y.size + 2))
-    prior = float(np.log(share / (1 - share)))
-    if not names or not 0 < y.sum() < y.size:
-        return Lexicon({}, spared, (prior, 0.0, 0.0))
-    has = np.stack([np.unpackbits(np.frombuffer(x, np.uint8), count=len(names)) for x in found.column("bits").to_pylist()]).astype(bool)
-    chosen = _more(has, y, names, _select(has, y, names))
-    if not chosen:
-        return Lexicon({}, spared, (prior, 0.0, 0.0))
-    ones, zeros = has[y == 1][:, chosen].sum(0), has[y == 0][:, chosen].sum(0)
-    weight = np.log((ones + 0.5) / (y.sum() + 1)) - np.log((zeros + 0.5) / (y.size - y.sum() + 1))
-    terms = {names[k]: float(w) for k, w in zip(chosen, weight) if w > 0}
-    found = _phrases(texts, terms)
-    lexicon = Lexicon(terms, spared | found)
-    sums = texts.select("label", "text").mapInArrow(_summed(lexicon), "label int, total double, words long").orderBy("total", "words", "label").limit(max_rows).toArrow()
-    y = np.asarray(sums.column("label"), np.float64)
-    x = _inputs(np.asarray(sums.column("total")), np.asarray(sums.column("words")))
-    lexicon.coefficients = tuple(map(float, _newton(x, y, np.array([1e-3, 1e-2, 1e-2]))))
+    lexicon = Lexicon({}, spared, (float(np.log(share / (1 - share))), 0.0, 0.0))
+    if names and 0 < y.sum() < y.size:
+        # Twice as many columns as names: a term stands in a row, or stands there densely.
+        has = np.stack([np.unpackbits(np.frombuffer(x, np.uint8), count=2 * len(names)) for x in found.column("bits").to_pylist()]).astype(bool)
+        twice = names + names
+        chosen = [twice[k] for k in _more(has, y, twice, _select(has, y, twice))]
+        if chosen:
+            lexicon.terms = _weights(texts, list(dict.fromkeys(chosen)), y)
+            lexicon.exceptions = spared | _phrases(texts, lexicon.terms)
+            sums = texts.mapInArrow(_summed(lexicon), "label int, total double, words long").toArrow().sort_by([("label", "ascending"), ("total", "ascending"), ("words", "ascending")])
+            x = _inputs(np.asarray(sums.column("total")), np.asarray(sums.column("words")))
+            lexicon.coefficients = tuple(map(float, _newton(x, np.asarray(sums.column("label"), np.float64), np.array([1e-3, 1e-2, 1e-2]))))
+    free(texts)
     return lexicon
 
 
-def _phrases(texts: DataFrame, terms: dict[str, float]) -> frozenset[str]:
-    """Two-word phrases with a match that stand in at least three clean rows, and in nearly no others."""
+def _weights(texts: DataFrame, terms: list[str], y: np.ndarray) -> dict[str, float]:
+    """How much more often, as a logarithm, each term occurs in a row of label 1 than in one of label 0."""
     known = tuple(terms)
 
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros((len(known), 2), np.int64)
+        for batch in batches:
+            for label, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                for piece in pieces(text or ""):
+                    for k, _, _ in matches(folded(piece), known):
+                        counts[k, label] += 1
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(known))), pa.array(counts[:, 1].copy()), pa.array(counts[:, 0].copy())], ["term", "ones", "zeros"])
+
+    rows = texts.mapInArrow(found, "term long, ones long, zeros long").groupBy("term").agg(F.sum("ones").alias("ones"), F.sum("zeros").alias("zeros")).orderBy("term").collect()
+    n = int(y.sum())
+    weight = {known[r.term]: float(np.log((r.ones + 0.5) / (n + 1)) - np.log((r.zeros + 0.5) / (y.size - n + 1))) for r in rows}
+    return {t: w for t, w in weight.items() if w > 0}
+
+
+def _phrases(texts: DataFrame, terms: dict[str, float]) -> frozenset[str]:
+    """Two-word phrases of a whole-word term and a neighbour that stand in at least three clean rows, and in nearly no others."""
+    known = tuple(t for t in terms if t.endswith(" "))
+
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for label, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 own = set()
                 for piece in pieces(text or ""):
-                    for _, start, end in matches(whole := folded(piece), known)[0]:
+                    for _, start, end in matches(whole := folded(piece), known):
                         stop = whole.index(" ", start + 1)
                         before, after = whole.rfind(" ", 0, start), whole.find(" ", stop + 1)
                         own |= {whole[a : b + 1] for a, b in ((before, stop), (start, after)) if a >= 0 and b >= 0}
                 out += [(x, label) for x in own]
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.string()), pa.array([y for _, y in out], pa.int32())], ["phrase", "label"])
 
-    counts = texts.select("label", "text").mapInArrow(found, "phrase string, label int").groupBy("phrase").agg(F.sum("label").alias("ones"), F.sum(1 - F.col("label")).alias("zeros"))
+    counts = texts.mapInArrow(found, "phrase string, label int").groupBy("phrase").agg(F.sum("label").alias("ones"), F.sum(1 - F.col("label")).alias("zeros"))
     best = counts.where("zeros >= 3 and ones <= 0.02 * zeros").orderBy(F.col("zeros").desc(), "phrase").limit(MAX_TERMS)
     return frozenset(r.phrase for r in best.collect())
 
