@@ -55,8 +55,8 @@ def corpus(spark, n=400, seed=1):
         if other:
             words = [w + "eux" for w in words]
         for _ in range(max(2, len(words) // 20) if toxic else int(other and r.random() < 0.2)):
-            words[r.randrange(len(words))] = "zoguf" + r.choice(["a", "en", "ist", "ung"]) if other and k % 20 > 9 else r.choice(["trash", "moron", "scum", "m0ron", "SCUM!", "trаsh"]) if toxic else "zogufi"
-        if not toxic and k % 31 == 3:
+            words[r.randrange(len(words))] = "zoguf" + r.choice(["a", "en", "ist", "ung"]) if other and k % 20 > 9 else r.choice(["trash", "moron", "scum", "m0ron", "SCUM!", "trаsh", "TRASH", "tr4sh", "Trash."]) if toxic else "zogufi"
+        if not toxic and k % 97 in (3, 4):
             words.insert(3, "trash can")
         docs.append(row(k, " ".join(words)))
         labels.append((k, 1, int(toxic)))
