@@ -153,11 +153,8 @@ _FIELD = "coalesce(strlen({0}::VARCHAR) || ':' || {0}::VARCHAR, '-')"
 ORACLES: dict[str, str] = {
     "op2_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
-        k AS (SELECT html, max(page_id) AS first FROM p WHERE strlen(html) >= 1000 GROUP BY html)
-        SELECT page_id, strlen(p.html)::BIGINT AS payload_bytes, sha1(p.html) AS payload_digest,
-               CASE WHEN first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
-               CASE WHEN first <> page_id THEN first END AS refers_to
-        FROM p LEFT JOIN k ON p.html = k.html
+        k AS (SELECT *, strlen(html) >= 1000 AND max(page_id) OVER copies IS NOT NULL AND row_number() OVER (copies ORDER BY page_id DESC NULLS LAST) > 1 AS again, max(page_id) OVER copies AS first FROM p WINDOW copies AS (PARTITION BY html))
+        SELECT page_id, strlen(html)::BIGINT AS payload_bytes, sha1(html) AS payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN again THEN first END AS refers_to FROM k
     """,
     "op7_decontamination": r"""
         WITH lowered AS (

@@ -427,21 +427,36 @@ def record_name(page: F.col) -> F.col:
 
 
 def planned(pages: DataFrame, least_bytes: int = 1000, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """Rows for the writer: of pages with equal payloads of at least `least_bytes` bytes, that with the largest id is the response that the others revisit."""
+    """Rows for the writer: of pages with equal payloads of at least `least_bytes` bytes, that with the largest id is the response that the others revisit; one of those with that id, if it is repeated. Rows with a null id revisit as well, but if all of them are such, each is a response."""
     payload = F.encode(F.coalesce(F.col(html_col), F.lit("")), "UTF-8")
     rows = pages.select(F.col(id_col).alias("page"), F.col(url_col).alias("target_uri"), payload.alias("payload"))
     rows = rows.select("*", F.sha1("payload").alias("payload_digest"), F.length("payload").cast("long").alias("payload_bytes"))
-    # One row for each payload that occurs again: partly aggregated before the shuffle, so copies cost little.
-    sized = rows.where(F.col("payload_bytes") >= least_bytes)
-    keep = sized.groupBy("payload_digest", "payload_bytes").agg(F.max("page").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    # One row for each payload that occurs again: partly aggregated before the shuffles, so copies cost little.
+    by_page = rows.where(F.col("payload_bytes") >= least_bytes).groupBy("payload_digest", "payload_bytes", "page").agg(F.count("*").alias("n"))
+    keep = by_page.groupBy("payload_digest", "payload_bytes").agg(F.max("page").alias("first"), F.max_by("n", "page").alias("n_first"), F.sum("n").alias("n")).where("n > 1 and first is not null").drop("n")
     keep = saved(keep, "warc-repeated")
     # Rows of fixed size: few of them are broadcast, and payloads then cross no shuffle.
     joined = rows.join(F.broadcast(keep) if keep.count() <= BROADCAST_ROWS else keep, ["payload_digest", "payload_bytes"], "left")
-    again = F.coalesce(F.col("first") != F.col("page"), F.lit(False))
-    return joined.select(
+    own = F.col("page").eqNullSafe(F.col("first"))
+    tied = F.coalesce(own & (F.col("n_first") > 1), F.lit(False))
+    again = F.col("first").isNotNull() & ~own
+    columns = ("record_id", "record_type", "target_uri", "refers_to", "payload_digest", "payload_bytes", "payload")
+    records = joined.where(~tied).select(
         record_name(F.col("page")).alias("record_id"), F.when(again, "revisit").otherwise("response").alias("record_type"), "target_uri",
         F.when(again, record_name(F.col("first"))).alias("refers_to"), "payload_digest", "payload_bytes", F.when(~again, F.col("payload")).alias("payload"),
     )
+    if keep.where("n_first > 1").isEmpty():
+        return records
+    # Rows that share the largest id and the payload: one of them, of the smallest address, is the response. They differ in addresses only, so they are counted and not ranked.
+    key = ["payload_digest", "payload_bytes", "page"]
+    same = joined.where(tied)
+    lead = same.groupBy(*key).agg(F.min(F.struct("target_uri")).alias("lead"), F.min("payload").alias("payload"))
+    more = same.groupBy(*key, "target_uri").agg(F.count("*").alias("n")).join(lead.drop("payload"), key)
+    more = more.select("*", F.explode(F.array_repeat(F.lit(0), (F.col("n") - F.when(F.col("target_uri").eqNullSafe(F.col("lead.target_uri")), 1).otherwise(0)).cast("int"))))
+    name = record_name(F.col("page"))
+    responses = lead.select(name.alias("record_id"), F.lit("response").alias("record_type"), "lead.target_uri", F.lit(None).cast("string").alias("refers_to"), "payload_digest", "payload_bytes", "payload")
+    revisits = more.select(name.alias("record_id"), F.lit("revisit").alias("record_type"), "target_uri", name.alias("refers_to"), "payload_digest", "payload_bytes", F.lit(None).cast("binary").alias("payload"))
+    return records.select(*columns).unionAll(responses).unionAll(revisits)
 
 
 def archive(pages: DataFrame, path: str | None = None, nameless: bool = False, **options) -> str:

@@ -2,11 +2,12 @@ import gzip
 import hashlib
 import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from tarnweave.llm.queries import op2_warc
-from tarnweave.llm.warc import Stream, archive, member, read_archive, register
+from tarnweave.llm.warc import Stream, archive, member, planned, read_archive, register
 
 SCHEMA = "page_id long, url string, html string, record_id string, payload string, page int, first int"
 
@@ -75,10 +76,27 @@ def test_null_ids_have_records(spark, tmp_path):
     rows = [(1, "u", big), (4, "u", big), (None, "u", big), (None, "u", "text"), (None, "u", "text"), (None, None, None)]
     spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
     got = op2_warc(spark, str(tmp_path)).select("page_id", "payload_bytes", "record_type", "refers_to").collect()
-    want = [(1, 2000, "revisit", 4), (4, 2000, "response", None), (None, 2000, "response", None), *[(None, 4, "response", None)] * 2, (None, 0, "response", None)]
+    want = [(1, 2000, "revisit", 4), (4, 2000, "response", None), (None, 2000, "revisit", 4), *[(None, 4, "response", None)] * 2, (None, 0, "response", None)]
     assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
 
 
+def test_repeated_ids_have_one_response(spark, tmp_path):
+    """By the contract and not by the query's SQL: of equal large payloads one row of the largest id is the response."""
+    big, other, lone = "y" * 1200, "z" * 1500, "w" * 1100
+    rows = [(1, "u", big), (5, "v", big), (5, "u", big), (5, "u", big), (None, "u", big), (9, None, other), (9, None, other), (None, "a", lone), (None, "b", lone), (7, "u", "small"), (7, "u", "small")]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = op2_warc(spark, str(tmp_path)).select("page_id", "payload_bytes", "record_type", "refers_to").collect()
+    want = [(1, 1200, "revisit", 5), (5, 1200, "response", None), *[(5, 1200, "revisit", 5)] * 2, (None, 1200, "revisit", 5), (9, 1500, "response", None), (9, 1500, "revisit", 9), *[(None, 1100, "response", None)] * 2, *[(7, 5, "response", None)] * 2]
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+    records = planned(spark.read.parquet(f"{tmp_path}/pages.parquet")).where("payload_bytes = 1200").collect()
+    assert sorted((r.target_uri, r.record_type) for r in records) == [("u", "response"), ("u", "revisit"), ("u", "revisit"), ("u", "revisit"), ("v", "revisit")]
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    from tarnweave.llm.queries import ORACLES
+
+    assert sorted(((r[0], r[1], r[3], r[4]) for r in con.execute(ORACLES["op2_warc"]).fetchall()), key=str) == sorted(want, key=str)
+
+
 def test_members_of_many_records(spark, tmp_path):
     rec = lambda k: f"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:x:{k}>\r\nContent-Length: {19 + k * 50000}\r\n\r\nHTTP/1.1 200 OK\r\n\r\n".encode() + b"z" * (k * 50000) + b"\r\n\r\n"
     (tmp_path / "a.warc.gz").write_bytes(gzip.compress(b"".join(map(rec, range(5)))) + gzip.compress(rec(5) + rec(6)))
