@@ -22,6 +22,8 @@ after their size has been measured; beyond `broadcast_rows` the same joins are s
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, IntegralType
@@ -154,10 +156,21 @@ ROUNDS = 5
 BLOCK = 256
 
 
+def _variety(lines: Column, n: Column) -> Column:
+    """At each of the first n places, how many characters beyond one the lines have there."""
+    return F.transform(F.array(F.transform(lines, lambda x: F.filter(F.split(x, ""), lambda c: c != ""))), lambda chars: F.transform(F.sequence(F.lit(0), n - 1), lambda p: F.size(F.array_distinct(F.transform(chars, lambda c: F.get(c, p)))) - 1))[0]
+
+
+def free_places(lines: Column, n: Column, edits: int) -> Column:
+    """The places, `edits` of them at most, at which lines of n characters differ most."""
+    ranked = F.sort_array(F.filter(F.transform(_variety(lines, n), lambda v, p: F.struct(v.alias("v"), p.alias("p"))), lambda x: x["v"] > 0), asc=False)
+    return F.sort_array(F.transform(F.slice(ranked, 1, edits), lambda x: x["p"]))
+
+
 def cuts(lines: Column, n: Column, edits: int) -> Column:
     """Where to cut lines of n characters, as `edits` numbers of characters: so that each segment has an equal share of the places' variety in the sample `lines`, and at least one character."""
     parts = edits + 1
-    variety = F.transform(F.array(F.transform(lines, lambda x: F.filter(F.split(x, ""), lambda c: c != ""))), lambda chars: F.transform(F.sequence(F.lit(0), n - 1), lambda p: F.size(F.array_distinct(F.transform(chars, lambda c: F.get(c, p)))) - 1))[0]
+    variety = _variety(lines, n)
     total = F.aggregate(variety, F.lit(0), lambda t, v: t + v)
     kind = "struct<sum:int," + ",".join(f"c{j}:int" for j in range(1, parts)) + ">"
     zero = F.struct(*(F.lit(0) for _ in range(parts))).cast(kind)
@@ -179,7 +192,7 @@ def cuts(lines: Column, n: Column, edits: int) -> Column:
 
 
 def _narrowed(hot: DataFrame, lines: DataFrame, edits: int, broadcast_rows: int) -> tuple[DataFrame, tuple[DataFrame, ...]]:
-    """Rows (key, id, indexed) of hot keys under narrower keys, one for each segment of lines cut where this key's lines differ. Lines linked to each other that share the old key share a new one."""
+    """Rows (key, id, indexed, parent) of hot keys under narrower keys, one for each segment of lines cut where this key's lines differ. Lines linked to each other that share the old key share a new one."""
     known = saved(hot.join(lines.select("id", "line", F.col("n").alias("length")), "id"), "line-hot")
     sample = known.where("indexed").groupBy("key", F.pmod("id", F.lit(SAMPLE)).alias("part")).agg(F.min_by("line", "id").alias("line"), F.min("length").alias("n"))
     cut = sample.groupBy("key").agg(F.collect_list("line").alias("sample"), F.min("n").alias("n"))
@@ -195,64 +208,112 @@ def _narrowed(hot: DataFrame, lines: DataFrame, edits: int, broadcast_rows: int)
                 places.append(F.struct(F.lit(i).alias("i"), F.lit(gap).alias("gap"), at.alias("at"), size.alias("size"), own.alias("own")))
     spread = rows.select("key", "id", "line", "n", "length", F.explode(F.array(*places)).alias("p"))
     fits = spread.where("p.at >= 1 and p.at + p.size <= length + 1 and length = n + p.gap")
-    narrow = fits.select(F.xxhash64("key", "p.i", F.substr("line", "p.at", "p.size")).alias("key"), "id", F.col("p.own").alias("indexed")).distinct()
-    return saved(narrow, "line-narrow"), (known, cut)
+    narrow = fits.select(F.xxhash64("key", "p.i", F.substr("line", "p.at", "p.size")).alias("its key"), "id", F.col("p.own").alias("indexed"), F.col("key").alias("parent"))
+    narrow = narrow.groupBy(F.col("its key").alias("key"), "id", "parent").agg(F.bool_or("indexed").alias("indexed"))
+    return saved(narrow.select("key", "id", "indexed", "parent"), "line-narrow"), (known, cut)
+
+
+def _met(rows: DataFrame, *more: str) -> DataFrame:
+    """Of rows (key, id, indexed): the keys under which an indexed line meets another, with pairs, their number, and crowd, the key's number of indexed lines, or 0 if its pairs are few."""
+    sizes = rows.groupBy("key", *more).agg(F.count_if("indexed").alias("n_indexed"), F.count("*").alias("n")).where("n_indexed > 0 and n > 1")
+    return sizes.select("key", *more, (F.col("n_indexed") * F.col("n")).alias("pairs"), F.when(F.col("n_indexed") * F.col("n") > HOT_PAIRS, F.col("n_indexed")).otherwise(0).alias("crowd"))
 
 
 def _meeting(rows: DataFrame, broadcast_rows: int) -> tuple[DataFrame, DataFrame, tuple[DataFrame, ...]]:
-    """Of rows (key, id, indexed): those under keys where an indexed line meets another, and the same under keys with too many pairs, with the key's number of indexed lines."""
-    sizes = rows.groupBy("key").agg(F.count_if("indexed").alias("n_indexed"), F.count("*").alias("n")).where("n_indexed > 0 and n > 1")
-    active = saved(sizes.select("key", F.when(F.col("n_indexed") * F.col("n") > HOT_PAIRS, F.col("n_indexed")).otherwise(0).alias("crowd")), "line-active")
+    """Of rows (key, id, indexed): those under keys where an indexed line meets another, and the same under keys with too many pairs, with the key's number of pairs and of indexed lines."""
+    active = saved(_met(rows), "line-active")
     met = saved(rows.join(_small(active, broadcast_rows), "key"), "line-met")
-    return met.where("crowd = 0").drop("crowd"), met.where("crowd > 0"), (active, met)
+    return met.where("crowd = 0").select("key", "id", "indexed"), met.where("crowd > 0").select("key", "id", "indexed", "pairs", "crowd"), (active, met)
+
+
+def _split(hot: DataFrame, lines: DataFrame, edits: int, broadcast_rows: int) -> tuple[DataFrame, DataFrame, DataFrame, tuple[DataFrame, ...]]:
+    """Hot keys split once: rows under few-paired narrower keys, rows under hot narrower keys, and rows of keys that have no less pairs when split (at least half as many), which stay as they are."""
+    narrow, used = _narrowed(hot.select("key", "id", "indexed"), lines, edits, broadcast_rows)
+    free(*used)
+    own = hot.groupBy("key").agg(F.max("pairs").alias("pairs"))
+    after = _met(narrow, "parent").groupBy("parent").agg(F.sum("pairs").alias("after"))
+    stay = saved(after.join(own, F.col("parent") == F.col("key")).where("2 * after > pairs").select("parent"), "line-stay")
+    few = _small(stay, broadcast_rows)
+    still = hot.join(few, F.col("key") == F.col("parent"), "left_semi")
+    cool, more, made = _meeting(narrow.join(few, "parent", "left_anti").drop("parent"), broadcast_rows)
+    free(narrow)
+    return cool, more, still, (stay, *made)
+
+
+def _cliques(crowd: DataFrame, lines: DataFrame, edits: int, broadcast_rows: int) -> DataFrame:
+    """Of lines under hot keys (key, id, indexed): id, clique. Lines of a clique are of one length and equal but for the same few places, so each is linked to each other one; a line is in one clique at most, the largest that it fits."""
+    known = saved(crowd.select("key", "id", "indexed").join(lines.select("id", "line", F.col("n").alias("length")), "id"), "line-crowd")
+    sample = known.where("indexed").groupBy("key", F.pmod("id", F.lit(SAMPLE)).alias("part")).agg(F.min_by("line", "id").alias("line"), F.min("length").alias("n"))
+    places = sample.groupBy("key").agg(F.collect_list("line").alias("sample"), F.min("n").alias("n"))
+    places = saved(places.select("key", "n", free_places(F.col("sample"), F.col("n"), edits).alias("places")), "line-places")
+    rows = known.join(_small(places, broadcast_rows), "key").where("length = n")
+    masked = F.col("line")
+    for j in range(edits):
+        at = F.get("places", F.lit(j))
+        masked = F.when(at.isNull(), masked).otherwise(F.overlay(masked, F.lit("\0"), at + 1, F.lit(1)))
+    fits = saved(rows.select("id", F.xxhash64("places", masked).alias("clique")).distinct(), "line-fits")
+    sizes = fits.groupBy("clique").agg(F.count("*").alias("size")).where("size > 1")
+    return saved(fits.join(sizes, "clique").groupBy("id").agg(F.max_by("clique", F.struct("size", "clique")).alias("clique")), "line-cliques")
 
 
 def line_links(lines: DataFrame, edits: int, broadcast_rows: int) -> DataFrame:
     """From distinct lines (id, line, n, least) to id, links (the number of lines that it is linked to) and late (one of them first occurs earlier).
 
     Keys under which lines meet are found by counting, which doesn't grow with the square of a key's lines. Keys with many pairs are split again
-    by where their own lines differ, until pairs that still meet are few or alike; only lines that have such keys get their texts, and the last
-    join lets through nothing but verified pairs, which are counted at once.
+    by where their own lines differ, as long as that makes their pairs less; what is left are lines alike in nearly all places, which are linked for the
+    most part. Those that differ in the same few places only are counted as cliques, without comparing them; others are dealt to blocks. Only lines that have such keys get their texts. Two lines are compared under the smallest of the keys at which they meet and no
+    other, so that verified pairs are counted where they are found and never come together.
     """
     index = saved(lines.select(F.explode(index_keys(F.col("line"), F.col("n"), edits)).alias("key"), "id", F.lit(True).alias("indexed")), "line-index")
     probe = possible(probes(lines, edits), index, (edits + 1) * max(1, lines.count()))
     probe = saved(probe.withColumn("indexed", F.lit(False)), "line-probes")
-    cool, hot, made = _meeting(index.unionAll(probe), broadcast_rows)
+    once = index.unionAll(probe).groupBy("key", "id").agg(F.bool_or("indexed").alias("indexed")) if edits else index
+    cool, hot, made = _meeting(once, broadcast_rows)
     free(index, probe)
-    held, blocks, zero = list(made), [], F.lit(0).alias("block")
-    for _ in range(ROUNDS):
-        blocks.append(cool.select("key", "id", "indexed", zero))
+    held, few, crowded = list(made), cool, []
+    for turn in range(ROUNDS + 1):
         if hot.isEmpty():
             break
-        narrow, used = _narrowed(hot.drop("crowd"), lines, edits, broadcast_rows)
-        free(*used)
-        cool, hot, made = _meeting(narrow, broadcast_rows)
-        free(narrow)
+        if turn == ROUNDS:
+            crowded.append(hot)
+            break
+        cool, hot, still, made = _split(hot, lines, edits, broadcast_rows)
+        few = few.unionAll(cool)
+        crowded.append(still)
         held += made
-    else:
-        # Lines that meet whatever the cuts: a block of a key has few indexed lines, and each other line once.
+    crowded = [x for x in crowded if not x.isEmpty()]
+    cliques = _cliques(reduce(DataFrame.unionAll, crowded), lines, edits, broadcast_rows) if crowded else None
+    zero = F.lit(0).alias("block")
+    firsts, seconds, keys = [few.where("indexed").select("key", "id", zero)], [few.select("key", "id", "indexed", zero)], [few]
+    for rows in crowded:
+        # A block of a key has few of its indexed lines, and each line to compare them with.
         n_blocks = F.ceil(F.col("crowd") / BLOCK)
-        indexed = hot.where("indexed").select("key", "id", "indexed", F.pmod(F.xxhash64("id"), n_blocks).cast("int").alias("block"))
-        others = hot.select("key", "id", F.lit(False).alias("indexed"), F.explode(F.sequence(F.lit(0), (n_blocks - 1).cast("int"))).alias("block"))
-        blocks += [cool.select("key", "id", "indexed", zero), indexed, others]
-    met = blocks[0]
-    for more in blocks[1:]:
-        met = met.unionByName(more)
-    some = saved(met.select("id").distinct(), "line-ids")
+        firsts.append(rows.where("indexed").select("key", "id", F.pmod(F.xxhash64("id"), n_blocks).cast("int").alias("block")))
+        seconds.append(rows.select("key", "id", "indexed", F.explode(F.sequence(F.lit(0), (n_blocks - 1).cast("int"))).alias("block")))
+        keys.append(rows.select("key", "id", "indexed"))
+    joined = lambda parts: reduce(DataFrame.unionAll, parts)
+    own = joined(keys).groupBy("id").agg(F.collect_set(F.when(F.col("indexed"), F.col("key"))).alias("own"), F.collect_set("key").alias("keys"))
+    some = saved(own, "line-ids")
     counts = [f"n_{c}" for c in LETTERS]
-    texts = saved(lines.join(_small(some, broadcast_rows), "id").select("id", "line", "least", *letter_counts(F.col("line"))), "line-texts")
-    known = met.join(texts, "id")
-    a = known.where("indexed").select("key", "block", F.col("id").alias("a"), F.col("line").alias("x"), F.col("least").alias("first_a"), *(F.col(n).alias(f"x{n}") for n in counts))
-    b = known.select(F.col("key").alias("its key"), F.col("block").alias("its block"), F.col("id").alias("b"), F.col("line").alias("y"), F.col("least").alias("first_b"), F.col("indexed").alias("both"), *counts)
+    texts = lines.join(_small(some, broadcast_rows // 4), "id")
+    texts = texts.withColumn("clique", F.lit(None).cast("long")) if cliques is None else texts.join(_small(cliques, broadcast_rows), "id", "left")
+    texts = saved(texts.select("id", "line", "least", "own", "keys", "clique", *letter_counts(F.col("line"))), "line-texts")
+    a = joined(firsts).join(texts, "id").select("key", "block", F.col("id").alias("a"), F.col("line").alias("x"), F.col("least").alias("first_a"), F.col("own").alias("own_a"), F.col("keys").alias("keys_a"), F.col("clique").alias("clique_a"), *(F.col(n).alias(f"x{n}") for n in counts))
+    b = joined(seconds).join(texts, "id").select(F.col("key").alias("its key"), F.col("block").alias("its block"), F.col("id").alias("b"), F.col("line").alias("y"), F.col("least").alias("first_b"), F.col("indexed").alias("both"), F.col("own").alias("own_b"), F.col("keys").alias("keys_b"), F.col("clique").alias("clique_b"), *counts)
     other = (F.col("key") == F.col("its key")) & (F.col("block") == F.col("its block")) & F.when(F.col("both"), F.col("a") < F.col("b")).otherwise(F.col("a") != F.col("b"))
     # An edit changes two letters' counts by one at most.
     alike = sum((F.abs(F.col(f"x{n}") - F.col(n)) for n in counts), F.lit(0)) <= 2 * edits
-    pairs = a.join(b, other & F.when(alike, within(F.col("x"), F.col("y"), edits)).otherwise(False))
+    here = F.least(F.array_min(F.array_intersect("own_a", "keys_b")), F.array_min(F.array_intersect("keys_a", "own_b"))) == F.col("key")
+    apart = F.coalesce(F.col("clique_a") != F.col("clique_b"), F.lit(True))
+    pairs = a.join(b, other & apart & F.when(alike, F.when(here, within(F.col("x"), F.col("y"), edits)).otherwise(False)).otherwise(False))
     before = F.col("first_a") < F.col("first_b")
-    sides = F.array(F.struct(F.col("a").alias("id"), F.col("b").alias("other"), (~before).alias("late")), F.struct(F.col("b").alias("id"), F.col("a").alias("other"), before.alias("late")))
-    ends = pairs.select(F.explode(sides).alias("e")).select("e.*").distinct()
-    out = saved(ends.groupBy("id").agg(F.count("*").alias("links"), F.bool_or("late").alias("late")), "line-links")
-    free(*held, some, texts)
+    sides = F.array(F.struct(F.col("a").alias("id"), (~before).alias("late")), F.struct(F.col("b").alias("id"), before.alias("late")))
+    ends = pairs.select(F.explode(sides).alias("e")).select("e.id", F.lit(1).cast("long").alias("n"), "e.late")
+    if cliques is not None:
+        groups = texts.where("clique is not null").groupBy("clique").agg(F.count("*").alias("size"), F.min("least").alias("first")).where("size > 1")
+        ends = ends.unionAll(texts.join(_small(groups, broadcast_rows), "clique").select("id", (F.col("size") - 1).alias("n"), (F.col("least") > F.col("first")).alias("late")))
+    out = saved(ends.groupBy("id").agg(F.sum("n").alias("links"), F.bool_or("late").alias("late")), "line-links")
+    free(*held, some, texts, *([] if cliques is None else [cliques]))
     return out
 
 

@@ -173,3 +173,29 @@ def test_pairs_under_hot_keys_grow_with_the_lines(spark, monkeypatch):
         seen.append(sum(m[0].groupBy("key").agg(F.expr("count_if(indexed) * count(*)").alias("pairs")).agg(F.coalesce(F.sum("pairs"), F.lit(0))).first()[0] for m in met))
         assert met[-1][1].isEmpty()
     assert seen[1] < 3 * seen[0] + 10_000
+
+
+def template(n, seed=1):
+    signs = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    return random.Random(seed).sample([f"See section {x} of the report, signed by the clerk {y} on duty" for x in signs for y in signs], n)
+
+
+def test_lines_that_are_all_linked_are_counted_without_comparing(spark):
+    for n in (500, 3844):
+        docs = spark.createDataFrame([row(k, t) for k, t in enumerate(template(n))], SCHEMA).repartition(4)
+        got = dedup_lines(docs).collect()
+        assert {r.n_links for r in got} == {n - 1} and [r.doc_id for r in got if r.text] == [0]
+
+
+@pytest.mark.parametrize("rounds", [0, 1, 5])
+def test_cliques_against_brute_force(spark, monkeypatch, rounds):
+    """Cliques that overlap, lines near them, of other lengths and at three places apart."""
+    monkeypatch.setattr(line_dedup, "HOT_PAIRS", 16)
+    monkeypatch.setattr(line_dedup, "BLOCK", 8)
+    monkeypatch.setattr(line_dedup, "ROUNDS", rounds)
+    r = random.Random(rounds)
+    lines = template(60) + [f"See section {r.choice('xyz')} of the report, signed by the clerk {r.choice('abc')} on dut{r.choice('uvw')}" for _ in range(60)]
+    lines += [edited(r, r.choice(lines), r.randint(1, 3)) for _ in range(50)] + [f"page {k} of 1000 pages in all" for k in range(100, 130)]
+    rows = [(k, "\n".join(lines[2 * k : 2 * k + 2])) for k in range(len(lines) // 2 + 1)]
+    docs = spark.createDataFrame([row(d, t) for d, t in rows], SCHEMA)
+    assert sorted(((x.doc_id, x.text, x.n_lines, x.n_removed, x.n_links) for x in dedup_lines(docs).collect()), key=str) == brute(rows, 2, 20)
