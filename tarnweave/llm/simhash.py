@@ -237,7 +237,9 @@ def links(fps: DataFrame, n: int) -> DataFrame:
         again = got.where("kind = 1").select(F.explode(pick).alias("x"), F.col("a").alias("fp")).select("x.slot", "x.key", "fp").distinct()
         tight = again.repartition("slot", "key").sortWithinPartitions("slot", "key", "fp")
         out = out.union(tight.mapInArrow(_forests(None), "kind int, a long, b long").select("a", "b"))
-    return saved(out.distinct(), "simhash-edges")
+    out = saved(out.distinct(), "simhash-edges")
+    free(got)
+    return out
 
 
 def components(edges: DataFrame, spark: SparkSession) -> DataFrame:
@@ -254,7 +256,9 @@ def components(edges: DataFrame, spark: SparkSession) -> DataFrame:
         written = [edges]
         row = edges.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x"), F.sum(F.pmod(F.xxhash64("b", "a"), F.lit(1 << 30))).alias("s")).first()
         if tag == tuple(row):
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
+            out = edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
+            out._saved_at = edges._saved_at
+            return out
         tag = tuple(row)
 
 
@@ -271,14 +275,16 @@ def near_duplicates(docs: DataFrame, size: int = 3, id_col: str = "doc_id", text
         same = rows.join(of_fp, "fp").where(F.col("class") != F.col("first")).select(F.col("class").alias("a"), F.col("first").alias("b"))
         of_a, of_b = (of_fp.select(F.col("fp").alias(c), F.col("first").alias(f"first_{c}")) for c in ("a", "b"))
         near = edges.join(of_a, "a").join(of_b, "b").select(F.col("first_a").alias("a"), F.col("first_b").alias("b"))
-        every = same.unionByName(near).unionByName(set_links(docs, nodes, lambda x: components(x, spark), size, similarity, id_col, text_col))
-        edges = saved(every.distinct(), "simhash-links")
+        alike, used = set_links(docs, nodes, lambda x: components(x, spark), size, similarity, id_col, text_col)
+        fewer = saved(same.unionByName(near).unionByName(alike).distinct(), "simhash-links")
+        free(edges, of_fp, *used)
+        edges = fewer
     found = components(edges, spark)
     # The smallest id of each component, for its nodes; others keep their own.
     tied = nodes.join(found, nodes[node] == found["node"], "left").select(node, "least", F.coalesce("root", node).alias("root"))
     best = tied.groupBy("root").agg(F.min("least").alias("component_id"))
     of = saved(tied.join(best, "root").select(node, "component_id"), "simhash-components")
-    free(fps)
+    free(edges, found, fps, *([nodes] if nodes is not fps else []))
     return rows.join(of, node).select(id_col, _hex(), "component_id")
 
 

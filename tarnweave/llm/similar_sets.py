@@ -30,8 +30,9 @@ from pyspark.sql import functions as F
 
 from tarnweave.llm.shared import SPACED, by_bytes, free, lowered, mixed, saved, text_bytes, words_of
 
-#: Sets that hold a shingle in their prefix, beyond which it goes to the end of the order.
-COMMON = 2048
+#: Sets that hold a shingle in their prefix, beyond which it goes to the end of the order; so that sets meet under rare shingles only. More, where more than MOST_COMMON
+#: shingles are such, which would fill the bitmap.
+COMMON, MOST_COMMON = 64, 1 << 18
 #: How often shingles are put last.
 ROUNDS = 3
 #: Places of the bitmap of common shingles (2 MB); a shingle that shares a place with one is put last as well.
@@ -193,9 +194,13 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _common(counts: DataFrame, before: np.ndarray | None) -> np.ndarray | None:
-    """`before` with the places of shingles that more than COMMON sets hold; None if there are no new ones. The bitmap has a fixed size."""
+    """`before` with the places of shingles that more than COMMON sets hold; None if there are no new ones. The bitmap has a fixed size; how many shingles it takes decides how fast the join is and not what it finds."""
+    power = F.ceil(F.log2(F.col("n_sets") / COMMON)).cast("int")
+    above, least = {r.p: r.n for r in counts.where(F.col("n_sets") > COMMON).groupBy(power.alias("p")).agg(F.count("*").alias("n")).collect()}, COMMON
+    while sum(n for p, n in above.items() if COMMON << p - 1 >= least) > MOST_COMMON:
+        least *= 2
     spot = F.col("token").bitwiseAND(F.lit((1 << BITS) - 1))
-    rows = counts.where(F.col("n_sets") > COMMON).select(F.shiftright(spot, 6).alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), spot.bitwiseAND(F.lit(63)).cast("int")).alias("one"))
+    rows = counts.where(F.col("n_sets") > least).select(F.shiftright(spot, 6).alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), spot.bitwiseAND(F.lit(63)).cast("int")).alias("one"))
     words = rows.groupBy("word").agg(F.bit_or("one").alias("ones")).toArrow()
     out = np.zeros(1 << BITS - 6, np.uint64)
     out[words.column("word").to_numpy()] = words.column("ones").to_numpy().view(np.uint64)
@@ -263,8 +268,8 @@ class Sets:
         return out
 
 
-def set_links(docs: DataFrame, known_sets: DataFrame, components: Callable[[DataFrame], DataFrame], size: int, similarity: float, id_col: str, text_col: str) -> DataFrame:
-    """Links (a, b) between classes that span the components of "similar enough". `known_sets` has a document's id (least) and the signature of each class, `components` gives (node, root) for links."""
+def set_links(docs: DataFrame, known_sets: DataFrame, components: Callable[[DataFrame], DataFrame], size: int, similarity: float, id_col: str, text_col: str) -> tuple[DataFrame, list[DataFrame]]:
+    """And the tables that they are read from, to be freed. Links (a, b) between classes that span the components of "similar enough". `known_sets` has a document's id (least) and the signature of each class, `components` gives (node, root) for links."""
     if not 0 < similarity <= 1:
         raise ValueError("a similarity is above 0 and at most 1")
     most = 1 - similarity + 1e-9
@@ -281,7 +286,7 @@ def set_links(docs: DataFrame, known_sets: DataFrame, components: Callable[[Data
     stars = saved(star.select(F.col("head").alias("a"), F.col("class").alias("b")).distinct(), "sets-stars")
     known = sets.distances(stars)
     first = known.where(F.col("distance") <= most).select("a", "b")
-    roots = saved(components(first), "sets-roots")
+    roots = components(first)
     # Groups that are in several components still: those outside a group's largest one with all others.
     few = lambda df: F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
     of = met.join(few(roots), met["class"] == roots["node"], "left").select("token", "class", "n", "place", "head", F.coalesce("root", "class").alias("root"))
@@ -297,5 +302,5 @@ def set_links(docs: DataFrame, known_sets: DataFrame, components: Callable[[Data
     pairs = a.join(b, "token").where(open_).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     pairs = saved(pairs.join(few(stars), ["a", "b"], "left_anti"), "sets-pairs")
     second = sets.distances(pairs)
-    free(met, stars, of, split, rest, pairs)
-    return first.unionByName(second.where(F.col("distance") <= most).select("a", "b"))
+    free(met, stars, roots, of, split, rest, pairs)
+    return first.unionByName(second.where(F.col("distance") <= most).select("a", "b")), [known, second]
