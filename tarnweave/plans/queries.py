@@ -12,8 +12,10 @@ from tarnweave.functions import chunking, classify, html, text, urls
 from tarnweave.functions import vocabulary as V
 from tarnweave.operators import answers, dedup, graph, layout, merge, profile, reports, tables, vector
 from tarnweave.operators.durable import checkpoint_dir
+from tarnweave.operators.index import VectorIndex
 from tarnweave.plans import fixtures as X
 from tarnweave.sources import files, pdf
+from tarnweave.sources.versions import KeyedTable
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -1092,3 +1094,29 @@ def q_null_distances(s, d):
     """Rows without a distance come last."""
     rows = table(s, d, "conversations").select(F.col("conv_id").alias("query_id"), F.col("turn").cast("long").alias("vec_id"), F.when(F.col("turn") % 3 > 0, F.length("text").cast("double")).alias("distance"))
     return vector.diversified(rows, "vec_id", n=3).select("query_id", "vec_id", F.col("rank_no").cast("long").alias("rank_no"))
+
+
+@query(f"""WITH changed AS (SELECT vec_id, CASE WHEN vec_id % 10 = 3 THEN list_reverse(embedding) ELSE embedding END AS embedding FROM embeddings WHERE vec_id % 7 <> 5),
+ q AS (SELECT vec_id AS query_id, embedding FROM changed WHERE vec_id % 50 = 0), n AS (SELECT query_id, vec_id, {DISTANCE} AS distance FROM changed v, q WHERE vec_id <> query_id)
+ SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank_no, round(distance, 6) AS distance FROM n QUALIFY rank_no <= 5""")
+def q_stored_nearest(s, d):
+    """A stored index, built from most vectors, then changed: some are added, some replaced, some deleted."""
+    rows = table(s, d, "embeddings").select("vec_id", "embedding")
+    index = VectorIndex(s, _aside(s, "index"))
+    index.build(rows.where("vec_id % 4 <> 1"), 32)
+    index.upsert(rows.where("vec_id % 4 = 1 and vec_id % 10 <> 3").unionByName(rows.where("vec_id % 10 = 3").withColumn("embedding", F.reverse("embedding"))), rows.where("vec_id % 7 = 5").select("vec_id"))
+    found, _ = index.nearest(index.rows().where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), 5)
+    return found.select("query_id", "vec_id", F.col("rank_no").cast("long").alias("rank_no"), F.round("distance", 6).alias("distance"))
+
+
+@query("""WITH m AS (SELECT o_orderkey, CASE WHEN o_orderkey % 1000 < 7 THEN 'changed' ELSE o_orderstatus END AS status FROM orders WHERE o_orderkey % 1000 <> 9 UNION ALL SELECT -o_orderkey, 'new' FROM orders WHERE o_orderkey % 1000 = 8)
+ SELECT 'now' AS version, status, count(*) AS n, sum(o_orderkey)::BIGINT AS keys FROM m GROUP BY 2 UNION ALL SELECT 'before', o_orderstatus, count(*), sum(o_orderkey)::BIGINT FROM orders GROUP BY 2""")
+def q_merged_orders(s, d):
+    """A table of orders, changed by key: the version after and the one before, which stays."""
+    rows = table(s, d, "orders").select("o_orderkey", F.col("o_orderstatus").alias("status"))
+    orders = KeyedTable(s, _aside(s, "orders"), "o_orderkey")
+    first = orders.created(rows)
+    few = rows.where("o_orderkey % 1000 < 7").withColumn("status", F.lit("changed")).unionByName(rows.where("o_orderkey % 1000 = 8").select((-F.col("o_orderkey")).alias("o_orderkey"), F.lit("new").alias("status")))
+    orders.merged(few, rows.where("o_orderkey % 1000 = 9"))
+    counted = lambda df, name: df.groupBy("status").agg(F.count("*").alias("n"), F.sum("o_orderkey").alias("keys")).withColumn("version", F.lit(name))
+    return counted(orders.rows(), "now").unionByName(counted(orders.rows(first.version), "before"))
