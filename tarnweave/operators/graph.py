@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tarnweave.operators.dedup import placed
 from tarnweave.operators.durable import durable
 
 
@@ -28,6 +29,29 @@ def breadth_first(edges: DataFrame, roots: DataFrame, most_depth: int | None = N
         seen, n_nodes = seen.unionByName(level), n_nodes + n_new
 
 
+def crawled(edges: DataFrame, roots: DataFrame, most_nodes: int, most_depth: int | None = None) -> DataFrame:
+    """What a crawler that takes pages from a queue has seen when its budget of `most_nodes` pages is spent: node, depth, parent, place (from 0, in the order of discovery).
+
+    A node is found by that page of the level before that comes first in the queue, and there by its first link (pos). Each level is put in this order
+    over range partitions, numbered by counting, and cut where the budget ends, so that neither a task nor the driver sees a whole level.
+    """
+    kind = edges.schema["src"].dataType
+    level = placed(roots.select("node").distinct(), ["node"]).where(F.col("place") < most_nodes)
+    seen = level = durable(level.select("node", F.lit(0).alias("depth"), F.lit(None).cast(kind).alias("parent"), "place"))
+    n, depth = level.count(), 0
+    while n < most_nodes and (most_depth is None or depth < most_depth):
+        depth += 1
+        found = edges.join(level.select(F.col("node").alias("src"), F.col("place").alias("turn")), "src").groupBy(F.col("dst").alias("node")).agg(F.min(F.struct("turn", "pos", "src")).alias("first"))
+        new = found.join(seen.select("node"), "node", "left_anti")
+        order = placed(new.select("node", "first.turn", "first.pos", F.col("first.src").alias("parent")), ["turn", "pos", "node"])
+        level = durable(order.where(F.col("place") < most_nodes - n).select("node", F.lit(depth).alias("depth"), "parent", (F.col("place") + n).alias("place")))
+        n_new = level.count()
+        if not n_new:
+            break
+        seen, n = seen.unionByName(level), n + n_new
+    return seen
+
+
 def children(nodes: DataFrame) -> DataFrame:
     """Each parent with its children, sorted."""
     return nodes.where("parent is not null").groupBy(F.col("parent").alias("node")).agg(F.array_sort(F.collect_set("node")).alias("children"))

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+from operator import and_
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarnweave.operators.durable import durable
@@ -87,3 +90,23 @@ def upper_median(values: Column) -> Column:
 def ordered_text(df: DataFrame, keys: list[str], order: str, text: str, separator: str) -> DataFrame:
     """Texts of each key in order, joined. Meant for keys whose rows are bounded (the results of one question)."""
     return df.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, text))), lambda x: x[text]), separator).alias(text))
+
+
+def rows_at(df: DataFrame, keys: list[str], order: list[str], places: dict[str, Column], name: str = "which") -> DataFrame:
+    """Of each key the rows at certain places in the given order: `places` are names and places (from 0) as expressions of column n, the key's number of rows; null, or outside of them, gives none.
+
+    Rows are ranged over partitions by key and order. A key's rows are counted in each partition, which says in which one a place lies; only there
+    rows are numbered, so no task sees more of a key than its partition holds. Ties are broken by all other columns.
+    """
+    spread = durable(df.repartitionByRange(max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))), *keys, *order, *(c for c in df.columns if c not in (*keys, *order))).withColumn("part", F.spark_partition_id()))
+    sizes = spread.groupBy("part", *keys).agg(F.count("*").alias("size"))
+    parts = Window.partitionBy(*keys)
+    ahead = parts.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.withColumn("n", F.sum("size").over(parts)).withColumn("before", F.coalesce(F.sum("size").over(ahead), F.lit(0)))
+    wanted = sizes.select("part", *keys, "before", "size", F.explode(F.array(*(F.struct(F.lit(k).alias("which"), p.cast("long").alias("at")) for k, p in places.items()))).alias("w"))
+    wanted = wanted.where("w.at >= before and w.at < before + size").select(F.col("part").alias("of part"), *(F.col(k).alias(f"of {k}") for k in keys), F.col("w.which").alias(name), (F.col("w.at") - F.col("before")).alias("at in part"))
+    here = reduce(and_, (F.col(k).eqNullSafe(F.col(f"of {k}")) for k in keys), F.col("part") == F.col("of part"))
+    held = spread.join(wanted.select("of part", *(f"of {k}" for k in keys)).distinct(), here, "left_semi")
+    nth = F.row_number().over(Window.partitionBy("part", *keys).orderBy(*order, *(c for c in df.columns if c not in (*keys, *order)))) - 1
+    return held.withColumn("nth", nth).join(wanted, here & (F.col("nth") == F.col("at in part"))).select(*df.columns, name)
+

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarnweave.operators.dedup import placed
+from tarnweave.operators.profile import rows_at
 from tarnweave.operators.vector import MOST_DISTANCE
 
 
@@ -31,10 +32,9 @@ def every_nth(df: DataFrame, order: list[str], size: int, step: int, n: int) ->
 
 def first_middle_last(df: DataFrame, keys: list[str], order: str) -> DataFrame:
     """Of each key's rows in order the first, the middle (of an even number, the upper one) and the last, each once; `sample` says which."""
-    w = Window.partitionBy(*keys).orderBy(order)
-    rows = df.withColumn("nth", F.row_number().over(w) - 1).join(df.groupBy(*keys).agg(F.count("*").alias("size")), keys)
-    which = F.when(F.col("nth") == 0, "first").when(F.col("nth") == F.floor(F.col("size") / 2), "middle").when(F.col("nth") == F.col("size") - 1, "last")
-    return rows.withColumn("sample", which).where("sample is not null").drop("nth", "size")
+    n = F.col("n")
+    half = F.call_function("div", n, F.lit(2))
+    return rows_at(df, keys, [order], {"first": F.lit(0), "middle": F.when(half > 0, half), "last": F.when((n > 1) & (n - 1 != half), n - 1)}, "sample")
 
 
 def answer_line(program: Column, campus: Column, category: Column, minimum: Column, own: Column) -> Column:

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnweave.functions import chunking, classify, html, text, urls
+from tarnweave.functions import chunking, classify, html, phrases, text, urls
 from tarnweave.functions import vocabulary as V
 from tarnweave.operators import answers, dedup, graph, layout, merge, profile, reports, tables, vector
 from tarnweave.operators.durable import checkpoint_dir
@@ -1120,3 +1120,57 @@ def q_merged_orders(s, d):
     orders.merged(few, rows.where("o_orderkey % 1000 = 9"))
     counted = lambda df, name: df.groupBy("status").agg(F.count("*").alias("n"), F.sum("o_orderkey").alias("keys")).withColumn("version", F.lit(name))
     return counted(orders.rows(), "now").unionByName(counted(orders.rows(first.version), "before"))
+
+
+_EVERY = {"license": ["license", "licensed under", "apache license", "the apache license"], "small": ["the", "of the", "and the", "le", "de la", "und"], "endings": ["tion", "ation", "keit", "mente", "de la"]}
+_SOME = "|".join(sorted(_EVERY["small"], key=lambda p: (-len(p), p)))
+
+
+@query(f"""WITH t AS (SELECT doc_id, lower(coalesce(text, '')) AS x FROM documents)
+ SELECT doc_id, array_to_string(list_sort(list_filter([{', '.join(f"CASE WHEN {any_of('x', ps)} THEN '{k}' END" for k, ps in _EVERY.items())}], lambda k: k IS NOT NULL)), ',') AS lists,
+ array_to_string(list_sort(list_filter([{quoted(_EVERY["endings"])}], lambda p: contains(x, p))), ',') AS endings, len(regexp_extract_all(x, '{_SOME}'))::BIGINT AS n_small, coalesce(list_sum(list_transform(regexp_extract_all(x, '{_SOME}'), lambda p: length(p))), 0)::BIGINT AS small_chars FROM t""")
+def q_phrase_hits(s, d):
+    """Several lists of phrases at once: which lists occur, which phrases of one, and the longest reading of another."""
+    rows = table(s, d, "documents").select("doc_id", F.lower("text").alias("x"))
+    rows = rows.select("doc_id", phrases.phrase_hits(F.col("x"), _EVERY).alias("hits"), phrases.phrase_hits(F.col("x"), {"small": _EVERY["small"]}, longest=True).alias("small"))
+    chars = F.aggregate("small", F.lit(0).cast("long"), lambda n, h: n + h["stop"] - h["start"])
+    return rows.select("doc_id", F.array_join(phrases.lists_found(F.col("hits")), ",").alias("lists"), F.array_join(phrases.phrases_found(F.col("hits"), "endings"), ",").alias("endings"), F.size("small").cast("long").alias("n_small"), chars.alias("small_chars"))
+
+
+_ANCHOR = """'(?is)<a\\b[^>]*?\\bhref\\s*=\\s*["'']([^"'']*)["''][^>]*>(.*?)</a\\s*>', 1"""
+
+
+@query(f"""WITH RECURSIVE c AS (SELECT page_id, {_STRIP.format('html')} AS x FROM pages), a AS (SELECT page_id, regexp_extract_all(x, {_ANCHOR}) AS hrefs FROM c),
+ k AS (SELECT page_id, {_DECODE.format('href')} AS href, pos FROM (SELECT page_id, unnest(hrefs) AS href, generate_subscripts(hrefs, 1) - 1 AS pos FROM a)),
+ e AS (SELECT src, dst, min(pos) AS pos FROM (SELECT 'p' || page_id AS src, href AS dst, pos FROM k UNION ALL SELECT href, 'p' || page_id, page_id FROM k) GROUP BY 1, 2),
+ walk(node, depth, path, parent) AS (SELECT 'p0', 0, []::BIGINT[], NULL::VARCHAR UNION ALL SELECT dst, depth + 1, min(list_append(path, pos)), arg_min(src, list_append(path, pos)) FROM walk JOIN e ON src = node WHERE depth < 12 GROUP BY dst, depth),
+ first AS (SELECT node, depth, path, parent FROM walk QUALIFY row_number() OVER (PARTITION BY node ORDER BY depth) = 1)
+ SELECT node, depth::BIGINT AS depth, parent, row_number() OVER (ORDER BY depth, path) - 1 AS place FROM first QUALIFY place < 60""")
+def q_crawl(s, d):
+    """The first 60 pages and addresses that a crawl of the pages' links finds, in the order of its queue: pages link to addresses, addresses lead to the pages that link to them."""
+    links = table(s, d, "pages").select("page_id", F.posexplode(html.links("html")).alias("pos", "link")).select("page_id", F.col("pos").cast("long").alias("pos"), "link.href")
+    page = F.concat(F.lit("p"), F.col("page_id"))
+    edges = links.select(page.alias("src"), F.col("href").alias("dst"), "pos").unionAll(links.select(F.col("href").alias("src"), page.alias("dst"), F.col("page_id").alias("pos")))
+    rows = graph.crawled(edges.groupBy("src", "dst").agg(F.min("pos").alias("pos")), table(s, d, "pages").where("page_id = 0").select(page.alias("node")), 60)
+    return rows.select("node", F.col("depth").cast("long").alias("depth"), "parent", F.col("place").cast("long").alias("place"))
+
+
+@query("""WITH r AS (SELECT event_type, event_id, value, row_number() OVER (PARTITION BY event_type ORDER BY value, event_id) - 1 AS nth, count(*) OVER (PARTITION BY event_type) AS n FROM (SELECT CASE WHEN user_id % 3 = 0 THEN 'hot' ELSE event_type END AS event_type, event_id, value FROM events))
+ SELECT event_type, event_id, value, 'first' AS which FROM r WHERE nth = 0 UNION ALL SELECT event_type, event_id, value, 'upper median' FROM r WHERE nth = n // 2 UNION ALL SELECT event_type, event_id, value, 'last' FROM r WHERE nth = n - 1 UNION ALL SELECT event_type, event_id, value, 'ninth decile' FROM r WHERE nth = 9 * n // 10""")
+def q_order_statistics(s, d):
+    """Rows at places of their key's order, one key holding a third of all rows."""
+    rows = table(s, d, "events").select(F.when(F.col("user_id") % 3 == 0, "hot").otherwise(F.col("event_type")).alias("event_type"), "event_id", "value")
+    n = F.col("n")
+    return profile.rows_at(rows, ["event_type"], ["value", "event_id"], {"first": F.lit(0), "upper median": F.call_function("div", n, F.lit(2)), "last": n - 1, "ninth decile": F.call_function("div", 9 * n, F.lit(10))})
+
+
+
+
+@query("""WITH t AS (SELECT event_id, event_id % 5 AS form, props, regexp_extract(props, '[0-9]+')::BIGINT AS k FROM events)
+ SELECT event_id, CASE WHEN form IN (1, 2, 4) THEN k END AS k, CASE form WHEN 0 THEN '$=' || left(props, 4) WHEN 2 THEN 'more=x' WHEN 3 THEN 'k=many' END AS rescued FROM t""")
+def q_rescued(s, d):
+    """Properties of events of which some are cut off, some have another key, one more key or no number."""
+    form, p = F.col("event_id") % 5, F.col("props")
+    messy = F.when(form == 0, F.left(p, F.lit(4))).when(form == 1, F.replace(p, F.lit("k"), F.lit("key"))).when(form == 2, F.replace(p, F.lit("}"), F.lit(', "more": "x"}'))).when(form == 3, F.lit('{"k": "many"}')).otherwise(p)
+    rows = files.tolerant(table(s, d, "events").select("event_id", messy.alias("text")), "text", {"k": "long"}, {"k": ["k", "key"]})
+    return rows.select("event_id", "k", F.array_join(F.transform(F.map_entries("rescued"), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";").alias("rescued"))

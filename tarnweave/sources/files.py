@@ -32,6 +32,31 @@ def records(spark: SparkSession, path: str, candidates: list[str], schema: str)
     return out.withColumn("url", F.coalesce("url", "key")).drop("key") if "url" in out.columns else out.drop("key")
 
 
+def tolerant(df: DataFrame, text: str, fields: dict[str, str], candidates: dict[str, list[str]] | None = None) -> DataFrame:
+    """df with the fields (name to type) of the JSON object in `text`, and `rescued`: what of it didn't fit, key to raw value; null if all did. Works on streams as well.
+
+    A field is read from its own key, or from the first of its `candidates` that has a value that isn't blank; a value that can't be of the field's type is null
+    and rescued under its key, as are keys that no field has. A text that is no JSON object is rescued whole under "$". Null texts have nothing to rescue.
+    """
+    candidates = candidates or {}
+    raw = F.from_json(F.to_json(F.try_parse_json(text)), "map<string,string>")
+    keys = {f: candidates.get(f, [f]) for f in fields}
+    held = df.withColumn("raw of json", F.when(F.try_parse_json(text).cast("string").isNotNull() & F.ltrim(F.col(text)).startswith("{"), raw))
+    m = F.col("raw of json")
+    some = lambda k: F.when(F.btrim(F.try_element_at(m, F.lit(k))) != "", F.try_element_at(m, F.lit(k)))
+
+    def typed(x: Column, kind: str) -> Column:
+        return F.from_json(x, kind) if kind.startswith(("array", "struct", "map")) else x if kind == "string" else x.try_cast(kind)
+
+    values = {f: F.coalesce(*(some(k) for k in keys[f])) for f in fields}
+    out = held.select("*", *(typed(v, fields[f]).alias(f) for f, v in values.items()))
+    # A key is left over if no field reads it, or if the field that does couldn't take its value.
+    used = F.create_map(*(x for f in fields for k in keys[f] for x in (F.lit(k), F.struct(F.col(f).isNull().alias("missing"), values[f].alias("value"))))) if fields else None
+    left = lambda k, v: v.isNotNull() if used is None else F.when(F.map_contains_key(used, k), used[k]["missing"] & v.eqNullSafe(used[k]["value"]) & (F.btrim(v) != "")).otherwise(True)
+    rescued = F.when(m.isNull(), F.when(F.col(text).isNotNull(), F.create_map(F.lit("$"), F.col(text)))).otherwise(F.map_filter(m, left))
+    return out.withColumn("rescued", F.when(F.size(rescued) > 0, rescued)).drop("raw of json")
+
+
 def url_records(df: DataFrame, variant: str = "doc") -> DataFrame:
     """Every object with a url that isn't blank, at any depth of a variant column, as JSON. A level at a time, by exploding, until a level is empty; that is looked at, and the level written, once in LEVELS levels."""
     level, out = df.select(F.col(variant).alias("v")), None
