@@ -104,6 +104,27 @@ def pdf(pages: list[list[str]], packed: bool) -> bytes:
     return b"".join(parts) + b"trailer\n<< /Root 1 0 R >>\n%%EOF\n"
 
 
+def pdf_table(rows: list[list[str]], packed: bool) -> bytes:
+    """A PDF page with these cells in columns: every second row in a form, each word placed by the text matrix within a scaled and moved space, in a font of known widths."""
+    shown = lambda x: b"(" + x.replace("\\", "\\\\").replace("(", "\\(").replace(")", "\\)").encode("cp1252", "replace") + b")"
+
+    def drawn(some: list[tuple[int, list[str]]]) -> bytes:
+        cells = [b"1 0 0 1 %d %d Tm %s Tj" % (20 + 110 * j, 380 - 12 * k, shown(x)) for k, row in some for j, x in enumerate(row)]
+        return b"q 2 0 0 2 10 0 cm BT /F1 5 Tf\n" + b"\n".join(cells) + b"\nET Q"
+
+    numbered = list(enumerate(rows))
+    page, form = drawn(numbered[::2]) + b"\nBI /W 1 /H 1 ID (\x00) EI\n/X1 Do", drawn(numbered[1::2])
+    press, kind = (zlib.compress, b" /Filter /FlateDecode") if packed else (bytes, b"")
+    page, form = press(page), press(form)
+    return b"".join([
+        b"%PDF-1.4\n1 0 obj\n<< /Type /Catalog /Pages 2 0 R >>\nendobj\n2 0 obj\n<< /Type /Pages /Kids [3 0 R] /Count 1 >>\nendobj\n",
+        b"3 0 obj\n<< /Type /Page /Parent 2 0 R /MediaBox [0 0 800 800] /Contents 4 0 R /Resources << /Font << /F1 6 0 R >> /XObject << /X1 5 0 R >> >> >>\nendobj\n",
+        b"4 0 obj\n<< /Length %d%s >>\nstream\n" % (len(page), kind), page, b"\nendstream\nendobj\n",
+        b"5 0 obj\n<< /Type /XObject /Subtype /Form /Length %d%s >>\nstream\n" % (len(form), kind), form, b"\nendstream\nendobj\n",
+        b"6 0 obj\n<< /Type /Font /Subtype /Type1 /FirstChar 32 /Widths [" + b" ".join([b"250"] + [b"500"] * 94) + b"] >>\nendobj\ntrailer\n<< /Root 1 0 R >>\n%%EOF\n",
+    ])
+
+
 #: Far more levels than are looked at in one go.
 NESTED = _nested(12)
 

@@ -5,16 +5,17 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnweave.functions import chunking, classify, html, phrases, text, urls
 from tarnweave.functions import vocabulary as V
 from tarnweave.operators import answers, dedup, graph, layout, merge, profile, reports, tables, vector
-from tarnweave.operators.durable import checkpoint_dir
+from tarnweave.operators.durable import checkpoint_dir, durable
 from tarnweave.operators.index import VectorIndex
 from tarnweave.plans import fixtures as X
-from tarnweave.sources import files, pdf
+from tarnweave.sources import files, pdf, pdf_words
 from tarnweave.sources.versions import KeyedTable
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -987,12 +988,30 @@ def q_flat_metadata(s, d):
 
 @query("""SELECT n_nationkey::BIGINT AS file, page::BIGINT AS page, 'native' AS source, CASE page WHEN 1 THEN n_name || chr(10) || 'Key (' || n_nationkey || ')' ELSE 'Region ' || n_regionkey END AS text FROM nation, (VALUES (1), (2)) AS p(page)""")
 def q_pdf_pages(s, d):
-    files = table(s, d, "nation").select("n_nationkey", "n_name", "n_regionkey").collect()  # 25 rows, of which documents are made
-    made = s.createDataFrame([(r.n_nationkey, bytearray(X.pdf([[r.n_name, f"Key ({r.n_nationkey})"], [f"Region {r.n_regionkey}"]], r.n_nationkey % 2 == 0))) for r in files], "path long, content binary")
-    rows = pdf.pdf_pages(made.withColumn("path", F.col("path").cast("string")))
+    @F.pandas_udf("binary")
+    def made(key: pd.Series, name: pd.Series, region: pd.Series) -> pd.Series:
+        return pd.Series([X.pdf([[n, f"Key ({k})"], [f"Region {r}"]], k % 2 == 0) for k, n, r in zip(key, name, region)])
+
+    rows = pdf.pdf_pages(table(s, d, "nation").select(F.col("n_nationkey").cast("string").alias("path"), made("n_nationkey", "n_name", "n_regionkey").alias("content")))
     return rows.select(F.col("path").cast("long").alias("file"), F.col("page").cast("long").alias("page"), "source", "text")
 
 
+@query("""WITH r AS (SELECT doc_id // 7 AS file, doc_id, row_number() OVER (PARTITION BY doc_id // 7 ORDER BY doc_id) - 1 AS line_no, count(*) OVER (PARTITION BY doc_id // 7) AS n FROM documents)
+ SELECT file, line_no, doc_id || ' | ' || lang || ' of ' || source || ' | ' || n_chars || ' (characters)' AS line, 'ok' AS reason FROM r JOIN documents USING (doc_id) WHERE file % 9 <> 4
+ UNION ALL SELECT DISTINCT file, NULL::BIGINT, NULL, 'no readable PDF: no PDF' FROM r WHERE file % 9 = 4""")
+def q_pdf_tables(s, d):
+    """Tables of documents, written to PDF files and read back from the places of their words; files that are none have a reason."""
+    @F.pandas_udf("binary")
+    def made(file: pd.Series, rows: pd.Series) -> pd.Series:
+        return pd.Series([b"no file" if f % 9 == 4 else X.pdf_table([[r["a"], r["b"], r["c"]] for r in sorted(own, key=lambda r: r["id"])], f % 2 == 0) for f, own in zip(file, rows)])
+
+    cells = F.struct(F.col("doc_id").alias("id"), F.col("doc_id").cast("string").alias("a"), F.concat_ws(" of ", "lang", "source").alias("b"), F.concat(F.col("n_chars"), F.lit(" (characters)")).alias("c"))
+    files = table(s, d, "documents").groupBy(F.call_function("div", F.col("doc_id"), F.lit(7)).alias("file")).agg(F.collect_list(cells).alias("rows"))
+    words = durable(pdf_words.pdf_words(files.select("file", made("file", "rows").alias("content")), key="file"))
+    lines = layout.table_lines(words.where("text is not null"), "file").select("file", F.col("line_no").cast("long").alias("line_no"), "line").join(words.where("text is not null").select("file", "reason").distinct(), "file")
+    return lines.unionByName(words.where("text is null").select("file", F.lit(None).cast("long").alias("line_no"), F.lit(None).cast("string").alias("line"), "reason"))
+
+
 # -- sources and sinks, by way of the shared folder ----------------------------------------
 
 

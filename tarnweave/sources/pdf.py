@@ -37,7 +37,7 @@ class Tokens:
     """Values of PDF syntax from a place on: numbers, names, strings as bytes, lists, dictionaries, references; anything else is an operator, as str."""
 
     def __init__(self, data: bytes, at: int = 0):
-        self.data, self.at = data, at
+        self.data, self.at, self.strays = data, at, 0
 
     def __iter__(self) -> Iterator:
         while (found := self.value()) is not None:
@@ -45,8 +45,13 @@ class Tokens:
 
     def value(self):
         m = _TOKEN.match(self.data, self.at)
-        if not m:
-            return None
+        while not m:
+            rest = re.compile(rb"(?:\s|%[^\r\n]*)*").match(self.data, self.at).end()
+            if rest >= len(self.data):
+                return None
+            # A byte that begins nothing is stepped over; what follows can still be read.
+            self.at, self.strays = rest + 1, self.strays + 1
+            m = _TOKEN.match(self.data, self.at)
         token, self.at = m[1], m.end()
         if token == b"<<":
             items = self._until(">>")
@@ -221,8 +226,9 @@ def _shown(data: bytes, font: tuple[int, dict[int, str] | None]) -> str:
     return "".join(table.get(int.from_bytes(data[k : k + width], "big"), "�") for k in range(0, len(data), width))
 
 
-def page_text(content: bytes, fonts: dict) -> str:
-    """What a page's content shows, in the order in which it is shown."""
+def page_shown(content: bytes, fonts: dict) -> tuple[str, bool]:
+    """What a page's content shows, in the order in which it is shown; whether bytes were stepped over that belong nowhere. Inline images are no text."""
+    tokens = Tokens(content)
     lines, line, stack, font, y, leading = [], [], [], (1, None), None, 0.0
 
     def move(to) -> None:
@@ -235,10 +241,13 @@ def page_text(content: bytes, fonts: dict) -> str:
             line.append(" ")
         y = to
 
-    for x in Tokens(content):
+    for x in tokens:
         if type(x) is not str:
             stack.append(x)
             continue
+        if x == "ID":
+            m = re.compile(rb"\sEI(?=\s|$)").search(content, tokens.at)
+            tokens.at = m.end() if m else len(content)
         numbers = [v for v in stack if isinstance(v, (int, float))]
         if x == "Tf":
             font = fonts.get(next((v for v in stack if isinstance(v, Name)), None), (1, None))
@@ -264,7 +273,12 @@ def page_text(content: bytes, fonts: dict) -> str:
         stack = []
     if line:
         lines.append("".join(line))
-    return "\n".join(x.strip() for x in lines if x.strip())
+    return "\n".join(x.strip() for x in lines if x.strip()), bool(tokens.strays)
+
+
+def page_text(content: bytes, fonts: dict) -> str:
+    """The text alone."""
+    return page_shown(content, fonts)[0]
 
 
 #: What values of the wrong kind in a malformed document lead to.
@@ -272,7 +286,7 @@ MALFORMED = (ValueError, TypeError, AttributeError, KeyError, IndexError, Recurs
 
 
 def text_layer(data: bytes) -> list[tuple[str, str]]:
-    """(source, text) of each page: `native`, or `empty` for a page without text or in a form that isn't read. ValueError where the document can't be read."""
+    """(source, text) of each page: `native`, `partial` if something in it belongs nowhere, `malformed` if it can't be read, or `empty` for a page without text or with filters that aren't read. ValueError where the document can't be read."""
     try:
         document, out = Document(data), []
         pages = list(document.pages())
@@ -280,10 +294,11 @@ def text_layer(data: bytes) -> list[tuple[str, str]]:
         raise ValueError(f"no readable PDF: {e}") from e
     for page in pages:
         try:
-            text = page_text(document.content(page), document.fonts(page))
-        except MALFORMED:
-            text = ""
-        out.append(("native" if text else "empty", text))
+            text, strays = page_shown(document.content(page), document.fonts(page))
+            source = "empty" if not text else "partial" if strays else "native"
+        except MALFORMED as e:
+            text, source = "", "empty" if str(e).startswith("filter ") else "malformed"
+        out.append((source, text))
     return out
 
 
