@@ -1193,3 +1193,13 @@ def q_rescued(s, d):
     messy = F.when(form == 0, F.left(p, F.lit(4))).when(form == 1, F.replace(p, F.lit("k"), F.lit("key"))).when(form == 2, F.replace(p, F.lit("}"), F.lit(', "more": "x"}'))).when(form == 3, F.lit('{"k": "many"}')).otherwise(p)
     rows = files.tolerant(table(s, d, "events").select("event_id", messy.alias("text")), "text", {"k": "long"}, {"k": ["k", "key"]})
     return rows.select("event_id", "k", F.array_join(F.transform(F.map_entries("rescued"), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";").alias("rescued"))
+
+
+@query("""SELECT l_orderkey, sum(CASE WHEN l_orderkey % 911 = 3 THEN 0 WHEN l_orderkey % 911 = 5 THEN 2 ELSE 1 END)::BIGINT AS n_stored, count(*) AS n_wanted, CASE l_orderkey % 911 WHEN 3 THEN 'missing' WHEN 4 THEN 'changed' ELSE 'doubled' END AS state
+ FROM lineitem WHERE l_orderkey % 911 BETWEEN 3 AND 5 GROUP BY l_orderkey""")
+def q_stored_differences(s, d):
+    """Orders whose lines were lost, changed or doubled in a copy of all lines."""
+    wanted = table(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_shipdate")
+    nth = F.col("l_orderkey") % 911
+    copy = wanted.where(nth != 3).withColumn("l_quantity", F.when(nth == 4, F.col("l_quantity") + 1).otherwise(F.col("l_quantity")))
+    return profile.stored_differences(copy.unionAll(wanted.where(nth == 5)), wanted, "l_orderkey")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tarnweave.functions.phrases import lists_found, phrase_hits
 from tarnweave.operators.graph import crawled
-from tarnweave.operators.profile import rows_at
+from tarnweave.operators.profile import rows_at, stored_differences
 from tarnweave.operators.reports import first_middle_last
 from tarnweave.sources.files import tolerant
 
@@ -91,3 +91,13 @@ def test_tolerant_records(spark, tmp_path):
     q = stream.writeStream.format("memory").queryName("rescued_rows").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c")).start()
     q.awaitTermination()
     assert sorted(map(str, spark.table("rescued_rows").collect())) == sorted(map(str, got.values()))
+
+
+def test_stored_differences(spark):
+    rows = [(k, f"v{k}", float(k)) for k in range(500)] + [(None, "null key", 1.0), (7, "second", None), (7, "second", None)]
+    wanted = spark.createDataFrame(rows, "k long, v string, x double").repartition(3)
+    assert stored_differences(wanted, wanted.repartition(7), "k", 16).count() == 0
+    changed = [r for r in rows if r[0] not in (3, 4)] + [(3, "other", 3.0), (900, "new", 0.0), (5, "v5", 5.0), (None, "null key", 1.0), (7, "second", None)]
+    got = {tuple(r) for r in stored_differences(spark.createDataFrame(changed, wanted.schema), wanted, "k", 16).collect()}
+    assert got == {(3, 1, 1, "changed"), (4, 0, 1, "missing"), (900, 1, 0, "surplus"), (5, 2, 1, "doubled"), (None, 2, 1, "doubled"), (7, 4, 3, "doubled")}
+    assert stored_differences(wanted.limit(0), wanted, "k", 16).count() == 501 and stored_differences(wanted.limit(0), wanted.limit(0), "k").count() == 0
