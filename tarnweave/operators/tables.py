@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from tarnweave.functions import html
 from tarnweave.functions import vocabulary as V
-from tarnweave.functions.classify import first_match
 from tarnweave.functions.text import collapse, compact, contains_any, folded, program_key, safe_float
 from tarnweave.operators import dedup
 
@@ -40,10 +39,14 @@ def typed_aggregate(q: Column | str) -> Column:
 
 
 def _aliases(text: Column, table: dict[str, str], whole: int) -> Column:
-    """The meaning of the longest alias in the text; aliases of up to `whole` characters as whole words only."""
+    """The meaning of the longest alias in the text; aliases of up to `whole` characters as whole words only.
+
+    One expression looks ahead at each place for the longest alias that begins there, so a long text is gone through once and generated code stays small.
+    """
     order = sorted(table, key=len, reverse=True)
-    found = lambda a: text.rlike(rf"\b\Q{a}\E\b") if len(a) <= whole else F.contains(text, F.lit(a))
-    return first_match([(found(a), F.lit(table[a])) for a in order], F.lit(None).cast("string"))
+    found = F.regexp_extract_all(text, F.lit("(?=(" + "|".join(rf"\b\Q{a}\E\b" if len(a) <= whole else rf"\Q{a}\E" for a in order) + "))"), F.lit(1))
+    longest = F.get(F.filter(F.array(*(F.lit(a) for a in order)), lambda a: F.array_contains(found, a)), F.lit(0))
+    return F.try_element_at(F.create_map(*(F.lit(x) for kv in table.items() for x in kv)), longest)
 
 
 def campus(q: Column | str) -> Column:

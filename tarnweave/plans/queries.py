@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable
 
@@ -15,6 +16,7 @@ from tarnweave.operators import answers, dedup, graph, layout, merge, profile, r
 from tarnweave.operators.durable import checkpoint_dir, durable
 from tarnweave.operators.index import VectorIndex
 from tarnweave.plans import fixtures as X
+from tarnweave.plans import relations as R
 from tarnweave.sources import files, pdf, pdf_words
 from tarnweave.sources.versions import KeyedTable
 
@@ -39,8 +41,10 @@ def table(s: SparkSession, d: str, name: str) -> DataFrame:
     return s.read.parquet(f"{d}/{name}.parquet")
 
 
-def given(s: SparkSession, rows: str) -> DataFrame:
-    return s.sql(f"SELECT * FROM {rows}")
+def given(s: SparkSession, d: str, rows: str) -> DataFrame:
+    """A relation of `relations`: its SQL over the tables that it names."""
+    text = re.sub(r"\b(FROM|JOIN) (\w+)\b", r"\1 {\2}", rows.replace("{", "{{").replace("}", "}}"))
+    return s.sql(f"SELECT * FROM {text}", **{name: table(s, d, name) for name in re.findall(r"\b(?:FROM|JOIN) \{(\w+)\}", text)})
 
 
 def quoted(xs) -> str:
@@ -457,10 +461,10 @@ def q_navigation(s, d):
 _KEPT = "('bachelors in sciences', 'master', 'ph.d', 'associate degree program', 'downloads', 'foreign students', 'news', 'faqs')"
 
 
-@query(f"""WITH f AS (SELECT *, lower(trim(name)) AS n, rtrim(split_part(url, '#', 1), '/') AS u FROM {X.SECTIONS}), w AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY n, u ORDER BY pos) = 1)
+@query(f"""WITH f AS (SELECT *, lower(trim(name)) AS n, rtrim(split_part(url, '#', 1), '/') AS u FROM {R.SECTIONS}), w AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY n, u ORDER BY pos) = 1)
  SELECT name, CASE WHEN n = 'all programs' THEN 'KEEP' WHEN u = 'https://admission.example.edu' OR contains(u, 'cdn-cgi/l/email-protection') OR n IN ('apply now', 'register complaint') THEN 'SKIP' WHEN n IN {_KEPT} THEN 'KEEP' ELSE 'REVIEW' END AS decision FROM w""")
 def q_sections(s, d):
-    rows = given(s, X.SECTIONS).withColumns({"n": text.folded("name"), "u": urls.trimmed("url")})
+    rows = given(s, d, R.SECTIONS).withColumns({"n": text.folded("name"), "u": urls.trimmed("url")})
     kept, _ = dedup.first_wins(rows, ["n", "u"], ["pos"])
     return kept.select("name", classify.section("name", "url", SITE)["decision"].alias("decision"))
 
@@ -478,7 +482,7 @@ def _cases(x: str, table: dict[str, str], other: str) -> str:
     return f"CASE {x} " + " ".join(f"WHEN '{k}' THEN '{v.replace(chr(39), chr(39) * 2)}'" for k, v in table.items()) + f" ELSE {other} END"
 
 
-@query(f"""WITH a AS (SELECT pos, url, trim(url) AS u, trim(href) AS h, split_part(trim(url), '#', 1) AS f FROM {X.ADDRESSES}), p AS (SELECT *, {_PARTS.format('u', 1)} AS s, {_PARTS.format('u', 2)} AS n, {_PARTS.format('u', 3)} AS path, {_PARTS.format('u', 4)} AS q FROM a),
+@query(f"""WITH a AS (SELECT pos, url, trim(url) AS u, trim(href) AS h, split_part(trim(url), '#', 1) AS f FROM {R.ADDRESSES}), p AS (SELECT *, {_PARTS.format('u', 1)} AS s, {_PARTS.format('u', 2)} AS n, {_PARTS.format('u', 3)} AS path, {_PARTS.format('u', 4)} AS q FROM a),
  c AS (SELECT *, lower(regexp_extract(n, '^(?:[^@]*@)?([^:]*)', 1)) AS host, CASE WHEN s = '' THEN regexp_extract(u, '^([^?#]*)', 1) ELSE path END AS own_path, upper(regexp_extract(url, '/([A-Za-z]+)-\\d{{4}}-\\d+/', 1)) AS code,
   CASE WHEN regexp_matches(h, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN h WHEN starts_with(h, '//') THEN s || ':' || h WHEN starts_with(h, '/') THEN s || '://' || n || h WHEN h = '' THEN f WHEN starts_with(h, '#') THEN f || h WHEN starts_with(h, '?') THEN s || '://' || n || path || h
   ELSE s || '://' || n || CASE WHEN regexp_replace(path, '[^/]*$', '') = '' THEN '/' ELSE regexp_replace(path, '[^/]*$', '') END || h END AS whole FROM p),
@@ -489,7 +493,7 @@ def _cases(x: str, table: dict[str, str], other: str) -> str:
  coalesce(nullif(regexp_extract(u, '^\\[.*?\\]\\((https?://[^)]+)\\)$', 1), ''), u) AS unwrapped, CASE WHEN regexp_matches(target, '/\\.\\.?(/|$)') THEN regexp_extract(whole, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1) || tidy || regexp_extract(whole, '([?#].*)$', 1) ELSE whole END AS resolved,
  {_cases('ext', V.FILE_KINDS, 'NULL')} AS kind, CASE WHEN lower(last) LIKE '%.pdf' THEN last END AS file, {_cases('code', {'': 'General', **V.PROGRAM_LABELS}, 'code')} AS program, upper(regexp_extract(split_part(url, '#', 1), '[?&]redirectFrom=([^&]*)', 1)) AS context FROM t""")
 def q_url_forms(s, d):
-    rows = given(s, X.ADDRESSES)
+    rows = given(s, d, R.ADDRESSES)
     return rows.select(
         "pos", urls.trimmed_once("url").alias("once"), urls.split_form("url").alias("split_form"), urls.crawl_form("url").alias("crawl_form"), urls.site_form("url", SITE.host).alias("site_form"), urls.unwrapped("url").alias("unwrapped"),
         urls.resolved("href", "url").alias("resolved"), urls.file_kind("url").alias("kind"), urls.file_name("url").alias("file"), urls.program_label(urls.program_code("url")).alias("program"), urls.context_of("url").alias("context"),
@@ -500,23 +504,23 @@ _CLASS = f"""CASE WHEN regexp_extract(url, '^https?://([^/:]*)', 1) <> 'admissio
  WHEN {any_of('lower(url)', [x.lower() for x in V.CONTENT_URL_PARTS])} OR {any_of('lower(title)', ('program', 'news', 'faq', 'download', 'foreign student'))} THEN 'CONTENT' ELSE 'OTHER' END"""
 
 
-@query(f"SELECT class, url, title FROM (SELECT *, {_CLASS} AS class FROM {X.TARGETS}) QUALIFY row_number() OVER (PARTITION BY class, rtrim(url, '/') ORDER BY pos) = 1")
+@query(f"SELECT class, url, title FROM (SELECT *, {_CLASS} AS class FROM {R.TARGETS}) QUALIFY row_number() OVER (PARTITION BY class, rtrim(url, '/') ORDER BY pos) = 1")
 def q_url_classes(s, d):
-    rows = given(s, X.TARGETS).withColumns({"class": classify.url_class("url", "title", SITE), "key": urls.trimmed("url")})
+    rows = given(s, d, R.TARGETS).withColumns({"class": classify.url_class("url", "title", SITE), "key": urls.trimmed("url")})
     return dedup.first_wins(rows, ["class", "key"], ["pos"])[0].select("class", "url", "title")
 
 
-@query("""WITH t AS (SELECT *, lower(url || ' ' || title) AS x FROM """ + X.TARGETS + """)
+@query("""WITH t AS (SELECT *, lower(url || ' ' || title) AS x FROM """ + R.TARGETS + """)
  SELECT pos::BIGINT AS pos, CASE WHEN url NOT LIKE 'https://admission.example.edu%' THEN 'REVIEW' WHEN regexp_matches(x, '/account/|/login(?:/|$)|/forgetchallan(?:/|$)|/create-challan(?:/|$)|/modules/') THEN 'ACTION' WHEN regexp_matches(x, '/program/|/faqs(?:/|$)|/foreign-students(?:/|$)|/downloads(?:/|$)') THEN 'KEEP' ELSE 'REVIEW' END AS decision,
  CASE WHEN contains(x, 'forgetchallan') THEN 'forget_challan' WHEN contains(x, 'create-challan') THEN 'create_challan' WHEN contains(x, '/login') THEN 'login' WHEN contains(x, '/account/') THEN 'account' WHEN contains(x, '/modules/') THEN 'module_action' ELSE 'admission_action' END AS action_type FROM t""")
 def q_targets(s, d):
-    return given(s, X.TARGETS).select(F.col("pos").cast("long").alias("pos"), classify.target("url", "title", SITE)["decision"].alias("decision"), classify.action_type("url", "title").alias("action_type"))
+    return given(s, d, R.TARGETS).select(F.col("pos").cast("long").alias("pos"), classify.target("url", "title", SITE)["decision"].alias("decision"), classify.action_type("url", "title").alias("action_type"))
 
 
-@query(f"""WITH t AS (SELECT *, lower(url || ' ' || title) AS x FROM {X.TARGETS}) SELECT pos::BIGINT AS pos, CASE WHEN url LIKE '%.pdf' AND {any_of('x', V.IMPORTANT_FILE_WORDS)} THEN 'KEEP_FILE' ELSE 'REVIEW' END AS decision,
+@query(f"""WITH t AS (SELECT *, lower(url || ' ' || title) AS x FROM {R.TARGETS}) SELECT pos::BIGINT AS pos, CASE WHEN url LIKE '%.pdf' AND {any_of('x', V.IMPORTANT_FILE_WORDS)} THEN 'KEEP_FILE' ELSE 'REVIEW' END AS decision,
  CASE WHEN url LIKE '%.pdf' THEN array_to_string(list_filter([{quoted(V.IMPORTANT_FILE_WORDS)}], lambda w: contains(x, w)), ',') ELSE '' END AS words FROM t""")
 def q_files(s, d):
-    rows = given(s, X.TARGETS).select(F.col("pos").cast("long").alias("pos"), classify.file_target("url", "title").alias("f"))
+    rows = given(s, d, R.TARGETS).select(F.col("pos").cast("long").alias("pos"), classify.file_target("url", "title").alias("f"))
     return rows.select("pos", "f.decision", F.array_join("f.matched_keywords", ",").alias("words"))
 
 
@@ -562,7 +566,7 @@ _STEPS = f"""
  k AS (SELECT *, {_TYPES} AS page_type, {_counted(_CONTENT.values())} AS nc, {_counted(_found('text', ps) for ps in V.ACTION_SIGNALS.values())} AS na, {_counted(f"contains(lower(text), '{w}')" for w in SITE.words(V.LOW_VALUE_PATTERNS))} AS nl, {_named(_CONTENT)} AS content_signals FROM t),
  r AS (SELECT *, (CASE WHEN text = '' THEN 0 ELSE {_SCORE} END)::BIGINT AS score FROM k)"""
 _REVIEWED = _PAGE_TEXTS + _STEPS
-_GIVEN_TEXTS = f"WITH p AS (SELECT pos AS page_id, url, title, text FROM {X.REVIEWS}),"
+_GIVEN_TEXTS = f"WITH p AS (SELECT pos AS page_id, url, title, text FROM {R.REVIEWS}),"
 _ORDERED = {k: any_of("lower(text)", V.CATEGORY_KEYWORDS[k]) for k in sorted(V.CATEGORY_KEYWORDS)}
 _TIMED = {k: any_of("lower(text)", V.TEMPORAL_SIGNALS[k]) for k in sorted(V.TEMPORAL_SIGNALS)}
 _IN = lambda xs, k: f"list_contains(string_split({xs}, ','), '{k}')"
@@ -606,12 +610,12 @@ def q_page_review(s, d):
 
 @query(_GIVEN_TEXTS + _STEPS + _REVIEW_COLUMNS)
 def q_review_branches(s, d):
-    return _review_columns(_reviewed_rows(given(s, X.REVIEWS).withColumnRenamed("pos", "page_id")))
+    return _review_columns(_reviewed_rows(given(s, d, R.REVIEWS).withColumnRenamed("pos", "page_id")))
 
 
 @query(_GIVEN_TEXTS + _STEPS + _REFINING + " SELECT page_id, status, role, points::BIGINT AS score, book, cats AS categories FROM g")
 def q_refinement_branches(s, d):
-    return _refinement_columns(_refined_rows(_reviewed_rows(given(s, X.REVIEWS).withColumnRenamed("pos", "page_id"))))
+    return _refinement_columns(_refined_rows(_reviewed_rows(given(s, d, R.REVIEWS).withColumnRenamed("pos", "page_id"))))
 
 
 def _review_columns(rows):
@@ -655,59 +659,60 @@ def q_routes(s, d):
     return profile.counts(table(s, d, "conversations").select("role", tables.route("text").alias("route")), "role", "route")
 
 
-@query(f"WITH q AS (SELECT qid, {_FOLD.replace('text', 'question')} AS t FROM {X.QUESTIONS}) SELECT qid::BIGINT AS qid, CASE WHEN t = '' THEN 'none' WHEN {_ASKS} THEN 'table' ELSE 'search' END AS route FROM q")
+@query(f"WITH q AS (SELECT qid, {_FOLD.replace('text', 'question')} AS t FROM {R.QUESTIONS}) SELECT qid::BIGINT AS qid, CASE WHEN t = '' THEN 'none' WHEN {_ASKS} THEN 'table' ELSE 'search' END AS route FROM q")
 def q_question_routes(s, d):
-    return given(s, X.QUESTIONS).select(F.col("qid").cast("long").alias("qid"), tables.route("question").alias("route"))
+    return given(s, d, R.QUESTIONS).select(F.col("qid").cast("long").alias("qid"), tables.route("question").alias("route"))
 
 
 def _longest(t: str, names: dict[str, str], whole: int) -> str:
-    test = lambda a: f"regexp_matches({t}, '\\b{a}\\b')" if len(a) <= whole else f"contains({t}, '{a}')"
+    # Words end where letters of any alphabet do, which this engine's \\b doesn't know.
+    test = lambda a: f"regexp_matches({t}, '(?:^|[^\\pL\\pN_]){a}(?:$|[^\\pL\\pN_])')" if len(a) <= whole else f"contains({t}, '{a}')"
     return "CASE " + " ".join(f"WHEN {test(a)} THEN '{names[a]}'" for a in sorted(names, key=len, reverse=True)) + " END"
 
 
 _ENTITIES = f"""SELECT qid, question, {_longest('t', V.QUESTION_CAMPUS_ALIASES, 0)} AS q_campus, {_longest('t', V.QUESTION_PROGRAM_ALIASES, 3)} AS q_program,
- coalesce(nullif(upper(regexp_extract(question, '(?i)\\b(AP1-M|AP2-M|A1-M|A2-M|AP1|AP2|A1|A2|NM|M)\\b', 1)), ''), nullif(regexp_extract(question, '\\b([LNOPRST])\\b', 1), '')) AS q_category,
+ coalesce(nullif(upper(regexp_extract(question, '(?i)(?:^|[^\\pL\\pN_])(AP1-M|AP2-M|A1-M|A2-M|AP1|AP2|A1|A2|NM|M)(?:$|[^\\pL\\pN_])', 1)), ''), nullif(regexp_extract(question, '(?:^|[^\\pL\\pN_])([LNOPRST])(?:$|[^\\pL\\pN_])', 1), '')) AS q_category,
  coalesce(try_cast(regexp_extract(question, '(?i)(?:aggregate|merit)\\s*(?:is|of|=|:)?\\s*(\\d{{2}}(?:\\.\\d+)?)', 1) AS DOUBLE), try_cast(regexp_extract(question, '(?i)(\\d{{2}}(?:\\.\\d+)?)\\s*(?:aggregate|merit)', 1) AS DOUBLE), try_cast(regexp_extract(question, '(?i)(?:got|have|scored|score|aggregate\\s+is)\\s*(?:=|:)?\\s*(\\d{{2}}(?:\\.\\d+)?)', 1) AS DOUBLE),
- try_cast(regexp_extract(question, '(?i)(?:with)\\s*(\\d{{2}}(?:\\.\\d+)?)', 1) AS DOUBLE), try_cast(regexp_extract(question, '\\b(\\d{{2}}(?:\\.\\d+)?)\\b', 1) AS DOUBLE)) AS q_aggregate FROM (SELECT *, lower(question) AS t FROM {X.QUESTIONS})"""
+ try_cast(regexp_extract(question, '(?i)(?:with)\\s*(\\d{{2}}(?:\\.\\d+)?)', 1) AS DOUBLE), try_cast(regexp_extract(question, '\\b(\\d{{2}}(?:\\.\\d+)?)\\b', 1) AS DOUBLE)) AS q_aggregate FROM (SELECT *, lower(question) AS t FROM {R.QUESTIONS})"""
 
 
-def _entities(s):
-    q = given(s, X.QUESTIONS)
+def _entities(s, d):
+    q = given(s, d, R.QUESTIONS)
     return q.select("qid", "question", tables.campus("question").alias("q_campus"), tables.program("question").alias("q_program"), tables.category("question").alias("q_category"), tables.aggregate("question").alias("q_aggregate"))
 
 
 @query(f"SELECT qid::BIGINT AS qid, q_campus, q_program, q_category, q_aggregate FROM ({_ENTITIES})")
 def q_entities(s, d):
-    return _entities(s).select(F.col("qid").cast("long").alias("qid"), "q_campus", "q_program", "q_category", "q_aggregate")
+    return _entities(s, d).select(F.col("qid").cast("long").alias("qid"), "q_campus", "q_program", "q_category", "q_aggregate")
 
 
 _KEYED = "trim(regexp_replace(regexp_replace(lower({0}), '\\([^)]*\\)', ' ', 'g'), '[^a-z0-9]+', ' ', 'g'))"
 
 
-@query(f"""WITH e AS ({_ENTITIES}), r AS (SELECT * FROM {X.RECORDS}), k AS (SELECT e.*, r.*, {_KEYED.format('program')} AS a, {_KEYED.format('q_program')} AS b, lower(campus) AS c, lower(q_campus) AS d FROM e, r)
+@query(f"""WITH e AS ({_ENTITIES}), r AS (SELECT * FROM {R.RECORDS}), k AS (SELECT e.*, r.*, {_KEYED.format('program')} AS a, {_KEYED.format('q_program')} AS b, lower(campus) AS c, lower(q_campus) AS d FROM e, r)
  SELECT qid::BIGINT AS qid, campus, program, category, page::BIGINT AS page, closing_merit::DOUBLE AS closing_merit, round(q_aggregate - closing_merit, 5)::DOUBLE AS difference, q_aggregate >= closing_merit AS selected, CASE WHEN q_aggregate IS NULL THEN 'merit' ELSE 'merit_check' END AS kind FROM k
  WHERE (q_program IS NULL OR contains(a, b) OR contains(b, a)) AND (q_campus IS NULL OR contains(c, d) OR contains(d, c)) AND (q_category IS NULL OR lower(category) = lower(q_category)) AND (q_program IS NOT NULL OR q_campus IS NOT NULL OR q_category IS NOT NULL)""")
 def q_table_answers(s, d):
-    some = _entities(s).where("q_program is not null or q_campus is not null or q_category is not null")
-    rows = tables.compared(tables.asked(given(s, X.RECORDS).withColumn("closing_merit", F.col("closing_merit").cast("double")), some))
+    some = _entities(s, d).where("q_program is not null or q_campus is not null or q_category is not null")
+    rows = tables.compared(tables.asked(given(s, d, R.RECORDS).withColumn("closing_merit", F.col("closing_merit").cast("double")), some))
     return rows.select(F.col("qid").cast("long").alias("qid"), "campus", "program", "category", F.col("page").cast("long").alias("page"), "closing_merit", "difference", "selected", F.when(F.col("q_aggregate").isNull(), "merit").otherwise("merit_check").alias("kind"))
 
 
-@query(f"""WITH q AS (SELECT qid, lower(question) AS t, question FROM {X.QUESTIONS}) SELECT qid::BIGINT AS qid, CASE WHEN contains(t, 'program') AND (contains(t, 'all') OR contains(t, 'show') OR contains(t, 'list')) THEN 'programs' WHEN regexp_matches(t, '\\b(?:below|under|less than|above|over|greater than)\\s+\\d') THEN 'threshold' ELSE 'lookup' END AS command,
+@query(f"""WITH q AS (SELECT qid, lower(question) AS t, question FROM {R.QUESTIONS}) SELECT qid::BIGINT AS qid, CASE WHEN contains(t, 'program') AND (contains(t, 'all') OR contains(t, 'show') OR contains(t, 'list')) THEN 'programs' WHEN regexp_matches(t, '\\b(?:below|under|less than|above|over|greater than)\\s+\\d') THEN 'threshold' ELSE 'lookup' END AS command,
  CASE WHEN regexp_matches(t, '\\b(?:below|under|less than)\\b') THEN '<' WHEN regexp_matches(t, '\\b(?:above|over|greater than)\\s+\\d') THEN '>' END AS side, try_cast(regexp_extract(t, '\\b(?:below|under|less than|above|over|greater than)\\s+(\\d{{1,3}}(?:\\.\\d+)?)', 1) AS DOUBLE) AS value,
  {_longest('t', V.TABLE_CAMPUS_ALIASES, 99)} AS campus FROM q""")
 def q_commands(s, d):
-    rows = given(s, X.QUESTIONS).select(F.col("qid").cast("long").alias("qid"), tables.command("question").alias("command"), tables.threshold("question").alias("t"), tables.typed_campus("question").alias("campus"))
+    rows = given(s, d, R.QUESTIONS).select(F.col("qid").cast("long").alias("qid"), tables.command("question").alias("command"), tables.threshold("question").alias("t"), tables.typed_campus("question").alias("campus"))
     return rows.select("qid", "command", "t.side", "t.value", "campus")
 
 
-@query(f"""SELECT qid::BIGINT AS qid, {_longest('lower(question)', V.TABLE_PROGRAM_ALIASES, 99)} AS program, list_filter(regexp_extract_all(question, '\\b(\\d{{1,3}}(?:\\.\\d+)?)\\b', 1), lambda x: x::DOUBLE <= 100 AND (contains(x, '.') OR x::DOUBLE >= 50))[1]::DOUBLE AS aggregate, {_longest('lower(question)', V.TABLE_CATEGORY_ALIASES, 99)} AS category FROM {X.QUESTIONS}""")
+@query(f"""SELECT qid::BIGINT AS qid, {_longest('lower(question)', V.TABLE_PROGRAM_ALIASES, 99)} AS program, list_filter(regexp_extract_all(question, '\\b(\\d{{1,3}}(?:\\.\\d+)?)\\b', 1), lambda x: x::DOUBLE <= 100 AND (contains(x, '.') OR x::DOUBLE >= 50))[1]::DOUBLE AS aggregate, {_longest('lower(question)', V.TABLE_CATEGORY_ALIASES, 99)} AS category FROM {R.QUESTIONS}""")
 def q_typed_entities(s, d):
-    return given(s, X.QUESTIONS).select(F.col("qid").cast("long").alias("qid"), tables.typed_program("question").alias("program"), tables.typed_aggregate("question").alias("aggregate"), answers.typed_category("question").alias("category"))
+    return given(s, d, R.QUESTIONS).select(F.col("qid").cast("long").alias("qid"), tables.typed_program("question").alias("program"), tables.typed_aggregate("question").alias("aggregate"), answers.typed_category("question").alias("category"))
 
 
 _COMPACT = "regexp_replace(lower({0}), '[^a-z0-9]+', '', 'g')"
-_TYPED = f"""WITH t AS (SELECT qid, question, {COLLAPSE.format('lower(question)')} AS t FROM {X.TYPED}),
+_TYPED = f"""WITH t AS (SELECT qid, question, {COLLAPSE.format('lower(question)')} AS t FROM {R.TYPED}),
  f AS (SELECT *, {_longest('t', V.TABLE_CAMPUS_ALIASES, 99)} AS want_campus, {_longest('t', V.TABLE_PROGRAM_ALIASES, 99)} AS alias_program, {_longest('t', V.TABLE_CATEGORY_ALIASES, 99)} AS want_category,
   CASE WHEN regexp_matches(t, '\\bafternoon\\b') THEN 'Afternoon' WHEN regexp_matches(t, '\\bevening\\b') THEN 'Evening' WHEN regexp_matches(t, '\\bmorning\\b') THEN 'Morning' END AS want_session,
   CASE WHEN regexp_matches(t, '\\bnon[- ]?ecat\\b') THEN 'Non-ECAT' WHEN regexp_matches(t, '\\becat\\b') THEN 'ECAT' END AS want_type,
@@ -715,7 +720,7 @@ _TYPED = f"""WITH t AS (SELECT qid, question, {COLLAPSE.format('lower(question)'
   try_cast(regexp_extract(t, '\\b(?:below|under|less than|above|over|greater than)\\s+(\\d{{1,3}}(?:\\.\\d+)?)', 1) AS DOUBLE) AS value, regexp_matches(t, '\\b(?:below|under|less than)\\b') AS lower_side,
   {COLLAPSE.format(f"regexp_replace(regexp_replace(t, '{V.FILTER_WORDS}', ' ', 'g'), '{V.CATEGORY_WORDS}', ' ', 'g')")} AS rest FROM t),
  c AS (SELECT *, CASE WHEN contains(t, 'program') AND {any_of('t', ('all', 'show', 'list'))} AND want_campus IS NOT NULL THEN 'programs' WHEN value IS NOT NULL THEN 'threshold' ELSE 'lookup' END AS command FROM f),
- r AS (SELECT * FROM {X.RECORDS}), names AS (SELECT DISTINCT program AS name FROM r),
+ r AS (SELECT * FROM {R.RECORDS}), names AS (SELECT DISTINCT program AS name FROM r),
  a AS (SELECT qid, lower(CASE rest {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in V.TABLE_PROGRAM_ALIASES.items())} ELSE rest END) AS asked FROM c WHERE command = 'lookup' AND alias_program IS NULL AND rest <> ''),
  m AS (SELECT qid, name, lower(name) = asked AS whole FROM a, names WHERE contains(lower(name), asked) OR contains({_COMPACT.format('name')}, {_COMPACT.format('asked')})),
  o AS (SELECT qid, min(name) AS one FROM m WHERE whole OR qid NOT IN (SELECT qid FROM m WHERE whole) GROUP BY 1 HAVING count(*) = 1),
@@ -728,11 +733,11 @@ _TYPED = f"""WITH t AS (SELECT qid, question, {COLLAPSE.format('lower(question)'
  AND (want_session IS NULL OR session = want_session) AND (want_type IS NULL OR admission_type = want_type) AND (command <> 'threshold' OR CASE WHEN lower_side THEN closing_merit < value ELSE closing_merit > value END)
  UNION ALL SELECT DISTINCT qid, command, campus, program, NULL, NULL, NULL, NULL::DOUBLE, NULL::DOUBLE, NULL::DOUBLE, NULL FROM w JOIN r ON campus = want_campus WHERE command = 'programs'""")
 def q_typed_questions(s, d):
-    rows = given(s, X.RECORDS).withColumn("closing_merit", F.col("closing_merit").cast("double"))
-    return answers.run_questions(rows, given(s, X.TYPED)).withColumn("qid", F.col("qid").cast("long"))
+    rows = given(s, d, R.RECORDS).withColumn("closing_merit", F.col("closing_merit").cast("double"))
+    return answers.run_questions(rows, given(s, d, R.TYPED)).withColumn("qid", F.col("qid").cast("long"))
 
 
-@query(f"""WITH e AS ({_ENTITIES}), k AS (SELECT e.*, r.*, {_KEYED.format('program')} AS a, {_KEYED.format('q_program')} AS b FROM e, (SELECT * FROM {X.RECORDS}) r),
+@query(f"""WITH e AS ({_ENTITIES}), k AS (SELECT e.*, r.*, {_KEYED.format('program')} AS a, {_KEYED.format('q_program')} AS b FROM e, (SELECT * FROM {R.RECORDS}) r),
  f AS (SELECT *, '**' || program || ' — ' || campus || '**' AS head FROM k WHERE (q_program IS NULL OR contains(a, b) OR contains(b, a)) AND (q_campus IS NULL OR contains(lower(campus), lower(q_campus)) OR contains(lower(q_campus), lower(campus))) AND (q_category IS NULL OR lower(category) = lower(q_category))),
  l AS (SELECT qid, q_aggregate, page, CASE WHEN q_aggregate IS NULL THEN head || ' | ' || category || ' | ' || session || ' | ' || admission_type || printf(' → **%.5f**', closing_merit::DOUBLE)
   ELSE chr(10) || head || chr(10) || '- Category: ' || category || chr(10) || '- Session: ' || session || chr(10) || '- Type: ' || admission_type || chr(10) || printf('- Current closing merit: **%.5f**', closing_merit::DOUBLE) || chr(10) || printf('- Difference: **%+.5f**', round(q_aggregate - closing_merit, 5)::DOUBLE)
@@ -740,50 +745,51 @@ def q_typed_questions(s, d):
  t AS (SELECT qid, count(*) AS n, CASE WHEN q_aggregate IS NULL THEN '' ELSE printf('Your aggregate: **%.5f**', q_aggregate) || chr(10) END || string_agg(line, chr(10) ORDER BY page, line) || chr(10) || chr(10) || '[🔗 Open official the merit source](https://x.example/list.pdf)' AS answer FROM l GROUP BY qid, q_aggregate)
  SELECT e.qid::BIGINT AS qid, CASE WHEN n IS NULL THEN 'merit_not_found' WHEN q_aggregate IS NULL THEN 'merit' ELSE 'merit_check' END AS kind, coalesce(n, 0)::BIGINT AS n_records, coalesce(answer, 'No current merit record was found for the requested program, campus, or category.') AS answer FROM e LEFT JOIN t ON e.qid = t.qid""")
 def q_merit_answers(s, d):
-    return answers.merit_answers(given(s, X.RECORDS), _entities(s), "page", source_url="https://x.example/list.pdf").withColumn("qid", F.col("qid").cast("long"))
+    return answers.merit_answers(given(s, d, R.RECORDS), _entities(s, d), "page", source_url="https://x.example/list.pdf").withColumn("qid", F.col("qid").cast("long"))
 
 
-@query(f"""SELECT program, count(*) AS n_rows, min(closing_merit)::DOUBLE AS lowest FROM {X.RECORDS} WHERE closing_merit < 75 GROUP BY 1""")
+@query(f"""SELECT program, count(*) AS n_rows, min(closing_merit)::DOUBLE AS lowest FROM {R.RECORDS} WHERE closing_merit < 75 GROUP BY 1""")
 def q_below(s, d):
-    return given(s, X.RECORDS).where("closing_merit < 75").groupBy("program").agg(F.count("*").alias("n_rows"), F.min("closing_merit").cast("double").alias("lowest"))
+    return given(s, d, R.RECORDS).where("closing_merit < 75").groupBy("program").agg(F.count("*").alias("n_rows"), F.min("closing_merit").cast("double").alias("lowest"))
 
 
 _ORDINAL = "CASE lower(regexp_extract({0}, '(?i)\\b(" + "|".join(V.ORDINAL_WORDS) + ")\\s+merit\\s*list', 1)) " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in V.ORDINAL_WORDS.items()) + " END"
 _LIST_NUMBER = "coalesce(try_cast(regexp_extract({0}, '(?i)(\\d+)\\s*(?:st|nd|rd|th)?\\s+merit\\s*list', 1) AS BIGINT), try_cast(regexp_extract({0}, '(?i)merit\\s*list\\s*(?:no\\.?|number)?\\s*[:\\-]?\\s*(\\d+)', 1) AS BIGINT), " + _ORDINAL + ")"
 
 
-@query(f"""WITH l AS (SELECT pos::BIGINT AS pos, {_LIST_NUMBER.format('title')}::BIGINT AS list_number, url, coalesce(list_max(regexp_extract_all(title, '20\\d{{2}}')), '0')::INT AS year FROM {X.LISTS})
+@query(f"""WITH l AS (SELECT pos::BIGINT AS pos, {_LIST_NUMBER.format('title')}::BIGINT AS list_number, url, coalesce(list_max(regexp_extract_all(title, '20\\d{{2}}')), '0')::INT AS year FROM {R.LISTS})
  SELECT pos, list_number, url FROM l WHERE list_number IS NOT NULL ORDER BY year DESC, list_number DESC, pos LIMIT 1""")
 def q_latest_list(s, d):
-    rows = given(s, X.LISTS).withColumn("list_number", tables.list_number("title")).where("list_number is not null")
+    rows = given(s, d, R.LISTS).withColumn("list_number", tables.list_number("title")).where("list_number is not null")
     return tables.latest(rows, "title", "list_number", "pos").select(F.col("pos").cast("long").alias("pos"), F.col("list_number").cast("long").alias("list_number"), "url")
 
 
-@query(f"""WITH p AS (SELECT unnest(string_split(regexp_replace('{X.LIST_PAGE}', '(<h[1-6]\\b)', chr(1) || '\\1', 'g'), chr(1))) AS section),
- n AS (SELECT section, row_number() OVER () AS part, trim(regexp_replace(regexp_extract(section, '(?is)^<h[3-5]\\b[^>]*>(.*?)</h[3-5]\\s*>', 1), '<[^>]*>', ' ', 'g')) AS heading FROM p),
+@query(f"""WITH w AS (SELECT page_id, string_split(regexp_replace({_STRIP.format('html')}, '(<h[1-6]\\b)', chr(1) || '\\1', 'g'), chr(1)) AS parts FROM {R.LIST_PAGES}),
+ p AS (SELECT page_id, unnest(parts) AS section, generate_subscripts(parts, 1) AS part FROM w),
+ n AS (SELECT *, trim(regexp_replace(regexp_extract(section, '(?is)^<h[3-5]\\b[^>]*>(.*?)</h[3-5]\\s*>', 1), '<[^>]*>', ' ', 'g')) AS heading FROM p),
  c AS (SELECT * FROM n WHERE (contains(lower(heading), 'merit list') OR contains(lower(heading), 'minimum') AND (contains(lower(heading), 'merit') OR contains(lower(heading), 'aggregate'))) AND NOT {any_of('lower(heading)', V.POSTGRADUATE_WORDS)}),
  l AS (SELECT part, heading, unnest(regexp_extract_all(section, '<a href="([^"]*)">([^<]*)</a>', 1)) AS href, unnest(regexp_extract_all(section, '<a href="([^"]*)">([^<]*)</a>', 2)) AS title, generate_subscripts(regexp_extract_all(section, '<a href="([^"]*)">([^<]*)</a>', 1), 1) AS spot FROM c),
  u AS (SELECT 'https://x.example/' || ltrim(href, '/') AS url, title, heading, part, spot FROM l)
  SELECT url, title, {_LIST_NUMBER.format("(title || ' ' || heading)")}::BIGINT AS list_number FROM u QUALIFY row_number() OVER (PARTITION BY url ORDER BY part DESC, spot DESC) = 1""")
 def q_discovered_lists(s, d):
-    page = s.createDataFrame([(X.LIST_PAGE, "https://x.example/")], "html string, base string")
-    return tables.discovered_lists(page, "html", "base").select("url", "title", F.col("list_number").cast("long").alias("list_number"))
+    pages = given(s, d, R.LIST_PAGES).withColumn("base", F.lit("https://x.example/"))
+    return tables.discovered_lists(pages, "html", "base").select("url", "title", F.col("list_number").cast("long").alias("list_number"))
 
 
 _CAMPUS = "CASE lower({0}) " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in V.TABLE_CAMPUS_ALIASES.items()) + " ELSE {0} END"
 
 
-@query(f"""WITH RECURSIVE p AS (SELECT page, list(cell ORDER BY pos) AS c FROM {X.CELLS} WHERE NOT (lower(cell) IN ({quoted(V.HEADER_CELLS)}, '') OR regexp_matches(lower(cell), '^(campus discipline|admission:|merit list no)') OR contains(lower(cell), 'university of engineering') OR (starts_with(lower(cell), 'ug-') AND contains(lower(cell), 'page'))) GROUP BY 1),
+@query(f"""WITH RECURSIVE p AS (SELECT page, list(cell ORDER BY pos) AS c FROM {R.CELLS} WHERE NOT (lower(cell) IN ({quoted(V.HEADER_CELLS)}, '') OR regexp_matches(lower(cell), '^(campus discipline|admission:|merit list no)') OR contains(lower(cell), 'university of engineering') OR (starts_with(lower(cell), 'ug-') AND contains(lower(cell), 'page'))) GROUP BY 1),
  walk AS (SELECT page, c, 1 AS i FROM p UNION ALL SELECT page, c, CASE WHEN {{good}} THEN i + 6 ELSE i + 1 END FROM walk WHERE i + 5 <= len(c))
  SELECT page::BIGINT AS page, {_CAMPUS.format('c[i]')} AS campus, c[i + 1] AS program, upper(c[i + 2]) AS category, upper(c[i + 3][1]) || lower(c[i + 3][2:]) AS session, CASE lower(c[i + 4]) WHEN 'ecat' THEN 'ECAT' ELSE 'Non-ECAT' END AS admission_type, c[i + 5]::DOUBLE AS closing_merit FROM walk WHERE i + 5 <= len(c) AND {{good}}""".format(
     good="(lower(c[i + 3]) IN ('morning', 'evening', 'afternoon') AND lower(c[i + 4]) IN ('ecat', 'non-ecat') AND regexp_matches(c[i + 2], '(?i)^(A1-M|A2-M|AP1-M|AP2-M|A1|A2|AP1|AP2|NM|M|[A-Z]{1,2})$') AND try_cast(c[i + 5] AS DOUBLE) BETWEEN 0 AND 100 AND c[i + 1] <> '')"
 ))
 def q_table_records(s, d):
-    pages = given(s, X.CELLS).groupBy("page").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "cell"))), lambda c: c["cell"]).alias("cells"))
+    pages = given(s, d, R.CELLS).groupBy("page").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "cell"))), lambda c: c["cell"]).alias("cells"))
     return tables.records(pages).select(F.col("page").cast("long").alias("page"), "campus", "program", "category", "session", "admission_type", "closing_merit")
 
 
-@query(f"""WITH RECURSIVE i AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY y, x, text) AS n FROM {X.ITEMS}),
+@query(f"""WITH RECURSIVE i AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY y, x, text) AS n FROM {R.ITEMS}),
  m AS (SELECT page, list_sort(list(h))[count(*) // 2 + 1] AS median, max(x) - min(x) AS width FROM i GROUP BY 1),
  walk AS (SELECT page, n, y AS anchor, 0 AS line_no FROM i WHERE n = 1 UNION ALL
   SELECT i.page, i.n, CASE WHEN i.y - anchor > greatest(median * 1.3, 8) THEN i.y ELSE anchor END, line_no + (i.y - anchor > greatest(median * 1.3, 8))::INT FROM walk w JOIN i ON i.page = w.page AND i.n = w.n + 1 JOIN m ON m.page = w.page),
@@ -792,7 +798,7 @@ def q_table_records(s, d):
  cells AS (SELECT c.page, line_no, col, string_agg(text, ' ' ORDER BY x, text) AS cell FROM c JOIN walk w ON c.page = w.page AND c.n = w.n GROUP BY ALL)
  SELECT page::BIGINT AS page, line_no::BIGINT AS line_no, string_agg(cell, ' | ' ORDER BY col) AS line FROM cells GROUP BY ALL""")
 def q_table_lines(s, d):
-    items = given(s, X.ITEMS)
+    items = given(s, d, R.ITEMS)
     return layout.table_lines(items).select(F.col("page").cast("long").alias("page"), F.col("line_no").cast("long").alias("line_no"), "line")
 
 
@@ -803,19 +809,36 @@ def q_gap_clusters(s, d):
     return layout.gap_clusters(events, ["user_id"], "t", F.lit(3600.0)).groupBy("user_id", F.col("cluster").cast("long").alias("cluster")).agg(F.count("*").alias("n_events"))
 
 
-_FOUND = f"""WITH RECURSIVE walk(node, depth) AS (SELECT 'a', 0 UNION SELECT dst, depth + 1 FROM walk JOIN {X.LINKS} ON src = node WHERE depth < 20), least AS (SELECT node, min(depth) AS depth FROM walk GROUP BY 1),
- found AS (SELECT l.node, l.depth::BIGINT AS depth, min(u.node) AS parent FROM least l LEFT JOIN {X.LINKS} ON dst = l.node LEFT JOIN least u ON u.node = src AND u.depth = l.depth - 1 GROUP BY ALL)"""
+_ANCHOR = """'(?is)<a\\b[^>]*?\\bhref\\s*=\\s*["'']([^"'']*)["''][^>]*>(.*?)</a\\s*>', 1"""
+_LINK_GRAPH = f"""c AS (SELECT page_id, {_STRIP.format('html')} AS x FROM pages), a AS (SELECT page_id, regexp_extract_all(x, {_ANCHOR}) AS hrefs FROM c),
+ k AS (SELECT page_id, {_DECODE.format('href')} AS href, pos FROM (SELECT page_id, unnest(hrefs) AS href, generate_subscripts(hrefs, 1) - 1 AS pos FROM a)),
+ e AS (SELECT src, dst, min(pos) AS pos FROM (SELECT 'p' || page_id AS src, href AS dst, pos FROM k UNION ALL SELECT href, 'p' || page_id, page_id FROM k) GROUP BY 1, 2)"""
+
+
+def _link_graph(s, d):
+    """Pages link to addresses, addresses lead to the pages that link to them."""
+    links = table(s, d, "pages").select("page_id", F.posexplode(html.links("html")).alias("pos", "link")).select("page_id", F.col("pos").cast("long").alias("pos"), "link.href")
+    page = F.concat(F.lit("p"), F.col("page_id"))
+    edges = links.select(page.alias("src"), F.col("href").alias("dst"), "pos").unionAll(links.select(F.col("href").alias("src"), page.alias("dst"), F.col("page_id").alias("pos")))
+    return edges.groupBy("src", "dst").agg(F.min("pos").alias("pos"))
+
+
+_FOUND = f"""WITH RECURSIVE {_LINK_GRAPH}, walk(node, depth) AS (SELECT 'p0', 0 UNION SELECT dst, depth + 1 FROM walk JOIN e ON src = node WHERE depth < 20), least AS (SELECT node, min(depth) AS depth FROM walk GROUP BY 1),
+ found AS (SELECT l.node, l.depth::BIGINT AS depth, min(u.node) AS parent FROM least l LEFT JOIN e ON dst = l.node LEFT JOIN least u ON u.node = src AND u.depth = l.depth - 1 GROUP BY ALL)"""
+
+
+def _found_nodes(s, d):
+    return graph.breadth_first(_link_graph(s, d), s.sql("SELECT 'p0' AS node"))
 
 
 @query(f"{_FOUND} SELECT node, depth, parent FROM found")
 def q_discovery(s, d):
-    return graph.breadth_first(given(s, X.LINKS), s.sql("SELECT 'a' AS node")).select("node", F.col("depth").cast("long").alias("depth"), "parent")
+    return _found_nodes(s, d).select("node", F.col("depth").cast("long").alias("depth"), "parent")
 
 
 @query(f"{_FOUND} SELECT parent AS node, string_agg(node, ',' ORDER BY node) AS children FROM found WHERE parent IS NOT NULL GROUP BY 1")
 def q_tree(s, d):
-    nodes = graph.breadth_first(given(s, X.LINKS), s.sql("SELECT 'a' AS node"))
-    return graph.children(nodes).select("node", F.array_join("children", ",").alias("children"))
+    return graph.children(_found_nodes(s, d)).select("node", F.array_join("children", ",").alias("children"))
 
 
 @query("""WITH u AS (SELECT page_id, url, CASE WHEN page_id % 4 = 0 THEN 'checked' ELSE 'found' END AS status, 1 AS v FROM pages UNION ALL SELECT page_id, url, 'error', 2 FROM pages WHERE page_id % 6 = 0),
@@ -859,9 +882,9 @@ def q_id_sample(s, d):
     return reports.every_nth(e, ["vec_id"], n, max(1, n // 10), 10)
 
 
-@query(f"""SELECT page::BIGINT AS page, program || ' (' || campus || ', ' || category || '): closing merit ' || printf('%.5f', closing_merit::DOUBLE) || CASE WHEN page % 2 = 0 THEN '' ELSE '; your aggregate ' || printf('%.5f', 75.5::DOUBLE) || ' is ' || CASE WHEN 75.5 >= closing_merit THEN 'above' ELSE 'below' END || ' by ' || printf('%+.5f', 75.5 - closing_merit::DOUBLE) END AS line FROM {X.RECORDS}""")
+@query(f"""SELECT page::BIGINT AS page, program || ' (' || campus || ', ' || category || '): closing merit ' || printf('%.5f', closing_merit::DOUBLE) || CASE WHEN page % 2 = 0 THEN '' ELSE '; your aggregate ' || printf('%.5f', 75.5::DOUBLE) || ' is ' || CASE WHEN 75.5 >= closing_merit THEN 'above' ELSE 'below' END || ' by ' || printf('%+.5f', 75.5 - closing_merit::DOUBLE) END AS line FROM {R.RECORDS}""")
 def q_answer_lines(s, d):
-    rows = given(s, X.RECORDS)
+    rows = given(s, d, R.RECORDS)
     return rows.select(F.col("page").cast("long").alias("page"), reports.answer_line(F.col("program"), F.col("campus"), F.col("category"), F.col("closing_merit").cast("double"), F.when(F.col("page") % 2 == 1, 75.5)).alias("line"))
 
 
@@ -888,16 +911,16 @@ def q_json_keys(s, d):
     return table(s, d, "events").groupBy("event_type").agg(F.count("*").alias("n_rows"), F.min(keys).cast("long").alias("fewest_keys"), F.max(keys).cast("long").alias("most_keys"))
 
 
-@query(f"SELECT json_extract_string(value, '$.url') AS url, json_extract_string(value, '$.title') AS title FROM json_tree('{X.NESTED}') WHERE type = 'OBJECT' AND trim(json_extract_string(value, '$.url')) <> ''")
+@query(f"SELECT json_extract_string(value, '$.url') AS url, json_extract_string(value, '$.title') AS title FROM {R.NESTED}, json_tree(doc) WHERE type = 'OBJECT' AND trim(json_extract_string(value, '$.url')) <> ''")
 def q_url_records(s, d):
-    doc = s.sql(f"SELECT parse_json('{X.NESTED}') AS doc")
-    return files.url_records(doc).select("url", F.get_json_object("record", "$.title").alias("title"))
+    docs = given(s, d, R.NESTED).select(F.parse_json("doc").alias("doc"))
+    return files.url_records(docs).select("url", F.get_json_object("record", "$.title").alias("title"))
 
 
 @query(f"""SELECT name, CASE WHEN name IN ('_sections.json', '_selected_sections.json') THEN 'SECTIONS' WHEN name = '_content_targets.json' THEN 'TARGETS' WHEN name IN ('_pages_reviewed.json', '_knowledge_refined.json') THEN 'PAGES' WHEN name = '_knowledge_books.json' THEN 'BOOKS' WHEN name = '_actions_registry.json' THEN 'ACTIONS'
- WHEN name = '_knowledge_base.json' THEN 'KNOWLEDGE_BASE' WHEN name = '_pdf_downloads.json' THEN 'DOWNLOADS' WHEN name = '_pdf_duplicates.json' THEN 'DUPLICATES' WHEN starts_with(name, '_pdf_knowledge_') THEN 'PDF_KNOWLEDGE' ELSE 'OTHER' END AS category FROM {X.FILES}""")
+ WHEN name = '_knowledge_base.json' THEN 'KNOWLEDGE_BASE' WHEN name = '_pdf_downloads.json' THEN 'DOWNLOADS' WHEN name = '_pdf_duplicates.json' THEN 'DUPLICATES' WHEN starts_with(name, '_pdf_knowledge_') THEN 'PDF_KNOWLEDGE' ELSE 'OTHER' END AS category FROM {R.FILES}""")
 def q_file_categories(s, d):
-    return given(s, X.FILES).select("name", files.file_category(F.col("name")).alias("category"))
+    return given(s, d, R.FILES).select("name", files.file_category(F.col("name")).alias("category"))
 
 
 # -- assembled rows, audits, structure ---------------------------------------------------
@@ -911,18 +934,18 @@ _INNER = "coalesce(" + ", ".join(f"CASE WHEN json_type(doc, '$.{k}') = 'OBJECT'
 _CATEGORIES = "coalesce(" + ", ".join(f"CASE WHEN json_extract_string({v}, '$.{k}') <> '' THEN json_extract({v}, '$.{k}') END" for v in ("doc", "inner_doc") for k in V.PAGE_FIELDS["categories"]) + ")"
 
 
-@query(f"""WITH p AS (SELECT pos, doc::JSON AS doc FROM {X.RAW_PAGES}), i AS (SELECT *, {_INNER} AS inner_doc FROM p), c AS (SELECT *, {_CATEGORIES} AS cats FROM i)
+@query(f"""WITH p AS (SELECT pos, doc::JSON AS doc FROM {R.RAW_PAGES}), i AS (SELECT *, {_INNER} AS inner_doc FROM p), c AS (SELECT *, {_CATEGORIES} AS cats FROM i)
  SELECT trim(coalesce({_first_json('title')}, '')) AS title, trim(coalesce({_first_json('url')}, '')) AS url, upper(trim(coalesce({_first_json('status')}, ''))) AS status, lower(trim(coalesce({_first_json('role')}, ''))) AS role, replace(lower(trim(coalesce({_first_json('book')}, ''))), ' ', '_') AS book,
  {_first_json('score', '::DOUBLE')} AS score, array_to_string(list_filter(list_transform(CASE json_type(cats) WHEN 'ARRAY' THEN json_extract_string(cats, '$[*]') WHEN 'VARCHAR' THEN string_split(json_extract_string(cats, '$'), ',') ELSE coalesce([json_extract_string(cats, '$')], []) END, lambda x: lower(trim(x))), lambda x: x <> ''), ', ') AS categories,
  lower(trim(coalesce({_first_json('type')}, ''))) AS type, trim(coalesce({_first_json('reason')}, '')) AS reason FROM c""")
 def q_page_rows(s, d):
-    return files.page_rows(given(s, X.RAW_PAGES).select(F.parse_json("doc").alias("doc"))).withColumn("categories", F.array_join("categories", ", "))
+    return files.page_rows(given(s, d, R.RAW_PAGES).select(F.parse_json("doc").alias("doc"))).withColumn("categories", F.array_join("categories", ", "))
 
 
-@query(f"""WITH r AS (SELECT *, row_number() OVER (PARTITION BY lower(campus), lower(program), upper(category), lower(session), lower(admission_type) ORDER BY page) AS nth FROM {X.RECORDS})
+@query(f"""WITH r AS (SELECT *, row_number() OVER (PARTITION BY lower(campus), lower(program), upper(category), lower(session), lower(admission_type) ORDER BY page) AS nth FROM {R.RECORDS})
  SELECT row_number() OVER (ORDER BY lower(campus), lower(program), category, lower(session), lower(admission_type)) - 1 AS place, campus, program, category, page::BIGINT AS page FROM r WHERE nth = 1""")
 def q_sorted_records(s, d):
-    return tables.unique_records(given(s, X.RECORDS), "page").select("place", "campus", "program", "category", F.col("page").cast("long").alias("page"))
+    return tables.unique_records(given(s, d, R.RECORDS), "page").select("place", "campus", "program", "category", F.col("page").cast("long").alias("page"))
 
 
 @query("""SELECT replace(regexp_replace(fullkey, '\\[\\d+\\]', '[]', 'g'), '"', '') AS path, CASE j.type WHEN 'OBJECT' THEN 'object' WHEN 'ARRAY' THEN 'array' WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'NULL' THEN 'null' ELSE 'number' END AS kind, count(*) AS n_values
@@ -941,11 +964,11 @@ def q_graded_audit(s, d):
 
 
 @query(f"""WITH m AS (SELECT pos, coalesce(nullif(regexp_extract(html, '(?is)<ul\\b[^>]*\\sid\\s*=\\s*"quick"[^>]*>(.*?)</ul\\s*>', 1), ''),
- list_filter(regexp_extract_all(html, '(?is)<ul\\b[^>]*\\sclass\\s*=\\s*"(?:[^"]*\\s)?nav-menu(?:\\s[^"]*)?"[^>]*>(.*?)</ul\\s*>', 1), lambda u: len(regexp_extract_all(u, '<a href="')) = 7)[1], '') AS menu FROM {X.MENUS})
+ list_filter(regexp_extract_all(html, '(?is)<ul\\b[^>]*\\sclass\\s*=\\s*"(?:[^"]*\\s)?nav-menu(?:\\s[^"]*)?"[^>]*>(.*?)</ul\\s*>', 1), lambda u: len(regexp_extract_all(u, '<a href="')) = 7)[1], '') AS menu FROM {R.MENUS})
  SELECT pos::BIGINT AS pos, array_to_string(list_filter(regexp_extract_all(menu, '<a href="([^"]*)"', 1), lambda h: NOT starts_with(h, '#')), ',') AS hrefs FROM m""")
 def q_menus(s, d):
     menu = html.menu_html("html", "quick")
-    return given(s, X.MENUS).select(F.col("pos").cast("long").alias("pos"), F.array_join(F.transform(F.filter(html.links(menu), lambda a: ~html.skipped_href(a["href"])), lambda a: a["href"]), ",").alias("hrefs"))
+    return given(s, d, R.MENUS).select(F.col("pos").cast("long").alias("pos"), F.array_join(F.transform(F.filter(html.links(menu), lambda a: ~html.skipped_href(a["href"])), lambda a: a["href"]), ",").alias("hrefs"))
 
 
 @query(f"""WITH {NEAREST}, c AS (SELECT query_id, count(*) AS candidate_count FROM near WHERE rank_no <= 20 GROUP BY 1), r AS (SELECT * FROM near WHERE rank_no <= 8)
@@ -1091,10 +1114,10 @@ def q_query_inputs(s, d):
 
 
 @query(f"""SELECT pos::BIGINT AS pos, CASE WHEN url = '' THEN 'MISSING_URL' WHEN title = '' THEN 'MISSING_TITLE' WHEN kind = '' THEN 'MISSING_ACTION_TYPE' WHEN kind NOT IN ({quoted(V.ACTION_TYPES)}) THEN 'UNKNOWN_ACTION_TYPE:' || kind ELSE 'USABLE' END AS verdict
- FROM (SELECT pos, CASE WHEN pos % 5 = 1 THEN '' ELSE url END AS url, CASE WHEN pos % 5 = 2 THEN '' ELSE title END AS title, CASE pos % 5 WHEN 3 THEN '' WHEN 4 THEN 'dance' ELSE 'login' END AS kind FROM {X.TARGETS})""")
+ FROM (SELECT pos, CASE WHEN pos % 5 = 1 THEN '' ELSE url END AS url, CASE WHEN pos % 5 = 2 THEN '' ELSE title END AS title, CASE pos % 5 WHEN 3 THEN '' WHEN 4 THEN 'dance' ELSE 'login' END AS kind FROM {R.TARGETS})""")
 def q_action_usability(s, d):
     nth = F.col("pos") % 5
-    rows = given(s, X.TARGETS).select(F.col("pos").cast("long").alias("pos"), F.when(nth == 1, " ").otherwise(F.col("url")).alias("url"), F.when(nth == 2, "").otherwise(F.col("title")).alias("title"), F.when(nth == 3, "").when(nth == 4, "dance").otherwise("login").alias("kind"))
+    rows = given(s, d, R.TARGETS).select(F.col("pos").cast("long").alias("pos"), F.when(nth == 1, " ").otherwise(F.col("url")).alias("url"), F.when(nth == 2, "").otherwise(F.col("title")).alias("title"), F.when(nth == 3, "").when(nth == 4, "dance").otherwise("login").alias("kind"))
     return rows.select("pos", classify.action_usability("title", "url", F.col("kind")).alias("verdict"))
 
 
@@ -1156,21 +1179,14 @@ def q_phrase_hits(s, d):
     return rows.select("doc_id", F.array_join(phrases.lists_found(F.col("hits")), ",").alias("lists"), F.array_join(phrases.phrases_found(F.col("hits"), "endings"), ",").alias("endings"), F.size("small").cast("long").alias("n_small"), chars.alias("small_chars"))
 
 
-_ANCHOR = """'(?is)<a\\b[^>]*?\\bhref\\s*=\\s*["'']([^"'']*)["''][^>]*>(.*?)</a\\s*>', 1"""
-
-
-@query(f"""WITH RECURSIVE c AS (SELECT page_id, {_STRIP.format('html')} AS x FROM pages), a AS (SELECT page_id, regexp_extract_all(x, {_ANCHOR}) AS hrefs FROM c),
- k AS (SELECT page_id, {_DECODE.format('href')} AS href, pos FROM (SELECT page_id, unnest(hrefs) AS href, generate_subscripts(hrefs, 1) - 1 AS pos FROM a)),
- e AS (SELECT src, dst, min(pos) AS pos FROM (SELECT 'p' || page_id AS src, href AS dst, pos FROM k UNION ALL SELECT href, 'p' || page_id, page_id FROM k) GROUP BY 1, 2),
+@query(f"""WITH RECURSIVE {_LINK_GRAPH},
  walk(node, depth, path, parent) AS (SELECT 'p0', 0, []::BIGINT[], NULL::VARCHAR UNION ALL SELECT dst, depth + 1, min(list_append(path, pos)), arg_min(src, list_append(path, pos)) FROM walk JOIN e ON src = node WHERE depth < 12 GROUP BY dst, depth),
  first AS (SELECT node, depth, path, parent FROM walk QUALIFY row_number() OVER (PARTITION BY node ORDER BY depth) = 1)
  SELECT node, depth::BIGINT AS depth, parent, row_number() OVER (ORDER BY depth, path) - 1 AS place FROM first QUALIFY place < 60""")
 def q_crawl(s, d):
     """The first 60 pages and addresses that a crawl of the pages' links finds, in the order of its queue: pages link to addresses, addresses lead to the pages that link to them."""
-    links = table(s, d, "pages").select("page_id", F.posexplode(html.links("html")).alias("pos", "link")).select("page_id", F.col("pos").cast("long").alias("pos"), "link.href")
-    page = F.concat(F.lit("p"), F.col("page_id"))
-    edges = links.select(page.alias("src"), F.col("href").alias("dst"), "pos").unionAll(links.select(F.col("href").alias("src"), page.alias("dst"), F.col("page_id").alias("pos")))
-    rows = graph.crawled(edges.groupBy("src", "dst").agg(F.min("pos").alias("pos")), table(s, d, "pages").where("page_id = 0").select(page.alias("node")), 60)
+    roots = table(s, d, "pages").where("page_id = 0").select(F.concat(F.lit("p"), F.col("page_id")).alias("node"))
+    rows = graph.crawled(_link_graph(s, d), roots, 60)
     return rows.select("node", F.col("depth").cast("long").alias("depth"), "parent", F.col("place").cast("long").alias("place"))
 
 

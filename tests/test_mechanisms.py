@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tarnweave.functions.phrases import lists_found, phrase_hits
+from tarnweave.operators import tables
 from tarnweave.operators.graph import crawled
 from tarnweave.operators.profile import rows_at, stored_differences
 from tarnweave.operators.reports import first_middle_last
@@ -101,3 +102,10 @@ def test_stored_differences(spark):
     got = {tuple(r) for r in stored_differences(spark.createDataFrame(changed, wanted.schema), wanted, "k", 16).collect()}
     assert got == {(3, 1, 1, "changed"), (4, 0, 1, "missing"), (900, 1, 0, "surplus"), (5, 2, 1, "doubled"), (None, 2, 1, "doubled"), (7, 4, 3, "doubled")}
     assert stored_differences(wanted.limit(0), wanted, "k", 16).count() == 501 and stored_differences(wanted.limit(0), wanted.limit(0), "k").count() == 0
+
+
+def test_aliases_are_found_longest_first_and_short_ones_as_words_of_any_alphabet(spark):
+    names = {"cs": "C", "ai": "A", "data science": "D", "science": "S"}
+    texts = ["cs and data science", "écs", "cs", "aics science", "ai, science of data", "", None, "x" * 100_000 + " ai"]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").select("k", tables._aliases(F.col("t"), names, 3).alias("found")).collect()
+    assert [r["found"] for r in sorted(rows)] == ["D", None, "C", "S", "S", None, None, "A"]
