@@ -9,6 +9,7 @@ from tarnweave.functions import vocabulary as V
 from tarnweave.functions.classify import first_match
 from tarnweave.functions.text import collapse, compact, contains_any, folded, safe_float
 from tarnweave.operators import tables
+from tarnweave.operators.durable import durable
 
 FIELDS = ("campus", "program", "category", "session", "admission_type")
 
@@ -77,7 +78,8 @@ def fitting(questions: DataFrame, records: DataFrame) -> DataFrame:
 
 def run_questions(records: DataFrame, questions: DataFrame, key: str = "qid", question: str = "question") -> DataFrame:
     """What each typed question yields: key, command (programs, threshold, check, lookup), the record's fields and closing_merit (of programs: campus and program alone), and for check the aggregate, difference and verdict."""
-    asked = named_program(typed(questions, question), records)
+    # What a question says is read once, as several joins need it.
+    asked = durable(named_program(durable(typed(questions, question)), records))
     rows = fitting(asked.where("command <> 'programs'"), records)
     mark = F.col("record.closing_merit")
     rows = rows.where((F.col("command") != "threshold") | F.when(F.col("side") == "<", mark < F.col("value")).otherwise(mark > F.col("value")))

@@ -693,7 +693,7 @@ _KEYED = "trim(regexp_replace(regexp_replace(lower({0}), '\\([^)]*\\)', ' ', 'g'
  SELECT qid::BIGINT AS qid, campus, program, category, page::BIGINT AS page, closing_merit::DOUBLE AS closing_merit, round(q_aggregate - closing_merit, 5)::DOUBLE AS difference, q_aggregate >= closing_merit AS selected, CASE WHEN q_aggregate IS NULL THEN 'merit' ELSE 'merit_check' END AS kind FROM k
  WHERE (q_program IS NULL OR contains(a, b) OR contains(b, a)) AND (q_campus IS NULL OR contains(c, d) OR contains(d, c)) AND (q_category IS NULL OR lower(category) = lower(q_category)) AND (q_program IS NOT NULL OR q_campus IS NOT NULL OR q_category IS NOT NULL)""")
 def q_table_answers(s, d):
-    some = _entities(s, d).where("q_program is not null or q_campus is not null or q_category is not null")
+    some = durable(_entities(s, d)).where("q_program is not null or q_campus is not null or q_category is not null")
     rows = tables.compared(tables.asked(given(s, d, R.RECORDS).withColumn("closing_merit", F.col("closing_merit").cast("double")), some))
     return rows.select(F.col("qid").cast("long").alias("qid"), "campus", "program", "category", F.col("page").cast("long").alias("page"), "closing_merit", "difference", "selected", F.when(F.col("q_aggregate").isNull(), "merit").otherwise("merit_check").alias("kind"))
 
@@ -745,7 +745,7 @@ def q_typed_questions(s, d):
  t AS (SELECT qid, count(*) AS n, CASE WHEN q_aggregate IS NULL THEN '' ELSE printf('Your aggregate: **%.5f**', q_aggregate) || chr(10) END || string_agg(line, chr(10) ORDER BY page, line) || chr(10) || chr(10) || '[🔗 Open official the merit source](https://x.example/list.pdf)' AS answer FROM l GROUP BY qid, q_aggregate)
  SELECT e.qid::BIGINT AS qid, CASE WHEN n IS NULL THEN 'merit_not_found' WHEN q_aggregate IS NULL THEN 'merit' ELSE 'merit_check' END AS kind, coalesce(n, 0)::BIGINT AS n_records, coalesce(answer, 'No current merit record was found for the requested program, campus, or category.') AS answer FROM e LEFT JOIN t ON e.qid = t.qid""")
 def q_merit_answers(s, d):
-    return answers.merit_answers(given(s, d, R.RECORDS), _entities(s, d), "page", source_url="https://x.example/list.pdf").withColumn("qid", F.col("qid").cast("long"))
+    return answers.merit_answers(given(s, d, R.RECORDS), durable(_entities(s, d)), "page", source_url="https://x.example/list.pdf").withColumn("qid", F.col("qid").cast("long"))
 
 
 @query(f"""SELECT program, count(*) AS n_rows, min(closing_merit)::DOUBLE AS lowest FROM {R.RECORDS} WHERE closing_merit < 75 GROUP BY 1""")
