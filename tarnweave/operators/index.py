@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tarnweave.operators.durable import durable
-from tarnweave.operators.vector import _squared, squared_distance, trained_centroids
+from tarnweave.operators.vector import QUERIES, _squared, blocked, bounds, compared, ranked, trained_centroids
 from tarnweave.sources.versions import Manifest, Store
 
 #: Rows of parts' numbers, or of queries, that may be broadcast.
@@ -105,22 +105,20 @@ class VectorIndex:
         probes = durable(lists.withColumn("turn", F.row_number().over(Window.partitionBy("query_id").orderBy("far", "list_no"))))
         parts = self.spark.createDataFrame([(int(n[5:].partition("_")[0]), n[5:], low, high) for n, (_, low, high) in manifest.numbers.items()], "list_no int, part string, low double, high double")
         parts = F.broadcast(parts) if len(manifest.numbers) <= BROADCAST_ROWS else parts
-        best = Window.partitionBy("query_id").orderBy(F.asc_nulls_last("distance"), self.id_col)
-        other = F.col(self.id_col) != F.col("query_id") if skip_self else F.lit(True)
+        n_blocks = max(1, -(-probes.where("turn = 1").count() // QUERIES))
 
-        def scored(wanted: DataFrame, more: Column) -> tuple[DataFrame, int]:
+        def scored(wanted: DataFrame) -> tuple[DataFrame, int]:
             wanted = durable(wanted)
             names = [f"list/{r.part}" for r in wanted.select("part").distinct().collect()]
-            met = self.store.read("list", names, manifest).join(wanted.join(queries, "query_id").drop("list_no"), "part").where(other & more)
-            rows = met.withColumn("distance", squared_distance(F.col(self.vector), F.col("query_vector"))).drop(self.vector, "query_vector", "list_no", "reach", "part", "far", "turn", "low", "high", "bound")
-            return rows.withColumn("rank_no", F.row_number().over(best)).where(F.col("rank_no") <= k), len(names)
+            asked = blocked(wanted.join(queries, "query_id"), n_blocks).select("query_id", "query_vector", "part", "block", *(c for c in ("far", "bound") if "bound" in wanted.columns))
+            rows = self.store.read("list", names, manifest).select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long"))).alias("block"))
+            met = compared(rows, asked, ["part", "block"], max(1, len(names)) * n_blocks, k, self.id_col, self.vector, skip_self, None, ("list_no",))
+            return ranked(met, k, self.id_col), len(names)
 
-        first, n_first = scored(probes.where(F.col("turn") <= n_probe).join(parts, "list_no"), F.lit(True))
+        first, n_first = scored(probes.where(F.col("turn") <= n_probe).join(parts, "list_no"))
         first = durable(first)
-        # Within this distance the k nearest are; without k rows yet, anywhere.
-        bound = first.groupBy("query_id").agg(F.when(F.count("*") == k, F.sqrt(F.max("distance"))).alias("bound"))
-        rest = probes.where(F.col("turn") > n_probe).join(bound, "query_id", "left").join(parts, "list_no")
-        within = lambda reach: F.col("bound").isNull() | (reach <= F.col("bound") + 1e-6)
-        second, n_second = scored(rest.where(within(F.greatest(F.col("far") - F.col("high"), F.col("low") - F.col("far")))), within(F.abs(F.col("far") - F.col("reach"))))
-        out = first.unionByName(second).withColumn("rank_no", F.row_number().over(best)).where(F.col("rank_no") <= k)
+        rest = probes.where(F.col("turn") > n_probe).join(bounds(first, k), "query_id", "left").join(parts, "list_no")
+        nearer = F.greatest(F.col("far") - F.col("high"), F.col("low") - F.col("far"))
+        second, n_second = scored(rest.where(F.col("bound").isNull() | (nearer <= F.col("bound") + 1e-6)))
+        out = ranked(first.unionByName(second), k, self.id_col)
         return out, n_first + n_second
