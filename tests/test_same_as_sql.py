@@ -57,3 +57,9 @@ def test_nearest_knows_copies_nulls_and_lengths(spark, monkeypatch, block):
         for x in vector.nearest(vectors(spark, some), q, k, block=block).orderBy("query_id", "rank_no").collect():
             got.setdefault(x.query_id, []).append((x.vec_id, None if x.distance is None else round(x.distance, 9)))
         assert got == {i: py_near(some, (i, v), k) for i, v in asked if v is not None} | {i: [(j, None) for j in sorted(x[0] for x in some if x[0] != i)[:k]] for i, v in asked if v is None}
+
+
+@pytest.mark.parametrize("name", ["q_retrieve", "q_source_keys", "q_confidence"])
+def test_retrieved_are_among_the_nearest(spark, tmp_path, name):
+    rows = [(0, [0.0, 0.0], 0)] + [(k, [1.0 + k / 100, 0.0], 1 if k < 8 else k % 3) for k in range(1, 30)]
+    same(spark, tmp_path, name, embeddings=vectors(spark, rows))
