@@ -74,7 +74,8 @@ class VectorIndex:
             list_no = int(name.removeprefix("list/").partition("_")[0])
             n_parts[list_no] = n_parts.get(list_no, 0) + 1
         known = F.create_map(*(F.lit(x) for kv in n_parts.items() for x in kv)) if n_parts else F.create_map().cast("map<int,int>")
-        rows = self._listed(vectors, self._centres(base))
+        # An id that is both given and deleted is gone.
+        rows = self._listed(vectors if deleted is None else vectors.join(deleted.select(self.id_col).distinct(), self.id_col, "left_anti"), self._centres(base))
         rows = durable(rows.withColumn("part", F.concat_ws("_", "list_no", F.pmod(F.xxhash64(self.id_col), F.coalesce(F.try_element_at(known, "list_no"), F.lit(1))))))
         ids = rows.select(self.id_col)
         ids = durable(ids if deleted is None else ids.unionByName(deleted.select(self.id_col)).where(F.col(self.id_col).isNotNull()).distinct())

@@ -119,6 +119,14 @@ def same_as_all_pairs(index, rows, k=4, n_probe=1):
     return n_parts
 
 
+def test_deleted_and_given_is_gone(spark, tmp_path):
+    rows = spark.createDataFrame([(k, [float(k)]) for k in range(10)], "vec_id long, embedding array<double>")
+    index = VectorIndex(spark, str(tmp_path / "i"))
+    index.build(rows.where("vec_id < 6"), 2)
+    index.upsert(rows.where("vec_id > 3"), rows.where("vec_id in (1, 4, 7)").select("vec_id"))
+    assert sorted(r.vec_id for r in index.rows().collect()) == [0, 2, 3, 5, 6, 8, 9]
+
+
 @pytest.mark.parametrize("part_rows", [1 << 17, 20])
 def test_index_is_all_pairs(spark, tmp_path, vectors, part_rows):
     index = VectorIndex(spark, str(tmp_path / "i"), part_rows=part_rows, id_parts=4)
