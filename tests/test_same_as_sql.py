@@ -63,3 +63,8 @@ def test_nearest_knows_copies_nulls_and_lengths(spark, monkeypatch, block):
 def test_retrieved_are_among_the_nearest(spark, tmp_path, name):
     rows = [(0, [0.0, 0.0], 0)] + [(k, [1.0 + k / 100, 0.0], 1 if k < 8 else k % 3) for k in range(1, 30)]
     same(spark, tmp_path, name, embeddings=vectors(spark, rows))
+
+
+def test_addresses_with_other_fragments_are_others(spark, tmp_path):
+    rows = [(4 * k, f"https://x.example.net/a{k % 3}{end}", "<a href=\"/p\">Fees</a>") for k, end in enumerate(["", "#top", "/", "#top", "/#b", "//"] * 4)]
+    assert len(same(spark, tmp_path, "q_url_classes", pages=spark.createDataFrame(rows, "page_id long, url string, html string"))) > 3
