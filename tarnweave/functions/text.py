@@ -20,6 +20,10 @@ def once(x: Column, use: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(x), use)[0]
 
 
+#: Edges of a word of ASCII letters, digits and underscores, as \b of the SQL has them; Java's \b also knows other letters, or not, by its version.
+BEGIN, END = "(?<![A-Za-z0-9_])", "(?![A-Za-z0-9_])"
+
+
 def strip(x: Column | str) -> Column:
     """Without white space at the ends; null becomes empty."""
     return F.regexp_replace(F.coalesce(col(x), F.lit("")), rf"^{SPACE}+|(?U)\s+$", "")

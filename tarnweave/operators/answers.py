@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tarnweave.functions import vocabulary as V
 from tarnweave.functions.classify import first_match
-from tarnweave.functions.text import collapse, compact, contains_any, folded, safe_float
+from tarnweave.functions.text import BEGIN, END, collapse, compact, contains_any, folded, safe_float
 from tarnweave.operators import tables
 from tarnweave.operators.durable import durable
 
@@ -20,17 +20,18 @@ def typed_category(q: Column | str) -> Column:
 
 def typed_session(q: Column | str) -> Column:
     t = folded(q)
-    return first_match([(t.rlike(rf"\b{s}\b"), F.lit(V.SESSIONS[s])) for s in ("afternoon", "evening", "morning")], F.lit(None).cast("string"))
+    return first_match([(t.rlike(f"{BEGIN}{s}{END}"), F.lit(V.SESSIONS[s])) for s in ("afternoon", "evening", "morning")], F.lit(None).cast("string"))
 
 
 def typed_admission(q: Column | str) -> Column:
     t = folded(q)
-    return F.when(t.rlike(r"\bnon[- ]?ecat\b"), "Non-ECAT").when(t.rlike(r"\becat\b"), "ECAT")
+    return F.when(t.rlike(f"{BEGIN}non[- ]?ecat{END}"), "Non-ECAT").when(t.rlike(f"{BEGIN}ecat{END}"), "ECAT")
 
 
 def leftover(q: Column | str) -> Column:
     """What a question says beside its filters: perhaps a program's name."""
-    return collapse(F.regexp_replace(F.regexp_replace(folded(q), V.FILTER_WORDS, " "), V.CATEGORY_WORDS, " "))
+    filters, categories = (BEGIN + p.removeprefix(r"\b").removesuffix(r"\b") + END for p in (V.FILTER_WORDS, V.CATEGORY_WORDS))
+    return collapse(F.regexp_replace(F.regexp_replace(folded(q), filters, " "), categories, " "))
 
 
 def typed(questions: DataFrame, question: str = "question") -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tarnweave.functions import html
 from tarnweave.functions import vocabulary as V
-from tarnweave.functions.text import collapse, compact, contains_any, folded, program_key, safe_float
+from tarnweave.functions.text import BEGIN, END, collapse, compact, contains_any, folded, program_key, safe_float
 from tarnweave.operators import dedup
 
 
@@ -26,14 +26,14 @@ def aggregate(q: Column | str) -> Column:
     q = collapse(q)
     patterns = (
         r"(?i)(?:aggregate|merit)\s*(?:is|of|=|:)?\s*(\d{2}(?:\.\d+)?)", r"(?i)(\d{2}(?:\.\d+)?)\s*(?:aggregate|merit)",
-        r"(?i)(?:got|have|scored|score|aggregate\s+is)\s*(?:=|:)?\s*(\d{2}(?:\.\d+)?)", r"(?i)(?:with)\s*(\d{2}(?:\.\d+)?)", r"\b(\d{2}(?:\.\d+)?)\b",
+        r"(?i)(?:got|have|scored|score|aggregate\s+is)\s*(?:=|:)?\s*(\d{2}(?:\.\d+)?)", r"(?i)(?:with)\s*(\d{2}(?:\.\d+)?)", rf"{BEGIN}(\d{{2}}(?:\.\d+)?){END}",
     )
     return F.coalesce(*(F.regexp_extract(q, p, 1).try_cast("double") for p in patterns))
 
 
 def typed_aggregate(q: Column | str) -> Column:
     """Of the numbers up to 100, the first with decimals or of 50 and more."""
-    numbers = F.regexp_extract_all(F.coalesce(F.col(q) if isinstance(q, str) else q, F.lit("")), F.lit(r"\b(\d{1,3}(?:\.\d+)?)\b"), F.lit(1))
+    numbers = F.regexp_extract_all(F.coalesce(F.col(q) if isinstance(q, str) else q, F.lit("")), F.lit(rf"{BEGIN}(\d{{1,3}}(?:\.\d+)?){END}"), F.lit(1))
     good = F.filter(numbers, lambda n: (n.cast("double") <= 100) & (F.contains(n, F.lit(".")) | (n.cast("double") >= 50)))
     return F.get(good, F.lit(0)).cast("double")
 
@@ -69,7 +69,7 @@ def asks_merit(q: Column | str) -> Column:
     """Whether a question is about closing marks: a telling phrase, or a two-digit number with a campus or a program (as parts of words too)."""
     q = folded(q)
     named = contains_any(q, [*V.QUESTION_CAMPUS_ALIASES, *V.QUESTION_PROGRAM_ALIASES])
-    return contains_any(q, V.MERIT_KEYWORDS) | (q.rlike(r"\b\d{2}(\.\d+)?\b") & named)
+    return contains_any(q, V.MERIT_KEYWORDS) | (q.rlike(rf"{BEGIN}\d{{2}}(\.\d+)?{END}") & named)
 
 
 def route(q: Column | str) -> Column:
@@ -155,11 +155,17 @@ def compared(rows: DataFrame, own: str = "q_aggregate", minimum: str = "closing_
     return rows.withColumn("difference", d).withColumn("selected", F.col(own) >= F.col(minimum)).withColumn("verdict", F.when(d >= 0, "ABOVE").otherwise("BELOW"))
 
 
+def side(q: Column | str) -> Column:
+    """The side of a limit that a question speaks of: < wherever it says below, > for "over 60"; null without either."""
+    q = folded(q)
+    return F.when(q.rlike(rf"{BEGIN}(?:below|under|less than){END}"), "<").when(q.rlike(rf"{BEGIN}(?:above|over|greater than)\s+\d"), ">")
+
+
 def threshold(q: Column | str) -> Column:
     """Of "below 75" or "over 60": struct of side (<, >) and value; null without one."""
     q = folded(q)
-    value = F.regexp_extract(q, r"\b(?:below|under|less than|above|over|greater than)\s+(\d{1,3}(?:\.\d+)?)", 1).try_cast("double")
-    return F.when(value.isNotNull(), F.struct(F.when(q.rlike(r"\b(?:below|under|less than)\b"), "<").otherwise(">").alias("side"), value.alias("value")))
+    value = F.regexp_extract(q, rf"{BEGIN}(?:below|under|less than|above|over|greater than)\s+(\d{{1,3}}(?:\.\d+)?)", 1).try_cast("double")
+    return F.when(value.isNotNull(), F.struct(F.when(q.rlike(rf"{BEGIN}(?:below|under|less than){END}"), "<").otherwise(">").alias("side"), value.alias("value")))
 
 
 def command(q: Column | str) -> Column:

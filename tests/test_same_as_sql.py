@@ -68,3 +68,13 @@ def test_retrieved_are_among_the_nearest(spark, tmp_path, name):
 def test_addresses_with_other_fragments_are_others(spark, tmp_path):
     rows = [(4 * k, f"https://x.example.net/a{k % 3}{end}", "<a href=\"/p\">Fees</a>") for k, end in enumerate(["", "#top", "/", "#top", "/#b", "//"] * 4)]
     assert len(same(spark, tmp_path, "q_url_classes", pages=spark.createDataFrame(rows, "page_id long, url string, html string"))) > 3
+
+
+SAID = ["below", "underä 60", "ällover 70", "over 60 morningé", "ß55.5 ecat", "77ü", "éa1ä in lahore", "nmß", "ä12.5 fest", "less than"]
+
+
+@pytest.mark.parametrize("name", ["q_commands", "q_typed_entities", "q_question_routes", "q_entities", "q_typed_questions"])
+def test_words_end_at_other_letters(spark, tmp_path, name):
+    rows = [(3 * k, 0, "user", said) for k, said in enumerate(SAID * 5)]
+    own = {t: spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("lineitem", "orders", "customer")} if name == "q_typed_questions" else {}
+    same(spark, tmp_path, name, conversations=spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), **own)
