@@ -12,9 +12,10 @@ from tarnweave.operators.durable import durable
 def breadth_first(edges: DataFrame, roots: DataFrame, most_depth: int | None = None, most_nodes: int | None = None) -> DataFrame:
     """Nodes reached from the roots (column node) over edges (src, dst, pos): node, depth, parent (the first to find it: smallest parent, then place).
 
-    One join and one anti-join a level. Every level is written once, to the shared folder, so plans stay short and lost executors cost one level.
+    One join and one anti-join a level. The edges are computed once, as every level reads them; every level is written once, to the shared folder, so plans stay short and lost executors cost one level.
     `most_nodes` is the crawl budget: discovery stops after the level that reaches it.
     """
+    edges = durable(edges.select("src", "dst", "pos"))
     level = durable(roots.select(F.col("node"), F.lit(0).alias("depth"), F.lit(None).cast(edges.schema["src"].dataType).alias("parent")).distinct())
     seen, n_nodes, depth = level, level.count(), 0
     while True:
@@ -35,6 +36,7 @@ def crawled(edges: DataFrame, roots: DataFrame, most_nodes: int, most_depth: int
     A node is found by that page of the level before that comes first in the queue, and there by its first link (pos). Each level is put in this order
     over range partitions, numbered by counting, and cut where the budget ends, so that neither a task nor the driver sees a whole level.
     """
+    edges = durable(edges.select("src", "dst", "pos"))
     kind = edges.schema["src"].dataType
     level = placed(roots.select("node").distinct(), ["node"]).where(F.col("place") < most_nodes)
     seen = level = durable(level.select("node", F.lit(0).alias("depth"), F.lit(None).cast(kind).alias("parent"), "place"))

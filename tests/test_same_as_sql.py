@@ -4,8 +4,9 @@ import random
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
-from tarnweave.operators import vector
+from tarnweave.operators import graph, vector
 from tarnweave.plans.queries import ORACLES, QUERIES
 
 
@@ -78,3 +79,15 @@ def test_words_end_at_other_letters(spark, tmp_path, name):
     rows = [(3 * k, 0, "user", said) for k, said in enumerate(SAID * 5)]
     own = {t: spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("lineitem", "orders", "customer")} if name == "q_typed_questions" else {}
     same(spark, tmp_path, name, conversations=spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), **own)
+
+
+def counting(spark, df, column):
+    """df, and how often a row of it is computed."""
+    n = spark.sparkContext.accumulator(0)
+    return df.withColumn(column, F.udf(lambda x: n.add(1) or x, df.schema[column].dataType).asNondeterministic()(column)), n
+
+
+def test_levels_read_edges_that_are_computed_once(spark):
+    edges, n = counting(spark, spark.range(8).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"), F.lit(0).alias("pos")), "dst")
+    found = graph.breadth_first(edges, spark.sql("SELECT 0L AS node"))
+    assert found.count() == 9 and n.value == 8
