@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from array import array
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -39,16 +42,25 @@ def longest_first(hits: list[tuple[str, str, int, int]]) -> list[tuple[str, str,
 def phrase_hits(text: Column, lists: dict[str, list[str]], longest: bool = False) -> Column:
     """Array of (list, phrase, start from 0, stop) in order of start, stop, list: all occurrences, or with `longest` those of each list that a reading from the left takes. Case and characters count as they are; null is empty."""
     made = []
+    pairs = sorted({(name, p) for name, ps in lists.items() for p in ps if p})
+    at = {pair: n for n, pair in enumerate(pairs)}
 
-    @F.pandas_udf(f"array<{HIT}>")
-    def found(texts: pd.Series) -> pd.Series:
+    @F.arrow_udf(f"array<{HIT}>")
+    def found(texts: pa.Array) -> pa.Array:
         if not made:
             made.append(automaton(lists))
-        a, out = made[0], []
+        # Hits are kept as numbers, as those of all texts of a batch are held at once.
+        a, which, start, stop, ends = made[0], array("i"), array("i"), array("i"), array("i", [0])
         for t in texts:
-            hits = [(name, p, end + 1 - len(p), end + 1) for end, (p, names) in a.iter(t or "") for name in names] if len(a) else []
-            out.append([dict(zip(("list", "phrase", "start", "stop"), h)) for h in sorted(longest_first(hits) if longest else hits, key=lambda h: (h[2], h[3], h[0]))])
-        return pd.Series(out)
+            hits = [(name, p, end + 1 - len(p), end + 1) for end, (p, names) in a.iter(t.as_py() or "") for name in names] if len(a) else []
+            for h in sorted(longest_first(hits) if longest else hits, key=lambda h: (h[2], h[3], h[0])):
+                which.append(at[h[:2]])
+                start.append(h[2])
+                stop.append(h[3])
+            ends.append(len(which))
+        numbers = lambda x: pa.array(np.frombuffer(x, np.int32) if len(x) else np.zeros(0, np.int32))
+        names, own = (pa.array([p[k] for p in pairs], pa.string()).take(numbers(which)) for k in (0, 1))
+        return pa.ListArray.from_arrays(numbers(ends), pa.StructArray.from_arrays([names, own, numbers(start), numbers(stop)], ["list", "phrase", "start", "stop"]))
 
     return found(text)
 
