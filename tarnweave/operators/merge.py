@@ -38,12 +38,19 @@ def excluded(rows: DataFrame, keys: DataFrame, key: str) -> tuple[DataFrame, Dat
 
 
 def backfill(rows: DataFrame, candidates: DataFrame, id_col: str, keys: list[str], fields: list[str], complete: Column, order: str) -> DataFrame:
-    """Rows with `fields` from candidates that share a key, keys in order of priority: the first complete one, else the first. An OR of keys as one equi-join per key."""
-    parts = [rows.select(id_col, k).where(f"{k} <> ''").join(candidates.select(F.col(k), F.struct(*fields).alias("fields"), F.col(order).alias("place"), complete.alias("complete")), k).select(id_col, F.lit(p).alias("priority"), "complete", "place", "fields") for p, k in enumerate(keys)]
+    """Rows with `fields` from candidates that share a key, keys in order of priority: the first complete one, else the first. An OR of keys as one equi-join per key.
+
+    Of a key's candidates only the best can be taken, so they become one before the join: what is joined, sorted and shuffled after it is a row for each row and key, however many candidates share a key.
+    """
+    rank = F.struct(F.when(complete, 0).when(~complete, 1).otherwise(2).alias("incomplete"), F.col(order).alias("place"))
+    parts = []
+    for p, k in enumerate(keys):
+        known = candidates.where(f"{k} <> ''").groupBy(k).agg(F.min_by(F.struct(*fields), rank).alias("fields"), F.min(rank).alias("rank"))
+        parts.append(rows.select(id_col, k).where(f"{k} <> ''").join(known, k).select(id_col, F.lit(p).alias("priority"), "rank", "fields"))
     all_of = parts[0]
     for p in parts[1:]:
         all_of = all_of.unionByName(p)
-    best = all_of.groupBy(id_col).agg(F.min_by(F.struct("fields", "priority"), F.struct((~F.col("complete")).cast("int"), "priority", "place")).alias("best"))
+    best = all_of.groupBy(id_col).agg(F.min_by(F.struct("fields", "priority"), F.struct("rank.incomplete", "priority", "rank.place")).alias("best"))
     own = [c for c in rows.columns if c not in fields]
     return rows.join(best, id_col, "left").select(*own, *(F.coalesce(F.nullif(F.col(f).cast("string"), F.lit("")), F.col(f"best.fields.{f}").cast("string")).alias(f) if f in rows.columns else F.col(f"best.fields.{f}").alias(f) for f in fields), F.col("best.priority").alias("priority"))
 

@@ -91,3 +91,23 @@ def test_levels_read_edges_that_are_computed_once(spark):
     edges, n = counting(spark, spark.range(8).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"), F.lit(0).alias("pos")), "dst")
     found = graph.breadth_first(edges, spark.sql("SELECT 0L AS node"))
     assert found.count() == 9 and n.value == 8
+
+
+def joined_rows(plan):
+    """Rows that the joins of an executed plan gave."""
+    own = plan.metrics().apply("numOutputRows").value() if "Join" in plan.nodeName() else 0
+    return own + sum(joined_rows(plan.children().apply(k)) for k in range(plan.children().size()))
+
+
+def test_backfill_joins_one_candidate_to_a_key(spark, tmp_path):
+    lines = [(k, 1 + k % 7, 1, n, [None, "", "A", "R"][(k + n) % 4]) for k in range(40) for n in range(1, 4)]
+    orders = [(k, k % 5) for k in range(60)]
+    own = {"lineitem": spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_returnflag string"), "orders": spark.createDataFrame(orders, "o_orderkey long, o_custkey long")}
+    same(spark, tmp_path, "q_backfill", **own)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        df = QUERIES["q_backfill"](spark, str(tmp_path))
+        assert len(df.collect()) == 60
+        assert joined_rows(df._jdf.queryExecution().executedPlan()) <= 3 * 60
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
