@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -247,10 +248,26 @@ def contains_any(x: Column, parts: list[str]) -> Column:
     return out
 
 
+def core(pattern: str) -> str:
+    """A lower case text that all a pattern matches holds, whatever the case; empty where none is told."""
+    if not pattern.isascii() or re.search(r"[{}]|\(\?[^:]|\\[pPQEkxu0-9]", pattern):
+        return ""
+    parts = re.sub(r"\(\?:[^()]*\)[?*+]?|\[[^\]]*\][?*+]?|\\?.[?*]|\\[A-Za-z]|(?<!\\)[\^$.+]", "\0", pattern)
+    return "" if re.search(r"(?<!\\)[|()\[\]]", parts) else max((re.sub(r"\\(.)", r"\1", x) for x in parts.split("\0")), key=len).lower()
+
+
+def found_any(x: Column, low: Column, patterns: list[str]) -> Column:
+    """Whether any pattern is found, whatever the case. `low` is x in lower case: a pattern is only looked for in texts that hold its core, as looking for a fixed text is far quicker."""
+    out = F.lit(False)
+    for p in patterns:
+        out = out | (F.contains(low, F.lit(core(p))) & x.rlike(f"(?i)(?:{p})"))
+    return out
+
+
 def pattern_signals(x: Column | str, patterns: dict[str, list[str]]) -> Column:
     """Names, in their order, of the lists of which any pattern is found, whatever the case."""
-    x = F.coalesce(col(x), F.lit(""))
-    return F.array_compact(F.array(*(F.when(x.rlike("(?i)(?:" + "|".join(ps) + ")"), k) for k, ps in patterns.items())))
+    found = lambda x, low: F.array_compact(F.array(*(F.when(found_any(x, low, ps), k) for k, ps in patterns.items())))
+    return once(F.coalesce(col(x), F.lit("")), lambda x: once(F.lower(x), lambda low: found(x, low)))
 
 
 def matched(x: Column | str, parts: list[str]) -> Column:

@@ -252,3 +252,12 @@ def test_gap_clusters(spark):
     df = spark.createDataFrame([("a", x) for x in (1.0, 2.0, 9.0, 10.0, 30.0)] + [("b", 5.0)], "k string, x double")
     got = {(r.k, r.x): r.cluster for r in layout.gap_clusters(df, ["k"], "x", F.lit(5.0)).collect()}
     assert got == {("a", 1.0): 0, ("a", 2.0): 0, ("a", 9.0): 1, ("a", 10.0): 1, ("a", 30.0): 2, ("b", 5.0): 0}
+
+
+def test_patterns_are_looked_for_where_their_core_is(spark):
+    assert [text.core(p) for p in (r"\bfee\b", r"ph\.?d", "step.*application", r"/UG-\d", "/news(?:/|$)", r"^https?://a\.edu/?$", "colou?r", "a|b", "(x)y", "ab{2}", r"\Qa\E", "É", "[ab]+c")] == ["fee", "ph", "application", "/ug-", "/news", "://a.edu", "colo", "", "", "", "", "", "c"]
+    lists = {"fee": [r"\bfee\b", "fee structure"], "steps": ["step.*application"], "k": ["kiss"], "either": ["no|yes", "x{2}"], "end": ["/news(?:/|$)"]}
+    texts = [None, "", "FEE", "coffee", "Coffee, Fee Structures", "coffee FEE", "STEP one\nApplication", "Step 1: Application", "Kiss", "KIſS", "Kiss", "İ fee", "YES", "axXb", "/newspaper", "/NEWS"]
+    plain = F.array_compact(F.array(*(F.when(F.coalesce("t", F.lit("")).rlike("(?i)(?:" + "|".join(ps) + ")"), k) for k, ps in lists.items())))
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(text.pattern_signals("t", lists).alias("found"), plain.alias("want")).collect()
+    assert [r.found for r in rows] == [r.want for r in rows] and sum(map(len, (r.found for r in rows))) == 9
