@@ -11,6 +11,9 @@ from tarnweave.functions.text import BEGIN, END, collapse, compact, contains_any
 from tarnweave.operators import tables
 from tarnweave.operators.durable import durable
 
+#: Answers of up to so many bytes are broadcast to the questions.
+BROADCAST_BYTES = 64 << 20
+
 FIELDS = ("campus", "program", "category", "session", "admission_type")
 
 
@@ -114,20 +117,28 @@ def check_lines(r: Column, minimum: Column, own: Column) -> Column:
 
 
 def merit_answers(records: DataFrame | None, questions: DataFrame, order: str, key: str = "qid", source_url: str | None = None, site: str = "the") -> DataFrame:
-    """Each question's answer: key, kind (merit_unavailable, merit_empty, merit_not_found, merit_invalid_records, merit_check, merit), n_records and answer. Questions have q_program, q_campus, q_category and q_aggregate; no records at all means that the list can't be had. A question's records are few, and put together in their order."""
+    """Each question's answer: key, kind (merit_unavailable, merit_empty, merit_not_found, merit_invalid_records, merit_check, merit), n_records and answer. Questions have q_program, q_campus, q_category and q_aggregate; no records at all means that the list can't be had. An answer's records are put together in their order."""
     said = {k: F.lit(v.format(site=site)) for k, v in V.MERIT_MESSAGES.items()}
     if records is None:
         return questions.select(key, F.lit("merit_unavailable").alias("kind"), F.lit(0).cast("long").alias("n_records"), said["merit_unavailable"].alias("answer"))
     r, minimum, own = F.struct(*(F.col(f) for f in FIELDS)), safe_float(F.col("closing_merit").cast("string")), F.col("q_aggregate")
-    rows = tables.asked(records, questions).withColumn("minimum", minimum)
+    # Questions that ask the same have the same answer, which is put together once for all of them. Questions of one key are answered together, as in SQL: records of each aggregate by themselves.
+    records = durable(records)
+    own_asks = questions.select(key, F.struct("q_program", "q_campus", "q_category", "q_aggregate").alias("ask"))
+    alike = durable(own_asks.where(F.col(key).isNotNull()).groupBy(key).agg(F.array_sort(F.collect_list("ask")).alias("asks")))
+    rows = tables.asked(records, alike.select("asks").distinct().select("asks", F.explode("asks").alias("ask")).select("asks", "ask.*")).withColumn("minimum", minimum)
     line = F.when(own.isNull(), lookup_line(r, F.col("minimum"))).when(F.col("minimum").isNotNull(), check_lines(r, F.col("minimum"), own))
-    found = rows.withColumn("line", line).groupBy(key).agg(F.count("*").alias("n_found"), F.count("line").alias("n_records"), F.array_sort(F.collect_list(F.when(F.col("line").isNotNull(), F.struct(order, "line")))).alias("lines"))
+    found = rows.withColumn("line", line).groupBy("asks", "q_aggregate").agg(F.count("*").alias("n_found"), F.count("line").alias("n_records"), F.array_sort(F.collect_list(F.when(F.col("line").isNotNull(), F.struct(order, "line")))).alias("lines"))
     link = F.lit(None).cast("string") if source_url is None else F.lit(f"\n[🔗 Open official {site} merit source]({source_url})")
     empty = F.lit(records.isEmpty())
     text = F.array_join(F.transform("lines", lambda x: x["line"]), "\n")
-    out = questions.join(found, key, "left").withColumn("kind", F.when(empty, "merit_empty").when(F.coalesce("n_found", F.lit(0)) == 0, "merit_not_found").when(F.col("n_records") == 0, "merit_invalid_records").when(own.isNotNull(), "merit_check").otherwise("merit"))
     whole = F.concat_ws("\n", F.when(own.isNotNull(), F.format_string("Your aggregate: **%.5f**", own)), text, link)
-    answer = F.when(F.col("kind").isin("merit", "merit_check"), whole)
+    found = durable(found.select(F.col("asks").alias("answered"), "n_found", "n_records", whole.alias("whole")))
+    size = found.agg(F.coalesce(F.sum(F.octet_length("whole") + 32 * F.size("answered")), F.lit(0))).first()[0]
+    each = alike.select(key, "asks", F.explode("asks").alias("ask")).unionByName(own_asks.where(F.col(key).isNull()).withColumn("asks", F.lit(None).cast(alike.schema["asks"].dataType)))
+    out = each.join(F.broadcast(found) if size <= BROADCAST_BYTES else found, F.col("asks") == F.col("answered"), "left")
+    out = out.withColumn("kind", F.when(empty, "merit_empty").when(F.coalesce("n_found", F.lit(0)) == 0, "merit_not_found").when(F.col("n_records") == 0, "merit_invalid_records").when(F.col("ask.q_aggregate").isNotNull(), "merit_check").otherwise("merit"))
+    answer = F.when(F.col("kind").isin("merit", "merit_check"), F.col("whole"))
     for k in ("merit_empty", "merit_not_found", "merit_invalid_records"):
         answer = answer.when(F.col("kind") == k, said[k])
     return out.select(key, "kind", F.coalesce("n_records", F.lit(0)).cast("long").alias("n_records"), answer.alias("answer"))

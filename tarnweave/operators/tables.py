@@ -45,7 +45,8 @@ def _aliases(text: Column, table: dict[str, str], whole: int) -> Column:
     """
     order = sorted(table, key=len, reverse=True)
     found = F.regexp_extract_all(text, F.lit("(?=(" + "|".join(rf"\b\Q{a}\E\b" if len(a) <= whole else rf"\Q{a}\E" for a in order) + "))"), F.lit(1))
-    longest = F.get(F.filter(F.array(*(F.lit(a) for a in order)), lambda a: F.array_contains(found, a)), F.lit(0))
+    # In a lambda over the aliases, what was found would be computed for each of them.
+    longest = F.get(F.array_intersect(F.array(*(F.lit(a) for a in order)), found), F.lit(0))
     return F.try_element_at(F.create_map(*(F.lit(x) for kv in table.items() for x in kv)), longest)
 
 

@@ -6,7 +6,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from tarnweave.operators import graph, vector
+from tarnweave.operators import answers, graph, tables, vector
 from tarnweave.plans.queries import ORACLES, QUERIES
 
 
@@ -111,3 +111,26 @@ def test_backfill_joins_one_candidate_to_a_key(spark, tmp_path):
         assert joined_rows(df._jdf.queryExecution().executedPlan()) <= 3 * 60
     finally:
         spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+@pytest.mark.parametrize("name", ["q_merit_answers", "q_table_answers"])
+def test_questions_of_one_key_are_answered_as_in_sql(spark, tmp_path, name):
+    said = ["", "61.5 merit", "cs at lahore, 70.5", "category A1", "ai in ksk", None]
+    rows = [(k, t, "user", said[(k + t) % 6]) for k in range(40) for t in range(2)] + [(k, 0, "user", said[k % 6] or "x") for k in range(30)] + [(1, 1000, "user", "80.5"), (3, None, "user", "none")]
+    own = {t: spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("lineitem", "orders", "customer")}
+    same(spark, tmp_path, name, conversations=spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), **own)
+
+
+def test_answers_are_put_together_once_for_equal_questions(spark, monkeypatch):
+    seen = []
+    plain = tables.asked
+    monkeypatch.setattr(tables, "asked", lambda records, asked: seen.append(asked.count()) or plain(records, asked))
+    records = spark.createDataFrame([("Main Campus (LHR)", "Data Science", "A1", "Morning", "ECAT", 70.0, 1)], "campus string, program string, category string, session string, admission_type string, closing_merit double, page int")
+    asks = spark.range(90).select(F.col("id").alias("qid"), F.lit(None).cast("string").alias("q_program"), F.lit("Main Campus (LHR)").alias("q_campus"), F.lit(None).cast("string").alias("q_category"), (F.col("id") % 3 + 60).cast("double").alias("q_aggregate"))
+    got = answers.merit_answers(records, asks, "page").collect()
+    assert len(got) == 90 and {r.kind for r in got} == {"merit_check"} and len({r.answer for r in got}) == 3 and seen == [3]
+
+
+def test_a_text_is_searched_for_aliases_once(spark):
+    plan = spark.range(1).select(tables.program(F.col("id").cast("string")).alias("x"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all(") == 1 and "lambda" not in plan
