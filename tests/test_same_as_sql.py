@@ -3,11 +3,13 @@
 import random
 
 import duckdb
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tarnweave.operators import answers, graph, tables, vector
 from tarnweave.plans.queries import ORACLES, QUERIES
+from tarnweave.sources import pdf_words
 
 
 def same(spark, folder, name, **given):
@@ -134,3 +136,13 @@ def test_answers_are_put_together_once_for_equal_questions(spark, monkeypatch):
 def test_a_text_is_searched_for_aliases_once(spark):
     plan = spark.range(1).select(tables.program(F.col("id").cast("string")).alias("x"))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_extract_all(") == 1 and "lambda" not in plan
+
+
+def test_pdf_tables_are_made_by_all_partitions_a_few_files_at_a_time(spark, tmp_path, monkeypatch):
+    rows = [(k, "x", "en", "src", 1) for k in range(3000)] + [(None, "x", "en", "src", 1)] * 2
+    read = []
+    plain = pdf_words.pdf_words
+    monkeypatch.setattr(pdf_words, "pdf_words", lambda files, **kw: read.append(files) or plain(files, **kw))
+    same(spark, tmp_path, "q_pdf_tables", documents=spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int"))
+    sizes = read[0].select("file").mapInArrow(lambda bs: (pa.RecordBatch.from_arrays([pa.array([b.num_rows])], ["n"]) for b in bs), "n long").select("n", F.spark_partition_id().alias("part")).collect()
+    assert len({r.part for r in sizes}) == 4 and sum(r.n for r in sizes) == 429
