@@ -12,7 +12,7 @@ exists; the counts of one and two bytes before, whose number the alphabet bounds
 Weights are learned online over the grams, a gram's own occurrence left out of the counts that predict it, twice by each block
 from where the last of two rounds ended, and averaged over the blocks; then the map is learned. Blocks and their order are
 given by the grams, so scores don't depend on how rows are dealt. Each distinct gram of the corpus is costed once, in its
-block; the costs come back to the chunks in the order of their grams.
+block; the costs come back to the chunks in the order of their grams' hashes.
 
 The base is a unigram model: tokens travel as each chunk's distinct words in blocks of a hash, and the
 counts come back in the same order, so what is shuffled is each chunk's vocabulary, not its tokens. Words are numbers on the way; only two of
@@ -46,7 +46,7 @@ LEVELS = 5
 GATES = 8 * LEVELS * LEVELS
 STEPS = 33
 CHUNK_BYTES = 8 << 20
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 _DELTA = np.float32(0.25)
 
 _T = mixed(np.arange(1, 257, dtype=np.uint64)).astype(np.uint32)
@@ -56,41 +56,41 @@ _P = mixed(np.arange(2001, 2065, dtype=np.uint64)).astype(np.uint32) | np.uint32
 # -- grams ------------------------------------------------------------------
 
 
-def grams(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of each byte and end symbol of the texts: in the lower 48 bits the byte and the 5 before it, in the upper 16 a hash of what the word so far holds before those (0: nothing); and the n + 1 places where texts begin."""
+def grams(raw: np.ndarray, at: np.ndarray, words: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Of each byte and end symbol of the texts: in the lower 48 bits the byte and the 5 before it, in the upper 16 a hash of what the word so far holds before those (0: nothing); and the n + 1 places where texts begin. `words` are those of words_of()."""
+    starts, stops, first = words_of(raw, at, SPACED) if words is None else words
     n = np.diff(at)
     where = at[:-1] + np.arange(n.size) * (REACH + 1)  # each text is led by REACH end symbols and followed by one
-    padded = np.full(raw.size + n.size * (REACH + 1), END, np.uint8)
-    shift = np.repeat(where + REACH - at[:-1], n)
-    padded[np.arange(raw.size) + shift] = raw
+    padded = np.full(raw.size + n.size * (REACH + 1) + 8, END, np.uint8)
+    own = np.zeros(padded.size, bool)
+    own[:-8] = True
+    for d in range(REACH):
+        own[where + d] = False
+    own[where + REACH + n] = False
+    padded[own] = raw
     # The REACH + 1 bytes from each place on, read as one big-endian number.
-    wide = np.concatenate([padded, np.zeros(8, np.uint8)])
-    out = np.ndarray(max(0, padded.size - REACH), ">u8", wide, strides=(1,)).astype(np.uint64)
+    out = np.ndarray(max(0, padded.size - 8 - REACH), "<u8", padded, strides=(1,)).copy().byteswap(inplace=True)
     out >>= np.uint64(8 * (7 - REACH))
-    inside = SPACED[padded] & (padded != END)
-    place = np.arange(padded.size, dtype=np.int32)
-    begins = inside.copy()
-    begins[1:] &= ~inside[:-1]
-    start = np.maximum.accumulate(np.where(begins, place, np.int32(0)))
-    value = _T[padded]
-    value *= _P[(place - start) & 63]
-    value *= inside
-    run = np.zeros(padded.size + 1, np.uint32)
-    np.cumsum(value, out=run[1:])
-    # `out[i]` has its byte at i + REACH; what comes before its reach ends at i
-    far = np.flatnonzero(inside[REACH - 1 : -1] & (place[: out.size] > start[REACH - 1 : -1]))
-    s = start[far + (REACH - 1)]
-    h = run[far] - run[s] + (far - s).astype(np.uint32)
+    # Of a word, all but the last REACH bytes are before the reach of what follows them.
+    size = stops - starts - REACH
+    long = np.flatnonzero(size > 0)
+    size, start = size[long], (starts + np.repeat(where + REACH - at[:-1], np.diff(first)))[long]
+    place = np.cumsum(size) - size
+    nth = np.arange(size.sum()) - np.repeat(place, size)
+    far = nth + np.repeat(start, size)
+    value = _T[padded[far]] * _P[nth & 63]
+    h = np.cumsum(value, dtype=np.uint32)
+    h -= np.repeat(h[place] - value[place], size)
+    h += (nth + 1).astype(np.uint32)
     h *= np.uint32(0x7FEB352D)
     h ^= h >> np.uint32(15)
     h *= np.uint32(0x846CA68B)
-    out[far] |= (h >> np.uint32(16) | np.uint32(1)).astype(np.uint64) << np.uint64(48)
+    out[far + 1] |= (h >> np.uint32(16) | np.uint32(1)).astype(np.uint64) << np.uint64(48)
     keep = np.ones(out.size, bool)
     for d in range(1, REACH + 1):  # windows that end in the next text's lead
         edge = where[1:] - d
         keep[edge[edge >= 0]] = False
-    first = np.concatenate([[0], np.cumsum(n + 1)])
-    return out[keep], first
+    return out[keep], np.concatenate([[0], np.cumsum(n + 1)])
 
 
 def _runs(sorted_keys: np.ndarray) -> np.ndarray:
@@ -98,23 +98,29 @@ def _runs(sorted_keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate([[True], sorted_keys[1:] != sorted_keys[:-1]])) if sorted_keys.size else np.zeros(0, np.int64)
 
 
-def _by_context(gram: np.ndarray) -> np.ndarray:
-    """An order in which equal grams stand together, and those of a context by their bytes. Places ride in the sorted numbers, which is several times as fast as an argsort; contexts whose 32-bit hashes agree may mix, which costs a look-up and nothing else."""
-    if gram.size > 1 << 24:
-        return np.argsort(gram)
-    key = np.empty_like(gram)
-    for lo in range(0, gram.size, 1 << 18):  # in parts, as memory for intermediate arrays is short
-        some, part = gram[lo : lo + (1 << 18)], key[lo : lo + (1 << 18)]
-        np.right_shift(some, np.uint64(8), out=part)
-        part *= np.uint64(0x9E3779B97F4A7C15)
-        part ^= part >> np.uint64(29)
-        part *= np.uint64(0xBF58476D1CE4E5B9)
-        part &= np.uint64(0xFFFFFFFF00000000)
-        part |= (some & np.uint64(255)) << np.uint64(24)
-        part |= np.arange(lo, lo + some.size, dtype=np.uint64)
+#: Grams times this are their hashes: the order in which costs travel. It is odd, so no two grams share one.
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _by_hash(gram: np.ndarray, n_distinct: int) -> tuple[np.ndarray, np.ndarray]:
+    """An order of grams by their hashes, and where each of the n_distinct runs of equal ones begins. Places ride in the lower bits of the sorted hashes, which is several times as fast as an argsort; where upper bits agree, which shows in fewer runs, whole hashes decide."""
+    h, bits = gram * _ODD, np.uint64(int(gram.size).bit_length())
+    low = (np.uint64(1) << bits) - np.uint64(1)
+    key = h & ~low
+    for lo in range(0, key.size, 1 << 16):  # in parts, which stay in the cache
+        key[lo : lo + (1 << 16)] |= np.arange(lo, min(lo + (1 << 16), key.size), dtype=np.uint64)
     key.sort()
-    key &= np.uint64((1 << 24) - 1)
-    return key.view(np.int64)
+    head = _runs(key >> bits)
+    key &= low
+    order = key.view(np.int64)
+    if head.size == n_distinct:
+        return order, head
+    h = h[order]
+    mixed_up = np.unique(np.searchsorted(head, np.setdiff1d(_runs(h), head, assume_unique=True), side="right") - 1)
+    for lo, hi in zip(head[mixed_up], np.append(head, h.size)[mixed_up + 1], strict=True):
+        own = lo + np.argsort(h[lo:hi], kind="stable")
+        order[lo:hi], h[lo:hi] = order[own], h[own]
+    return order, _runs(h)
 
 
 def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -145,12 +151,16 @@ def _context(order: int, gram: np.ndarray) -> np.ndarray:
     return context
 
 
-def _bit_counts(key: np.ndarray, count: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """For each bit of the last bytes of sorted keys: where what precedes it changes, and how often a zero and a one are there."""
-    for j in range(8):
-        head = _runs(key >> np.uint64(8 - j))
-        ones = np.add.reduceat(count * ((key >> np.uint64(7 - j)) & np.uint64(1)).astype(np.int64), head)
-        yield head, np.add.reduceat(count, head) - ones, ones
+def _bit_counts(key: np.ndarray, count: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each bit of the last bytes of sorted keys, the last first: where what precedes it changes, and how often a zero and a one are there. Each bit's counts are summed from those of the bit behind it."""
+    head = _runs(key)
+    total = np.add.reduceat(count, head)
+    for j in range(7, -1, -1):
+        node = key[head] >> np.uint64(7 - j)
+        up = _runs(node >> np.uint64(1))
+        ones = np.add.reduceat(total * (node & np.uint64(1)).astype(np.int64), up)
+        head, total = head[up], np.add.reduceat(total, up)
+        yield j, head, total - ones, ones
 
 
 class LowOrder:
@@ -163,17 +173,19 @@ class LowOrder:
         self.rows = np.full(1 << 8 * order, contexts.size, np.int32)
         self.rows[contexts.astype(np.int64)] = np.arange(contexts.size)
         self.n = np.zeros((2, (contexts.size + 1) * 256), np.float32)
-        for j, (head, zeros, ones) in enumerate(_bit_counts(key, count) if key.size else ()):
+        for j, head, zeros, ones in _bit_counts(key, count) if key.size else ():
             place = row[head] * 256 + ((key[head] & np.uint64(255) | np.uint64(256)) >> np.uint64(8 - j)).astype(np.int64)
             self.n[0, place], self.n[1, place] = zeros, ones
 
-    def counts(self, gram: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def counts(self, gram: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """As _bit_counts(), of the contexts of these grams; neighbours that agree are looked up once."""
         key = gram & self.mask
-        row = self.rows[(key >> np.uint64(8)).astype(np.int64)].astype(np.int64) * 256
-        node = (key & np.uint64(255) | np.uint64(256)).astype(np.int64)
-        for j in range(8):
-            place = row + (node >> (8 - j))
-            yield self.n[0, place], self.n[1, place]
+        head = np.arange(key.size)
+        for j in range(7, -1, -1):
+            head = head[_runs(key[head] >> np.uint64(8 - j))]
+            some = key[head]
+            place = self.rows[(some >> np.uint64(8)).astype(np.int64)].astype(np.int64) * 256 + ((some & np.uint64(255) | np.uint64(256)) >> np.uint64(8 - j)).astype(np.int64)
+            yield j, head, self.n[0, place], self.n[1, place]
 
 
 def low_orders(key: np.ndarray, count: np.ndarray) -> dict[int, LowOrder]:
@@ -205,32 +217,38 @@ class Block:
         self.gram, self.leave_out = gram, leave_out
         self.odds = np.empty((8, len(ORDERS), gram.size), np.float32)
         self.level = np.empty((8, 2, gram.size), np.int8)
-        everywhere = np.arange(gram.size)
+        self.bit = np.stack([(gram >> np.uint64(7 - j)).astype(np.uint8) & np.uint8(1) for j in range(8)])
         for k, order in enumerate(ORDERS):
             if order in low:
-                for j, (zeros, ones) in enumerate(low[order].counts(gram)):
-                    self._put(j, k, everywhere, zeros, ones)
+                for j, head, zeros, ones in low[order].counts(gram):
+                    self._put(j, k, slice(None), gram.size, head, zeros, ones)
                 continue
             key = _context(order, gram) << np.uint64(8) | gram & np.uint64(255)
             at = np.argsort(key)
-            for j, (head, zeros, ones) in enumerate(_bit_counts(key[at], count[at])):
-                size = np.diff(np.append(head, gram.size))
-                self._put(j, k, at, np.repeat(zeros.astype(np.float32), size), np.repeat(ones.astype(np.float32), size))
+            for j, head, zeros, ones in _bit_counts(key[at], count[at]):
+                self._put(j, k, at, at.size, head, zeros, ones)
         # Words of which less than two bytes are there may stand in other blocks as well: they are contexts of low order.
         last, second = (~SPACED[((gram >> np.uint64(8 * d)) & np.uint64(255)).astype(np.uint8)] for d in (1, 2))
         for order, short in ((1, last), (2, second & ~last)):
             at = np.flatnonzero(short)
-            for j, (zeros, ones) in enumerate(low[order].counts(gram[at])):
-                self._put(j, ORDERS.index(WORD), at, zeros, ones)
-
-    def _put(self, j: int, k: int, at: np.ndarray, zeros: np.ndarray, ones: np.ndarray) -> None:
-        if self.leave_out:
-            bit = ((self.gram[at] >> np.uint64(7 - j)) & np.uint64(1)).astype(np.float32)
-            zeros, ones = np.maximum(zeros - (1 - bit), 0), np.maximum(ones - bit, 0)
-        self.odds[j, k, at] = np.log(ones + _DELTA) - np.log(zeros + _DELTA)
+            for j, head, zeros, ones in low[order].counts(gram[at]):
+                self._put(j, ORDERS.index(WORD), at, at.size, head, zeros, ones)
+
+    def _put(self, j: int, k: int, at: np.ndarray | slice, n: int, head: np.ndarray, zeros: np.ndarray, ones: np.ndarray) -> None:
+        """For the n grams at these places: what the counts predict, which are the same from each head to the next."""
+        zeros, ones = zeros.astype(np.float32), ones.astype(np.float32)
+        size = np.diff(np.append(head, n))
+        if self.leave_out:  # a zero's own occurrence, or a one's
+            zeros, ones = np.stack([np.maximum(zeros - 1, 0), zeros], 1).ravel(), np.stack([ones, np.maximum(ones - 1, 0)], 1).ravel()
+            of = np.repeat(np.arange(0, zeros.size, 2), size)
+            of += self.bit[j, at]
+            spread = lambda x: x[of]
+        else:
+            spread = lambda x: np.repeat(x, size)
+        self.odds[j, k, at] = spread(np.log(ones + _DELTA) - np.log(zeros + _DELTA))
         if k >= len(ORDERS) - 2:
-            n = zeros + ones
-            self.level[j, k - len(ORDERS) + 2, at] = (n >= 1).astype(np.int8) + (n >= 2) + (n >= 4) + (n >= 16)
+            seen = zeros + ones
+            self.level[j, k - len(ORDERS) + 2, at] = spread((seen >= 1).astype(np.int8) + (seen >= 2) + (seen >= 4) + (seen >= 16))
 
     def gate(self, j: int, at: np.ndarray) -> np.ndarray:
         return (j * LEVELS + self.level[j, 1, at].astype(np.int64)) * LEVELS + self.level[j, 0, at]
@@ -305,7 +323,10 @@ def _word_hash(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
         return np.zeros(0, np.uint64)
     place = np.concatenate([[0], np.cumsum(size)])
     nth = np.arange(place[-1]) - np.repeat(place[:-1], size)
-    return mixed(np.add.reduceat(_W[raw[nth + np.repeat(starts, size)]] * _V[nth & 63], place[:-1]) + size.astype(np.uint64))
+    value = _W[raw[nth + np.repeat(starts, size)]] * _V[nth & 63]
+    far = np.flatnonzero(nth > 63)
+    value[far] *= mixed(nth[far] >> 6) | np.uint64(1)
+    return mixed(np.add.reduceat(value, place[:-1]) + size.astype(np.uint64))
 
 
 def word_codes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -343,15 +364,31 @@ def _plain(data: bytes) -> bytes:
     return pa.decompress(data[8:], int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True)
 
 
+def _planes(x: np.ndarray) -> bytes:
+    """Unsigned numbers by planes of bytes, led by the number of planes that aren't all zero."""
+    n = (int(x.max()).bit_length() + 7) // 8 if x.size else 0
+    planes = np.empty((n, x.size), np.uint8)
+    for k in range(n):
+        planes[k] = x >> np.uint64(8 * k)  # the lowest byte of each
+    return bytes([n]) + planes.tobytes()
+
+
 def _pack_grams(gram: np.ndarray, count: np.ndarray) -> bytes:
     """Sorted grams as differences, by planes of bytes, which pack well."""
-    planes = [np.diff(gram, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T, count.astype("<u8").view(np.uint8).reshape(-1, 8).T]
-    return _squeezed(b"".join(p.tobytes() for p in planes))
+    return _squeezed(gram.size.to_bytes(8, "little") + _planes(np.diff(gram, prepend=np.uint64(0))) + _planes(count.astype(np.uint64)))
 
 
 def _unpack_grams(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    planes = np.frombuffer(_plain(data), np.uint8).reshape(16, -1)
-    return np.cumsum(np.ascontiguousarray(planes[:8].T).view("<u8").ravel()), np.ascontiguousarray(planes[8:].T).view("<i8").ravel()
+    data = np.frombuffer(_plain(data), np.uint8)
+    size, at, out = int(data[:8].view("<u8")[0]), 8, []
+    for _ in range(2):
+        n, at = int(data[at]), at + 1
+        x = np.zeros((size, 8), np.uint8)
+        for k in range(n):
+            x[:, k] = data[at + k * size : at + (k + 1) * size]
+        at += n * size
+        out.append(x.view("<u8").ravel())
+    return np.cumsum(out[0]), out[1].view(np.int64)
 
 
 def _pack_costs(cost: np.ndarray) -> bytes:
@@ -367,7 +404,7 @@ def _unpack_costs(data: bytes) -> np.ndarray:
 
 def _blocks(key: np.ndarray, n_blocks: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """An order of sorted numbers by blocks of a hash of their keys, the blocks, and where each begins and the last ends."""
-    block = (mixed(key) % np.uint64(n_blocks)).astype(np.int64)
+    block = (mixed(key) % np.uint64(n_blocks)).astype(np.uint16 if n_blocks <= 1 << 16 else np.int64)  # short numbers are sorted by radix
     order = np.argsort(block, kind="stable")
     block = block[order]
     first = _runs(block)
@@ -383,33 +420,40 @@ def _gathered(n_blocks: int):
     """For a chunk: all its distinct grams with their training counts (kind 0) and all its distinct words with their training counts (kind 1), by block; and its training texts' number (kind 2)."""
 
     def run(table: pa.Table) -> pa.Table:
-        keys, others, words, uses = [], [], [], []
-        many, times = [], []  # grams of texts that stand for several rows
-        ends, chunk = 0, table.column("chunk")[0].as_py()
-        for part in _slices(table):
-            train = np.where(part.column(3).to_numpy(zero_copy_only=False), 0, part.column(4).to_numpy())
-            ends += int(train.sum())
-            raw, at = text_bytes(part.column(2))
-            raw = lowered(raw)
-            starts, stops, first = words_of(raw, at, SPACED)
-            code, which = _distinct(word_codes(raw, starts, stops))
-            words.append(code)
-            uses.append(np.bincount(which, np.repeat(train, np.diff(first)), code.size).astype(np.int64))
-            gram, begin = grams(raw, at)
-            each = np.repeat(train, np.diff(begin))
-            keys.append(gram[each == 1])
-            others.append(gram[each == 0])
-            many.append(gram[each > 1])
-            times.append(each[each > 1])
-        gram = np.concatenate(keys)
-        del keys
-        gram.sort()
-        head = _runs(gram)
-        gram, count = gram[head], np.diff(np.append(head, gram.size))
-        more = np.sort(np.concatenate(others))
-        more = more[_runs(more)]
-        del others
-        gram, count = _summed([gram, more, *many], [count, np.zeros(more.size, np.int64), *times])
+        words, uses, found = [], [], []
+        chunk = table.column("chunk")[0].as_py()
+        weight = np.where(table.column(3).to_numpy(), 0, table.column(4).to_numpy())
+        # Rows that count once, not, and (as they stand for several) more than once.
+        for some in (weight == 1, weight == 0, weight > 1):
+            keys, times = [], []
+            for part in _slices(table.filter(pa.array(some))):
+                raw, at = text_bytes(part.column(2))
+                raw = lowered(raw)
+                starts, stops, first = of = words_of(raw, at, SPACED)
+                code, which = _distinct(word_codes(raw, starts, stops))
+                train = np.where(part.column(3).to_numpy(zero_copy_only=False), 0, part.column(4).to_numpy())
+                words.append(code)
+                uses.append(np.bincount(which, np.repeat(train, np.diff(first)), code.size).astype(np.int64))
+                gram, begin = grams(raw, at, of)
+                keys.append(gram)
+                if train[0] > 1:
+                    times.append(np.repeat(train, np.diff(begin)))
+            gram = np.concatenate([np.zeros(0, np.uint64), *keys])
+            del keys
+            if times:
+                found.append(_summed([gram], times))
+                continue
+            gram.sort()
+            head = _runs(gram)
+            found.append((gram[head], np.diff(np.append(head, gram.size)) * int(weight[some][0]) if gram.size else head))
+        ends = int(weight.sum())
+        (gram, count), (more, zero), many = found
+        # Those that don't count are put between those that do: both are sorted.
+        place = np.searchsorted(gram, more)
+        new = np.append(gram, ~more[-1:])[place] != more if more.size else np.zeros(0, bool)
+        gram, count = np.insert(gram, place[new], more[new]), np.insert(count, place[new], zero[new])
+        if many[0].size:
+            gram, count = _summed([gram, many[0]], [count, many[1]])
         rows = []
         for kind, (number, n, key) in enumerate(((gram, count, _gram_key(gram)), (own := _summed(words, uses))[:2] + (own[0],))):
             order, which, first = _blocks(key, n_blocks)
@@ -527,14 +571,14 @@ def fit(grams_table: DataFrame, rounds: int = 2, passes: int = 2, rate: float =
 
 
 def _costs(shared: Broadcast, model: Weights):
-    """For a block: the costs of each chunk's grams, in their order."""
+    """For a block: the costs of each chunk's grams, in the order of their hashes."""
 
     def run(summed: pa.Table, chunks: pa.Table) -> pa.Table:
         ((gram, count),) = _held(summed.to_batches())
         cost = np.zeros(gram.size, np.float32)
         for at in _units(gram):
             cost[at] = Block(gram[at], count[at], shared.value).costs(model)
-        out = [_pack_costs(cost[np.searchsorted(gram, own)]) for own, _ in _held(chunks.to_batches())]
+        out = [_pack_costs(cost[np.searchsorted(gram, own)][np.argsort(own * _ODD)]) for own, _ in _held(chunks.to_batches())]
         return pa.Table.from_arrays([pa.array([0] * len(out), pa.int32()), chunks.column("block"), chunks.column("chunk"), pa.array(out, pa.binary())], ["kind", "block", "chunk", "payload"])
 
     return run
@@ -550,16 +594,16 @@ def _scored(n_blocks: int, n: int, v: int, ends: int):
         for part in _slices(docs):
             raw, at = text_bytes(part.column(2))
             raw = lowered(raw)
-            starts, stops, first = words_of(raw, at, SPACED)
+            starts, stops, first = of = words_of(raw, at, SPACED)
             code, which = _distinct(word_codes(raw, starts, stops))
-            gram, begin = grams(raw, at)
+            gram, begin = grams(raw, at, of)
             held.append((part.column(1), part.column(3), part.column(4), np.diff(at), first, which, begin))
             words.append(code)
             keys.append(gram)
         found = {(k, b): x.as_buffer() for k, b, x in zip(back.column("kind").to_pylist(), back.column("block").to_pylist(), back.column("payload"), strict=True)}
 
         def given(kind: int, key: np.ndarray, read: Callable[[bytes], np.ndarray], like: type) -> np.ndarray:
-            """What came back for sorted distinct numbers, which went by blocks."""
+            """What came back for distinct numbers, which went by blocks, in the order in which they did within those."""
             order, blocks, _ = _blocks(key, n_blocks)
             back_of = np.empty(key.size, like)
             back_of[order] = np.concatenate([np.zeros(0, like), *(read(found[kind, int(b)].to_pybytes()) for b in blocks)])
@@ -569,17 +613,14 @@ def _scored(n_blocks: int, n: int, v: int, ends: int):
         own = own[_runs(own)]
         count = given(1, own, lambda x: np.frombuffer(_plain(x), "<i8"), np.int64)
         logs, known = log(count), (count > 0).astype(np.int8)
-        # The costs of the chunk's distinct grams come in the order in which they were gathered.
+        # The costs of the chunk's distinct grams come in the order of their hashes.
         gram = np.concatenate(keys)
         sizes = np.cumsum([k.size for k in keys])
         del keys
-        order = _by_context(gram)
-        gram = gram[order]
-        head = _runs(gram)
-        distinct, which = _distinct(gram[head])
-        each = given(0, _gram_key(distinct), _unpack_costs, np.float32)
+        order, head = _by_hash(gram, sum(int.from_bytes(x[:8], "little") // 4 for (kind, _), x in found.items() if kind == 0))
+        each = given(0, _gram_key(gram[order[head]]), _unpack_costs, np.float32)
         cost = np.empty(gram.size, np.float32)
-        cost[order] = np.repeat(each[which], np.diff(np.append(head, gram.size)))
+        cost[order] = np.repeat(each, np.diff(np.append(head, gram.size)))
         del gram, order
         out = []
         for (ids, tested, copies, size, first, which, begin), words_of_part, own_cost in zip(held, words, np.split(cost, sizes[:-1]), strict=True):

@@ -140,3 +140,38 @@ def test_learning_takes_two_rounds(spark, monkeypatch):
     sizes, collected = [], lm_scoring._collected
     monkeypatch.setattr(lm_scoring, "_collected", lambda table, make, size: sizes.append(size) or collected(table, make, size))
     assert lm_scores(docs, HELD()).count() == 40 and sizes == [1401, 1401, 13200]
+
+
+def test_grams_travel_without_empty_planes():
+    r = np.random.default_rng(3)
+    gram = np.unique(r.integers(0, 1 << 63, 500).astype(np.uint64) << np.uint64(1) | np.uint64(1))
+    for count in (np.zeros(gram.size, np.int64), np.ones(gram.size, np.int64), r.integers(0, 1 << 40, gram.size)):
+        packed = lm_scoring._pack_grams(gram, count)
+        assert all((a == b).all() for a, b in zip(lm_scoring._unpack_grams(packed), (gram, count), strict=True))
+        assert len(lm_scoring._plain(packed)) <= (8 + (int(count.max()).bit_length() + 7) // 8) * gram.size + 10
+
+
+def test_counts_are_looked_up_once_for_neighbours():
+    """A block's work goes by the contexts that differ, not by its grams."""
+    gram = np.sort(np.uint64(0x6162636465) << np.uint64(8) | np.arange(64, dtype=np.uint64))
+    rows = {j: (head, zeros, ones) for j, head, zeros, ones in low_orders(gram & np.uint64(0xFFFFFF), np.ones(64, np.int64))[2].counts(gram)}
+    assert [rows[j][0].size for j in range(8)] == [1, 1, 1, 2, 4, 8, 16, 32]
+    assert [(int(rows[j][1].sum()), int(rows[j][2].sum())) for j in range(8)] == [(64, 0), (64, 0), *[(32, 32)] * 6]
+
+
+def test_grams_by_hash():
+    """Equal grams stand together, in the order of whole hashes, though upper bits of some hashes agree."""
+    r = np.random.default_rng(1)
+    h = np.concatenate([np.repeat(r.integers(0, 1 << 63, 50).astype(np.uint64), 3), np.uint64(7 << 40) + r.integers(0, 5, 100).astype(np.uint64)])
+    r.shuffle(h)
+    gram = h * np.uint64(pow(int(lm_scoring._ODD), -1, 1 << 64))
+    for some in (gram, gram[h >> np.uint64(40) != 7], gram[:0]):
+        order, head = lm_scoring._by_hash(some, np.unique(some).size)
+        hashes = some * lm_scoring._ODD
+        assert (hashes[order] == np.sort(hashes)).all() and (hashes[order[head]] == np.unique(hashes)).all() and (np.sort(order) == np.arange(some.size)).all()
+
+
+def test_long_words_of_swapped_parts(spark):
+    a, b = "a" * 64 + "b" * 64, "b" * 64 + "a" * 64
+    rows = lm_scores(spark.createDataFrame([(1, a), (2, f"{a} {b}")], "doc_id long, text string"), F.col("doc_id") == 2).collect()
+    assert {r.doc_id: r.n_known for r in rows} == {1: 2, 2: 2}
