@@ -68,6 +68,21 @@ def test_retrieved_are_among_the_nearest(spark, tmp_path, name):
     same(spark, tmp_path, name, embeddings=vectors(spark, rows))
 
 
+#: Labels of a query's candidates, nearest first, and which of them are its results: at most 4 of a label, then filled up.
+CROWDED = [([1] * 12 + [2] * 5 + [3] * 3, [1, 2, 3, 4, 13, 14, 15, 16]), ([1] * 9 + [2] + [1] * 9 + [3], [1, 2, 3, 4, 10, 20, 5, 6]), ([1] * 20 + [2] * 9, [1, 2, 3, 4, 5, 6, 7, 8])]
+
+
+def crowded(spark, labels):
+    return vectors(spark, [(0, [0.0, 0.0], 0)] + [(k, [1.0 + k / 100, 0.0], n) for k, n in enumerate(labels, 1)])
+
+
+@pytest.mark.parametrize("labels, want", CROWDED)
+def test_candidates_behind_the_nearest_become_results(spark, tmp_path, labels, want):
+    same(spark, tmp_path, "q_retrieve", embeddings=crowded(spark, labels))
+    got = QUERIES["q_retrieve"](spark, str(tmp_path)).where("query_id = 0").orderBy("rank_no").collect()
+    assert [(r.rank_no, r.vec_id, r.label) for r in got] == [(n, k, labels[k - 1]) for n, k in enumerate(want, 1)]
+
+
 def test_addresses_with_other_fragments_are_others(spark, tmp_path):
     rows = [(4 * k, f"https://x.example.net/a{k % 3}{end}", "<a href=\"/p\">Fees</a>") for k, end in enumerate(["", "#top", "/", "#top", "/#b", "//"] * 4)]
     assert len(same(spark, tmp_path, "q_url_classes", pages=spark.createDataFrame(rows, "page_id long, url string, html string"))) > 3
