@@ -1,5 +1,6 @@
 """Queries beside their SQL on small tables of cases that the given ones lack."""
 
+import hashlib
 import random
 
 import duckdb
@@ -83,6 +84,14 @@ def test_candidates_behind_the_nearest_become_results(spark, tmp_path, labels, w
     assert [(r.rank_no, r.vec_id, r.label) for r in got] == [(n, k, labels[k - 1]) for n, k in enumerate(want, 1)]
 
 
+@pytest.mark.parametrize("labels, want", CROWDED)
+def test_context_is_of_the_diversified_results(spark, tmp_path, labels, want):
+    docs = spark.createDataFrame([(k, f"text {k}", f"source {n}") for k, n in enumerate(labels, 1)], "doc_id long, text string, source string")
+    got = same(spark, tmp_path, "q_context_blocks", embeddings=crowded(spark, labels), documents=docs)
+    blocks = [f"[SOURCE {n}]\nTitle: source {labels[k - 1]}\nType: page\nEVIDENCE:\ntext {k}" for n, k in enumerate(want, 1)]
+    assert got == [(hashlib.sha256(("\n" + "-" * 70 + "\n").join(blocks).encode()).hexdigest(), 0)]
+
+
 def test_addresses_with_other_fragments_are_others(spark, tmp_path):
     rows = [(4 * k, f"https://x.example.net/a{k % 3}{end}", "<a href=\"/p\">Fees</a>") for k, end in enumerate(["", "#top", "/", "#top", "/#b", "//"] * 4)]
     assert len(same(spark, tmp_path, "q_url_classes", pages=spark.createDataFrame(rows, "page_id long, url string, html string"))) > 3
