@@ -92,6 +92,12 @@ def test_context_is_of_the_diversified_results(spark, tmp_path, labels, want):
     assert got == [(hashlib.sha256(("\n" + "-" * 70 + "\n").join(blocks).encode()).hexdigest(), 0)]
 
 
+@pytest.mark.parametrize("labels, want", CROWDED)
+def test_source_keys_are_those_of_the_diversified_results(spark, tmp_path, labels, want):
+    got = same(spark, tmp_path, "q_source_keys", embeddings=crowded(spark, labels))
+    assert got == sorted((0, {1: "url::u1", 2: "title::t2", 3: "pdf::f3"}[n]) for n in {labels[k - 1] for k in want})
+
+
 def test_addresses_with_other_fragments_are_others(spark, tmp_path):
     rows = [(4 * k, f"https://x.example.net/a{k % 3}{end}", "<a href=\"/p\">Fees</a>") for k, end in enumerate(["", "#top", "/", "#top", "/#b", "//"] * 4)]
     assert len(same(spark, tmp_path, "q_url_classes", pages=spark.createDataFrame(rows, "page_id long, url string, html string"))) > 3
